@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from tidelane.llm.bpe import op8_bpe
+from tidelane.llm.decontaminate import OP4_SQL, op4_decontaminate
+from tidelane.llm.quality_rules import op10_quality_rules
 
 QUERIES = {
+    "op4_decontaminate": op4_decontaminate,
     "op8_bpe": op8_bpe,
+    "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_decontaminate": OP4_SQL,
+}
