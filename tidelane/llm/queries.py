@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from tidelane.llm.bpe import op8_bpe
 from tidelane.llm.decontaminate import OP4_SQL, op4_decontaminate
+from tidelane.llm.license_scan import OP2_SQL, op2_license_scan
+from tidelane.llm.quality_classifier import op7_quality
 from tidelane.llm.quality_rules import op10_quality_rules
+from tidelane.llm.url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op2_license_scan": op2_license_scan,
     "op4_decontaminate": op4_decontaminate,
+    "op7_quality": op7_quality,
     "op8_bpe": op8_bpe,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_url_filter": OP1_SQL,
+    "op2_license_scan": OP2_SQL,
     "op4_decontaminate": OP4_SQL,
 }
