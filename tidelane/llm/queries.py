@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from tidelane.llm.bpe import op8_bpe
 from tidelane.llm.decontaminate import OP4_SQL, op4_decontaminate
+from tidelane.llm.language_id import op6_language_id
 from tidelane.llm.license_scan import OP2_SQL, op2_license_scan
 from tidelane.llm.quality_classifier import op7_quality
 from tidelane.llm.quality_rules import op10_quality_rules
+from tidelane.llm.suffix_tree_lm import op9_lm_score
 from tidelane.llm.url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_license_scan": op2_license_scan,
     "op4_decontaminate": op4_decontaminate,
+    "op6_language_id": op6_language_id,
     "op7_quality": op7_quality,
     "op8_bpe": op8_bpe,
+    "op9_lm_score": op9_lm_score,
     "op10_quality_rules": op10_quality_rules,
 }
 
