@@ -6,6 +6,7 @@ from tidelane.llm.bpe import op8_bpe
 from tidelane.llm.decontaminate import OP4_SQL, op4_decontaminate
 from tidelane.llm.language_id import op6_language_id
 from tidelane.llm.license_scan import OP2_SQL, op2_license_scan
+from tidelane.llm.minhash import OP3_SQL, op3_near_dedup
 from tidelane.llm.quality_classifier import op7_quality
 from tidelane.llm.quality_rules import op10_quality_rules
 from tidelane.llm.suffix_tree_lm import op9_lm_score
@@ -14,6 +15,7 @@ from tidelane.llm.url_filter import OP1_SQL, op1_url_filter
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_license_scan": op2_license_scan,
+    "op3_near_dedup": op3_near_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op6_language_id": op6_language_id,
     "op7_quality": op7_quality,
@@ -25,5 +27,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_url_filter": OP1_SQL,
     "op2_license_scan": OP2_SQL,
+    "op3_near_dedup": OP3_SQL,
     "op4_decontaminate": OP4_SQL,
 }
