@@ -9,6 +9,7 @@ from tidelane.llm.license_scan import OP2_SQL, op2_license_scan
 from tidelane.llm.minhash import OP3_SQL, op3_near_dedup
 from tidelane.llm.quality_classifier import op7_quality
 from tidelane.llm.quality_rules import op10_quality_rules
+from tidelane.llm.suffix_dedup import op5_suffix_dedup
 from tidelane.llm.suffix_tree_lm import op9_lm_score
 from tidelane.llm.url_filter import OP1_SQL, op1_url_filter
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op3_near_dedup": op3_near_dedup,
     "op4_decontaminate": op4_decontaminate,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_language_id": op6_language_id,
     "op7_quality": op7_quality,
     "op8_bpe": op8_bpe,
