@@ -36,9 +36,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that stand earlier; a character that was cut in two goes as well."""
+    """Texts without the passages that stand earlier; of those, a character that was cut in two goes as well (so do marks U+FFFD)."""
     cut = suffix_dedup.suffix_dedup(docs)
-    changed = F.when(F.col("n_removed") > 0, F.regexp_replace(F.decode(F.col("kept"), "UTF-8"), "�", "")).otherwise(F.col("text"))
+    changed = F.when(F.col("n_removed") > 0, F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))).otherwise(F.col("text"))
     out = cut.withColumn("text", changed)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
