@@ -1 +1 @@
-"""See the package docstring of tidelane."""
+"""Relational operators of the timetable engine."""
