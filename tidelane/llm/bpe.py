@@ -31,7 +31,7 @@ from tidelane.llm.bytetext import blocks
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Pieces remembered by each Python worker, and the longest piece that is remembered.
-CACHE_PIECES, CACHE_CHARS = 800_000, 48
+CACHE_PIECES, CACHE_CHARS = 300_000, 48
 
 
 def default_tokenizer() -> str:

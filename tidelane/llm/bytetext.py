@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Rows are handed on in blocks of about this many text bytes (a longer text is a block alone).
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 #: Separators of ``[^\x20\x09-\x0D]+``.
 SPACE_SEP = np.zeros(256, bool)
