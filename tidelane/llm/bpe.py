@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelane.llm.bytetext import blocks
+from tidelane.llm.bytetext import blocks, small_batches
 
 #: The byte-level pre-tokenisation pattern of the public vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -135,6 +135,7 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, text: str =
     One pass, no shuffle; each task holds one block of rows and a bounded piece cache.
     ``tokenizer`` is a path that every executor can read (default: the public vocabulary).
     """
+    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("token_ids", "decoded")]
     at = keep.index(text)
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])

@@ -13,10 +13,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: Rows are handed on in blocks of about this many text bytes (a longer text is a block alone).
 BLOCK_BYTES = 2 << 20
 
+#: Bytes of a batch between the JVM and a Python worker, about; Spark's own limit holds back far more off the heap.
+BATCH_BYTES = 4 << 20
+
 #: Separators of ``[^\x20\x09-\x0D]+``.
 SPACE_SEP = np.zeros(256, bool)
 SPACE_SEP[[0x20, *range(0x09, 0x0E)]] = True
@@ -91,6 +95,11 @@ def utf8_block(column: pa.Array) -> Block:
     return Block(raw[bounds[0] : bounds[-1]], bounds - bounds[0])
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let this session hand rows to Python in batches of ``BATCH_BYTES`` at most (a longer row is a batch alone)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that no block has many more text bytes than ``limit``."""
     for batch in batches:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelane.llm.bytetext import ALNUM_SEP, LOWER, Block, blocks, row_of, span_hashes, split_words, utf8_block
+from tidelane.llm.bytetext import ALNUM_SEP, LOWER, Block, blocks, row_of, small_batches, span_hashes, split_words, utf8_block
 
 #: Words of an item that must stand consecutively.
 WINDOW = 10
@@ -193,6 +193,7 @@ def find_phrases(index: DataFrame, blocks_of_phrases: list, slop: int | None = N
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """:func:`find_phrases` of all benchmark windows over all documents."""
+    small_batches(docs.sparkSession)
     shared = [docs.sparkSession.sparkContext.broadcast(b) for b in phrase_blocks(benchmark, text=text, window=window)]
     return find_phrases(build_index(docs, key, text), shared, slop, key)
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelane.llm.bytetext import LOWER, SPACE_SEP, Block, blocks, gram_hashes, mix, span_hashes, split_words, utf8_block
+from tidelane.llm.bytetext import LOWER, SPACE_SEP, Block, blocks, gram_hashes, mix, small_batches, span_hashes, split_words, utf8_block
 from tidelane.llm.checkpoints import materialised
 from tidelane.llm.components import connected_components
 
@@ -254,6 +254,7 @@ def tile_links(members: DataFrame, lists: DataFrame, sets: DataFrame, tile: int
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT, k: int = SHINGLE, tile: int = TILE) -> DataFrame:
     """Per row of ``docs``: key, n_shingles, component_id and kept."""
+    small_batches(docs.sparkSession)
     rows = materialised(signatures(docs, key, text, k))
     nodes = materialised(rows.where("node IS NOT NULL").groupBy("node").agg(F.min(key).alias(key), F.min("minima").alias("minima")))
     posted = materialised(postings(nodes, COORDINATES))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelane.llm.bytetext import SPACE_SEP, Block, blocks, mix, row_of, span_hashes, split_words, utf8_block
+from tidelane.llm.bytetext import SPACE_SEP, Block, blocks, mix, row_of, small_batches, span_hashes, split_words, utf8_block
 from tidelane.llm.sampling import crc_mod, labelled_sample
 
 #: Feature vectors, their width, and the sizes of byte n-grams.
@@ -103,6 +103,7 @@ class Classifier:
 
 def train_frame(docs: DataFrame) -> DataFrame:
     """(doc_id, label, distinct buckets, their counts) of labelled texts."""
+    small_batches(docs.sparkSession)
     schema = "doc_id long, label int, buckets array<int>, counts array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,6 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, usable=No
 
 def score(docs: DataFrame, model: Classifier, text: str = "text", good_at: float = GOOD_AT) -> DataFrame:
     """``docs`` with ``score`` and ``predicted``; one pass, no shuffle."""
+    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
     at = keep.index(text)
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])

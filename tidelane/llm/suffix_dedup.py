@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelane.llm.bytetext import blocks, mix, span_hashes, utf8_block
+from tidelane.llm.bytetext import blocks, mix, small_batches, span_hashes, utf8_block
 from tidelane.llm.checkpoints import materialised
 from tidelane.llm.suffix_array import suffix_array
 
@@ -337,6 +337,7 @@ def removed_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
 def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (the remaining bytes, binary)."""
     added = ("n_bytes", "n_removed", "n_spans", "kept")
+    small_batches(docs.sparkSession)
     docs = docs.drop(*added)
     rows, texts = ordered(docs, key, text)
     spans = removed_spans(texts, length, gram, hot)
