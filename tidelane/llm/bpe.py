@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelane.llm.bytetext import blocks, small_batches
+from tidelane.llm.bytetext import blocks, releasing, small_batches
 
 #: The byte-level pre-tokenisation pattern of the public vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Pieces remembered by each Python worker, and the longest piece that is remembered.
-CACHE_PIECES, CACHE_CHARS = 300_000, 48
+#: Pieces remembered by a task, and the longest piece that is remembered.
+CACHE_PIECES, CACHE_CHARS = 200_000, 48
 
 
 def default_tokenizer() -> str:
@@ -150,8 +150,9 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, text: str =
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
             decoded = pa.array([own.decode(array("i", p).tolist()) for p in packed], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, lists, decoded], [*batch.schema.names, "token_ids", "decoded"])
+        own.cache.clear()
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return docs.select(*keep).mapInArrow(releasing(run), schema)
 
 
 def op8_bpe(spark, sf_dir: str) -> DataFrame:

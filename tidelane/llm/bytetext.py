@@ -7,7 +7,8 @@ bytes are ever separators or case-folded, so cutting bytes equals cutting code p
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,16 +36,21 @@ LOWER[65:91] += 32
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
+def _low_powers(base: np.uint64) -> np.ndarray:
+    steps = np.full(1 << 16, base, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _BASE_INV)):
-            steps = np.full(n + n // 4 + 1024, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+
+_LOW, _LOW_INV = _low_powers(_BASE), _low_powers(_BASE_INV)
+
+
+def _high_powers(low: np.ndarray, n: int) -> np.ndarray:
+    """Powers of the base at every 65536th exponent up to n."""
+    steps = np.repeat(low[-1:] * low[1], (n >> 16) + 1)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -100,6 +106,24 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on after its task, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` of ``mapInArrow``, followed by :func:`give_back`."""
+
+    def inner(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return inner
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that no block has many more text bytes than ``limit``."""
     for batch in batches:
@@ -135,10 +159,15 @@ def split_words(block: Block, separators: np.ndarray) -> Words:
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte span (polynomial prefix sums, then a finaliser)."""
-    power, inverse = _power_tables(len(data) + 1)
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=prefix[1:])
-    h = (prefix[end] - prefix[start]) * inverse[start]
+    n = len(data)
+    power = (_high_powers(_LOW, n)[:, None] * _LOW).ravel()[:n] if n > len(_LOW) else _LOW[:n]
+    prefix = np.zeros(n + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, out=prefix[1:])
+    h = prefix[end]
+    h -= prefix[start]
+    h *= _LOW_INV[start & 0xFFFF]
+    if n >> 16:
+        h *= _high_powers(_LOW_INV, n)[start >> 16]
     return mix(h ^ ((end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelane.llm.bytetext import ALNUM_SEP, LOWER, Block, blocks, row_of, small_batches, span_hashes, split_words, utf8_block
+from tidelane.llm.bytetext import ALNUM_SEP, LOWER, Block, blocks, releasing, row_of, small_batches, span_hashes, split_words, utf8_block
 
 #: Words of an item that must stand consecutively.
 WINDOW = 10
@@ -60,7 +60,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             keys = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0))
             yield pa.RecordBatch.from_arrays([keys, *(pa.array([c.tobytes()], pa.binary()) for c in columns)], ["keys", *packed])
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text).mapInArrow(releasing(run), schema)
 
 
 def phrase_blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text", window: int = WINDOW, limit: int = PHRASE_WORDS) -> Iterator[dict]:
@@ -188,7 +188,7 @@ def find_phrases(index: DataFrame, blocks_of_phrases: list, slop: int | None = N
                     schema.names,
                 )
 
-    return index.mapInArrow(run, schema)
+    return index.mapInArrow(releasing(run), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:

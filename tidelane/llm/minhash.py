@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelane.llm.bytetext import LOWER, SPACE_SEP, Block, blocks, gram_hashes, mix, small_batches, span_hashes, split_words, utf8_block
+from tidelane.llm.bytetext import LOWER, SPACE_SEP, Block, blocks, gram_hashes, mix, releasing, small_batches, span_hashes, split_words, utf8_block
 from tidelane.llm.checkpoints import materialised
 from tidelane.llm.components import connected_components
 
@@ -91,7 +91,7 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
                 packed[r] = minima[i].tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts.astype(np.int64)), pa.array(names, pa.binary()), pa.array(packed, pa.binary())], schema.names)
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text).mapInArrow(releasing(run), schema)
 
 
 def _values(minima: np.ndarray) -> np.ndarray:
@@ -114,7 +114,7 @@ def postings(nodes: DataFrame, coordinates: int) -> DataFrame:
                 names = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), coordinates)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(coordinates, dtype=np.int32), batch.num_rows)), pa.array(v.ravel().view(np.int64)), names], schema.names)
 
-    return nodes.select("node", "minima").mapInArrow(run, schema)
+    return nodes.select("node", "minima").mapInArrow(releasing(run), schema)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, limit: int = LIMIT, matches: int = MATCHES) -> DataFrame:
@@ -138,7 +138,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, limit: int = LIMIT, matches: in
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in (0, 1)], ["a", "b"])
 
     side = lambda n: sets.select(F.col("node").alias(n), F.col("minima").alias(f"m{n}"), F.col("shingles").alias(f"s{n}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "mb", "sa", "sb").mapInArrow(run, "a binary, b binary")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "mb", "sa", "sb").mapInArrow(releasing(run), "a binary, b binary")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, k: int = SHINGLE) -> DataFrame:
@@ -154,7 +154,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, k: int =
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([own[i] for i in ok], pa.binary())], schema.names)
 
     rows = docs.select(key, text).join(wanted.select("node", "minima", key), docs[key].eqNullSafe(wanted[key])).select("node", "minima", text)
-    return rows.mapInArrow(run, schema).dropDuplicates(["node"])
+    return rows.mapInArrow(releasing(run), schema).dropDuplicates(["node"])
 
 
 def _between(names: list, parts: np.ndarray, values: np.ndarray, sets: list[np.ndarray], coordinate: int, left: np.ndarray, right: np.ndarray, limit: int) -> list[tuple]:
@@ -249,7 +249,7 @@ def tile_links(members: DataFrame, lists: DataFrame, sets: DataFrame, tile: int
         if group and (found := links(group)):
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.binary()) for c in (0, 1)], ["a", "b"])
 
-    return rows.mapInArrow(run, "a binary, b binary").distinct()
+    return rows.mapInArrow(releasing(run), "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT, k: int = SHINGLE, tile: int = TILE) -> DataFrame:

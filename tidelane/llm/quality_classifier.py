@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelane.llm.bytetext import SPACE_SEP, Block, blocks, mix, row_of, small_batches, span_hashes, split_words, utf8_block
+from tidelane.llm.bytetext import SPACE_SEP, Block, blocks, mix, releasing, row_of, small_batches, span_hashes, split_words, utf8_block
 from tidelane.llm.sampling import crc_mod, labelled_sample
 
 #: Feature vectors, their width, and the sizes of byte n-grams.
@@ -123,7 +123,7 @@ def train_frame(docs: DataFrame) -> DataFrame:
                 counts.append(np.bincount(back, weight, len(ids)).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(buckets, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "label", "buckets", "counts"])
 
-    return docs.select("doc_id", "text", "label").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", "label").mapInArrow(releasing(run), schema)
 
 
 def fit(samples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Classifier:
@@ -177,7 +177,7 @@ def score(docs: DataFrame, model: Classifier, text: str = "text", good_at: float
             p = shared.value.score(utf8_block(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= good_at).astype(np.int32))], schema.names)
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return docs.select(*keep).mapInArrow(releasing(run), schema)
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

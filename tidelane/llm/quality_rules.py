@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelane.llm.bytetext import SPACE_SEP, Block, blocks, gram_hashes, mix, row_of, span_hashes, split_words, utf8_block
+from tidelane.llm.bytetext import SPACE_SEP, Block, blocks, gram_hashes, mix, releasing, row_of, span_hashes, split_words, utf8_block
 from tidelane.llm.sampling import labelled_sample
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -210,7 +210,7 @@ def _stats_frame(docs: DataFrame, text: str, with_features: bool) -> DataFrame:
                 cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(features.ravel())))
             yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(releasing(run), schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> Forest:
@@ -240,7 +240,7 @@ def judge(docs: DataFrame, forest: Forest, text: str = "text", keep_at: float =
             cols = [*batch.columns, *(pa.array(counts[:, j]) for j in range(len(COUNTS))), pa.array(failed), pa.array(score), pa.array(~failed & (score >= keep_at))]
             yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return docs.select(*keep).mapInArrow(releasing(run), schema)
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelane.llm.bytetext import blocks, mix, small_batches, span_hashes, utf8_block
+from tidelane.llm.bytetext import blocks, mix, releasing, small_batches, span_hashes, utf8_block
 from tidelane.llm.checkpoints import materialised
 from tidelane.llm.suffix_array import suffix_array
 
@@ -142,7 +142,7 @@ def _segments(texts: DataFrame, buckets: int, length: int, gram: int) -> DataFra
         if any(len(p[0]) for p in parts):
             yield from handed(parts)
 
-    return texts.mapInArrow(run, _PART)
+    return texts.mapInArrow(releasing(run), _PART)
 
 
 def _judged(table: pa.Table, slices: int, length: int, hot: int) -> pa.Table:
@@ -218,7 +218,7 @@ def _fetched(texts: DataFrame) -> DataFrame:
                 [pa.array(anchor), pa.array(hot), pa.array(np.repeat(batch.column(0).to_numpy(), sizes)), pa.array(low), pa.array((pos - low).astype(np.int32)), flat], ["anchor", "hot", "doc", "start", "shift", "bytes"]
             )
 
-    return texts.mapInArrow(run, "anchor long, hot boolean, doc long, start long, shift int, bytes binary")
+    return texts.mapInArrow(releasing(run), "anchor long, hot boolean, doc long, start long, shift int, bytes binary")
 
 
 def repeated_windows(anchor: np.ndarray, doc: np.ndarray, start: np.ndarray, shift: np.ndarray, block, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -293,7 +293,7 @@ def _ordered_spans(segments: DataFrame, parts: int, length: int, gram: int) -> D
             yield from done()
 
     near = segments.where(~F.col("hot")).select("anchor", "doc", "start", "shift", "bytes")
-    return near.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc long, start long, stop long")
+    return near.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(releasing(run), "doc long, start long, stop long")
 
 
 def _binary_block(column):
@@ -371,7 +371,7 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
                 kept.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(sizes), pa.array(removed), pa.array(runs), pa.array(kept, pa.binary())], schema.names)
 
-    return joined.select(*keep, "starts", "stops", "more_starts", "more_stops").mapInArrow(run, schema)
+    return joined.select(*keep, "starts", "stops", "more_starts", "more_stops").mapInArrow(releasing(run), schema)
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
