@@ -3,9 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidelane.functions import booking, clock, text
+from tidelane.functions import booking, clock, links, text
 from tidelane.functions.geo import flex_seconds, haversine_m
-from tidelane.operators import isochrone, normalise, routing
+from tidelane.operators import isochrone, legs, normalise, routing
 from tidelane.sources import feed
 from tidelane.sources.derived import Network
 from tidelane.streaming import rate_limit
@@ -91,3 +91,26 @@ def test_rate_limit_stream_equals_batch(spark, tmp_path):
         assert sorted(map(tuple, spark.table("limits").collect())) == sorted(map(tuple, rate_limit.counts(rows, 5).collect()))
     finally:
         q.stop()
+
+
+def test_links_read_back_or_are_null(spark):
+    good = "?from=coord%3A35.5%2C-139.25&fromLabel=%E9%A7%85&to=stop%3A9%3A1&when=20260102-2530"
+    bad = [good.replace("when=20260102-2530", "when=2026"), good.replace("stop%3A9%3A1", "stop%3A"), good.replace("to=", "ato="), "", good.replace("35.5", "x"), None]
+    got = [r.q for r in spark.createDataFrame([(x,) for x in [good, *bad]], "s string").select(links.read(F.col("s")).alias("q")).collect()]
+    assert (got[0].origin.lat, got[0].origin.lon, got[0].origin.label) == (35.5, -139.25, "駅")
+    assert (got[0].goal.stop, got[0].goal.label) == ("9:1", "9:1") and (got[0].departure.day, got[0].departure.seconds) == (20260102, 91800)
+    assert got[1:] == [None] * len(bad)
+
+
+def test_lines_and_ids_of_legs(spark, net):
+    rows = [(1, 0, "walk", 1, 2, None, None, None), (1, 1, "transit", 2, 3, [1, 99], 5, None), (1, 2, "flex", 3, 99, None, None, 0)]
+    made = spark.createDataFrame(rows, "query_id long, leg int, kind string, from_sid long, to_sid long, mids array<long>, rid long, grp int")
+    assert {r.leg: [p.lat for p in r.path] for r in legs.lines(made, net.stops).collect()} == {0: [35.0, 35.1], 1: [35.1, 35.0, 35.2]}
+    assert {(r.kind, r.id) for r in legs.ids(made).collect()} == {("stop", 1), ("stop", 2), ("stop", 3), ("stop", 99), ("route", 5), ("group", 0)}
+
+
+def test_locations(spark):
+    texts = ['{"type":"FeatureCollection","features":[{"id":7,"geometry":{"type":"Polygon","coordinates":[]}},{"id":"b","geometry":null},{"geometry":{"type":"Polygon"}}]}', "{", '{"type":"Feature"}', '{"type":"FeatureCollection","features":{}}', None]
+    files = spark.createDataFrame(list(enumerate(texts)), "feed int, text string")
+    assert [(r.row_no, r.location_id, r.drop_reason) for r in normalise.flex_locations(files).orderBy("row_no").collect()] == [(1, "7", None), (2, "b", "invalid_value"), (3, None, "row_dropped")]
+    assert {r.feed for r in normalise.unreadable_locations(files).collect()} == {1, 2, 3, 4}

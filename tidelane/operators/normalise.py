@@ -115,3 +115,43 @@ def flex_pairs(rows: DataFrame) -> DataFrame:
     pairs = rows.groupBy("trip_id").agg(up.alias("u"), down.alias("d"), F.count(F.when(r == "pickup_only", 1)).alias("nu"), F.count(F.when(r == "dropoff_only", 1)).alias("nd"))
     pairs = pairs.where("nu > 0 AND nd > 0 AND u.place_kind = 'group' AND u.w0 IS NOT NULL")
     return pairs.select("trip_id", F.col("u.place").alias("grp"), F.col("u.w0").alias("ws"), F.col("u.w1").alias("we"), F.col("u.rule").alias("pickup_rule"), F.col("d.rule").alias("drop_off_rule"))
+
+
+_FEATURES = "type string, features array<struct<id: string, properties: struct<stop_name: string>, geometry: struct<type: string, coordinates: string>>>"
+
+
+def _collection(text: Column) -> tuple[Column, Column]:
+    """(features, readable) of a GeoJSON text."""
+    own = F.from_json(text, _FEATURES)
+    good = F.try_parse_json(text).isNotNull() & (own["type"] == "FeatureCollection") & own["features"].isNotNull()
+    return own["features"], F.coalesce(good, F.lit(False))
+
+
+def flex_locations(files: DataFrame) -> DataFrame:
+    """(feed, row_no, location_id, name, geometry_type, coordinates as JSON) of the features; ``files``: feed, text.
+
+    Features without an id, and those that are no (multi)polygons, are dropped.
+    """
+    features, readable = _collection(F.col("text"))
+    each = files.where(readable).select("feed", F.posexplode(features).alias("k", "f"))
+    own = each.select("feed", (F.col("k") + 1).alias("row_no"), F.col("f.id").alias("location_id"), F.col("f.properties.stop_name").alias("name"), F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("coordinates"))
+    shape = F.coalesce(F.col("geometry_type").isin("Polygon", "MultiPolygon"), F.lit(False))
+    reason = F.when(F.col("location_id").isNull(), "row_dropped").when(~shape, "invalid_value")
+    return own.withColumn("drop_reason", reason).withColumn("warnings", F.when(reason.isNotNull(), F.array(reason)).otherwise(F.array().cast("array<string>")))
+
+
+def unreadable_locations(files: DataFrame) -> DataFrame:
+    """(feed, code) of the files that are ignored whole: no JSON, or no feature collection."""
+    return files.where(~_collection(F.col("text"))[1]).select("feed", F.lit("invalid_value").alias("code"))
+
+
+def surrogate_keys(rows: DataFrame, feed: str, key: str) -> DataFrame:
+    """``rows`` with ``position`` within their feed: numeric ids by value, then all others by text."""
+    order = [F.col(key).try_cast("double").asc_nulls_last(), F.col(key)]
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy(feed).orderBy(*order)) - 1)
+
+
+def feed_status(feeds: DataFrame, warnings: DataFrame) -> DataFrame:
+    """(feed, status): ``ok_with_warnings`` where a warning was logged, else ``ok``."""
+    noted = warnings.select("feed").distinct().withColumn("__noted", F.lit(True))
+    return feeds.join(noted, "feed", "left").select("feed", F.when(F.col("__noted"), "ok_with_warnings").otherwise("ok").alias("status"))

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelane.functions import booking, clock, text
+from tidelane.functions import booking, clock, links, text
 from tidelane.functions.geo import flex_seconds, haversine_m
-from tidelane.operators import calendar, isochrone, network, normalise, routing, search
+from tidelane.operators import calendar, isochrone, legs, network, normalise, routing, search
 from tidelane.sources.derived import SQL, derive, table
 from tidelane.streaming import rate_limit
 
@@ -515,3 +515,83 @@ def departure_parse(spark, d):
     shown = F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm")
     day, seconds = clock.departure_parts(F.concat(shown, F.when(F.col("event_id") % 10 == 3, "").otherwise("Z")))
     return table(spark, d, "events").select("event_id", day.alias("day"), seconds.alias("seconds"))
+
+
+# Links, legs, booking contacts, areas
+
+
+@query(""",, a AS (SELECT sid, CASE WHEN sid%3 <> 0 THEN 'stop:'||sid ELSE 'coord:'||printf('%.5f,%.5f', lat, lon) END AS f, 'stop:'||(sid + 1) AS t, CASE WHEN sid%4 = 0 THEN 'now' ELSE (20260000 + sid%1000)||'-'||lpad(CAST(sid%24 AS VARCHAR), 2, '0')||lpad(CAST(sid%60 AS VARCHAR), 2, '0') END AS w, sid%7 = 0 AS bad, lat, lon FROM stops)
+SELECT sid, '?from='||url_encode(f)||'&fromLabel='||url_encode('Stop#'||sid)||'&to='||url_encode(t)||'&when='||(CASE WHEN bad THEN 'soon' ELSE w END) AS link, NOT bad AS valid, CASE WHEN NOT bad AND sid%3 <> 0 THEN CAST(sid AS VARCHAR) END AS origin, round(CASE WHEN NOT bad AND sid%3 = 0 THEN lat END, 5) AS lat, CASE WHEN NOT bad THEN CAST(sid + 1 AS VARCHAR) END AS goal_label,
+CASE WHEN NOT bad AND sid%4 <> 0 THEN CAST(20260000 + sid%1000 AS INT) END AS day, CASE WHEN NOT bad AND sid%4 <> 0 THEN CAST(sid%24*3600 + sid%60*60 AS INT) END AS seconds FROM a""", net=True)
+def result_link(spark, d):
+    sid = F.col("sid")
+    start = links.place(F.when(sid % 3 != 0, sid.cast("string")), F.col("lat"), F.col("lon"))
+    goal = links.place((sid + 1).cast("string"), F.col("lat"), F.col("lon"))
+    when = links.departure(F.when(sid % 4 != 0, 20260000 + sid % 1000), sid % 24 * 3600 + sid % 60 * 60)
+    made = links.link(**{"from": start, "fromLabel": F.concat(F.lit("Stop#"), sid), "to": goal, "when": F.when(sid % 7 == 0, "soon").otherwise(when)})
+    got = derive(spark, d).stops.select("sid", made.alias("link")).withColumn("q", links.read(F.col("link")))
+    return got.select("sid", "link", F.col("q").isNotNull().alias("valid"), F.col("q.origin.stop").alias("origin"), F.round("q.origin.lat", 5).alias("lat"), F.col("q.goal.label").alias("goal_label"), F.col("q.departure.day").alias("day"), F.col("q.departure.seconds").alias("seconds"))
+
+
+def _trip_legs(net) -> DataFrame:
+    """One ride from end to end for every trip."""
+    order = F.array_sort(F.collect_list(F.struct("seq", "sid")))
+    own = net.stop_times.groupBy("tid", "rid").agg(F.transform(order, lambda x: x["sid"]).alias("s"))
+    mids = F.slice("s", F.lit(2), F.greatest(F.size("s") - 2, F.lit(0)))
+    return own.select(F.col("tid").alias("query_id"), F.lit(0).alias("leg"), F.lit("transit").alias("kind"), F.col("s")[0].alias("from_sid"), F.element_at("s", -1).alias("to_sid"), mids.alias("mids"), "rid", F.lit(None).cast("int").alias("grp"))
+
+
+@query("SELECT DISTINCT tid AS query_id, 'stop' AS kind, CAST(sid AS BIGINT) AS id FROM sttimes UNION ALL SELECT DISTINCT tid, 'route', CAST(rid AS BIGINT) FROM sttimes", net=True)
+def leg_ids(spark, d):
+    return legs.ids(_trip_legs(derive(spark, d)))
+
+
+@query(",, e AS (SELECT tid, min(seq) AS a, max(seq) AS b FROM sttimes GROUP BY tid), p AS (SELECT t.tid, t.seq, a, b, lat, lon FROM sttimes t JOIN e USING (tid) JOIN stops USING (sid) WHERE nk <> 3), "
+       "p2 AS (SELECT * FROM p UNION ALL SELECT * FROM p WHERE a = b) SELECT tid AS query_id, 'transit' AS kind, count(*) AS n_points, round(arg_min(lat, seq), 6) AS first_lat, round(arg_max(lon, seq), 6) AS last_lon FROM p2 GROUP BY tid HAVING count(*) FILTER (WHERE seq IN (a, b)) = 2", net=True)
+def map_lines(spark, d):
+    net = derive(spark, d)
+    made = legs.lines(_trip_legs(net), net.stops.where("nk <> 3"))
+    return made.select("query_id", "kind", F.size("path").cast("long").alias("n_points"), F.round(F.col("path")[0]["lat"], 6).alias("first_lat"), F.round(F.element_at("path", -1)["lon"], 6).alias("last_lon"))
+
+
+@query("WITH r AS (SELECT n_nationkey AS rule, CASE WHEN n_nationkey%3 <> 0 THEN '0'||n_nationkey END AS phone, CASE WHEN n_nationkey%4 = 0 THEN n_name END AS message, CASE WHEN n_nationkey%2 = 0 THEN 'i/'||n_nationkey END AS info_url FROM nation) "
+       "SELECT s_suppkey, coalesce(p.phone, d.phone) AS phone, coalesce(p.message, d.message) AS message, p.info_url FROM supplier LEFT JOIN r p ON p.rule = s_nationkey LEFT JOIN r d ON d.rule = s_suppkey%30")
+def booking_contacts(spark, d):
+    k = F.col("n_nationkey")
+    rules = table(spark, d, "nation").select(k.alias("rule"), F.when(k % 3 != 0, F.concat(F.lit("0"), k)).alias("phone"), F.when(k % 4 == 0, F.col("n_name")).alias("message"), F.when(k % 2 == 0, F.concat(F.lit("i/"), k)).alias("info_url"))
+    trips = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("pickup_rule"), (F.col("s_suppkey") % 30).alias("drop_off_rule"))
+    return legs.booking_contacts(trips, rules).select("s_suppkey", "phone", "message", "info_url")
+
+
+def _location_files(spark, d) -> DataFrame:
+    """One GeoJSON text for each nation, with its suppliers as areas; some are broken."""
+    sid = F.col("s_suppkey")
+    name = F.concat(F.lit('"properties":{"stop_name":"'), "s_name", F.lit('"},'))
+    shape = F.concat(F.lit('"geometry":{"type":"'), F.when(sid % 4 == 1, "Point").when(sid % 4 == 2, "MultiPolygon").otherwise("Polygon"), F.lit('","coordinates":[['), sid, F.lit(",1]]}"))
+    feature = F.concat(F.lit("{"), F.when(sid % 5 == 0, "").otherwise(F.concat(F.lit('"id":'), sid, F.lit(","))), name, shape, F.lit("}"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct(sid, feature.alias("f")))), lambda x: x["f"])
+    k = F.col("s_nationkey")
+    made = F.concat(F.lit('{"type":"'), F.when(k % 10 == 8, "Feature").otherwise("FeatureCollection"), F.lit('","features":['), F.concat_ws(",", "rows"), F.lit("]}"))
+    return table(spark, d, "supplier").groupBy("s_nationkey").agg(rows.alias("rows")).select(k.alias("feed"), F.when(k % 10 == 9, '{"type":').otherwise(made).alias("text"))
+
+
+_LOCATIONS = "WITH l AS (SELECT s_nationkey AS feed, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS INT) AS row_no, s_suppkey AS sid, s_name AS name, s_suppkey%5 = 0 AS no_id, s_suppkey%4 = 1 AS point FROM supplier) "
+
+
+@query(_LOCATIONS + "SELECT feed, row_no, CASE WHEN NOT no_id THEN CAST(sid AS VARCHAR) END AS location_id, name, CASE sid%4 WHEN 1 THEN 'Point' WHEN 2 THEN 'MultiPolygon' ELSE 'Polygon' END AS geometry_type, '[['||sid||',1]]' AS coordinates, CASE WHEN no_id THEN 'row_dropped' WHEN point THEN 'invalid_value' END AS drop_reason FROM l WHERE feed%10 < 8")
+def raw_normalize_locations(spark, d):
+    return normalise.flex_locations(_location_files(spark, d)).drop("warnings")
+
+
+@query(_LOCATIONS + "SELECT feed, CASE WHEN feed%10 >= 8 OR bool_or(no_id OR point) THEN 'ok_with_warnings' ELSE 'ok' END AS status FROM l GROUP BY feed")
+def feed_status(spark, d):
+    files = _location_files(spark, d)
+    dropped = normalise.flex_locations(files).where("drop_reason IS NOT NULL").select("feed")
+    return normalise.feed_status(files.select("feed"), dropped.unionByName(normalise.unreadable_locations(files).select("feed")))
+
+
+@query("WITH s AS (SELECT s_nationkey AS feed, CASE WHEN s_suppkey%3 = 0 THEN 'x'||s_suppkey ELSE CAST(s_suppkey AS VARCHAR) END AS id FROM supplier) SELECT feed, id, CAST(row_number() OVER (PARTITION BY feed ORDER BY try_cast(id AS DOUBLE) NULLS LAST, id) - 1 AS INT) AS position FROM s")
+def surrogate_keys(spark, d):
+    sid = F.col("s_suppkey")
+    own = table(spark, d, "supplier").select(F.col("s_nationkey").alias("feed"), F.when(sid % 3 == 0, F.concat(F.lit("x"), sid)).otherwise(sid.cast("string")).alias("id"))
+    return normalise.surrogate_keys(own, "feed", "id")
