@@ -113,6 +113,49 @@ def test_lm_score(docs, nothing):
     assert suffix_tree_lm.score_corpus(nothing, held).count() == 0
 
 
+def test_lm_states_grow_with_the_corpus(spark):
+    """A context that is rare in the whole corpus, but often enough seen, scores as the definition says, whatever the buckets."""
+    strange = "zqzq vyvy xwxw zuzu"
+    rows = [(i, say(120)) for i in range(500)] + [(1000 + i, strange) for i in range(40)] + [(2000, strange + " " + say(20)), (2001, say(40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = F.col("doc_id") >= 2000
+    symbols = lambda t: b"".join(w.encode() + b" " for w in t.split(" ")) + b"\n"
+    grams = Counter()
+    for i, t in rows:
+        for k in range(len(s := symbols(t))) if i < 2000 else ():
+            grams.update((s[j:k] if j >= 0 else b"\n" + s[:k], s[k]) for j in range(max(k - 7, -1 if k < 7 else 0), k + 1))
+    total = Counter()
+    for (context, _), n in grams.items():
+        total[context] += n
+    after = {}
+    for (context, symbol), n in grams.items():
+        after.setdefault(context, []).append((symbol, n))
+    gain = lambda c: sum(n * np.log(n / total[c] / (grams[c[1:], x] / total[c[1:]])) for x, n in after[c])
+    states = {c for c in total if len(c) <= suffix_tree_lm.SHALLOW}
+    for c in total:
+        if len(c) > suffix_tree_lm.SHALLOW and total[c] >= suffix_tree_lm.MIN_COUNT and gain(c) >= suffix_tree_lm.MIN_GAIN:
+            states |= {c[k:] for k in range(len(c))}
+
+    def p(c, x):
+        if not c:
+            return (grams[c, x] + 0.1) / (total[c] + 25.6)
+        return (grams[c, x] + suffix_tree_lm.PARENT * p(c[1:], x)) / (total[c] + suffix_tree_lm.PARENT)
+
+    def longest(before):
+        for c in (before[k:] for k in range(max(len(before) - 7, 0), len(before) + 1)):
+            if c in states and all(c[k:] in states for k in range(len(c) + 1)):
+                return c
+
+    rare = [c for c in states if len(c) > 2 and total[c] < 2e-4 * total[b""]]
+    assert any(b"zq" in c for c in rare) and max(map(len, states)) > 4
+    for buckets in (1, 5):
+        got = {r.doc_id: r.score for r in suffix_tree_lm.score_corpus(docs, held, buckets=buckets).collect()}
+        for i, t in rows[-3:]:
+            s = symbols(t)
+            want = sum(log10(p(longest(b"\n" + s[:k]), s[k])) for k in range(len(s)))
+            assert abs(got[i] - want) < 1e-3
+
+
 def test_bpe_equals_library(docs, nothing):
     from tokenizers import Tokenizer
 

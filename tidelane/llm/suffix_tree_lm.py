@@ -1,15 +1,20 @@
 """LM scoring with a probabilistic suffix tree, beside a smoothed word-unigram base.
 
 The text is a stream of bytes: its lower-cased words, a blank after each, and an end mark.
-All grams of DEPTH + 1 bytes of the training texts are counted by Spark.  A context of up to
-DEPTH bytes becomes a state of the tree if it is frequent enough and its next-byte
-distribution diverges from that of its parent (the context without its oldest byte); its
-suffixes come along.  Distributions are smoothed with the parent's.  A byte is scored in the
-state of the longest suffix of what stands before it.  MIN_SHARE bounds the tree: at most
-1 / MIN_SHARE contexts of each length reach that share, so the tree may be broadcast.
-
-Word counts for the base: words of a bounded sample are counted exactly while the grams are
-counted, and broadcast (HOT_WORDS at most); the others travel once as packed (word,
+All grams of DEPTH + 1 bytes of the training texts are counted by Spark.  Contexts of up to
+SHALLOW bytes are always states of the tree; a longer one, of up to DEPTH bytes, becomes a
+state if it is seen MIN_COUNT times and its next-byte distribution diverges from that of its
+parent (the context without its oldest byte); its suffixes come along.  Distributions are
+smoothed with the parent's.  A byte is scored in the state of the longest suffix of what
+stands before it.
+
+The states grow with the corpus, so they are never gathered: the distinct grams of every chunk
+of documents are dealt, with their training counts, by hash of the latest SHALLOW + 1 context
+bytes; each bucket builds the states of its own contexts and answers the chunks.  Only the
+levels up to SHALLOW bytes, which the alphabet bounds, are broadcast.
+
+Word counts for the base: words of a bounded sample are counted exactly while the short grams
+are counted, and broadcast (HOT_WORDS at most); the others travel once as packed (word,
 document) postings by hash of the word, so no task gets a frequent word, and come back as
 sums per document.
 
@@ -30,17 +35,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelane.llm.bytetext import LOWER, SPACE_SEP, Block, blocks, releasing, row_of, span_hashes, split_words, utf8_block
-from tidelane.llm.checkpoints import materialised
 from tidelane.llm.sampling import crc_mod
 
-#: Longest context; least share of the training bytes that a context has; least gain in nats that keeps it; weight of the parent.
-DEPTH, MIN_SHARE, MIN_GAIN, PARENT = 4, 2e-4, 20.0, 4.0
+#: Longest context (a gram fills 64 bits); longest context that is always a state; least count of a longer one; least gain in nats that keeps it; weight of the parent.
+DEPTH, SHALLOW, MIN_COUNT, MIN_GAIN, PARENT = 7, 3, 4, 20.0, 4.0
 
 #: Words whose counts are broadcast, at most, and the texts of the sample that proposes them.
 HOT_WORDS, HOT_ROWS = 1 << 16, 2000
 
 #: Text bytes that a task holds before it hands on postings.
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 12 << 20
+
+#: Training symbols for each bucket, about.
+BUCKET_BYTES = 16 << 20
+
+#: Symbols that are looked up at once.
+STRIP = 2 << 20
 
 _BLANK, _END = 32, 10
 
@@ -82,133 +92,206 @@ def hot_words(docs: DataFrame, rows: int = HOT_ROWS, most: int = HOT_WORDS, text
     """Sorted hashes of words that a bounded sample of texts uses most; any choice gives the same scores."""
     schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("n", T.LongType())])
 
+    each = -(-rows // max(docs.rdd.getNumPartitions(), 1))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = each
         for batch in blocks(batches, text):
+            batch = batch.slice(0, left)
+            left -= batch.num_rows
             data, words = _words(batch.column(0))
             h, n = np.unique(span_hashes(data, words.start, words.end), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+            if not left:
+                return
 
-    counted = docs.select(text).limit(rows).mapInArrow(releasing(run), schema).groupBy("h").agg(F.sum("n").alias("n"))
+    counted = docs.select(text).mapInArrow(releasing(run), schema).groupBy("h").agg(F.sum("n").alias("n"))
     return np.sort(counted.orderBy(F.desc("n"), "h").limit(most).select("h").toArrow()["h"].to_numpy().view(np.uint64))
 
 
-def count_grams(training: DataFrame, hot: np.ndarray, depth: int = DEPTH, text: str = "text") -> DataFrame:
-    """(kind, code, n): kind 0 gram codes, kind 1 hashes of hot words, kind 2 all tokens; summed over the corpus."""
-    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("code", T.LongType()), T.StructField("n", T.LongType())])
-    shared = training.sparkSession.sparkContext.broadcast(hot)
+def _packed(values: np.ndarray) -> bytes:
+    raw = values.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(held: bytes, dtype) -> np.ndarray:
+    return np.frombuffer(pa.decompress(held[8:], int.from_bytes(held[:8], "little"), "zstd", asbytes=True), dtype)
+
+
+def _summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct codes and their counts."""
+    order = np.argsort(code, kind="stable")
+    code, n = code[order], n[order]
+    new = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    return code[new], np.add.reduceat(n, new) if len(new) else n
+
+
+def _low(size: int) -> np.uint64:
+    """Mask of a symbol and ``size`` bytes before it."""
+    return np.uint64((1 << 8 * (size + 1)) - 1)
+
+
+def gram_buckets(code: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each gram, by its latest SHALLOW + 1 context bytes."""
+    latest = (code & _low(SHALLOW + 1)) >> np.uint64(8)
+    return ((latest * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
+
+
+def dealt(code: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, places of its grams in ``code``), places ascending."""
+    own = gram_buckets(code, buckets)
+    order = np.argsort(own, kind="stable")
+    cuts = np.searchsorted(own[order], np.arange(buckets + 1))
+    for b in np.flatnonzero(cuts[1:] > cuts[:-1]):
+        yield int(b), order[cuts[b] : cuts[b + 1]]
 
-    def summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        code, back = np.unique(np.concatenate(codes), return_inverse=True)
-        return code, np.bincount(back, np.concatenate(counts), len(code)).astype(np.int64)
+
+def count_words(training: DataFrame, hot: np.ndarray, buckets: int, text: str = "text") -> pa.Table:
+    """Sums (kind, codes, counts, n), packed: kind 0 the number of distinct words that are not hot, kind 1 hashes of hot words, kind 2 all tokens, kind 3 grams of SHALLOW + 1 bytes."""
+    part = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("codes", T.BinaryType()), T.StructField("counts", T.BinaryType())])
+    whole = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("codes", T.BinaryType()), T.StructField("counts", T.BinaryType())])
+    shared = training.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, tokens = shared.value, 0
         words_n = np.zeros(len(own), np.int64)
-        codes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        grams, counts, cold = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
 
-        def rows(kind: int, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(code), kind, np.int32)), pa.array(code.view(np.int64)), pa.array(n)], schema.names)
+        def rows(kind: int, code: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for b, at in dealt(code, buckets):
+                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([b], pa.int32()), pa.array([_packed(code[at])]), pa.array([_packed(n[at])])], part.names)
 
         for batch in blocks(batches, text):
             data, words = _words(batch.column(0))
-            code, n = np.unique(gram_codes(stream(data, words)[0], depth), return_counts=True)
-            codes.append(code)
+            code, n = np.unique(gram_codes(stream(data, words)[0], SHALLOW), return_counts=True)
+            grams.append(code)
             counts.append(n)
             tokens += len(words.start) + batch.num_rows
-            if len(own) and len(words.start):
-                h = span_hashes(data, words.start, words.end)
+            h = span_hashes(data, words.start, words.end)
+            if len(own) and len(h):
                 at = np.minimum(np.searchsorted(own, h), len(own) - 1)
                 words_n += np.bincount(at[own[at] == h], minlength=len(own))
-            if sum(map(len, codes)) > 4_000_000:
-                code, n = summed(codes, counts)
-                codes, counts = [code], [n]
-                if len(code) > 2_000_000:  # a task keeps a bounded table
-                    yield rows(0, code, n)
-                    codes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        yield rows(0, *summed(codes, counts))
+                h = h[own[at] != h]
+            cold.append(np.unique(h))
+            if sum(map(len, cold)) > 1_000_000 or sum(map(len, grams)) > 1_000_000:  # a task keeps bounded tables
+                code, n = _summed(np.concatenate(grams), np.concatenate(counts))
+                seen = np.unique(np.concatenate(cold))
+                grams, counts, cold = [code], [n], [seen]
+                if len(code) > 500_000 or len(seen) > 500_000:
+                    yield from rows(3, code, n)
+                    yield from rows(0, seen, np.zeros(len(seen), np.int64))
+                    grams, counts, cold = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        yield from rows(3, *_summed(np.concatenate(grams), np.concatenate(counts)))
+        seen = np.unique(np.concatenate(cold))
+        yield from rows(0, seen, np.zeros(len(seen), np.int64))
         some = words_n > 0
-        yield rows(1, own[some], words_n[some])
-        yield rows(2, np.zeros(1, np.uint64), np.array([tokens]))
-
-    return training.select(text).mapInArrow(releasing(run), schema).groupBy("kind", "code").agg(F.sum("n").alias("n"))
-
-
-def tree_rows(counts: DataFrame, depth: int = DEPTH, share: float = MIN_SHARE, gain: float = MIN_GAIN) -> DataFrame:
-    """(size, context, symbol, n) of every context that passes both tests; size 0 is the root."""
-    grams = counts.where("kind = 0").select("code", "n")
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    sized = grams.select("code", "n", F.explode(F.array(*(F.lit(d) for d in range(depth + 1)))).alias("size"))
-    low = lambda c, size: F.expr(f"{c} & (shiftleft(1L, 8 * ({size})) - 1)")
-    levels = sized.withColumn("older", F.shiftright("code", 8)).select("size", low("older", "size").alias("context"), F.col("code").bitwiseAND(F.lit(255)).alias("symbol"), "n")
-    levels = levels.where("size = 0 OR shiftright(context, 8 * (size - 1)) > 0").groupBy("size", "context", "symbol").agg(F.sum("n").alias("n"))
-    levels = materialised(levels)
-    sums = levels.groupBy("size", "context").agg(F.sum("n").alias("all_n"))
-    parent = levels.join(sums, ["size", "context"]).select(F.col("size").alias("ps"), F.col("context").alias("pc"), "symbol", F.col("n").alias("pn"), F.col("all_n").alias("parent_n"))
-    own = levels.where("size > 0").join(sums.where(F.col("all_n") >= share * total), ["size", "context"])
-    own = own.withColumns({"ps": F.col("size") - 1, "pc": low("context", "size - 1")})
-    tested = own.join(parent, ["ps", "pc", "symbol"])
-    passed = tested.groupBy("size", "context").agg(F.sum(F.col("n") * F.log((F.col("n") / F.col("all_n")) / (F.col("pn") / F.col("parent_n")))).alias("gain")).where(F.col("gain") >= gain)
-    # A retained context brings all its suffixes along.
-    ids = passed.select(F.explode(F.expr("transform(sequence(0, size), k -> struct(k AS size, context & (shiftleft(1L, 8 * k) - 1) AS context))")).alias("x")).select("x.size", "x.context")
-    root = counts.sparkSession.createDataFrame([(0, 0)], "size int, context long")
-    return levels.join(ids.unionByName(root).distinct(), ["size", "context"], "left_semi")
+        yield from rows(1, own[some], words_n[some])
+        yield from rows(2, np.zeros(1, np.uint64), np.array([tokens]))
+
+    def summed(table: pa.Table) -> pa.Table:
+        parts, out = table.to_pylist(), []
+        for kind in sorted({r["kind"] for r in parts}):
+            own = [(_unpacked(r["codes"], np.uint64), _unpacked(r["counts"], np.int64)) for r in parts if r["kind"] == kind]
+            code, n = _summed(*(np.concatenate(x) for x in zip(*own, strict=True)))
+            out.append((kind, len(code), _packed(code) if kind else None, _packed(n) if kind else None))
+        return pa.table([pa.array(c, f) for c, f in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=whole.names)
+
+    return training.select(text).mapInArrow(releasing(run), part).groupBy("bucket").applyInArrow(summed, whole).toArrow()
 
 
 @dataclass
-class Tree:
-    """State 0 is the root; ``child[state, byte]`` is the state whose context has that older byte, or -1; ``logp[state, byte]`` log10 of the next byte."""
+class Level:
+    """Contexts of one size that are states: sorted ``context`` with ``total``; sorted ``gram`` (context and symbol) with ``n``."""
 
-    child: np.ndarray
-    logp: np.ndarray
+    context: np.ndarray
+    total: np.ndarray
+    gram: np.ndarray
+    n: np.ndarray
 
     @staticmethod
-    def of(size: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndarray, weight: float = PARENT) -> Tree:
-        keys = sorted(set(zip(size.tolist(), context.tolist(), strict=True)) | {(0, 0)})
-        index = {k: i for i, k in enumerate(keys)}
-        counts = np.zeros((len(keys), 256))
-        np.add.at(counts, ([index[k] for k in zip(size.tolist(), context.tolist(), strict=True)], symbol), n)
-        child = np.full((len(keys), 256), -1, np.int32)
-        p = np.zeros((len(keys), 256))
-        p[0] = (counts[0] + 0.1) / (counts[0].sum() + 25.6)
-        for (d, c), i in index.items():  # shorter contexts stand first
-            if d:
-                up = index[d - 1, c & ((1 << 8 * (d - 1)) - 1)]
-                child[up, c >> 8 * (d - 1)] = i
-                p[i] = (counts[i] + weight * p[up]) / (counts[i].sum() + weight)
-        return Tree(child, np.log10(p).astype(np.float32))
-
-    def score(self, symbols: np.ndarray, bounds: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-        """log10 probability of each row."""
-        state = np.zeros(len(symbols), np.int32)
-        before = np.concatenate([np.full(depth, _END, np.uint8), symbols])
-        alive = None
-        for j in range(1, depth + 1):
-            s = before[depth - j : depth - j + len(symbols)]
-            nxt = self.child[0, s] if alive is None else self.child[state[alive], s[alive]]
-            ok = nxt >= 0
-            alive = np.flatnonzero(ok) if alive is None else alive[ok]
-            state[alive] = nxt[ok]
-        sums = np.concatenate([[0.0], np.cumsum(self.logp[state, symbols], dtype=np.float64)])
-        return sums[bounds[1:]] - sums[bounds[:-1]]
-
-
-def train(training: DataFrame, text: str = "text") -> tuple[Tree, np.ndarray, np.ndarray, int]:
-    """The tree, the hot words with their exact counts, and the number of training tokens."""
+    def of(code: np.ndarray, n: np.ndarray, size: int) -> Level:
+        if size:
+            full = (code >> np.uint64(8 * size)) & np.uint64(255) > 0
+            code, n = code[full], n[full]
+        gram, n = _summed(code & _low(size), n)
+        context, total = _summed(gram >> np.uint64(8), n)
+        return Level(context, total, gram, n)
+
+    def places(self, context: np.ndarray) -> np.ndarray:
+        """Where each context stands, -1 if it is no state."""
+        if not len(self.context):
+            return np.full(len(context), -1)
+        at = np.minimum(np.searchsorted(self.context, context), len(self.context) - 1)
+        return np.where(self.context[at] == context, at, -1)
+
+    def counts(self, gram: np.ndarray) -> np.ndarray:
+        if not len(self.gram):
+            return np.zeros(len(gram), np.int64)
+        at = np.minimum(np.searchsorted(self.gram, gram), len(self.gram) - 1)
+        return np.where(self.gram[at] == gram, self.n[at], 0)
+
+    def only(self, state: np.ndarray) -> Level:
+        keep = state[np.searchsorted(self.context, self.gram >> np.uint64(8))] if len(self.gram) else np.zeros(0, bool)
+        return Level(self.context[state], self.total[state], self.gram[keep], self.n[keep])
+
+
+def shallow_levels(code: np.ndarray, n: np.ndarray) -> list[Level]:
+    """Levels 0 to SHALLOW, whose contexts are all states."""
+    return [Level.of(code, n, size) for size in range(SHALLOW + 1)]
+
+
+def deep_levels(code: np.ndarray, n: np.ndarray, shallow: list[Level], depth: int = DEPTH, least: int = MIN_COUNT, gain: float = MIN_GAIN) -> list[Level]:
+    """Levels above SHALLOW of one bucket, from all its grams and their counts."""
+    levels, states = [shallow[-1]], []
+    for size in range(SHALLOW + 1, depth + 1):
+        own, up = Level.of(code, n, size), levels[-1]
+        at = np.searchsorted(own.context, own.gram >> np.uint64(8))
+        older = own.gram & _low(size - 1)
+        p = up.counts(older) / up.total[up.places(older >> np.uint64(8))] if len(older) else np.zeros(0)
+        gains = np.bincount(at, own.n * np.log(own.n / own.total[at] / p), len(own.context))
+        states.append((own.total >= least) & (gains >= gain))
+        levels.append(own)
+    # A retained context brings all its suffixes along.
+    for k in range(len(states) - 1, 0, -1):
+        kept = levels[k + 1].context[states[k]] & _low(SHALLOW + k - 1)
+        states[k - 1][levels[k].places(kept)] = True
+    return [level.only(state) for level, state in zip(levels[1:], states, strict=True)]
+
+
+def log_probabilities(levels: list[Level], code: np.ndarray, weight: float = PARENT) -> np.ndarray:
+    """log10 of each gram's symbol in the state of the longest suffix of its context."""
+    root = levels[0]
+    p = (root.counts(code & np.uint64(255)) + 0.1) / (root.n.sum() + 25.6)
+    alive = np.arange(len(code))
+    for size, level in enumerate(levels[1:], 1):
+        gram = code[alive] & _low(size)
+        at = level.places(gram >> np.uint64(8))
+        ok = (at >= 0) & (gram >> np.uint64(8 * size) > 0)
+        alive, gram, at = alive[ok], gram[ok], at[ok]
+        p[alive] = (level.counts(gram) + weight * p[alive]) / (level.total[at] + weight)
+    return np.log10(p)
+
+
+def train(training: DataFrame, buckets: int, text: str = "text") -> tuple[list[Level], np.ndarray, np.ndarray, int, int]:
+    """The shallow levels, the hot words with their exact counts, and the numbers of training tokens and of distinct words."""
     hot = hot_words(training, text=text)
-    counts = materialised(count_grams(training, hot, text=text))
-    rows = tree_rows(counts).toArrow()
-    tree = Tree.of(*(rows[c].to_numpy() for c in ("size", "context", "symbol", "n")))
-    known = counts.where("kind = 1").select("code", "n").toArrow()
-    n = np.zeros(len(hot), np.int64)
-    if len(hot):
-        n[np.searchsorted(hot, known["code"].to_numpy().view(np.uint64))] = known["n"].to_numpy()
-    tokens = counts.where("kind = 2").agg(F.sum("n")).first()[0] or 0
-    return tree, hot, n, int(tokens)
+    parts = count_words(training, hot, buckets, text).to_pylist()
+
+    def of(kind: int) -> tuple[np.ndarray, np.ndarray]:
+        own = [(np.zeros(0, np.uint64), np.zeros(0, np.int64)), *((_unpacked(r["codes"], np.uint64), _unpacked(r["counts"], np.int64)) for r in parts if r["kind"] == kind)]
+        return _summed(*(np.concatenate(x) for x in zip(*own, strict=True)))
+
+    known = np.zeros(len(hot), np.int64)
+    code, n = of(1)
+    known[np.searchsorted(hot, code)] = n
+    distinct = sum(r["n"] for r in parts if r["kind"] == 0) + int((known > 0).sum())
+    return shallow_levels(*of(3)), hot, known, int(of(2)[1].sum()), distinct
 
 
 _PART = T.StructType([
     T.StructField("bucket", T.IntegerType()), T.StructField("chunk", T.LongType()), T.StructField("word", T.BinaryType()), T.StructField("doc", T.BinaryType()),
     T.StructField("times", T.BinaryType()), T.StructField("learn", T.BinaryType()), T.StructField("rows", T.BinaryType()),
+    T.StructField("codes", T.BinaryType()), T.StructField("counts", T.BinaryType()),
 ])
 
 
@@ -225,36 +308,40 @@ def score_corpus(docs: DataFrame, held_out, text: str = "text", key: str = "doc_
     Learns from the rows where ``held_out`` (a boolean column) is false.
     """
     spark = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.col(key).alias(key), F.col(text).alias(text), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    tree, hot, hot_n, tokens = train(own.where(~F.col("held_out")), text)
-    shared = spark.sparkContext.broadcast((tree, hot, hot_n))
-    # The end token is a word of the vocabulary where there is any training text.
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shallow, hot, hot_n, tokens, distinct = train(own.where(~F.col("held_out")), partitions, text)
+    buckets = buckets or max(partitions, int(shallow[0].n.sum()) // BUCKET_BYTES)
+    shared = spark.sparkContext.broadcast((shallow, hot, hot_n))
     ends = own.where(~F.col("held_out")).count()
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
-    def handed(seq: int, rows: list[pa.RecordBatch], words: list, docs_of: list, times: list, learns: list) -> Iterator[pa.RecordBatch]:
+    def handed(seq: int, rows: list[pa.RecordBatch], texts: list, codes: list, words: list, docs_of: list, times: list, learns: list) -> Iterator[pa.RecordBatch]:
         chunk = (TaskContext.get().partitionId() << 24) + seq
         h, d, t = np.concatenate(words), np.concatenate(docs_of), np.concatenate(times)
         bucket = (h >> np.uint64(33)) % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
+        order = np.lexsort((d, h, bucket))
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
         learn = np.packbits(np.concatenate(learns)).tobytes()
         whole = _ipc(pa.Table.from_batches(rows).combine_chunks().to_batches()[0])
-        out = [(chunk % buckets, chunk, b"", b"", b"", b"", whole)]
+        # The chunk's symbols travel with its rows; its distinct grams ask the buckets.
+        out = [(chunk % buckets, chunk, b"", b"", b"", b"", whole, _packed(np.concatenate(texts)), b"")]
+        code, n = _summed(*(np.concatenate(x) for x in zip(*codes, strict=True)))
+        out.extend((b, chunk, b"", b"", b"", b"", b"", _packed(code[at]), _packed(n[at])) for b, at in dealt(code, buckets))
         for b in range(buckets):
             at = order[cuts[b] : cuts[b + 1]]
             if len(at):
-                out.append((b, chunk, h[at].tobytes(), d[at].astype(np.int32).tobytes(), t[at].astype(np.int32).tobytes(), learn, b""))
-        yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 5), strict=True)], _PART.names)
+                out.append((b, chunk, _packed(h[at]), _packed(d[at].astype(np.int32)), _packed(t[at].astype(np.int32)), learn, b"", b"", b""))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 7), strict=True)], _PART.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, hot, hot_n = shared.value
+        _, hot, hot_n = shared.value
         seq, size, n_rows = 0, 0, 0
-        rows, words_of, docs_of, times, learns = [], [], [], [], []
+        rows, texts, codes, words_of, docs_of, times, learns = [], [], [], [], [], [], []
         for batch in blocks(batches, text):
             data, words = _words(batch.column(1))
             symbols, bounds = stream(data, words)
+            texts.append(symbols)
             row = row_of(words.bounds)
             h = span_hashes(data, words.start, words.end)
             at = np.minimum(np.searchsorted(hot, h), max(len(hot) - 1, 0)) if len(hot) else np.zeros(len(h), np.int64)
@@ -272,57 +359,90 @@ def score_corpus(docs: DataFrame, held_out, text: str = "text", key: str = "doc_
             times.append(np.diff(np.append(new, len(rest))))
             held = batch.column(2).to_numpy(zero_copy_only=False)
             learns.append(~held)
-            rows.append(pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(words.counts + 1), pa.array(known), pa.array(base), pa.array(tree.score(symbols, bounds))], schema.names))
+            code, learnt = gram_codes(symbols), np.repeat(~held, np.diff(bounds))
+            codes.append(np.unique(code[learnt], return_counts=True))
+            seen = np.unique(code[~learnt])
+            codes.append((seen, np.zeros(len(seen), np.int64)))
+            rows.append(pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(words.counts + 1), pa.array(known), pa.array(base), pa.array(np.diff(bounds).astype(np.float64))], schema.names))
             n_rows += n
             size += len(data)
             if size >= CHUNK_BYTES:
-                yield from handed(seq, rows, words_of, docs_of, times, learns)
+                yield from handed(seq, rows, texts, codes, words_of, docs_of, times, learns)
                 seq, size, n_rows = seq + 1, 0, 0
-                rows, words_of, docs_of, times, learns = [], [], [], [], []
+                rows, texts, codes, words_of, docs_of, times, learns = [], [], [], [], [], [], []
         if rows:
-            yield from handed(seq, rows, words_of, docs_of, times, learns)
+            yield from handed(seq, rows, texts, codes, words_of, docs_of, times, learns)
 
-    sums = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("doc", T.BinaryType()), T.StructField("base", T.BinaryType()), T.StructField("known", T.BinaryType()), T.StructField("rows", T.BinaryType()), T.StructField("distinct", T.LongType())])
+    sums = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("doc", T.BinaryType()), T.StructField("base", T.BinaryType()), T.StructField("known", T.BinaryType()), T.StructField("rows", T.BinaryType()), T.StructField("bucket", T.IntegerType()), T.StructField("codes", T.BinaryType())])
 
     def gathered(table: pa.Table) -> pa.Table:
         """Counts of all words of one bucket, turned into sums per document of each chunk."""
         out = []
-        parts = [(r["chunk"], np.frombuffer(r["word"], np.uint64), np.frombuffer(r["doc"], np.int32), np.frombuffer(r["times"], np.int32), r["learn"]) for r in table.to_pylist() if r["word"]]
+        parts = [(r["chunk"], _unpacked(r["word"], np.uint64), _unpacked(r["doc"], np.int32), _unpacked(r["times"], np.int32), r["learn"]) for r in table.to_pylist() if r["word"]]
         if parts:
             distinct, back = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
             learn = np.concatenate([np.unpackbits(np.frombuffer(p[4], np.uint8))[p[2]] for p in parts])
             times = np.concatenate([p[3] for p in parts])
             count = np.bincount(back, times * learn, len(distinct))
-            log, at, new = np.log10(count + 0.1), 0, int((count > 0).sum())
+            log, at = np.log10(count + 0.1), 0
             for chunk, word, doc, many, _ in parts:
                 own = back[at : at + len(word)]
                 at += len(word)
                 ids, where = np.unique(doc, return_inverse=True)
-                out.append((chunk, ids.astype(np.int32).tobytes(), np.bincount(where, many * log[own], len(ids)).tobytes(), np.bincount(where, many * (count[own] > 0), len(ids)).astype(np.int32).tobytes(), b"", new))
-                new = 0
-        out.extend((r["chunk"], b"", b"", b"", r["rows"], 0) for r in table.select(["chunk", "rows"]).to_pylist() if r["rows"])
-        columns = list(zip(*out, strict=True)) or [[]] * 6
-        return pa.table([pa.array(c, f) for c, f in zip(columns, (pa.int64(), *[pa.binary()] * 4, pa.int64()), strict=True)], names=sums.names)
-
-    parts = materialised(own.mapInArrow(releasing(run), _PART).groupBy("bucket").applyInArrow(gathered, sums))
-    distinct = int(parts.agg(F.sum("distinct")).first()[0] or 0) + int((hot_n > 0).sum()) + (ends > 0)
+                out.append((chunk, _packed(ids.astype(np.int32)), _packed(np.bincount(where, many * log[own], len(ids))), _packed(np.bincount(where, many * (count[own] > 0), len(ids)).astype(np.int32)), b"", None, b""))
+        out.extend((r["chunk"], b"", b"", b"", r["rows"], None, r["codes"]) for r in table.select(["chunk", "rows", "codes"]).to_pylist() if r["rows"])
+        asked = [(r["chunk"], r["bucket"], _unpacked(r["codes"], np.uint64), _unpacked(r["counts"], np.int64)) for r in table.select(["chunk", "bucket", "codes", "counts"]).to_pylist() if r["counts"]]
+        if asked:
+            code, n = _summed(np.concatenate([x[2] for x in asked]), np.concatenate([x[3] for x in asked]))
+            shallow = shared.value[0]
+            levels = shallow + deep_levels(code[n > 0], n[n > 0], shallow)
+            logp = log_probabilities(levels, code).astype(np.float32)
+            # In the order of symbol and latest bytes, grams with one answer stand side by side and pack well.
+            out.extend((chunk, b"", b"", b"", b"", bucket, _packed(logp[np.searchsorted(code, own[np.argsort(own.byteswap())])])) for chunk, bucket, own, _ in asked)
+        columns = list(zip(*out, strict=True)) or [[]] * 7
+        return pa.table([pa.array(c, f) for c, f in zip(columns, (pa.int64(), *[pa.binary()] * 4, pa.int32(), pa.binary()), strict=True)], names=sums.names)
+
+    parts = own.mapInArrow(releasing(run), _PART).groupBy("bucket").applyInArrow(gathered, sums)
+    # The end token is a word of the vocabulary where there is any training text.
+    distinct += ends > 0
     whole = np.log10(tokens + 0.1 * (distinct + 1)) if tokens + distinct else np.log10(0.1)
     end = np.log10(ends + 0.1)
 
+    def scores(symbols: np.ndarray, sizes: np.ndarray, answers: dict) -> np.ndarray:
+        """Sums of log10 probabilities per row of a chunk, from the answers on its distinct grams."""
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        # Strips end where rows end, so that grams see what stands before them.
+        cuts = np.unique(np.concatenate([[0], np.searchsorted(bounds, np.arange(STRIP, bounds[-1], STRIP)), [len(sizes)]]))
+        strips = [(bounds[a], bounds[b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        code = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(gram_codes(symbols[a:b])) for a, b in strips)]))
+        logp = np.zeros(len(code), np.float32)
+        for b, at in dealt(code, buckets):
+            logp[at[np.argsort(code[at].byteswap())]] = _unpacked(answers[b], np.float32)
+        out = []
+        for (a, b), first, last in zip(strips, cuts[:-1], cuts[1:], strict=True):
+            own = gram_codes(symbols[a:b])
+            order = np.argsort(own)
+            each = np.empty(len(own), np.float32)
+            each[order] = logp[np.searchsorted(code, own[order])]
+            out.append(np.add.reduceat(each, bounds[first:last] - a, dtype=np.float64))
+        return np.concatenate([np.zeros(0), *out])
+
     def joined(table: pa.Table) -> pa.Table:
         """Adds the sums of all buckets to the rows of one chunk."""
-        held = next(x for x in table["rows"].to_pylist() if x)
+        held, text = next((r["rows"], r["codes"]) for r in table.select(["rows", "codes"]).to_pylist() if r["rows"])
         rows = pa.ipc.open_stream(held).read_all()
         n = rows.num_rows
         base, known = rows["base"].to_numpy().copy(), rows["n_known"].to_numpy().copy()
         for r in table.select(["doc", "base", "known"]).to_pylist():
             if r["doc"]:
-                at = np.frombuffer(r["doc"], np.int32)
-                base += np.bincount(at, np.frombuffer(r["base"], np.float64), n)
-                known += np.bincount(at, np.frombuffer(r["known"], np.int32), n).astype(np.int64)
+                at = _unpacked(r["doc"], np.int32)
+                base += np.bincount(at, _unpacked(r["base"], np.float64), n)
+                known += np.bincount(at, _unpacked(r["known"], np.int32), n).astype(np.int64)
+        answers = {r["bucket"]: r["codes"] for r in table.select(["bucket", "codes"]).to_pylist() if r["bucket"] is not None}
+        score = scores(_unpacked(text, np.uint8), rows["score"].to_numpy().astype(np.int64), answers)
         base += end - rows["n_tokens"].to_numpy() * whole
         known += ends > 0
-        return pa.table([rows[key], rows["held_out"], rows["n_tokens"], pa.array(known), pa.array(base), rows["score"]], names=schema.names)
+        return pa.table([rows[key], rows["held_out"], rows["n_tokens"], pa.array(known), pa.array(base), pa.array(score)], names=schema.names)
 
     found = parts.groupBy("chunk").applyInArrow(joined, schema)
     return found.select(key, "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
