@@ -1,8 +1,8 @@
 """A corpus pipeline: quality, near-duplicates, repeated passages, benchmark passages, tokens.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
-columns of ``documents``.  A row without a doc_id cannot be named by the near-duplicate and
-decontamination stages, so it stays; of rows that repeat a doc_id one stays.
+columns of ``documents``.  The near-duplicate and decontamination stages judge rows, not ids:
+rows without a doc_id, or with the same one, are kept or dropped each by its own text.
 """
 
 from __future__ import annotations
@@ -17,22 +17,30 @@ from tidelane.llm.checkpoints import shared_folder
 from tidelane.llm.sampling import crc_mod
 
 
+#: Column that names the rows of a stage.
+ROW = "__row"
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     model = quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), usable=crc_mod("doc_id", 5) != 0)
     return quality_classifier.score(docs, model).where("predicted = 1").select(*docs.columns)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a column ROW that names each row; written before use, so that it holds when tasks are rerun."""
+    folder = f"{shared_folder(docs.sparkSession)}/rows-{uuid.uuid4().hex}"
+    docs.withColumn(ROW, F.monotonically_increasing_id()).write.parquet(folder)
+    return docs.sparkSession.read.parquet(folder)
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    judged = minhash.near_duplicates(docs)
-    gone = judged.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.isEmpty():
-        return left
-    one = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, "doc_id", "left_anti").unionByName(one).select(*docs.columns)
+    """One document of each group of near copies, that of the least doc_id."""
+    rows = numbered(docs)
+    judged = minhash.near_duplicates(rows, key=ROW).select(ROW, "component_id").join(rows.select(ROW, "doc_id"), ROW)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW))
+    kept = judged.groupBy("component_id").agg(first.alias("first")).select(F.col("first").getField(ROW).alias(ROW))
+    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +55,9 @@ def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages."""
-    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.where("n_hit > 0 AND doc_id IS NOT NULL").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    rows = numbered(docs)
+    found = decontaminate.decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=ROW)
+    return rows.join(found.where("n_hit > 0").select(ROW), ROW, "left_anti").select(*docs.columns)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
