@@ -35,3 +35,14 @@ def test_decontaminate_by_row(spark, folder):
     got = corpus_pipeline.decontaminate_stage(spark, docs, folder)
     assert sorted(r.text for r in got.collect()) == sorted(OWN[:2]) and got.columns == docs.columns
     assert got.where(F.col("doc_id").isNull()).count() == 1
+
+
+def test_near_dedup_from_four_fifths(spark, folder):
+    """Copies that share 0.81 of their shingles are one document; at 0.74 they stay two."""
+    base = [say(100).split(" ") for _ in range(2)]
+    rows = []
+    for i, (words, edits) in enumerate(zip(base, ((20, 60), (20, 50, 80)), strict=True)):
+        other = [f"edit{k}" if k in edits else w for k, w in enumerate(words)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, folder).collect()) == [0, 2, 3]

@@ -3,8 +3,8 @@
 Documents with the same shingle set are one class, and one node stands for it.  A node's
 signature has ``COORDINATES`` values, each the hash of ``ROWS`` minima, and the node is
 posted under every (coordinate, value).  A pair whose sets reach the limit shares several
-values, so it meets in the lists of the prefix coordinates except with a probability of
-about 1e-8; the number of equal minima is its collision count, and pairs under the match
+values, so it meets in the lists of the prefix coordinates except with a small probability
+(at exactly 0.85 about 2e-7 with 16 of them, at 0.8 about 2e-9 with all 28); the number of equal minima is its collision count, and pairs under the match
 threshold are dropped.
 
 Groups of copies are never expanded into pairs.  First every list links its members to its
@@ -41,8 +41,15 @@ SHINGLE, LIMIT = 5, 85
 #: Coordinates of a signature, minima in each, coordinates that lists are built for in the first and in the second pass.
 COORDINATES, ROWS, PREFIX = 28, 3, 16
 
-#: Minima that must agree of ``COORDINATES * ROWS``: 5.3 standard deviations below what the limit leads to expect.
-MATCHES = 54
+
+
+def matches_for(limit: int) -> int:
+    """Minima that must agree of ``COORDINATES * ROWS``: 5.3 standard deviations below what the limit leads to expect."""
+    n, p = COORDINATES * ROWS, limit / 100
+    return int(n * p - 5.3 * (n * p * (1 - p)) ** 0.5)
+
+
+MATCHES = matches_for(LIMIT)
 
 #: Nodes of a tile, about.
 TILE = 384
@@ -252,7 +259,7 @@ def tile_links(members: DataFrame, lists: DataFrame, sets: DataFrame, tile: int
     return rows.mapInArrow(releasing(run), "a binary, b binary").distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT, k: int = SHINGLE, tile: int = TILE) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT, k: int = SHINGLE, tile: int = TILE, prefix: int = PREFIX) -> DataFrame:
     """Per row of ``docs``: key, n_shingles, component_id and kept."""
     small_batches(docs.sparkSession)
     rows = materialised(signatures(docs, key, text, k))
@@ -262,9 +269,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", li
     members = materialised(posted.join(lists, ["coordinate", "value"]))
     sets = materialised(full_sets(docs, nodes.join(members.select("node").distinct(), "node"), key, text, k))
     stars = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    edges = materialised(confirmed(stars, sets, limit))
+    edges = materialised(confirmed(stars, sets, limit, matches_for(limit)))
     first = materialised(connected_components(edges))
-    named = members.where(F.col("coordinate") < PREFIX).join(first, "node", "left").select("coordinate", "value", "node", F.coalesce("component", "node").alias("component"))
+    named = members.where(F.col("coordinate") < prefix).join(first, "node", "left").select("coordinate", "value", "node", F.coalesce("component", "node").alias("component"))
     mixed = named.groupBy("coordinate", "value").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("coordinate", "value", "n")
     more = materialised(confirmed(tile_links(named, mixed, sets, tile, limit), sets, limit, 0))
     component = first if more.isEmpty() else connected_components(edges.unionByName(more))
