@@ -114,3 +114,13 @@ def test_locations(spark):
     files = spark.createDataFrame(list(enumerate(texts)), "feed int, text string")
     assert [(r.row_no, r.location_id, r.drop_reason) for r in normalise.flex_locations(files).orderBy("row_no").collect()] == [(1, "7", None), (2, "b", "invalid_value"), (3, None, "row_dropped")]
     assert {r.feed for r in normalise.unreadable_locations(files).collect()} == {1, 2, 3, 4}
+
+
+def test_plans_and_comparisons_ask_from_every_stop(spark):
+    from tidelane.plans import catalogue
+
+    d = "/root/testdata/sf0.001"
+    stops = {r.sid for r in catalogue.stop_master(spark, d).collect()}
+    compared = {r.query_id for r in catalogue.isochrone_before_after(spark, d).collect()}
+    planned = {r.query_id for r in catalogue.plan_with_flex(spark, d).collect()}
+    assert compared == stops and len(planned) > 1 and planned <= stops
