@@ -124,3 +124,13 @@ def test_plans_and_comparisons_ask_from_every_stop(spark):
     compared = {r.query_id for r in catalogue.isochrone_before_after(spark, d).collect()}
     planned = {r.query_id for r in catalogue.plan_with_flex(spark, d).collect()}
     assert compared == stops and len(planned) > 1 and planned <= stops
+
+
+def test_radius_in_the_far_north(spark):
+    from tidelane.operators import network
+
+    # At latitude 65, 0.0105 degrees are 493 m, two cells of latitude 60 apart.
+    lons = [0.0089, 0.0194, 0.0300]
+    stops = spark.createDataFrame([(i, 65.0, x) for i, x in enumerate(lons)], "sid long, lat double, lon double")
+    got = {(r.a, r.b) for r in network.walk_transfers(stops, 500.0).collect()}
+    assert got == {(a, b) for a in range(3) for b in range(3) if abs(a - b) == 1}

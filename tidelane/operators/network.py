@@ -18,13 +18,16 @@ def within_radius(left: DataFrame, right: DataFrame, metres: float, max_abs_lat:
     """Pairs of rows at most ``metres`` apart, with ``metres``; both sides have lat, lon.
 
     A range join: the right side is put into grid cells as wide as the radius, the left side
-    into its own and the eight around, so only neighbouring cells meet by equality.
+    into its own and those around, as many to the east and west as the radius spans at the
+    row's own latitude, so only cells in reach meet by equality.
     """
     north = metres / 111_000.0
     east = north / max(0.05, math.cos(math.radians(max_abs_lat)))
     near = F.array(*(F.lit(k) for k in (-1, 0, 1)))
-    a = left.withColumn("__y", F.explode(near)).withColumn("__x", F.explode(near))
-    a = a.withColumns({"__y": F.col("__y") + _cell(F.col("lat"), north), "__x": F.col("__x") + _cell(F.col("lon"), east)}).withColumnsRenamed({"lat": "__lat", "lon": "__lon"})
+    ratio = F.sin(F.radians(F.lit(north))) / F.cos(F.radians("lat"))
+    span = F.when(F.abs("lat") + north < 90, F.degrees(F.asin(F.least(ratio, F.lit(1.0))))).otherwise(F.lit(180.0))
+    a = left.withColumn("__y", F.explode(near)).withColumn("__x", F.explode(F.sequence(_cell(F.col("lon") - span, east), _cell(F.col("lon") + span, east))))
+    a = a.withColumn("__y", F.col("__y") + _cell(F.col("lat"), north)).withColumnsRenamed({"lat": "__lat", "lon": "__lon"})
     b = right.withColumns({"__y": _cell(F.col("lat"), north), "__x": _cell(F.col("lon"), east)})
     d = haversine_m(F.col("__lat"), F.col("__lon"), F.col("lat"), F.col("lon"))
     return a.join(b, ["__y", "__x"]).withColumn("metres", d).where(F.col("metres") <= metres).drop("__y", "__x", "lat", "lon").withColumnsRenamed({"__lat": "lat", "__lon": "lon"})
