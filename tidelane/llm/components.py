@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelane.llm.checkpoints import materialised
+from tidelane.llm.checkpoints import Tables
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -14,11 +14,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Alternates two steps until nothing changes: every node hands its larger neighbours to
     the smallest node around it, then its smaller ones.  Each step keeps the components,
     needs one aggregation and one join, and never gathers a node's neighbours; the number of
-    steps grows with the logarithm of the longest path.
+    steps grows with the logarithm of the longest path.  Of the written steps only the last stays.
     """
+    tables = Tables(edges.sparkSession)
     order = lambda df: df.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
-    now = materialised(order(edges.select(F.col(a).alias("u"), F.col(b).alias("v"))))
     sign = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    now, step = tables.keep("0", order(edges.select(F.col(a).alias("u"), F.col(b).alias("v")))), 0
     seen = sign(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -27,7 +28,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         linked = large.join(least, "v")
         small = linked.select(F.col("m").alias("u"), "v").unionByName(linked.select(F.col("m").alias("u"), F.col("u").alias("v")))
-        now = materialised(order(small))
+        step += 1
+        now = tables.keep(str(step), order(small))
+        tables.drop(str(step - 1))
         if (then := sign(now)) == seen:
             break
         seen = then

@@ -1,29 +1,37 @@
 """MinHash near-dedup: a signature-coordinate inverted join with exact confirmation.
 
 Documents with the same shingle set are one class, and one node stands for it.  A node's
-signature has ``COORDINATES`` values, each the hash of ``ROWS`` minima, and the node is
-posted under every (coordinate, value).  A pair whose sets reach the limit shares several
-values, so it meets in the lists of the prefix coordinates except with a small probability
-(at exactly 0.85 about 2e-7 with 16 of them, at 0.8 about 2e-9 with all 28); the number of equal minima is its collision count, and pairs under the match
-threshold are dropped.
-
-Groups of copies are never expanded into pairs.  First every list links its members to its
-smallest node only (pairs are confirmed on full sets), and components are taken.  Lists that
-still hold several components are then cut into tiles of bounded size; each pair of tiles is
-one row group, where pairs of different components that met in no earlier coordinate (skip
-merging) are compared on all their shingles, and only links that join components come out.
-These are confirmed on full sets as well.
+signature has ``COORDINATES`` minima, and the node is posted under every (coordinate, value)
+pair, a token.  A link needs a collision count, the number of equal coordinates, of at least
+``matches_for(limit)``; a pair exactly at the limit has fewer with a probability below 1e-7.
+
+Prefix: tokens are ranked by the length of their lists, rarest first.  A pair with T
+collisions of K shares one of the K - T + 1 rarest tokens of either side, so only these are
+posted, and a node without T tokens that others have as well is in no pair.  A passage that
+many documents share makes long lists, but documents that are otherwise unlike leave them.
+Skip: of lists with the same members one stays, and a pair is compared only in the first
+list where it meets.
+
+Groups of copies are never expanded into pairs.  Every list proposes links from its members
+to its smallest node; collisions are counted, each node's best proposal is confirmed on full
+sets, then those others that would join two components.  Lists that still hold several
+components are cut into tiles of bounded size; each pair of tiles is one row group, where
+collisions of pairs from different components are counted on signatures.  Only nodes with a
+pair that reaches the threshold have their full sets compared, in blocks of bounded bytes,
+and only links that join components come out.
 
 Defined cases: a document with fewer words than a shingle has one shingle, its word
 sequence; one without words (null or empty text) has none and is linked with nothing.  A row
-with a null doc_id can link others but names no component; alone, its component is null
-and it is kept.  Repeated rows are equal sets and get equal results.  Extra columns are ignored.
+with a null key can link others but names no component; where all rows of a component have
+none, its component is null and they are kept.  Repeated rows are equal sets and get equal
+results.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -31,30 +39,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelane.llm.bytetext import LOWER, SPACE_SEP, Block, blocks, gram_hashes, mix, releasing, small_batches, span_hashes, split_words, utf8_block
-from tidelane.llm.checkpoints import materialised
+from tidelane.llm.bytetext import LOWER, SPACE_SEP, Block, blocks, gram_hashes, releasing, small_batches, span_hashes, split_words, utf8_block
+from tidelane.llm.checkpoints import Tables
 from tidelane.llm.components import connected_components
 
 #: Words of a shingle; percent of the union that linked sets share at least.
 SHINGLE, LIMIT = 5, 85
 
-#: Coordinates of a signature, minima in each, coordinates that lists are built for in the first and in the second pass.
-COORDINATES, ROWS, PREFIX = 28, 3, 16
+#: Minima of a signature; greatest probability that a pair exactly at the limit has too few collisions.
+COORDINATES, MISS = 48, 1e-7
 
+#: Nodes of a tile, about; bytes of full sets on one side of a block.
+TILE, BLOCK = 2048, 8 << 20
 
+_SEEDS = (np.random.default_rng(20).integers(1, 1 << 62, COORDINATES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
-def matches_for(limit: int) -> int:
-    """Minima that must agree of ``COORDINATES * ROWS``: 5.3 standard deviations below what the limit leads to expect."""
-    n, p = COORDINATES * ROWS, limit / 100
-    return int(n * p - 5.3 * (n * p * (1 - p)) ** 0.5)
-
-
-MATCHES = matches_for(LIMIT)
 
-#: Nodes of a tile, about.
-TILE = 384
-
-_SEEDS = (np.random.default_rng(20).integers(1, 1 << 62, COORDINATES * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+def matches_for(limit: int) -> int:
+    """The match threshold: the greatest count that a pair at the limit falls short of with a probability of at most MISS."""
+    p, below = limit / 100, 0.0
+    for t in range(COORDINATES + 1):
+        below += comb(COORDINATES, t) * p**t * (1 - p) ** (COORDINATES - t)
+        if below > MISS:
+            return max(t, 1)
+    return COORDINATES
 
 
 def shingle_sets(column: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -80,116 +88,210 @@ def shingle_sets(column: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.nda
 
 
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE) -> DataFrame:
-    """Per row: key, n_shingles, ``node`` (128-bit name of the set, null for an empty one) and ``minima`` (packed)."""
-    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("minima", T.BinaryType())])
+    """Per row: key, ``print`` (hash of its text), n_shingles, ``node`` (128-bit name of the set, null for an empty one) and ``minima``."""
+    schema = T.StructType([
+        T.StructField(key, docs.schema[key].dataType), T.StructField("print", T.LongType()), T.StructField("n_shingles", T.LongType()),
+        T.StructField("node", T.BinaryType()), T.StructField("minima", T.ArrayType(T.IntegerType())),
+    ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, text):
-            values, bounds = shingle_sets(batch.column(1), k)
+            values, bounds = shingle_sets(batch.column(2), k)
             counts = np.diff(bounds)
             full = np.flatnonzero(counts)
-            minima = np.zeros((len(full), len(_SEEDS)), np.uint32)
+            minima = np.zeros((len(full), COORDINATES), np.uint32)
             for j, seed in enumerate(_SEEDS if len(full) else []):
                 minima[:, j] = np.minimum.reduceat((values * seed) >> np.uint64(32), bounds[full]).astype(np.uint32)
             names: list = [None] * len(counts)
-            packed: list = [None] * len(counts)
-            for i, r in enumerate(full):
+            for r in full:
                 names[r] = hashlib.md5(values[bounds[r] : bounds[r + 1]].tobytes()).digest()
-                packed[r] = minima[i].tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts.astype(np.int64)), pa.array(names, pa.binary()), pa.array(packed, pa.binary())], schema.names)
+            ends = np.concatenate([[0], np.cumsum((counts > 0) * COORDINATES)]).astype(np.int32)
+            packed = pa.ListArray.from_arrays(pa.array(ends), pa.array(minima.ravel().view(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts.astype(np.int64)), pa.array(names, pa.binary()), packed], schema.names)
 
-    return docs.select(key, text).mapInArrow(releasing(run), schema)
+    return docs.select(key, F.xxhash64(text).alias("print"), text).mapInArrow(releasing(run), schema)
 
 
-def _values(minima: np.ndarray) -> np.ndarray:
-    """(rows x COORDINATES) values."""
-    out = np.zeros((len(minima), COORDINATES), np.uint64)
-    for r in range(ROWS):
-        out = mix(out * np.uint64(31) + minima[:, r::ROWS].astype(np.uint64))
-    return out
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, COORDINATES)
+
+
+def prefixes(nodes: DataFrame, matches: int) -> DataFrame:
+    """(id, prefix): for each node that can be in a pair, its tokens in the prefix of the rarity order; ``nodes``: id, minima."""
+    tokens = nodes.select("id", F.posexplode("minima").alias("c", "m")).select("id", (F.shiftleft(F.col("c").cast("long"), 32) + F.col("m")).alias("token"))
+    lists = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    shared = tokens.join(lists, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("t"))  # at most COORDINATES each
+    own = F.transform(F.slice("t", F.lit(1), F.size("t") - (matches - 1)), lambda x: x["token"])
+    return shared.where(F.size("t") >= matches).select("id", own.alias("prefix"))
+
+
+def inverted_lists(survivors: DataFrame) -> DataFrame:
+    """(token, id, pivot, n) of every list with two members or more, of lists with the same members the first; ``survivors``: id, prefix."""
+    posted = survivors.select("id", F.explode("prefix").alias("token"))
+    lists = posted.groupBy("token").agg(F.min("id").alias("pivot"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("own")).where("n > 1")
+    once = lists.groupBy("pivot", "n", "own").agg(F.min("token").alias("token"))
+    return posted.join(once.select("token", "pivot", "n"), "token")
 
 
-def postings(nodes: DataFrame, coordinates: int) -> DataFrame:
-    """(coordinate, value, node) of the first ``coordinates`` coordinates."""
-    schema = T.StructType([T.StructField("coordinate", T.IntegerType()), T.StructField("value", T.LongType()), T.StructField("node", T.BinaryType())])
+def counted(pairs: DataFrame, survivors: DataFrame, limit: int, matches: int) -> DataFrame:
+    """``pairs`` (id, pivot) with ``common``, their collision count, where it reaches the threshold and the sizes of the sets allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                minima = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(batch.num_rows, -1)
-                v = _values(minima)[:, :coordinates]
-                names = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), coordinates)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(coordinates, dtype=np.int32), batch.num_rows)), pa.array(v.ravel().view(np.int64)), names], schema.names)
+                common = (_matrix(batch.column(2)) == _matrix(batch.column(3))).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common)], ["id", "pivot", "common"])
 
-    return nodes.select("node", "minima").mapInArrow(releasing(run), schema)
+    side = lambda n: survivors.select(F.col("id").alias(n), F.col("minima").alias(f"m_{n}"), F.col("n_shingles").alias(f"n_{n}"))
+    sized = pairs.join(side("id"), "id").join(side("pivot"), "pivot").where(100 * F.least("n_id", "n_pivot") >= limit * F.greatest("n_id", "n_pivot"))
+    return sized.select("id", "pivot", "m_id", "m_pivot").mapInArrow(releasing(run), "id long, pivot long, common long").where(F.col("common") >= matches)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, limit: int = LIMIT, matches: int = MATCHES) -> DataFrame:
-    """The (a, b) of ``pairs`` whose collision count and full sets reach the limits."""
+def confirmed(pairs: DataFrame, sets: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """The (id, pivot) of ``pairs`` whose full sets reach the limit; ``sets``: id, shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            ma, mb, sa, sb = (batch.column(c) for c in range(2, 6))
-            for i in range(batch.num_rows):
-                if (np.frombuffer(ma[i].as_py(), np.uint32) == np.frombuffer(mb[i].as_py(), np.uint32)).sum() < matches:
-                    continue
-                x, y = np.frombuffer(sa[i].as_buffer(), np.uint64), np.frombuffer(sb[i].as_buffer(), np.uint64)
-                if 100 * min(len(x), len(y)) < limit * max(len(x), len(y)):
-                    continue
+            for i, (a, b) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
                 both = np.concatenate([x, y])
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
                 if 100 * shared >= limit * (len(both) - shared):
                     keep.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in (0, 1)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in (0, 1)], ["id", "pivot"])
 
-    side = lambda n: sets.select(F.col("node").alias(n), F.col("minima").alias(f"m{n}"), F.col("shingles").alias(f"s{n}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "mb", "sa", "sb").mapInArrow(releasing(run), "a binary, b binary")
+    side = lambda n: sets.select(F.col("id").alias(n), F.col("shingles").alias(f"s_{n}"))
+    return pairs.select("id", "pivot").join(side("id"), "id").join(side("pivot"), "pivot").select("id", "pivot", "s_id", "s_pivot").mapInArrow(releasing(run), "id long, pivot long")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, k: int = SHINGLE) -> DataFrame:
-    """(node, minima, shingles) of the wanted nodes, from the text of one document of each; ``wanted``: node, minima, key."""
-    schema = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("minima", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
+    """(id, shingles) of the wanted nodes, each from the text of one document of it; ``wanted``: id, node, key, print."""
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("shingles", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in blocks(batches, text):
+            ids = batch.column(0).to_pylist()
+            # Repeated rows stand side by side after the join.
+            new = [i for i, own in enumerate(ids) if own != (ids[i - 1] if i else last)]
+            last = ids[-1]
+            batch = batch.take(pa.array(new, pa.int64()))
             values, bounds = shingle_sets(batch.column(2), k)
             own = [values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            ok = [i for i, (name, s) in enumerate(zip(batch.column(0).to_pylist(), own, strict=True)) if hashlib.md5(s).digest() == name]
-            at = pa.array(ok, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([own[i] for i in ok], pa.binary())], schema.names)
+            ok = [i for i, (name, s) in enumerate(zip(batch.column(1).to_pylist(), own, strict=True)) if hashlib.md5(s).digest() == name]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ok, pa.int64())), pa.array([own[i] for i in ok], pa.binary())], schema.names)
+
+    named = wanted.select("id", "node", F.col(key).alias("__key"), F.col("print").alias("__print"))
+    rows = docs.select(F.col(key).alias("__own"), text).join(named, (F.xxhash64(text) == F.col("__print")) & F.col("__own").eqNullSafe(F.col("__key")))
+    return rows.select("id", "node", text).mapInArrow(releasing(run), schema)
+
+
+def _by_group(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The runs of rows that agree in the first ``keys`` columns (numbers)."""
+    group, now = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = np.column_stack([batch.column(c).to_numpy().astype(np.int64) for c in range(keys)])
+        cuts = [0, *(np.flatnonzero((own[1:] != own[:-1]).any(axis=1)) + 1), len(own)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if group and tuple(own[a]) != now:
+                yield pa.Table.from_batches(group)
+                group = []
+            now = tuple(own[a])
+            group.append(batch.slice(a, b - a))
+    if group:
+        yield pa.Table.from_batches(group)
+
+
+def _grouped(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a group in one task, one group after the other."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
+
+
+def _collisions(x: np.ndarray, y: np.ndarray, first: int, px: np.ndarray, py: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Collision counts of all rows of x with all of y, and whether they meet in a prefix list of a coordinate before ``first``."""
+    count, met = np.zeros((len(x), len(y)), np.uint8), np.zeros((len(x), len(y)), bool)
+    for c in range(COORDINATES):
+        same = x[:, c][:, None] == y[:, c][None, :]
+        count += same
+        if c < first:
+            met |= same & px[:, c][:, None] & py[:, c][None, :]
+    return count, met
+
+
+def open_nodes(members: DataFrame, lists: DataFrame, survivors: DataFrame, limit: int, matches: int, tile: int = TILE, block: int = BLOCK) -> DataFrame:
+    """Nodes to compare on full sets, by block: (token, i, j, bi, bj, side, id, component).
+
+    ``members``: token, id, component; ``lists``: token, n.  A list of n members has
+    ceil(n / tile) tiles, and each pair of tiles is compared by one task on signatures.
+    """
+    own = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
+    placed = members.join(lists.withColumn("tiles", F.ceil(F.col("n") / tile).cast("int")), "token").withColumn("tile", own)
+    placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    placed = placed.select("token", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), "tile", "id", "component")
+    rows = placed.join(survivors.select("id", "minima", "prefix", "n_shingles"), "id").select("token", "i", "j", "tile", "id", "component", "minima", "prefix", "n_shingles")
+    names = ["token", "i", "j", "bi", "bj", "side", "id", "component"]
+
+    def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        token, i, j = (table[c][0].as_py() for c in ("token", "i", "j"))
+        at, ids, part, size = (table[c].to_numpy() for c in ("tile", "id", "component", "n_shingles"))
+        left = np.flatnonzero(at == i)
+        right = left if i == j else np.flatnonzero(at == j)
+        if not len(left) or not len(right) or (part == part[0]).all():
+            return
+        x = _matrix(table["minima"].combine_chunks())
+        tokens = table["prefix"].combine_chunks()
+        posted = np.zeros(x.shape, bool)
+        posted[np.repeat(np.arange(len(x)), np.diff(tokens.offsets.to_numpy())), tokens.flatten().to_numpy() + (1 << 31) >> 32] = True
+        count, met = _collisions(x[left], x[right], int(token + (1 << 31) >> 32), posted[left], posted[right])
+        n, m = size[left][:, None], size[right][None, :]
+        good = (count >= matches) & ~met & (part[left][:, None] != part[right][None, :]) & (100 * np.minimum(n, m) >= limit * np.maximum(n, m))
+        if left is right:
+            good = np.triu(good, 1)
+        a, b = np.nonzero(good)
+        if not len(a):
+            return
+        # Blocks of bounded bytes on either side; of each pair of blocks the nodes that have a pair in it.
+        blocks_of = lambda rows: ((np.cumsum(size[rows]) * 8) // block).astype(np.int64)
+        ba, bb = blocks_of(left)[a], blocks_of(right)[b]
+        for side, rows, own in ((0, left, a), (1, right, b)):
+            wanted = np.unique(np.column_stack([ba, bb, rows[own]]), axis=0)
+            each = lambda v, kind: pa.array(np.full(len(wanted), v), kind)  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays(
+                [each(token, pa.int64()), each(i, pa.int32()), each(j, pa.int32()), pa.array(wanted[:, 0].astype(np.int32)), pa.array(wanted[:, 1].astype(np.int32)), each(side, pa.int32()), pa.array(ids[wanted[:, 2]]), pa.array(part[wanted[:, 2]])], names
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _by_group(batches, 3):
+            yield from found(table)
 
-    rows = docs.select(key, text).join(wanted.select("node", "minima", key), docs[key].eqNullSafe(wanted[key])).select("node", "minima", text)
-    return rows.mapInArrow(releasing(run), schema).dropDuplicates(["node"])
+    return _grouped(rows, "token", "i", "j").mapInArrow(releasing(run), "token long, i int, j int, bi int, bj int, side int, id long, component long")
 
 
-def _between(names: list, parts: np.ndarray, values: np.ndarray, sets: list[np.ndarray], coordinate: int, left: np.ndarray, right: np.ndarray, limit: int) -> list[tuple]:
-    """Links that join components among left x right (one tile, or two)."""
-    rows = np.concatenate([left, right]) if right is not left else left
+def _between(ids: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, limit: int) -> list[tuple]:
+    """Links that join components among left x right, by full sets."""
+    rows = np.concatenate([left, right])
     size = np.array([len(sets[r]) for r in rows])
     flat = np.concatenate([sets[r] for r in rows])
     owner = np.repeat(np.arange(len(rows)), size)
-    _, ids, many = np.unique(flat, return_inverse=True, return_counts=True)
-    common = many[ids] > 1
-    column = np.cumsum(many > 1)[ids[common]] - 1
+    _, word, many = np.unique(flat, return_inverse=True, return_counts=True)
+    common = many[word] > 1
+    column = np.cumsum(many > 1)[word[common]] - 1
     owner, width = owner[common], int((many > 1).sum())
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    n_left = len(left)
-    second = slice(n_left, None) if right is not left else slice(None)
-    shared = np.zeros((n_left, len(rows[second])), np.float32)
-    for at in range(0, width, 8192):  # bounded strips of shingles
-        a, b = np.searchsorted(column, (at, at + 8192))
-        strip = np.zeros((len(rows), min(8192, width - at)), np.float32)
+    shared = np.zeros((len(left), len(right)), np.float32)
+    step = max(64, (4 << 20) // len(rows))
+    for at in range(0, width, step):  # bounded strips of shingles
+        a, b = np.searchsorted(column, (at, at + step))
+        strip = np.zeros((len(rows), min(step, width - at)), np.float32)
         strip[owner[a:b], column[a:b] - at] = 1
-        shared += strip[:n_left] @ strip[second].T
-    union = size[:n_left, None] + size[second][None, :] - shared
-    other = parts[rows[:n_left]][:, None] != parts[rows[second]][None, :]
-    met = np.zeros_like(other)
-    for c in range(coordinate):
-        met |= values[rows[:n_left], c][:, None] == values[rows[second], c][None, :]
-    good = other & ~met & (100 * shared >= limit * union)
+        shared += strip[: len(left)] @ strip[len(left) :].T
+    union = size[: len(left), None] + size[len(left) :][None, :] - shared
+    good = (parts[left][:, None] != parts[right][None, :]) & (100 * shared >= limit * union)
     out, root = [], {}
 
     def find(x):
@@ -197,85 +299,63 @@ def _between(names: list, parts: np.ndarray, values: np.ndarray, sets: list[np.n
             x = root[x]
         return x
 
-    i, j = np.nonzero(good)
-    for k in np.argsort(-(shared[i, j] / union[i, j]), kind="stable"):
-        a, b = rows[i[k]], rows[second][j[k]]
-        x, y = find(parts[a]), find(parts[b])
+    for a, b in zip(*np.nonzero(good), strict=True):
+        x, y = find(parts[left[a]]), find(parts[right[b]])
         if x != y:
             root[max(x, y)] = min(x, y)
-            out.append((min(names[a], names[b]), max(names[a], names[b])))
+            out.append((ids[left[a]], ids[right[b]]))
     return out
 
 
-def tile_links(members: DataFrame, lists: DataFrame, sets: DataFrame, tile: int = TILE, limit: int = LIMIT) -> DataFrame:
-    """Candidate links between components that share a list.
-
-    ``members``: coordinate, value, node, component; ``lists``: coordinate, value, n.  A list
-    of n members has ceil(n / tile) tiles, and each pair of tiles is compared by one task.
-    """
-    tiles = F.ceil(F.col("n") / tile).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    placed = members.join(lists, ["coordinate", "value"]).withColumn("tiles", tiles).withColumn("tile", own)
-    placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    placed = placed.select("coordinate", "value", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), "tile", "node", "component")
-    rows = placed.join(sets, "node").select("coordinate", "value", "i", "j", "tile", "node", "component", "minima", "shingles")
-    by = ["coordinate", "value", "i", "j"]
-    rows = rows.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by)
-
-    def links(group: list[pa.RecordBatch]) -> list[tuple]:
-        table = pa.Table.from_batches(group)
-        names = table["node"].to_pylist()
-        parts = np.unique(np.array(table["component"].to_pylist(), object), return_inverse=True)[1]
-        if parts.max() == 0:
-            return []
-        values = _values(np.frombuffer(b"".join(table["minima"].to_pylist()), np.uint32).reshape(len(names), -1))
-        sets_ = [np.frombuffer(s, np.uint64) for s in table["shingles"].to_pylist()]
-        first, second = table["i"][0].as_py(), table["j"][0].as_py()
-        at = table["tile"].to_numpy()
-        left = np.flatnonzero(at == first)
-        right = left if first == second else np.flatnonzero(at == second)
-        if not len(left) or not len(right):
-            return []
-        return _between(names, parts, values, sets_, table["coordinate"][0].as_py(), left, right, limit)
+def block_links(wanted: DataFrame, sets: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(id, pivot): confirmed links that join components, from the blocks of :func:`open_nodes`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, now = [], None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.column_stack([batch.column(c).to_numpy().astype(np.int64) for c in range(4)])
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if group and tuple(keys[a]) != now:
-                    found = links(group)
-                    group = []
-                    if found:
-                        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.binary()) for c in (0, 1)], ["a", "b"])
-                now = tuple(keys[a])
-                group.append(batch.slice(a, b - a))
-        if group and (found := links(group)):
-            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.binary()) for c in (0, 1)], ["a", "b"])
-
-    return rows.mapInArrow(releasing(run), "a binary, b binary").distinct()
-
-
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT, k: int = SHINGLE, tile: int = TILE, prefix: int = PREFIX) -> DataFrame:
+        for table in _by_group(batches, 5):
+            side, ids, parts = (table[c].to_numpy() for c in ("side", "id", "component"))
+            own = [np.frombuffer(s.as_buffer(), np.uint64) for s in table["shingles"]]
+            links = _between(ids, parts, own, np.flatnonzero(side == 0), np.flatnonzero(side == 1), limit)
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], ["id", "pivot"])
+
+    keys = ["token", "i", "j", "bi", "bj"]
+    return _grouped(wanted.join(sets, "id").select(*keys, "side", "id", "component", "shingles"), *keys).mapInArrow(releasing(run), "id long, pivot long").distinct()
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT, k: int = SHINGLE, tile: int = TILE, block: int = BLOCK) -> DataFrame:
     """Per row of ``docs``: key, n_shingles, component_id and kept."""
     small_batches(docs.sparkSession)
-    rows = materialised(signatures(docs, key, text, k))
-    nodes = materialised(rows.where("node IS NOT NULL").groupBy("node").agg(F.min(key).alias(key), F.min("minima").alias("minima")))
-    posted = materialised(postings(nodes, COORDINATES))
-    lists = posted.groupBy("coordinate", "value").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    members = materialised(posted.join(lists, ["coordinate", "value"]))
-    sets = materialised(full_sets(docs, nodes.join(members.select("node").distinct(), "node"), key, text, k))
-    stars = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    edges = materialised(confirmed(stars, sets, limit, matches_for(limit)))
-    first = materialised(connected_components(edges))
-    named = members.where(F.col("coordinate") < prefix).join(first, "node", "left").select("coordinate", "value", "node", F.coalesce("component", "node").alias("component"))
-    mixed = named.groupBy("coordinate", "value").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("coordinate", "value", "n")
-    more = materialised(confirmed(tile_links(named, mixed, sets, tile, limit), sets, limit, 0))
-    component = first if more.isEmpty() else connected_components(edges.unionByName(more))
-    whole = nodes.select("node", key).join(component, "node", "left").select("node", key, F.coalesce("component", "node").alias("component"))
+    tables, matches = Tables(docs.sparkSession), matches_for(limit)
+    rows = tables.keep("rows", signatures(docs, key, text, k))
+    first = F.min(F.struct(F.col(key).isNull().alias("unnamed"), F.col(key).alias("key"), "print")).alias("first")
+    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(first, F.first("minima").alias("minima"), F.first("n_shingles").alias("n_shingles"))
+    nodes = tables.keep("nodes", nodes.select(F.monotonically_increasing_id().alias("id"), "node", F.col("first.key").alias(key), F.col("first.print").alias("print"), "minima", "n_shingles"))
+    survivors = tables.keep("survivors", prefixes(nodes, matches).join(nodes, "id"))
+    members = tables.keep("members", inverted_lists(survivors))
+    pairs = tables.keep("pairs", counted(members.where("id <> pivot").select("id", "pivot").distinct(), survivors, limit, matches))
+    sets = tables.keep("sets", full_sets(docs, survivors.join(members.select("id").distinct(), "id", "left_semi"), key, text, k))
+    best = pairs.groupBy("id").agg(F.max(F.struct("common", (-F.col("pivot")).alias("other"))).alias("x")).select("id", (-F.col("x.other")).alias("pivot"))
+    links = tables.keep("links", confirmed(best, sets, limit))
+    part = tables.keep("part", connected_components(links, "id", "pivot"))
+
+    def apart() -> DataFrame:
+        """Members of the lists of three and more that still hold several components, and those lists."""
+        own = members.join(part.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("component"))
+        mixed = own.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.first("n").alias("n")).where("low <> high AND n > 2")
+        return own.drop("n"), mixed.select("token", "n")
+
+    of = lambda n: part.select(F.col("node").alias(n), F.col("component").alias(f"c_{n}"))
+    rest = pairs.join(best, ["id", "pivot"], "left_anti").join(of("id"), "id", "left").join(of("pivot"), "pivot", "left")
+    rest = rest.where(F.coalesce("c_id", "id") != F.coalesce("c_pivot", "pivot"))
+    more = tables.keep("more", confirmed(rest, sets, limit))
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        part = tables.keep("part2", connected_components(links, "id", "pivot"))
+    wanted = tables.keep("wanted", open_nodes(*apart(), survivors, limit, matches, tile, block))
+    last = tables.keep("last", block_links(wanted, sets, limit))
+    if not last.isEmpty():
+        part = tables.keep("part3", connected_components(links.unionByName(last), "id", "pivot"))
+    tables.drop("survivors", "members", "pairs", "sets", "links", "more", "wanted", "last")
+    whole = nodes.select("id", "node", key).join(part.withColumnRenamed("node", "id"), "id", "left").select("node", key, F.coalesce("component", "id").alias("component"))
     least = whole.groupBy("component").agg(F.min(key).alias("component_id"))
     named = whole.join(least, "component").select("node", "component_id")
     found = rows.select(key, "n_shingles", "node").join(named, "node", "left")
