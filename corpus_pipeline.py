@@ -20,7 +20,7 @@ from tidelane.llm.sampling import crc_mod
 #: Column that names the rows of a stage.
 ROW = "__row"
 
-#: Percent of the five-word shingles that near copies share at least; lists of all coordinates are searched, as pairs at 0.8 share fewer.
+#: Percent of the five-word shingles that near copies share at least.
 NEAR_LIMIT = 80
 
 
@@ -40,7 +40,7 @@ def numbered(docs: DataFrame) -> DataFrame:
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that of the least doc_id."""
     rows = numbered(docs)
-    judged = minhash.near_duplicates(rows, key=ROW, limit=NEAR_LIMIT, prefix=minhash.COORDINATES).select(ROW, "component_id").join(rows.select(ROW, "doc_id"), ROW)
+    judged = minhash.near_duplicates(rows, key=ROW, limit=NEAR_LIMIT).select(ROW, "component_id").join(rows.select(ROW, "doc_id"), ROW)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW))
     kept = judged.groupBy("component_id").agg(first.alias("first")).select(F.col("first").getField(ROW).alias(ROW))
     return rows.join(kept, ROW, "left_semi").select(*docs.columns)
