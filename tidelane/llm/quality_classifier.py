@@ -4,11 +4,12 @@ A document is the average of learned vectors of its hashed features: each word,
 byte 3- and 4-grams within word marks, each pair of neighbouring words, and one shared
 feature for a word that equals the word before it.  A linear layer with softmax follows;
 vectors and layer are trained together by stochastic gradient descent in numpy on a bounded
-sample of labelled rows.  As the layer is linear, scoring folds it into one number per
+sample of labelled rows, by one task.  As the layer is linear, scoring folds it into one number per
 feature, and per distinct word of a block into one sum, so a text costs a gather and a sum.
 
 Defined cases: null and empty texts have no feature and get the softmax of the biases.
-Repeated rows are scored once each; extra columns pass through.  With labels of one kind
+Repeated rows are scored once each; extra columns pass through, but for columns that are
+named as the added ones.  With labels of one kind
 only (or none) the score is the smoothed share of good labels.
 """
 
@@ -32,6 +33,9 @@ BUCKETS, WIDTH, GRAMS = 1 << 17, 10, (3, 4)
 #: Labelled documents that the classifier is trained on, at most; epochs; rate of learning.
 TRAIN_ROWS, EPOCHS, RATE = 3000, 8, 0.5
 
+#: Distinct (document, feature) pairs that are trained on, at most: 8 bytes each.
+TRAIN_ENTRIES = 16_000_000
+
 #: A document is good from this score on.
 GOOD_AT = 0.3
 
@@ -101,10 +105,9 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
 
 
-def train_frame(docs: DataFrame) -> DataFrame:
-    """(doc_id, label, distinct buckets, their counts) of labelled texts."""
-    small_batches(docs.sparkSession)
-    schema = "doc_id long, label int, buckets array<int>, counts array<int>"
+def train_frame(sample: DataFrame) -> DataFrame:
+    """(rank, label, distinct buckets, their counts) of sampled texts."""
+    schema = "rank long, label int, buckets array<int>, counts array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
@@ -121,9 +124,9 @@ def train_frame(docs: DataFrame) -> DataFrame:
                 ids, back = np.unique(each, return_inverse=True)
                 buckets.append(ids.astype(np.int32))
                 counts.append(np.bincount(back, weight, len(ids)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(buckets, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "label", "buckets", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(buckets, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["rank", "label", "buckets", "counts"])
 
-    return docs.select("doc_id", "text", "label").mapInArrow(releasing(run), schema)
+    return sample.select("rank", "text", "label").mapInArrow(releasing(run), schema)
 
 
 def fit(samples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Classifier:
@@ -156,12 +159,26 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS,
     return Classifier((vectors @ (layer[1] - layer[0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, usable=None) -> Classifier:
-    """Train on at most ``bound`` labelled documents, of which only feature counts reach the driver."""
-    rows = train_frame(labelled_sample(docs, labels, "quality", bound, usable)).toArrow()
-    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
-    buckets, counts, y = (rows[c].combine_chunks() for c in ("buckets", "counts", "label"))
-    return fit([(buckets[int(i)].values.to_numpy(), counts[int(i)].values.to_numpy(), y[int(i)].as_py()) for i in order])
+def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, usable=None, entries: int = TRAIN_ENTRIES) -> Classifier:
+    """Train on at most ``bound`` labelled documents, in the order of the sample, whose features have ``entries`` distinct buckets together at most.
+
+    One task fits the model from these feature counts; only its ``BUCKETS`` gains and the bias reach the driver.
+    """
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        samples, held = [], 0
+        for batch in batches:
+            for buckets, counts, label in zip(batch.column(2), batch.column(3), batch.column(1), strict=True):
+                held += len(buckets)
+                if held <= entries or not samples:
+                    samples.append((buckets.values.to_numpy().copy(), counts.values.to_numpy().copy(), label.as_py()))
+        model = fit(samples)
+        yield pa.RecordBatch.from_arrays([pa.array([model.gain.tobytes()]), pa.array([model.bias])], ["gain", "bias"])
+
+    rows = train_frame(labelled_sample(docs, labels, "quality", bound, usable)).repartition(1).sortWithinPartitions("rank")
+    model = rows.mapInArrow(releasing(run), "gain binary, bias double").first()
+    return Classifier(np.frombuffer(model["gain"], np.float32), model["bias"]) if model else fit([])
 
 
 def score(docs: DataFrame, model: Classifier, text: str = "text", good_at: float = GOOD_AT) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelane.llm.bytetext import SPACE_SEP, Block, blocks, gram_hashes, mix, releasing, row_of, span_hashes, split_words, utf8_block
+from tidelane.llm.bytetext import SPACE_SEP, Block, blocks, gram_hashes, mix, releasing, row_of, small_batches, span_hashes, split_words, utf8_block
 from tidelane.llm.sampling import labelled_sample
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -215,15 +215,17 @@ def _stats_frame(docs: DataFrame, text: str, with_features: bool) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> Forest:
     """Fit the forest on at most ``bound`` labelled documents (their statistics alone reach the driver)."""
+    small_batches(docs.sparkSession)
     sample = _stats_frame(labelled_sample(docs, labels, "quality", bound), "text", True)
-    rows = sample.select("doc_id", "label", "features").toArrow()
-    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
+    rows = sample.select("rank", "label", "features").toArrow()
+    order = np.argsort(rows["rank"].to_numpy())
     x = np.array(rows["features"].to_pylist(), np.float64).reshape(rows.num_rows, len(FEATURES))[order]
     return fit(x, rows["label"].to_numpy()[order], list(FEATURES.values()))
 
 
 def judge(docs: DataFrame, forest: Forest, text: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
     """``docs`` with the counts, ``base_failed``, ``quality_score`` and ``kept``; one pass, no shuffle."""
+    small_batches(docs.sparkSession)
     added = [*COUNTS, "base_failed", "quality_score", "kept"]
     keep = [c for c in docs.columns if c not in added]
     at = keep.index(text)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,15 +12,18 @@ def crc_mod(key: str, n: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, usable: Column | None = None) -> DataFrame:
-    """At most ``bound`` documents with a 0/1 label: (doc_id, text, label).
+    """At most ``bound`` documents with a 0/1 label: (doc_id, text, label, rank), ``rank`` from 1.
 
     The labels with the smallest hash of doc_id are taken, so the sample depends on ids
-    alone.  A null doc_id or label is no label; of repeated labels the smallest holds.
-    Only this bounded list of ids is broadcast to the scan of the texts.
+    alone, whatever their type.  A null doc_id or label is no label; of repeated labels the
+    smallest holds, and of repeated documents the smallest text.  Only this bounded list of ids is
+    broadcast to the scan of the texts.
     """
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
     if usable is not None:
         ids = ids.where(usable)
     ids = ids.groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    ids = ids.withColumn("rank", F.row_number().over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")).cast("long"))  # bounded rows
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return found.groupBy("doc_id", "label", "rank").agg(F.min("text").alias("text")).select("doc_id", "text", "label", "rank")
