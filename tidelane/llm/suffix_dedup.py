@@ -2,9 +2,9 @@
 
 1. Anchors.  Of the GRAM-byte grams in a window the one with the smallest hash is its
    anchor, so equal windows have equal anchors; the windows of one anchor are a segment.
-   Each task keeps the earliest of equal segments it holds, and hands (anchor, segment) hashes
-   on, packed by hash of the anchor.
-2. A segment that equals an earlier one is removed whole; an anchor with one segment is done.
+   Each task keeps the earliest of equal segments it holds.
+2. A segment that equals an earlier one is removed whole: equal segments meet by (anchor,
+   segment) hash, sorted, and are read as a stream.  An anchor with one segment is done.
 3. Only where an anchor has different segments are their bytes fetched, brought together by
    anchor, cut down to windows whose core occurs twice, and put in order by linear suffix
    grouping (:mod:`tidelane.llm.suffix_array`).  Neighbours in the suffix array that share 100
@@ -16,12 +16,12 @@
 Documents are ordered by ``doc_id`` (nulls first).  Defined cases: null and empty texts
 have no bytes; shorter texts than 100 bytes keep all.  Rows that repeat a doc_id with the
 same text are one document, judged once and returned as often; different texts of one
-doc_id count in the order of the texts.  Extra columns pass through.
+doc_id count in the order of the texts.  Extra columns pass through, whatever their names,
+but for those that are named as the added ones.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelane.llm.bytetext import blocks, mix, releasing, small_batches, span_hashes, utf8_block
-from tidelane.llm.checkpoints import materialised
+from tidelane.llm.checkpoints import Tables
 from tidelane.llm.suffix_array import suffix_array
 
 #: Bytes of a string, of an anchor's gram.
@@ -87,45 +87,43 @@ def merge_spans(owner: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple
     return owner[at], start[at], (reach - shift)[np.append(at[1:], len(owner)) - 1]
 
 
-def ordered(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with ``__order`` (a long, in the order of the documents), and the distinct (__order, text) to judge."""
-    plain = dict(docs.dtypes)[key] in ("bigint", "int", "smallint", "tinyint")
-    unclear = docs.groupBy(key).count().where(F.col("count").__gt__(1) | F.col(key).isNull())
+def ordered(docs: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """``docs`` (key, text, ...) with ``place`` (a long, in the order of the documents), and the distinct (place, text) to judge."""
+    plain = dict(docs.dtypes)["key"] in ("bigint", "int", "smallint", "tinyint")
+    unclear = docs.groupBy("key").count().where(F.col("count").__gt__(1) | F.col("key").isNull())
     if plain and unclear.isEmpty():
-        own = docs.withColumn("__order", F.col(key).cast("long"))
-        return own, own.select("__order", F.col(text).alias("text"))
-    each = docs.select(F.col(key).alias("__key"), F.coalesce(text, F.lit("")).alias("text")).distinct().orderBy(F.col("__key").asc_nulls_first(), "text")
-    each = materialised(each.withColumn("__order", F.monotonically_increasing_id()))
-    named = each.select("__key", F.sha2(F.col("text").cast("binary"), 256).alias("__sha"), "__order")
-    same = docs[key].eqNullSafe(named["__key"]) & (F.sha2(F.coalesce(docs[text], F.lit("")).cast("binary"), 256) == named["__sha"])
-    return docs.join(named, same).drop("__key", "__sha"), each.select("__order", "text")
+        own = docs.withColumn("place", F.col("key").cast("long"))
+        return own, own.select("place", "text")
+    each = docs.select("key", F.coalesce("text", F.lit("")).alias("text")).distinct().orderBy(F.col("key").asc_nulls_first(), "text")
+    each = tables.keep("order", each.withColumn("place", F.monotonically_increasing_id()))
+    named = each.select(F.col("key").alias("other"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"), "place")
+    same = docs["key"].eqNullSafe(named["other"]) & (F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256) == named["sha"])
+    return docs.join(named, same).drop("other", "sha"), each.select("place", "text")
 
 
-_PART = "bucket int, anchor binary, whole binary, doc binary, pos binary, low binary, high binary"
+_SEGMENT = T.StructType([*(T.StructField(c, T.LongType()) for c in ("anchor", "whole", "doc")), *(T.StructField(c, T.IntegerType()) for c in ("pos", "low", "high"))])
 
 
-def _segments(texts: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
-    """Packed segments by bucket of the anchor; spans that the task itself has found come with bucket < 0 as (doc, low, high)."""
+def _batch(anchor: np.ndarray, whole: np.ndarray, doc: np.ndarray, pos: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(doc), *(pa.array(x.astype(np.int32)) for x in (pos, low, high))], _SEGMENT.names)
+
+
+def segments_of(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """(anchor, whole, doc, pos, low, high) of the earliest of equal segments in each chunk of a task; the others are spans (``pos`` -1, bytes low to high) already."""
 
     def handed(parts: list) -> Iterator[pa.RecordBatch]:
         doc, pos, low, high, anchor, whole = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((pos, doc, whole, anchor))
         same = np.zeros(len(order), bool)
         same[1:] = (anchor[order[1:]] == anchor[order[:-1]]) & (whole[order[1:]] == whole[order[:-1]])
-        out = []
-        if same.any():
-            at = order[same]
-            spans = merge_spans(doc[at], low[at], high[at] + length)
-            out.append((-1, b"", b"", spans[0].tobytes(), b"", spans[1].tobytes(), spans[2].tobytes()))
+        at = order[same]
+        d, a, b = merge_spans(doc[at], low[at], high[at] + length)
         own = order[~same]
-        bucket = (anchor[own] >> np.uint64(8)) % np.uint64(buckets)
-        own = own[np.argsort(bucket, kind="stable")]
-        cuts = np.searchsorted(np.sort(bucket), np.arange(buckets + 1))
-        for b in range(buckets):
-            at = own[cuts[b] : cuts[b + 1]]
-            if len(at):
-                out.append((b, anchor[at].tobytes(), whole[at].tobytes(), doc[at].tobytes(), pos[at].astype(np.int32).tobytes(), (pos[at] - low[at]).astype(np.uint8).tobytes(), (pos[at] - high[at]).astype(np.uint8).tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 6), strict=True)], ["bucket", "anchor", "whole", "doc", "pos", "low", "high"])
+        for k in range(0, len(own), 1 << 16):
+            at = own[k : k + (1 << 16)]
+            yield _batch(anchor[at], whole[at], doc[at], pos[at], low[at], high[at])
+        # Spans travel with the segments, by hash of their document.
+        yield _batch(mix(d.view(np.uint64)), np.zeros(len(d), np.uint64), d, np.full(len(d), -1), a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -136,79 +134,46 @@ def _segments(texts: DataFrame, buckets: int, length: int, gram: int) -> DataFra
             parts.append((batch.column(0).to_numpy()[row], pos - begin, low - begin, high - begin, anchor, whole))
             size += len(block.data)
             if size >= CHUNK_BYTES:
-                if any(len(p[0]) for p in parts):
-                    yield from handed(parts)
+                yield from handed(parts)
                 parts, size = [], 0
-        if any(len(p[0]) for p in parts):
+        if parts:
             yield from handed(parts)
 
-    return texts.mapInArrow(releasing(run), _PART)
-
-
-def _judged(table: pa.Table, slices: int, length: int, hot: int) -> pa.Table:
-    """Of one bucket: spans that repeat an earlier segment, and the segments to fetch; packed by slice of the document."""
-    rows = table.to_pylist()
-    doc = np.concatenate([np.frombuffer(r["doc"], np.int64) for r in rows])
-    if table["bucket"][0].as_py() < 0:
-        low, high = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows]) for c in ("low", "high"))
-        found = (doc, low, high)
-        wanted = np.zeros(0, np.int64)
-        anchor = pos = wanted
-        busy = wanted.astype(bool)
-    else:
-        anchor, whole = (np.concatenate([np.frombuffer(r[c], np.uint64) for r in rows]) for c in ("anchor", "whole"))
-        pos = np.concatenate([np.frombuffer(r["pos"], np.int32) for r in rows]).astype(np.int64)
-        low, high = (pos - np.concatenate([np.frombuffer(r[c], np.uint8) for r in rows]) for c in ("low", "high"))
-        order = np.lexsort((pos, doc, whole, anchor))
-        anchor, whole, doc, pos, low, high = (x[order] for x in (anchor, whole, doc, pos, low, high))
-        new_anchor = np.concatenate([[True], anchor[1:] != anchor[:-1]])
-        new = new_anchor | np.concatenate([[True], whole[1:] != whole[:-1]])
-        group = np.cumsum(new_anchor) - 1
-        different = np.bincount(group[new], minlength=group[-1] + 1)[group]
-        wanted = np.flatnonzero(new & (different > 1))
-        busy = different > hot
-        found = (doc[~new], low[~new], high[~new] + length)
-    d, a, b = merge_spans(*found)
-    none = np.zeros(len(d), np.int64)
-    parts = [np.concatenate(x) for x in ((d, doc[wanted]), (a, low[wanted]), (b, high[wanted] + length), (none - 1, pos[wanted]), (none, anchor[wanted].view(np.int64)), (none.astype(bool), busy[wanted]))]
-    cut = mix(parts[0].view(np.uint64)) % np.uint64(slices)
-    order = np.argsort(cut, kind="stable")
-    ends = np.searchsorted(cut[order], np.arange(slices + 1))
-    out = [(s, *(p[order[ends[s] : ends[s + 1]]].tobytes() for p in parts)) for s in range(slices) if ends[s + 1] > ends[s]]
-    columns = list(zip(*out, strict=True)) or [[]] * 7
-    return pa.table([pa.array(c, f) for c, f in zip(columns, (pa.int32(), *[pa.binary()] * 6), strict=True)], names=["slice", "doc", "low", "high", "pos", "anchor", "hot"])
-
-
-def _by_document(table: pa.Table) -> pa.Table:
-    """Of one slice: one row per document with its spans and the segments to fetch."""
-    rows = table.to_pylist()
-    doc, low, high, pos, anchor = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows]) for c in ("doc", "low", "high", "pos", "anchor"))
-    hot = np.concatenate([np.frombuffer(r["hot"], bool) for r in rows])
-    d, a, b = merge_spans(*(x[pos < 0] for x in (doc, low, high)))
-    want = np.flatnonzero(pos >= 0)
-    want = want[np.argsort(doc[want], kind="stable")]
-    names = np.union1d(d, doc[want])
-    cuts = np.searchsorted(d, np.append(names, names[-1:] + 1)), np.searchsorted(doc[want], np.append(names, names[-1:] + 1))
-    out = []
-    for i, name in enumerate(names.tolist()):
-        s, w = slice(cuts[0][i], cuts[0][i + 1]), want[cuts[1][i] : cuts[1][i + 1]]
-        out.append((name, a[s].tobytes(), b[s].tobytes(), *(x[w].tobytes() if len(w) else None for x in (low, high, pos, anchor, hot))))
-    columns = list(zip(*out, strict=True)) or [[]] * 8
-    return pa.table([pa.array(c, f) for c, f in zip(columns, (pa.int64(), *[pa.binary()] * 7), strict=True)], names=["doc", "starts", "stops", "low", "high", "pos", "anchor", "hot"])
+    return texts.select("place", "text").mapInArrow(releasing(run), _SEGMENT)
+
+
+def without_repeats(segments: DataFrame, length: int) -> DataFrame:
+    """The earliest of equal segments of the whole corpus; the others become spans.
+
+    Equal segments meet in one task and stand in order there, so it holds one row of them at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            anchor, whole, doc, pos, low, high = (batch.column(c).to_numpy() for c in range(6))
+            same = np.zeros(len(doc), bool)
+            same[1:] = (anchor[1:] == anchor[:-1]) & (whole[1:] == whole[:-1])
+            same[0] = (anchor[0], whole[0]) == last
+            last = anchor[-1], whole[-1]
+            span = same & (pos >= 0)
+            yield _batch(anchor, whole, doc, np.where(span, -1, pos), low, np.where(span, high + length, high))
+
+    sorted_ = segments.repartition("anchor", "whole").sortWithinPartitions("anchor", "whole", "doc", "pos")
+    return sorted_.mapInArrow(releasing(run), _SEGMENT).drop("whole")
 
 
 def _fetched(texts: DataFrame) -> DataFrame:
-    """(anchor, hot, doc, start, shift, bytes) of every wanted segment; ``texts``: doc, text, low, high, pos, anchor, hot."""
+    """(anchor, hot, doc, start, shift, bytes) of every wanted segment; ``texts``: doc, text, wanted (low, high, pos, anchor, hot)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             block = utf8_block(batch.column(1))
-            sizes, lists = [], []
-            for i in range(batch.num_rows):
-                own = [np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in ((2, np.int64), (3, np.int64), (4, np.int64), (5, np.int64), (6, bool))]
-                sizes.append(len(own[0]))
-                lists.append(own)
-            low, high, pos, anchor, hot = (np.concatenate(x) for x in zip(*lists, strict=True))
+            sizes = batch.column(2).value_lengths().to_numpy()
+            low, high, pos, anchor, hot = (c.to_numpy(zero_copy_only=False) for c in batch.column(2).flatten().flatten())
+            low, high, pos = (x.astype(np.int64) for x in (low, high, pos))
             begin = np.repeat(block.bounds[:-1], sizes) + low
             size = high - low
             offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
@@ -318,49 +283,44 @@ def _hot_spans(segments: DataFrame, length: int) -> DataFrame:
     return windows.join(least, "h").where(F.struct("doc", "start") != F.col("least")).select("doc", "start", (F.col("start") + length).alias("stop"))
 
 
-def removed_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(doc, spans array<struct<start, stop>>) of the documents that lose bytes; ``texts``: __order, text."""
-    buckets = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = _segments(texts.select(F.col("__order"), "text"), buckets, length, gram)
-    judged = packed.groupBy("bucket").applyInArrow(lambda t: _judged(t, buckets, length, hot), "slice int, doc binary, low binary, high binary, pos binary, anchor binary, hot binary")
-    known = materialised(judged.groupBy("slice").applyInArrow(_by_document, "doc long, starts binary, stops binary, low binary, high binary, pos binary, anchor binary, hot binary"))
-    wanted = known.where("pos IS NOT NULL").select("doc", "low", "high", "pos", "anchor", "hot")
-    segments = _fetched(texts.join(wanted, F.col("__order") == F.col("doc")).select("doc", "text", "low", "high", "pos", "anchor", "hot"))
-    segments = materialised(segments)
-    found = _ordered_spans(segments, buckets, length, gram)
+def removed_spans(texts: DataFrame, tables: Tables, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """(doc, spans array<struct<start, stop>>) of the documents that lose bytes; ``texts``: place, text."""
+    judged = tables.keep("judged", without_repeats(segments_of(texts, length, gram), length))
+    first = judged.where("pos >= 0")
+    several = first.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    wanted = first.join(several, "anchor").select("doc", F.struct("low", (F.col("high") + length).alias("high"), "pos", "anchor", (F.col("n") > hot).alias("hot")).alias("segment"))
+    wanted = wanted.groupBy("doc").agg(F.collect_list("segment").alias("wanted"))  # a document's own
+    segments = tables.keep("segments", _fetched(texts.join(wanted, F.col("place") == F.col("doc")).select("doc", "text", "wanted")))
+    found = _ordered_spans(segments, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), length, gram)
     if not segments.where("hot").isEmpty():
         found = found.unionByName(_hot_spans(segments, length))
-    more = found.groupBy("doc").agg(F.collect_list("start").alias("more_starts"), F.collect_list("stop").alias("more_stops"))
-    return known.select("doc", "starts", "stops").join(more, "doc", "full_outer")
+    spans = judged.where("pos < 0").select("doc", F.col("low").cast("long").alias("start"), F.col("high").cast("long").alias("stop")).unionByName(found)
+    spans = tables.keep("spans", spans.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
+    tables.drop("judged", "segments")
+    return spans
 
 
 def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (the remaining bytes, binary)."""
     added = ("n_bytes", "n_removed", "n_spans", "kept")
     small_batches(docs.sparkSession)
+    tables = Tables(docs.sparkSession)
     docs = docs.drop(*added)
-    rows, texts = ordered(docs, key, text)
-    spans = removed_spans(texts, length, gram, hot)
-    joined = rows.join(spans, F.col("__order") == F.col("doc"), "left").drop("doc", "__order")
-    keep = docs.columns
-    at = keep.index(text)
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in added[:3]), T.StructField("kept", T.BinaryType())])
+    others = [c for c in docs.columns if c != text]
+    own = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"))
+    rows, texts = ordered(own, tables)
+    joined = rows.join(removed_spans(texts, tables, length, gram, hot), F.col("place") == F.col("doc"), "left")
+    schema = T.StructType([own.schema["row"], own.schema["text"], *(T.StructField(c, T.LongType()) for c in added[:3]), T.StructField("kept", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, text):
-            block = utf8_block(batch.column(at))
+        for batch in blocks(batches):
+            block = utf8_block(batch.column(1))
             sizes, removed, runs, kept = np.diff(block.bounds), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), []
-            starts, stops, more_starts, more_stops = (batch.column(len(keep) + c) for c in range(4))
+            many = np.concatenate([[0], np.cumsum(batch.column(2).value_lengths().fill_null(0).to_numpy())])
+            starts, stops = (c.to_numpy() for c in batch.column(2).flatten().flatten())
             for i in range(batch.num_rows):
                 own = block.row(i)
-                a, b = [_NONE], [_NONE]
-                if starts[i].is_valid:
-                    a.append(np.frombuffer(starts[i].as_buffer(), np.int64))
-                    b.append(np.frombuffer(stops[i].as_buffer(), np.int64))
-                if more_starts[i].is_valid:
-                    a.append(more_starts[i].values.to_numpy())
-                    b.append(more_stops[i].values.to_numpy())
-                a, b = np.concatenate(a), np.concatenate(b)
+                a, b = starts[many[i] : many[i + 1]], stops[many[i] : many[i + 1]]
                 if len(a):
                     _, a, b = merge_spans(np.zeros(len(a), np.int64), a, b)
                     edge = np.zeros(len(own) + 1, np.int8)
@@ -369,9 +329,10 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
                     own = own[np.cumsum(edge[:-1]) == 0]
                     removed[i], runs[i] = (b - a).sum(), len(a)
                 kept.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(sizes), pa.array(removed), pa.array(runs), pa.array(kept, pa.binary())], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sizes), pa.array(removed), pa.array(runs), pa.array(kept, pa.binary())], schema.names)
 
-    return joined.select(*keep, "starts", "stops", "more_starts", "more_stops").mapInArrow(releasing(run), schema)
+    cut = joined.select("row", "text", "spans").mapInArrow(releasing(run), schema)
+    return cut.select(*(F.col("text").alias(text) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns), *added)
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
