@@ -115,6 +115,7 @@ def test_lm_score(docs, nothing):
 
 def test_lm_states_grow_with_the_corpus(spark):
     """A context that is rare in the whole corpus, but often enough seen, scores as the definition says, whatever the buckets."""
+    DEPTH = suffix_tree_lm.DEPTH
     strange = "zqzq vyvy xwxw zuzu"
     rows = [(i, say(120)) for i in range(500)] + [(1000 + i, strange) for i in range(40)] + [(2000, strange + " " + say(20)), (2001, say(40))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -123,7 +124,7 @@ def test_lm_states_grow_with_the_corpus(spark):
     grams = Counter()
     for i, t in rows:
         for k in range(len(s := symbols(t))) if i < 2000 else ():
-            grams.update((s[j:k] if j >= 0 else b"\n" + s[:k], s[k]) for j in range(max(k - 7, -1 if k < 7 else 0), k + 1))
+            grams.update((s[j:k] if j >= 0 else b"\n" + s[:k], s[k]) for j in range(max(k - DEPTH, -1 if k < DEPTH else 0), k + 1))
     total = Counter()
     for (context, _), n in grams.items():
         total[context] += n
@@ -142,7 +143,7 @@ def test_lm_states_grow_with_the_corpus(spark):
         return (grams[c, x] + suffix_tree_lm.PARENT * p(c[1:], x)) / (total[c] + suffix_tree_lm.PARENT)
 
     def longest(before):
-        for c in (before[k:] for k in range(max(len(before) - 7, 0), len(before) + 1)):
+        for c in (before[k:] for k in range(max(len(before) - DEPTH, 0), len(before) + 1)):
             if c in states and all(c[k:] in states for k in range(len(c) + 1)):
                 return c
 

@@ -8,15 +8,17 @@ parent (the context without its oldest byte); its suffixes come along.  Distribu
 smoothed with the parent's.  A byte is scored in the state of the longest suffix of what
 stands before it.
 
-The states grow with the corpus, so they are never gathered: the distinct grams of every chunk
-of documents are dealt, with their training counts, by hash of the latest SHALLOW + 1 context
-bytes; each bucket builds the states of its own contexts and answers the chunks.  Only the
-levels up to SHALLOW bytes, which the alphabet bounds, are broadcast.
+States and word counts grow with the corpus, so they are never gathered:
 
-Word counts for the base: words of a bounded sample are counted exactly while the short grams
-are counted, and broadcast (HOT_WORDS at most); the others travel once as packed (word,
-document) postings by hash of the word, so no task gets a frequent word, and come back as
-sums per document.
+1. Each chunk of documents is written once with its distinct grams and words and their counts
+   in training texts, dealt to buckets: grams by hash of their latest SHALLOW + 1 context
+   bytes, words by hash.
+2. The counts of a bucket are summed in a tree, FAN chunks at a time.
+3. A bucket's sums build the states of its own contexts, then answer the chunks one after the
+   other; where there are many chunks, several tasks hold the same bucket.
+4. Each chunk adds up the answers on its grams and words by document.
+
+Only the levels up to SHALLOW bytes, of 256 ** (SHALLOW + 1) grams at most, are broadcast.
 
 Defined cases: null and empty texts are one end token.  Rows with a null doc_id count as id
 ''.  Repeated rows are counted and scored each.  Extra columns are ignored.
@@ -34,33 +36,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelane.llm.bytetext import LOWER, SPACE_SEP, Block, blocks, releasing, row_of, span_hashes, split_words, utf8_block
+from tidelane.llm.bytetext import LOWER, SPACE_SEP, Block, blocks, releasing, row_of, small_batches, span_hashes, split_words, utf8_block
+from tidelane.llm.checkpoints import Tables
 from tidelane.llm.sampling import crc_mod
 
-#: Longest context (a gram fills 64 bits); longest context that is always a state; least count of a longer one; least gain in nats that keeps it; weight of the parent.
-DEPTH, SHALLOW, MIN_COUNT, MIN_GAIN, PARENT = 7, 3, 4, 20.0, 4.0
-
-#: Words whose counts are broadcast, at most, and the texts of the sample that proposes them.
-HOT_WORDS, HOT_ROWS = 1 << 16, 2000
+#: Longest context (a gram and the row's place in a strip fill 64 bits); longest context that is always a state; least count of a longer one; least gain in nats that keeps it; weight of the parent.
+DEPTH, SHALLOW, MIN_COUNT, MIN_GAIN, PARENT = 6, 2, 4, 20.0, 4.0
 
-#: Text bytes that a task holds before it hands on postings.
-CHUNK_BYTES = 12 << 20
+#: Text bytes of a chunk; chunks that are summed at once; chunks that one task of a bucket answers, about.
+CHUNK_BYTES, FAN, ASKED = 12 << 20, 64, 256
 
-#: Training symbols for each bucket, about.
-BUCKET_BYTES = 16 << 20
+#: Training symbols for each bucket, about, and the number of buckets, at most.
+BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 8192
 
-#: Symbols that are looked up at once.
-STRIP = 2 << 20
+#: Symbols and rows that are looked up at once.
+STRIP, STRIP_ROWS = 2 << 20, 256
 
 _BLANK, _END = 32, 10
 
 
-def _words(column: pa.Array) -> tuple[np.ndarray, object]:
-    raw = utf8_block(column)
-    data = LOWER[raw.data]
-    return data, split_words(Block(data, raw.bounds), SPACE_SEP)
-
-
 def stream(data: np.ndarray, words) -> tuple[np.ndarray, np.ndarray]:
     """The rows' symbols side by side, and the rows' bounds."""
     n = len(words.bounds) - 1
@@ -88,27 +82,6 @@ def gram_codes(symbols: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     return code
 
 
-def hot_words(docs: DataFrame, rows: int = HOT_ROWS, most: int = HOT_WORDS, text: str = "text") -> np.ndarray:
-    """Sorted hashes of words that a bounded sample of texts uses most; any choice gives the same scores."""
-    schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("n", T.LongType())])
-
-    each = -(-rows // max(docs.rdd.getNumPartitions(), 1))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = each
-        for batch in blocks(batches, text):
-            batch = batch.slice(0, left)
-            left -= batch.num_rows
-            data, words = _words(batch.column(0))
-            h, n = np.unique(span_hashes(data, words.start, words.end), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
-            if not left:
-                return
-
-    counted = docs.select(text).mapInArrow(releasing(run), schema).groupBy("h").agg(F.sum("n").alias("n"))
-    return np.sort(counted.orderBy(F.desc("n"), "h").limit(most).select("h").toArrow()["h"].to_numpy().view(np.uint64))
-
-
 def _packed(values: np.ndarray) -> bytes:
     raw = values.tobytes()
     return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
@@ -137,68 +110,18 @@ def gram_buckets(code: np.ndarray, buckets: int) -> np.ndarray:
     return ((latest * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
 
 
-def dealt(code: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(bucket, places of its grams in ``code``), places ascending."""
-    own = gram_buckets(code, buckets)
+def word_buckets(word: np.ndarray, buckets: int) -> np.ndarray:
+    return (word >> np.uint64(33)) % np.uint64(buckets)
+
+
+def dealt(own: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, places where ``own`` has it), places ascending."""
     order = np.argsort(own, kind="stable")
     cuts = np.searchsorted(own[order], np.arange(buckets + 1))
     for b in np.flatnonzero(cuts[1:] > cuts[:-1]):
         yield int(b), order[cuts[b] : cuts[b + 1]]
 
 
-def count_words(training: DataFrame, hot: np.ndarray, buckets: int, text: str = "text") -> pa.Table:
-    """Sums (kind, codes, counts, n), packed: kind 0 the number of distinct words that are not hot, kind 1 hashes of hot words, kind 2 all tokens, kind 3 grams of SHALLOW + 1 bytes."""
-    part = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("codes", T.BinaryType()), T.StructField("counts", T.BinaryType())])
-    whole = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("codes", T.BinaryType()), T.StructField("counts", T.BinaryType())])
-    shared = training.sparkSession.sparkContext.broadcast(hot)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, tokens = shared.value, 0
-        words_n = np.zeros(len(own), np.int64)
-        grams, counts, cold = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-
-        def rows(kind: int, code: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for b, at in dealt(code, buckets):
-                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([b], pa.int32()), pa.array([_packed(code[at])]), pa.array([_packed(n[at])])], part.names)
-
-        for batch in blocks(batches, text):
-            data, words = _words(batch.column(0))
-            code, n = np.unique(gram_codes(stream(data, words)[0], SHALLOW), return_counts=True)
-            grams.append(code)
-            counts.append(n)
-            tokens += len(words.start) + batch.num_rows
-            h = span_hashes(data, words.start, words.end)
-            if len(own) and len(h):
-                at = np.minimum(np.searchsorted(own, h), len(own) - 1)
-                words_n += np.bincount(at[own[at] == h], minlength=len(own))
-                h = h[own[at] != h]
-            cold.append(np.unique(h))
-            if sum(map(len, cold)) > 1_000_000 or sum(map(len, grams)) > 1_000_000:  # a task keeps bounded tables
-                code, n = _summed(np.concatenate(grams), np.concatenate(counts))
-                seen = np.unique(np.concatenate(cold))
-                grams, counts, cold = [code], [n], [seen]
-                if len(code) > 500_000 or len(seen) > 500_000:
-                    yield from rows(3, code, n)
-                    yield from rows(0, seen, np.zeros(len(seen), np.int64))
-                    grams, counts, cold = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        yield from rows(3, *_summed(np.concatenate(grams), np.concatenate(counts)))
-        seen = np.unique(np.concatenate(cold))
-        yield from rows(0, seen, np.zeros(len(seen), np.int64))
-        some = words_n > 0
-        yield from rows(1, own[some], words_n[some])
-        yield from rows(2, np.zeros(1, np.uint64), np.array([tokens]))
-
-    def summed(table: pa.Table) -> pa.Table:
-        parts, out = table.to_pylist(), []
-        for kind in sorted({r["kind"] for r in parts}):
-            own = [(_unpacked(r["codes"], np.uint64), _unpacked(r["counts"], np.int64)) for r in parts if r["kind"] == kind]
-            code, n = _summed(*(np.concatenate(x) for x in zip(*own, strict=True)))
-            out.append((kind, len(code), _packed(code) if kind else None, _packed(n) if kind else None))
-        return pa.table([pa.array(c, f) for c, f in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=whole.names)
-
-    return training.select(text).mapInArrow(releasing(run), part).groupBy("bucket").applyInArrow(summed, whole).toArrow()
-
-
 @dataclass
 class Level:
     """Contexts of one size that are states: sorted ``context`` with ``total``; sorted ``gram`` (context and symbol) with ``n``."""
@@ -272,34 +195,166 @@ def log_probabilities(levels: list[Level], code: np.ndarray, weight: float = PAR
     return np.log10(p)
 
 
-def train(training: DataFrame, buckets: int, text: str = "text") -> tuple[list[Level], np.ndarray, np.ndarray, int, int]:
-    """The shallow levels, the hot words with their exact counts, and the numbers of training tokens and of distinct words."""
-    hot = hot_words(training, text=text)
-    parts = count_words(training, hot, buckets, text).to_pylist()
+def _ipc(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
-    def of(kind: int) -> tuple[np.ndarray, np.ndarray]:
-        own = [(np.zeros(0, np.uint64), np.zeros(0, np.int64)), *((_unpacked(r["codes"], np.uint64), _unpacked(r["counts"], np.int64)) for r in parts if r["kind"] == kind)]
-        return _summed(*(np.concatenate(x) for x in zip(*own, strict=True)))
 
-    known = np.zeros(len(hot), np.int64)
-    code, n = of(1)
-    known[np.searchsorted(hot, code)] = n
-    distinct = sum(r["n"] for r in parts if r["kind"] == 0) + int((known > 0).sum())
-    return shallow_levels(*of(3)), hot, known, int(of(2)[1].sum()), distinct
+_POSTED = T.StructType([
+    T.StructField("kind", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("chunk", T.LongType()), T.StructField("n", T.LongType()),
+    T.StructField("codes", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("rows", T.BinaryType()),
+])
+_KEPT = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("slot", T.LongType()), T.StructField("codes", T.BinaryType()), T.StructField("counts", T.BinaryType())])
+_GRAMS, _WORDS, _TEXT = range(3)
 
 
-_PART = T.StructType([
-    T.StructField("bucket", T.IntegerType()), T.StructField("chunk", T.LongType()), T.StructField("word", T.BinaryType()), T.StructField("doc", T.BinaryType()),
-    T.StructField("times", T.BinaryType()), T.StructField("learn", T.BinaryType()), T.StructField("rows", T.BinaryType()),
-    T.StructField("codes", T.BinaryType()), T.StructField("counts", T.BinaryType()),
-])
+def _table(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
+    kinds = {T.IntegerType(): pa.int32(), T.LongType(): pa.int64(), T.BinaryType(): pa.binary()}
+    columns = list(zip(*rows, strict=True)) or [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[f.dataType]) for c, f in zip(columns, schema, strict=True)], schema.names)
 
 
-def _ipc(batch: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+def posted_chunks(own: DataFrame, buckets: int, text: str, key: str) -> DataFrame:
+    """Of each chunk its distinct grams and words with their counts in training rows (0: in others only), by bucket, and one row with its texts; ``own``: key, text, held_out."""
+
+    def handed(chunk: int, keys: list, held: list, data: list, sizes: list, found: dict) -> pa.RecordBatch:
+        learnt = np.concatenate(held)
+        rows = pa.RecordBatch.from_arrays([pa.concat_arrays(keys), pa.array(learnt)], [key, "held_out"])
+        out = [(_TEXT, int(chunk % buckets), chunk, int((~learnt).sum()), _packed(np.concatenate(data)), np.concatenate(sizes).astype(np.int64).tobytes(), _ipc(rows))]
+        for kind, bucket_of in ((_GRAMS, gram_buckets), (_WORDS, word_buckets)):
+            code, n = _summed(*(np.concatenate(x) for x in zip(*found[kind], strict=True)))
+            out.extend((kind, b, chunk, len(at), _packed(code[at]), _packed(n[at]), None) for b, at in dealt(bucket_of(code, buckets), buckets))
+        return _table(out, _POSTED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, size = TaskContext.get().partitionId() << 24, 0
+        keys, held, data, sizes, found = [], [], [], [], {_GRAMS: [], _WORDS: []}
+        for batch in blocks(batches, text):
+            raw = utf8_block(batch.column(1))
+            lower = LOWER[raw.data]
+            words = split_words(Block(lower, raw.bounds), SPACE_SEP)
+            symbols, bounds = stream(lower, words)
+            out = batch.column(2).to_numpy(zero_copy_only=False)
+            code, word = gram_codes(symbols), span_hashes(lower, words.start, words.end)
+            for kind, of, many in ((_GRAMS, code, np.diff(bounds)), (_WORDS, word, words.counts)):
+                other = np.repeat(out, many)
+                found[kind].append(np.unique(of[~other], return_counts=True))
+                seen = np.unique(of[other])
+                found[kind].append((seen, np.zeros(len(seen), np.int64)))
+            keys.append(batch.column(0))
+            held.append(out)
+            data.append(lower)
+            sizes.append(np.diff(raw.bounds))
+            size += len(lower)
+            if size >= CHUNK_BYTES:
+                yield handed(chunk, keys, held, data, sizes, found)
+                chunk, size = chunk + 1, 0
+                keys, held, data, sizes, found = [], [], [], [], {_GRAMS: [], _WORDS: []}
+        if keys:
+            yield handed(chunk, keys, held, data, sizes, found)
+
+    return own.mapInArrow(releasing(run), _POSTED)
+
+
+def bucket_sums(posted: DataFrame, chunks: int) -> DataFrame:
+    """(kind, bucket, slot, codes, counts): the training counts of each bucket, one row of each, summed in a tree over the chunks."""
+
+    def summed(table: pa.Table) -> pa.Table:
+        parts = [(_unpacked(r["codes"], np.uint64), _unpacked(r["counts"], np.int64)) for r in table.select(["codes", "counts"]).to_pylist()]
+        code, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        code, n = _summed(code[n > 0], n[n > 0])
+        return pa.Table.from_batches([_table([(table["kind"][0].as_py(), table["bucket"][0].as_py(), table["slot"][0].as_py(), _packed(code), _packed(n))], _KEPT)])
+
+    parts, slot, groups = posted.where(F.col("kind") < _TEXT), F.xxhash64("chunk"), chunks
+    while True:
+        groups = max(1, -(-groups // FAN))
+        parts = parts.select("kind", "bucket", F.pmod(slot, F.lit(groups)).cast("long").alias("slot"), "codes", "counts").groupBy("kind", "bucket", "slot").applyInArrow(summed, _KEPT)
+        if groups == 1:
+            return parts
+        slot = F.col("slot")
+
+
+def shallow_sums(sums: DataFrame) -> DataFrame:
+    """(code, n): counts of the grams of SHALLOW + 1 bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for codes, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                code, n = _summed(_unpacked(codes, np.uint64) & _low(SHALLOW), _unpacked(counts, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(n)], ["code", "n"])
+
+    return sums.where(F.col("kind") == _GRAMS).select("codes", "counts").mapInArrow(releasing(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def word_totals(sums: DataFrame) -> tuple[int, int]:
+    """Words in the training texts, all and distinct."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [_unpacked(x, np.int64) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([int(x.sum()) for x in n], pa.int64()), pa.array([len(x) for x in n], pa.int64())], ["words", "kinds"])
+
+    found = sums.where(F.col("kind") == _WORDS).select("counts").mapInArrow(releasing(run), "words long, kinds long").agg(F.sum("words"), F.sum("kinds")).first()
+    return found[0] or 0, found[1] or 0
+
+
+def answers(posted: DataFrame, sums: DataFrame, shallow, chunks: int) -> DataFrame:
+    """(chunk, kind, bucket, codes): for the grams and words that a chunk has in a bucket their log10 probabilities (in the order of symbol and latest bytes) and training counts."""
+    salts = -(-chunks // ASKED)
+    own = sums.select("kind", "bucket", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(-1).cast("long").alias("chunk"), "codes", "counts")
+    asked = posted.where(F.col("kind") < _TEXT).select("kind", "bucket", F.pmod(F.xxhash64("chunk"), F.lit(salts)).cast("int").alias("salt"), "chunk", "codes", F.lit(None).cast("binary").alias("counts"))
+    # Of each bucket the sums come first, then its questions; a bucket without sums answers from the shallow levels alone.
+    rows = own.unionByName(asked).repartition(int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions")), "kind", "bucket", "salt").sortWithinPartitions("kind", "bucket", "salt", "chunk")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels, known, now = [], (np.zeros(0, np.uint64), np.zeros(0, np.int64)), None
+        for batch in batches:
+            for r in batch.to_pylist():
+                kind, code = r["kind"], _unpacked(r["codes"], np.uint64)
+                if now != (kind, r["bucket"], r["salt"]):
+                    now, levels, known = (kind, r["bucket"], r["salt"]), shallow.value, (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                if r["chunk"] < 0:
+                    known = code, _unpacked(r["counts"], np.int64)
+                    if kind == _GRAMS:
+                        levels = shallow.value + deep_levels(*known, shallow.value)
+                    continue
+                if kind == _GRAMS:
+                    found = log_probabilities(levels, code).astype(np.float32)[np.argsort(code.byteswap())]
+                else:
+                    at = np.minimum(np.searchsorted(known[0], code), max(len(known[0]) - 1, 0))
+                    found = np.where(known[0][at] == code, known[1][at], 0) if len(known[0]) else np.zeros(len(code), np.int64)
+                yield _table([(kind, r["bucket"], r["chunk"], _packed(found))], _ANSWER)
+
+    return rows.mapInArrow(releasing(run), _ANSWER)
+
+
+_ANSWER = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("chunk", T.LongType()), T.StructField("codes", T.BinaryType())])
+
+
+def gram_sums(symbols: np.ndarray, bounds: np.ndarray, answer: dict, buckets: int) -> np.ndarray:
+    """Sums of log10 probabilities per row of a chunk, from the answers on its distinct grams."""
+    rows = len(bounds) - 1
+    # Strips end where rows end, so that grams see what stands before them; a key is the row within the strip, then the gram.
+    cuts = [0]
+    while cuts[-1] < rows:
+        cuts.append(max(cuts[-1] + 1, min(cuts[-1] + STRIP_ROWS, int(np.searchsorted(bounds, bounds[cuts[-1]] + STRIP, "right")) - 1)))
+    shift, strips = np.uint64(8 * (DEPTH + 1)), []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        own = gram_codes(symbols[bounds[a] : bounds[b]])
+        own |= np.repeat(np.arange(b - a, dtype=np.uint64) << shift, np.diff(bounds[a : b + 1]))
+        own.sort()
+        new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        strips.append((own[new], np.diff(np.append(new, len(own))).astype(np.int32)))
+    code = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(k & _low(DEPTH)) for k, _ in strips)]))
+    logp = np.zeros(len(code), np.float32)
+    for b, at in dealt(gram_buckets(code, buckets), buckets):
+        logp[at[np.argsort(code[at].byteswap())]] = _unpacked(answer[b], np.float32)
+    out = [np.zeros(0)]
+    for (k, n), a, b in zip(strips, cuts[:-1], cuts[1:], strict=True):
+        out.append(np.bincount((k >> shift).astype(np.int64), n * logp[np.searchsorted(code, k & _low(DEPTH))].astype(np.float64), b - a))
+    return np.concatenate(out)
 
 
 def score_corpus(docs: DataFrame, held_out, text: str = "text", key: str = "doc_id", buckets: int | None = None) -> DataFrame:
@@ -308,148 +363,49 @@ def score_corpus(docs: DataFrame, held_out, text: str = "text", key: str = "doc_
     Learns from the rows where ``held_out`` (a boolean column) is false.
     """
     spark = docs.sparkSession
+    small_batches(spark)
+    tables = Tables(spark)
     own = docs.select(F.col(key).alias(key), F.col(text).alias(text), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shallow, hot, hot_n, tokens, distinct = train(own.where(~F.col("held_out")), partitions, text)
-    buckets = buckets or max(partitions, int(shallow[0].n.sum()) // BUCKET_BYTES)
-    shared = spark.sparkContext.broadcast((shallow, hot, hot_n))
-    ends = own.where(~F.col("held_out")).count()
-    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType())])
-
-    def handed(seq: int, rows: list[pa.RecordBatch], texts: list, codes: list, words: list, docs_of: list, times: list, learns: list) -> Iterator[pa.RecordBatch]:
-        chunk = (TaskContext.get().partitionId() << 24) + seq
-        h, d, t = np.concatenate(words), np.concatenate(docs_of), np.concatenate(times)
-        bucket = (h >> np.uint64(33)) % np.uint64(buckets)
-        order = np.lexsort((d, h, bucket))
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        learn = np.packbits(np.concatenate(learns)).tobytes()
-        whole = _ipc(pa.Table.from_batches(rows).combine_chunks().to_batches()[0])
-        # The chunk's symbols travel with its rows; its distinct grams ask the buckets.
-        out = [(chunk % buckets, chunk, b"", b"", b"", b"", whole, _packed(np.concatenate(texts)), b"")]
-        code, n = _summed(*(np.concatenate(x) for x in zip(*codes, strict=True)))
-        out.extend((b, chunk, b"", b"", b"", b"", b"", _packed(code[at]), _packed(n[at])) for b, at in dealt(code, buckets))
-        for b in range(buckets):
-            at = order[cuts[b] : cuts[b + 1]]
-            if len(at):
-                out.append((b, chunk, _packed(h[at]), _packed(d[at].astype(np.int32)), _packed(t[at].astype(np.int32)), learn, b"", b"", b""))
-        yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 7), strict=True)], _PART.names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, hot, hot_n = shared.value
-        seq, size, n_rows = 0, 0, 0
-        rows, texts, codes, words_of, docs_of, times, learns = [], [], [], [], [], [], []
-        for batch in blocks(batches, text):
-            data, words = _words(batch.column(1))
-            symbols, bounds = stream(data, words)
-            texts.append(symbols)
-            row = row_of(words.bounds)
-            h = span_hashes(data, words.start, words.end)
-            at = np.minimum(np.searchsorted(hot, h), max(len(hot) - 1, 0)) if len(hot) else np.zeros(len(h), np.int64)
-            is_hot = hot[at] == h if len(hot) else np.zeros(len(h), bool)
-            c = hot_n[at[is_hot]] if len(hot) else np.zeros(0, np.int64)
-            n = batch.num_rows
-            base = np.bincount(row[is_hot], np.log10(c + 0.1), n)
-            known = np.bincount(row[is_hot], c > 0, n).astype(np.int64)
-            rest = np.flatnonzero(~is_hot)
-            pair = np.lexsort((h[rest], row[rest]))
-            rest = rest[pair]
-            new = np.flatnonzero(np.concatenate([[True], (h[rest][1:] != h[rest][:-1]) | (row[rest][1:] != row[rest][:-1])])) if len(rest) else rest
-            words_of.append(h[rest[new]])
-            docs_of.append(row[rest[new]] + n_rows)
-            times.append(np.diff(np.append(new, len(rest))))
-            held = batch.column(2).to_numpy(zero_copy_only=False)
-            learns.append(~held)
-            code, learnt = gram_codes(symbols), np.repeat(~held, np.diff(bounds))
-            codes.append(np.unique(code[learnt], return_counts=True))
-            seen = np.unique(code[~learnt])
-            codes.append((seen, np.zeros(len(seen), np.int64)))
-            rows.append(pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(words.counts + 1), pa.array(known), pa.array(base), pa.array(np.diff(bounds).astype(np.float64))], schema.names))
-            n_rows += n
-            size += len(data)
-            if size >= CHUNK_BYTES:
-                yield from handed(seq, rows, texts, codes, words_of, docs_of, times, learns)
-                seq, size, n_rows = seq + 1, 0, 0
-                rows, texts, codes, words_of, docs_of, times, learns = [], [], [], [], [], [], []
-        if rows:
-            yield from handed(seq, rows, texts, codes, words_of, docs_of, times, learns)
-
-    sums = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("doc", T.BinaryType()), T.StructField("base", T.BinaryType()), T.StructField("known", T.BinaryType()), T.StructField("rows", T.BinaryType()), T.StructField("bucket", T.IntegerType()), T.StructField("codes", T.BinaryType())])
-
-    def gathered(table: pa.Table) -> pa.Table:
-        """Counts of all words of one bucket, turned into sums per document of each chunk."""
-        out = []
-        parts = [(r["chunk"], _unpacked(r["word"], np.uint64), _unpacked(r["doc"], np.int32), _unpacked(r["times"], np.int32), r["learn"]) for r in table.to_pylist() if r["word"]]
-        if parts:
-            distinct, back = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
-            learn = np.concatenate([np.unpackbits(np.frombuffer(p[4], np.uint8))[p[2]] for p in parts])
-            times = np.concatenate([p[3] for p in parts])
-            count = np.bincount(back, times * learn, len(distinct))
-            log, at = np.log10(count + 0.1), 0
-            for chunk, word, doc, many, _ in parts:
-                own = back[at : at + len(word)]
-                at += len(word)
-                ids, where = np.unique(doc, return_inverse=True)
-                out.append((chunk, _packed(ids.astype(np.int32)), _packed(np.bincount(where, many * log[own], len(ids))), _packed(np.bincount(where, many * (count[own] > 0), len(ids)).astype(np.int32)), b"", None, b""))
-        out.extend((r["chunk"], b"", b"", b"", r["rows"], None, r["codes"]) for r in table.select(["chunk", "rows", "codes"]).to_pylist() if r["rows"])
-        asked = [(r["chunk"], r["bucket"], _unpacked(r["codes"], np.uint64), _unpacked(r["counts"], np.int64)) for r in table.select(["chunk", "bucket", "codes", "counts"]).to_pylist() if r["counts"]]
-        if asked:
-            code, n = _summed(np.concatenate([x[2] for x in asked]), np.concatenate([x[3] for x in asked]))
-            shallow = shared.value[0]
-            levels = shallow + deep_levels(code[n > 0], n[n > 0], shallow)
-            logp = log_probabilities(levels, code).astype(np.float32)
-            # In the order of symbol and latest bytes, grams with one answer stand side by side and pack well.
-            out.extend((chunk, b"", b"", b"", b"", bucket, _packed(logp[np.searchsorted(code, own[np.argsort(own.byteswap())])])) for chunk, bucket, own, _ in asked)
-        columns = list(zip(*out, strict=True)) or [[]] * 7
-        return pa.table([pa.array(c, f) for c, f in zip(columns, (pa.int64(), *[pa.binary()] * 4, pa.int32(), pa.binary()), strict=True)], names=sums.names)
-
-    parts = own.mapInArrow(releasing(run), _PART).groupBy("bucket").applyInArrow(gathered, sums)
+    if not buckets:
+        size = own.where(~F.col("held_out")).agg(F.sum(F.octet_length(text))).first()[0] or 0
+        buckets = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES), MOST_BUCKETS)
+    posted = tables.keep("posted", posted_chunks(own, buckets, text, key))
+    chunks, ends = posted.where(F.col("kind") == _TEXT).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    sums = tables.keep("sums", bucket_sums(posted, chunks))
+    few = shallow_sums(sums).toArrow()
+    shallow = spark.sparkContext.broadcast(shallow_levels(few["code"].to_numpy().view(np.uint64), few["n"].to_numpy()))
+    words, kinds = word_totals(sums)
     # The end token is a word of the vocabulary where there is any training text.
-    distinct += ends > 0
-    whole = np.log10(tokens + 0.1 * (distinct + 1)) if tokens + distinct else np.log10(0.1)
+    tokens, distinct = words + ends, kinds + (ends > 0)
+    whole = np.log10(tokens + 0.1 * (distinct + 1))
     end = np.log10(ends + 0.1)
-
-    def scores(symbols: np.ndarray, sizes: np.ndarray, answers: dict) -> np.ndarray:
-        """Sums of log10 probabilities per row of a chunk, from the answers on its distinct grams."""
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
-        # Strips end where rows end, so that grams see what stands before them.
-        cuts = np.unique(np.concatenate([[0], np.searchsorted(bounds, np.arange(STRIP, bounds[-1], STRIP)), [len(sizes)]]))
-        strips = [(bounds[a], bounds[b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        code = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(gram_codes(symbols[a:b])) for a, b in strips)]))
-        logp = np.zeros(len(code), np.float32)
-        for b, at in dealt(code, buckets):
-            logp[at[np.argsort(code[at].byteswap())]] = _unpacked(answers[b], np.float32)
-        out = []
-        for (a, b), first, last in zip(strips, cuts[:-1], cuts[1:], strict=True):
-            own = gram_codes(symbols[a:b])
-            order = np.argsort(own)
-            each = np.empty(len(own), np.float32)
-            each[order] = logp[np.searchsorted(code, own[order])]
-            out.append(np.add.reduceat(each, bounds[first:last] - a, dtype=np.float64))
-        return np.concatenate([np.zeros(0), *out])
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
     def joined(table: pa.Table) -> pa.Table:
-        """Adds the sums of all buckets to the rows of one chunk."""
-        held, text = next((r["rows"], r["codes"]) for r in table.select(["rows", "codes"]).to_pylist() if r["rows"])
-        rows = pa.ipc.open_stream(held).read_all()
-        n = rows.num_rows
-        base, known = rows["base"].to_numpy().copy(), rows["n_known"].to_numpy().copy()
-        for r in table.select(["doc", "base", "known"]).to_pylist():
-            if r["doc"]:
-                at = _unpacked(r["doc"], np.int32)
-                base += np.bincount(at, _unpacked(r["base"], np.float64), n)
-                known += np.bincount(at, _unpacked(r["known"], np.int32), n).astype(np.int64)
-        answers = {r["bucket"]: r["codes"] for r in table.select(["bucket", "codes"]).to_pylist() if r["bucket"] is not None}
-        score = scores(_unpacked(text, np.uint8), rows["score"].to_numpy().astype(np.int64), answers)
-        base += end - rows["n_tokens"].to_numpy() * whole
-        known += ends > 0
-        return pa.table([rows[key], rows["held_out"], rows["n_tokens"], pa.array(known), pa.array(base), pa.array(score)], names=schema.names)
-
-    found = parts.groupBy("chunk").applyInArrow(joined, schema)
-    return found.select(key, "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+        """Adds up the answers of one chunk by document."""
+        parts = table.select(["kind", "bucket", "codes"]).to_pylist()
+        at = next(i for i, r in enumerate(parts) if r["kind"] == _TEXT)
+        rows = pa.ipc.open_stream(table["rows"][at].as_py()).read_all()
+        data = _unpacked(parts[at]["codes"], np.uint8)
+        lines = np.concatenate([[0], np.cumsum(np.frombuffer(table["counts"][at].as_py(), np.int64))])
+        answer = {kind: {r["bucket"]: r["codes"] for r in parts if r["kind"] == kind} for kind in (_GRAMS, _WORDS)}
+        own = split_words(Block(data, lines), SPACE_SEP)
+        distinct, back = np.unique(span_hashes(data, own.start, own.end), return_inverse=True)
+        count = np.zeros(len(distinct), np.int64)
+        for b, places in dealt(word_buckets(distinct, buckets), buckets):
+            count[places] = _unpacked(answer[_WORDS][b], np.int64)
+        row, n = row_of(own.bounds), rows.num_rows
+        base = np.bincount(row, np.log10(count + 0.1)[back], n) + end - (own.counts + 1) * whole
+        known = np.bincount(row, (count > 0)[back], n).astype(np.int64) + (ends > 0)
+        score = gram_sums(*stream(data, own), answer[_GRAMS], buckets)
+        return pa.table([rows[key], rows["held_out"], pa.array(own.counts + 1), pa.array(known), pa.array(base), pa.array(score)], names=schema.names)
+
+    texts = posted.where(F.col("kind") == _TEXT).select("kind", "bucket", "chunk", "codes", "counts", "rows")
+    found = answers(posted, sums, shallow, chunks) if chunks else spark.createDataFrame([], _ANSWER)
+    scored = texts.unionByName(found, allowMissingColumns=True).groupBy("chunk").applyInArrow(joined, schema)
+    return scored.select(key, "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op9_lm_score(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return score_corpus(docs, crc_mod("doc_id", 10) == 0)
-
-
