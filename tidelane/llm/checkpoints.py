@@ -36,11 +36,29 @@ def shuffles_released(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_RELEASE, before) if before is not None else spark.conf.unset(_RELEASE)
 
 
+_open: list[list[Tables]] = []
+
+
+@contextmanager
+def dropped_after() -> Iterator[None]:
+    """What operators keep within this block goes at its end: their results have to be written by then."""
+    own: list[Tables] = []
+    _open.append(own)
+    try:
+        yield
+    finally:
+        _open.remove(own)
+        for tables in own:
+            tables.drop()
+
+
 class Tables:
     """Named intermediate tables of one operator call, in a folder of their own."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.folder = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+        for own in _open:
+            own.append(self)
 
     def keep(self, name: str, df: DataFrame) -> DataFrame:
         """``df`` computed once and read back."""

@@ -300,8 +300,11 @@ def removed_spans(texts: DataFrame, tables: Tables, length: int = LENGTH, gram:
     return spans
 
 
-def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (the remaining bytes, binary)."""
+def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, whole_characters: bool = False) -> DataFrame:
+    """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (the remaining bytes, binary).
+
+    With ``whole_characters`` a character that loses a byte is not in ``kept`` either, so that it is text again.
+    """
     added = ("n_bytes", "n_removed", "n_spans", "kept")
     small_batches(docs.sparkSession)
     tables = Tables(docs.sparkSession)
@@ -326,7 +329,11 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
                     edge = np.zeros(len(own) + 1, np.int8)
                     edge[a] = 1
                     edge[b] = -1
-                    own = own[np.cumsum(edge[:-1]) == 0]
+                    left = np.cumsum(edge[:-1]) == 0
+                    if whole_characters:
+                        heads = np.flatnonzero(own & 0xC0 != 0x80)
+                        left = np.repeat(np.logical_and.reduceat(left, heads), np.diff(np.append(heads, len(own))))
+                    own = own[left]
                     removed[i], runs[i] = (b - a).sum(), len(a)
                 kept.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sizes), pa.array(removed), pa.array(runs), pa.array(kept, pa.binary())], schema.names)

@@ -13,7 +13,8 @@ large slice, and what is repeated is only the rules.
 Defined cases: a null url, or one without ``://``, has an empty host and path and gets the
 default verdict.  Equal rules count once; of rules that differ in the verdict only, a block
 holds.  A rule with a null or empty host fits nothing; a null path reads as empty.
-Repeated pages are judged once each; extra columns pass through.
+Repeated pages are judged once each; extra columns pass through, whatever their names, but
+for those that are named as the added ones.
 """
 
 from __future__ import annotations
@@ -76,13 +77,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     swept = points.unionByName(ends, allowMissingColumns=True).withColumn("depth", F.sum("step").over(order))
     opened = [F.last(F.when((F.col("step") == 1) & (F.col("depth") == k), F.col("rules")), ignorenulls=True).over(order).alias(f"level{k}") for k in range(1, levels + 1)]
     found = swept.select("page", "depth", *opened).where("page IS NOT NULL")
-    stack = F.array(*(F.when(F.col("depth") >= k, F.col(f"level{k}")) for k in range(levels, 0, -1))) if levels else None
-    out = found.select("page.*", *([stack.alias("__stack")] if levels else []))
-    out = out.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))})
-    if not levels:
-        return out.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    out = out.withColumn("__hit", F.try_element_at(F.filter(F.flatten(F.filter("__stack", lambda s: s.isNotNull())), lambda r: F.startswith(F.col("path"), r["path"])), F.lit(1)))
-    return out.withColumns({"rule": F.col("__hit.rule"), "verdict": F.coalesce("__hit.verdict", F.lit(default))}).drop("__stack", "__hit")
+    host, path = url_host(F.col("page").getField(url)), url_path(F.col("page").getField(url))
+    rule, verdict = F.lit(None).cast("string"), F.lit(default)
+    if levels:
+        stack = F.array(*(F.when(F.col("depth") >= k, F.col(f"level{k}")) for k in range(levels, 0, -1)))
+        found = found.select("page", F.try_element_at(F.filter(F.flatten(F.filter(stack, lambda s: s.isNotNull())), lambda r: F.startswith(path, r["path"])), F.lit(1)).alias("hit"))
+        rule, verdict = F.col("hit.rule"), F.coalesce("hit.verdict", F.lit(default))
+    return found.select(*(F.col("page").getField(c).alias(c) for c in own), host.alias("host"), path.alias("path"), rule.alias("rule"), verdict.alias("verdict"))
 
 
 def op1_url_filter(spark, sf_dir: str) -> DataFrame:
