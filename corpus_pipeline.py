@@ -7,13 +7,11 @@ rows without a doc_id, or with the same one, are kept or dropped each by its own
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelane.llm import bpe, decontaminate, minhash, quality_classifier, suffix_dedup
-from tidelane.llm.checkpoints import shared_folder
+from tidelane.llm.checkpoints import Tables, dropped_after
 from tidelane.llm.sampling import crc_mod
 
 
@@ -24,17 +22,27 @@ ROW = "__row"
 NEAR_LIMIT = 80
 
 
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
-    model = quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), usable=crc_mod("doc_id", 5) != 0)
-    return quality_classifier.score(docs, model).where("predicted = 1").select(*docs.columns)
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id and text, and all other columns in ``rest``, where no operator's names can clash with theirs."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*others or [F.lit(None).cast("int").alias("none")]).alias("rest"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of ``docs`` again, some of them ``changed``."""
+    plain = lambda c: F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c)
+    return rows.select(*(changed.get(c, plain(c)).alias(c) for c in docs.columns))
 
 
 def numbered(docs: DataFrame) -> DataFrame:
     """``docs`` with a column ROW that names each row; written before use, so that it holds when tasks are rerun."""
-    folder = f"{shared_folder(docs.sparkSession)}/rows-{uuid.uuid4().hex}"
-    docs.withColumn(ROW, F.monotonically_increasing_id()).write.parquet(folder)
-    return docs.sparkSession.read.parquet(folder)
+    return Tables(docs.sparkSession).keep("rows", packed(docs).withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    model = quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), usable=crc_mod("doc_id", 5) != 0)
+    return unpacked(quality_classifier.score(packed(docs), model).where("predicted = 1"), docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,31 +51,33 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     judged = minhash.near_duplicates(rows, key=ROW, limit=NEAR_LIMIT).select(ROW, "component_id").join(rows.select(ROW, "doc_id"), ROW)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW))
     kept = judged.groupBy("component_id").agg(first.alias("first")).select(F.col("first").getField(ROW).alias(ROW))
-    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
+    return unpacked(rows.join(kept, ROW, "left_semi"), docs)
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that stand earlier; of those, a character that was cut in two goes as well (so do marks U+FFFD)."""
-    cut = suffix_dedup.suffix_dedup(docs)
-    changed = F.when(F.col("n_removed") > 0, F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))).otherwise(F.col("text"))
-    out = cut.withColumn("text", changed)
+    """Texts without the passages that stand earlier; a character that a passage cuts in two goes as well."""
+    cut = suffix_dedup.suffix_dedup(packed(docs), whole_characters=True)
+    text = F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col("text"))
+    changed = {"text": text}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("n_removed") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("rest.n_chars"))
+    return unpacked(cut, docs, **changed)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages."""
     rows = numbered(docs)
     found = decontaminate.decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=ROW)
-    return rows.join(found.where("n_hit > 0").select(ROW), ROW, "left_anti").select(*docs.columns)
+    return unpacked(rows.join(found.where("n_hit > 0").select(ROW), ROW, "left_anti"), docs)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their ``token_ids``, ``n_tokens`` and ``round_trip`` (decoding gives the text back)."""
-    out = bpe.encode_documents(docs)
+    """Documents with their ``token_ids``, ``n_tokens`` and ``round_trip`` (decoding gives the text back); columns of these names are replaced."""
+    out = bpe.encode_documents(packed(docs))
     same = F.col("decoded").eqNullSafe(F.coalesce("text", F.lit("")))
-    return out.select(*docs.columns, "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+    added = {"token_ids": F.col("token_ids"), "n_tokens": F.size("token_ids").cast("long"), "round_trip": same}
+    plain = {c: F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c) for c in docs.columns if c not in added}
+    return out.select(*(value.alias(c) for c, value in (plain | added).items()))
 
 
 STAGES = [
@@ -82,12 +92,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``, each written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs.write.parquet(f"{folder}/{k}")
-            docs = spark.read.parquet(f"{folder}/{k}")
-    return docs
+    """The stages applied to ``documents``, each written as Parquet and read again; what a stage has used goes once its result is written."""
+    docs, tables = spark.read.parquet(f"{sf_dir}/documents.parquet"), Tables(spark)
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with dropped_after():
+            docs = tables.keep(str(k), stage(spark, docs, sf_dir))
+        if k:
+            tables.drop(str(k - 1))
+    return STAGES[-1][1](spark, docs, sf_dir)
