@@ -199,6 +199,19 @@ def test_license_scan(docs, nothing):
     assert license_scan.scan_licenses(nothing).count() == 0
 
 
+def test_license_scan_of_neighbouring_names_and_long_notices(spark):
+    long = license_scan.NOTICES[8][1].split(" ")
+    inserted = " ".join([*long[:20], "really", *long[20:]])
+    texts = ["Licensed under CC BY-NC 4.0.", "Licensed under CC BY-SA 4.0", "licensed under cc by 4.0", "Licensed under the Apache License", " ".join(long), inserted, " ".join(long[:30]), inserted + " mit license", None]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(2, texts[2]), (None, texts[0]), (None, texts[0])]
+    found = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(found) == len(rows)
+    labels = {r.doc_id: r["labels"] for r in found}
+    assert labels == {0: "cc by nc", 1: "cc by sa", 2: "cc by", 3: "apache", 4: "mit", 5: "mit", 6: "", 7: "mit", 8: "", None: "cc by nc"}
+    spans = {r.doc_id: [(x["label"], x["first_word"], x["n_words"]) for x in r.spans] for r in found}
+    assert spans[4] == [("mit", 0, len(long))] and spans[5] == [("mit", 0, len(long))] and {r.doc_id: r.n_base for r in found}[7] == 1
+
+
 def test_url_filter(spark):
     urls = ["http://example.com/en/x?y", "https://WWW.example.com/en/", "http://a.net/es/1", "http://a.net/de/", "nonsense", None, "http://example.com", "http://notexample.com/en/", "http://example.com/en"]
     pages = spark.createDataFrame([(i, u, "mine") for i, u in enumerate(urls)], "page_id long, url string, verdict string")

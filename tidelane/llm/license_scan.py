@@ -1,14 +1,17 @@
 """License scans by diagonal voting.
 
 All rolling word k-grams of all documents are joined by hash (and, to verify, word by word)
-with the positions of the same k-grams in license templates.  A match at word ``pos`` of a
+with the positions of the same k-grams in license templates: pairs of words for templates of
+fewer than ``LONG`` words, ``GRAM`` words for the others.  A match at word ``pos`` of a
 document and ``tpos`` of a template votes for the diagonal ``pos - tpos``; a phrase that
 stands unbroken gets all its votes on one diagonal, and inserted or lost words shift the
-rest to a neighbouring one.  Neighbouring diagonals are merged, and a template is found where
-the k-grams that voted cover enough of it.
+rest to a neighbouring one.  A long template is found where the k-grams that voted on a
+diagonal and the ``NEAR`` diagonals after it cover enough of it; runs never reach farther.
+A short one has to stand unbroken, as one word more can name another license.
 
 The templates are a short fixed list, so their positions are broadcast; documents are read
-once and only votes are shuffled.
+once and only votes are shuffled.  Rows are named by key and content, so a task that is run
+again names them alike.
 
 Defined cases: null and empty texts have no words, no labels and score 0.  Overlapping
 occurrences count.  Repeated rows are scanned once each; extra columns are ignored.
@@ -23,50 +26,54 @@ from pyspark.sql import functions as F
 BASE = [("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license")]
 NOTICES = [
     ("apache", "licensed under the apache license version 2 0"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("cc by", "licensed under cc by 4 0"),
     ("cc by nc", "licensed under cc by nc 4 0"),
     ("cc by sa", "licensed under cc by sa 4 0"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
     ("mit", "released under the mit license"),
     ("mpl", "subject to the terms of the mozilla public license v 2 0"),
 ]
 
-#: Words of a gram, diagonals that are merged, share of a notice that must be covered.
-GRAM, NEAR, COVER = 2, 2, 0.8
+#: Words of a gram of templates with LONG words or more, diagonals that are merged, share of such a template that must be covered.
+GRAM, LONG, NEAR, COVER = 4, 12, 2, 0.8
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def template_positions(spark, base: list, notices: list, k: int = GRAM) -> DataFrame:
-    """One row per k-gram of every template: (template, label, base, grams, tpos, t0..)."""
+def template_positions(spark, base: list, notices: list, k: int = GRAM, long: int = LONG) -> DataFrame:
+    """One row per gram of every template: (template, label, base, strict, grams, tpos, t0..); a short template has pairs, and null beyond."""
     rows = []
     for i, (is_base, label, text) in enumerate([*((True, *x) for x in base), *((False, *x) for x in notices)]):
         words = text.split(" ")
-        grams = len(words) - k + 1
-        if not 1 <= grams <= 62:
-            raise ValueError(f"a template needs {k} to {61 + k} words: {text!r}")
-        rows.extend((i, label, is_base, grams, p, *words[p : p + k]) for p in range(grams))
-    return spark.createDataFrame(rows, "template int, label string, base boolean, grams int, tpos int, " + ", ".join(f"t{j} string" for j in range(k)))
+        size = k if len(words) >= long else 2
+        if len(words) < 2:
+            raise ValueError(f"a template needs two words: {text!r}")
+        grams = len(words) - size + 1
+        rows.extend((i, label, is_base, size == 2, grams, p, *words[p : p + size], *[None] * (k - size)) for p in range(grams))
+    return spark.createDataFrame(rows, "template int, label string, base boolean, strict boolean, grams int, tpos int, " + ", ".join(f"t{j} string" for j in range(k)))
 
 
 def scan_votes(docs: DataFrame, templates: DataFrame, key: str = "doc_id", text: str = "text", k: int = GRAM) -> DataFrame:
-    """Votes per document row (``rid``), template and diagonal; a row without votes has null there."""
+    """Votes of each document (key, ``print``, n_words; ``copies`` rows of it), template and diagonal; one row without a template holds the copies."""
     plain = F.translate(F.coalesce(F.col(text), F.lit("")), _UPPER, _LOWER)
-    words = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias(key), F.filter(F.split(plain, SEPARATORS), lambda w: w != "").alias("w"))
+    words = docs.select(F.col(key).alias("key"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("print"), F.filter(F.split(plain, SEPARATORS), lambda w: w != "").alias("w"))
     shifted = [F.col("w"), *(F.slice("w", j + 1, F.greatest(F.size("w") - j, F.lit(0))) for j in range(1, k))]
-    zipped = words.select("rid", key, F.size("w").cast("long").alias("n_words"), F.arrays_zip(*(c.alias(f"w{j}") for j, c in enumerate(shifted))).alias("z"))
-    grams = zipped.select("rid", key, "n_words", F.posexplode_outer("z").alias("pos", "g")).select("rid", key, "n_words", "pos", *(F.col("g").getField(f"w{j}").alias(f"w{j}") for j in range(k)))
-    grams = grams.withColumn("h", F.xxhash64(*(f"w{j}" for j in range(k))))
-    sides = templates.withColumn("th", F.xxhash64(*(f"t{j}" for j in range(k))))
-    same = F.col("h") == F.col("th")
-    for j in range(k):
-        same = same & (F.col(f"w{j}") == F.col(f"t{j}"))
-    hits = grams.join(F.broadcast(sides), same, "left").where("template IS NOT NULL OR pos IS NULL OR pos = 0")
+    # The first entry is no gram: it stands for the document itself.
+    zipped = F.concat(F.array(F.lit(None).cast(f"struct<{', '.join(f'w{j}:string' for j in range(k))}>")), F.arrays_zip(*(c.alias(f"w{j}") for j, c in enumerate(shifted))))
+    name = ["key", "print", "n_words"]
+    grams = words.select("key", "print", F.size("w").cast("long").alias("n_words"), zipped.alias("z")).select(*name, F.posexplode("z").alias("at", "g"))
+    grams = grams.select(*name, (F.col("at") - 1).alias("pos"), *(F.col("g").getField(f"w{j}").alias(f"w{j}") for j in range(k))).withColumn("h", F.xxhash64("w0", "w1"))
+    same = (F.col("h") == F.col("th")) & (F.col("w0") == F.col("t0")) & (F.col("w1") == F.col("t1"))
+    for j in range(2, k):
+        same = same & (F.col(f"t{j}").isNull() | (F.col(f"w{j}") == F.col(f"t{j}")))
+    hits = grams.join(F.broadcast(templates.withColumn("th", F.xxhash64("t0", "t1"))), same, "left").where("template IS NOT NULL OR pos < 0")
     diagonal = F.when(F.col("template").isNotNull(), F.col("pos") - F.col("tpos"))
-    return hits.groupBy("rid", key, "n_words", "template", "label", "base", "grams", diagonal.alias("diagonal")).agg(F.bit_or(F.expr("shiftleft(1L, tpos)")).alias("mask"))
+    return hits.groupBy(*name, "template", "label", "base", "strict", "grams", diagonal.alias("diagonal")).agg(F.collect_set("tpos").alias("seen"), F.count(F.when(F.col("pos") < 0, 1)).alias("copies"))
 
 
 def scan_licenses(docs: DataFrame, base: list = BASE, notices: list = NOTICES, key: str = "doc_id", text: str = "text", k: int = GRAM, near: int = NEAR, cover: float = COVER) -> DataFrame:
@@ -74,22 +81,27 @@ def scan_licenses(docs: DataFrame, base: list = BASE, notices: list = NOTICES, k
 
     ``spans``: (label, first_word, n_words, cover) of every template found, base phrases included.
     """
+    name = ["key", "print", "n_words"]
     votes = scan_votes(docs, template_positions(docs.sparkSession, base, notices, k), key, text, k)
-    own = Window.partitionBy("rid", key, "n_words", "template", "label", "base", "grams")
-    along = own.orderBy("diagonal")
-    apart = F.coalesce(F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(along) > near), F.lit(False))
-    runs = votes.withColumn("run", F.sum(apart.cast("int")).over(along))
-    merged = runs.groupBy("rid", key, "n_words", "template", "label", "base", "grams", "run").agg(F.min("diagonal").cast("long").alias("start"), F.max("diagonal").cast("long").alias("stop"), F.bit_or("mask").alias("mask"))
-    share = F.bit_count("mask") / F.col("grams")
-    found = merged.withColumn("cover", share).withColumn("hit", F.when(F.col("base"), F.col("cover") == 1).otherwise(F.col("cover") >= cover))
+    along = Window.partitionBy(*name, "template").orderBy("diagonal")
+    merged = F.array_distinct(F.flatten(F.collect_list("seen").over(along.rangeBetween(0, near))))
+    votes = votes.withColumn("seen", F.when(F.col("template").isNull() | F.col("strict"), F.col("seen")).otherwise(merged))
+    votes = votes.withColumn("cover", F.when(F.col("template").isNotNull(), F.size("seen") / F.col("grams")))
+    votes = votes.withColumn("hit", F.coalesce(F.col("cover") >= F.when(F.col("strict"), 1.0).otherwise(cover), F.lit(False)))
+    rank = F.struct("cover", -F.col("diagonal"))
+    best = F.col("hit") & (F.col("strict") | (F.max(F.when(F.col("hit"), rank)).over(along.rangeBetween(-near, near)) == rank))
+    found = votes.withColumn("best", best)
     place = F.col("base") & F.col("hit")
-    span = F.struct("label", F.col("start").alias("first_word"), (F.col("stop") - F.col("start") + F.col("grams") + (k - 1)).alias("n_words"), "cover")
+    start = F.col("diagonal").cast("long")
+    span = F.struct("label", (start + F.array_min("seen")).alias("first_word"), (F.array_max("seen") - F.array_min("seen") + F.when(F.col("strict"), 2).otherwise(k)).cast("long").alias("n_words"), "cover")
     joined = lambda c: F.array_join(F.sort_array(F.collect_set(F.when(c, F.col("label")))), ",")
-    return found.groupBy("rid", key, "n_words").agg(
-        F.count(F.when(place, 1)).alias("n_base"), F.min(F.when(place, F.col("start"))).alias("first_word"), F.max(F.when(place, F.col("start"))).alias("last_word"),
+    each = found.groupBy(*name).agg(
+        F.count(F.when(place, 1)).alias("n_base"), F.min(F.when(place, start)).alias("first_word"), F.max(F.when(place, start)).alias("last_word"),
         joined(place).alias("base_labels"), joined(F.col("hit")).alias("labels"), F.coalesce(F.max("cover"), F.lit(0.0)).alias("score"),
-        F.sort_array(F.collect_list(F.when(F.col("hit"), span))).alias("spans"),
-    ).drop("rid")
+        F.sort_array(F.collect_list(F.when(F.col("best"), span))).alias("spans"), F.sum("copies").alias("copies"),
+    )
+    rows = each.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return rows.select(F.col("key").alias(key), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")
 
 
 def op2_license_scan(spark, sf_dir: str) -> DataFrame:
@@ -101,18 +113,19 @@ _TEMPLATES = ", ".join(f"({i}, '{label}', {b}, '{text}')" for i, (b, label, text
 OP2_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{SEPARATORS}'), lambda x: x <> '') AS w FROM documents),
 t0(template, label, base, txt) AS (VALUES {_TEMPLATES}),
-t1 AS (SELECT template, label, base, string_split(txt, ' ') AS w FROM t0),
-t AS (SELECT template, label, base, len(w) - 1 AS grams, p - 1 AS tpos, w[p] AS a, w[p + 1] AS b FROM (SELECT *, unnest(generate_series(1, len(w) - 1)) AS p FROM t1)),
-g AS (SELECT rid, p - 1 AS pos, w[p] AS a, w[p + 1] AS b FROM (SELECT rid, w, unnest(generate_series(1, len(w) - 1)) AS p FROM d WHERE len(w) > 1)),
-v AS (SELECT rid, template, label, base, grams, pos - tpos AS diagonal, bit_or(1::BIGINT << tpos) AS mask FROM g JOIN t USING (a, b) GROUP BY ALL),
-r AS (SELECT *, sum(CASE WHEN far OR base THEN 1 ELSE 0 END) OVER (PARTITION BY rid, template ORDER BY diagonal) AS run
-      FROM (SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) > {NEAR}, false) AS far FROM v)),
-m AS (SELECT rid, template, label, base, min(diagonal) AS start, bit_count(bit_or(mask)) / grams AS cover FROM r GROUP BY rid, template, label, base, grams, run),
-f AS (SELECT *, CASE WHEN base THEN cover = 1 ELSE cover >= {COVER} END AS hit FROM m)
+t1 AS (SELECT template, label, base, string_split(txt, ' ') AS w, CASE WHEN len(string_split(txt, ' ')) < {LONG} THEN 2 ELSE {GRAM} END AS k FROM t0),
+t AS (SELECT template, label, base, k, len(w) - k + 1 AS grams, p - 1 AS tpos, w[p] AS a, w[p + 1] AS b, array_to_string(w[p:p + k - 1], ' ') AS gram FROM (SELECT *, unnest(generate_series(1, len(w) - k + 1)) AS p FROM t1)),
+g AS (SELECT rid, p - 1 AS pos, w[p] AS a, w[p + 1] AS b, w[p:p + {GRAM - 1}] AS ws FROM (SELECT rid, w, unnest(generate_series(1, len(w) - 1)) AS p FROM d WHERE len(w) > 1)),
+v AS (SELECT rid, template, label, base, k, grams, pos - tpos AS diagonal, tpos FROM g JOIN t USING (a, b) WHERE array_to_string(ws[1:k], ' ') = gram),
+n AS (SELECT DISTINCT rid, template, diagonal FROM v),
+f AS (SELECT n.rid, n.diagonal, v.label, v.base, v.k, count(DISTINCT v.tpos) / v.grams AS cover
+      FROM n JOIN v ON v.rid = n.rid AND v.template = n.template AND v.diagonal BETWEEN n.diagonal AND n.diagonal + CASE WHEN v.k = 2 THEN 0 ELSE {NEAR} END
+      GROUP BY n.rid, n.template, n.diagonal, v.label, v.base, v.k, v.grams),
+h AS (SELECT *, cover >= CASE WHEN k = 2 THEN 1 ELSE {COVER} END AS hit FROM f)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, count(*) FILTER (WHERE base AND hit) AS n_base,
-       CAST(min(start) FILTER (WHERE base AND hit) AS BIGINT) AS first_word, CAST(max(start) FILTER (WHERE base AND hit) AS BIGINT) AS last_word,
+       CAST(min(diagonal) FILTER (WHERE base AND hit) AS BIGINT) AS first_word, CAST(max(diagonal) FILTER (WHERE base AND hit) AS BIGINT) AS last_word,
        coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base AND hit), '') AS base_labels,
        coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE hit), '') AS labels,
        CAST(coalesce(max(cover), 0) AS DOUBLE) AS score
-FROM d LEFT JOIN f USING (rid) GROUP BY d.rid, d.doc_id, d.w
+FROM d LEFT JOIN h USING (rid) GROUP BY d.rid, d.doc_id, d.w
 """
