@@ -37,8 +37,8 @@ from tidelane.llm.suffix_array import suffix_array
 #: Bytes of a string, of an anchor's gram.
 LENGTH, GRAM = 100, 32
 
-#: Segments of one anchor that meet in one task, at most; text bytes of a task's chunk; bytes put in order at once.
-HOT, CHUNK_BYTES, ORDER_BYTES = 16_384, 24 << 20, 400_000
+#: Segments of one anchor that meet in one task, at most; text bytes of a task's chunk, and of a block whose anchors are found at once; bytes put in order at once.
+HOT, CHUNK_BYTES, BLOCK_BYTES, ORDER_BYTES = 16_384, 8 << 20, 512 << 10, 400_000
 
 #: Classes of window starts before their anchor; all windows of a class share a core of at least LENGTH - 9 bytes.
 _CLASSES = [(-(k + 9) if k < 63 else -(LENGTH - GRAM), -k) for k in range(0, LENGTH - GRAM, 10)]
@@ -127,7 +127,7 @@ def segments_of(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
-        for batch in blocks(batches):
+        for batch in blocks(batches, limit=BLOCK_BYTES):
             block = utf8_block(batch.column(1))
             row, pos, low, high, anchor, whole = anchors(block.data, block.bounds, length, gram)
             begin = block.bounds[row]
