@@ -1,78 +1,5 @@
-"""Cutting lineage: tables that are written once to storage all executors share, and removed when nothing needs them any more."""
+"""Cutting lineage in storage that all executors share."""
 
-from __future__ import annotations
+from tidelane.storage import Tables, dropped_after, shared_folder
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark.sql import DataFrame, SparkSession
-
-_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, or the context's; a local session without one (as in tests) gets a temporary folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-@contextmanager
-def shuffles_released(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of the executions in this block go when each ends: their results are written, so nobody reads them again."""
-    before = spark.conf.get(_RELEASE, None)
-    spark.conf.set(_RELEASE, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(_RELEASE, before) if before is not None else spark.conf.unset(_RELEASE)
-
-
-_open: list[list[Tables]] = []
-
-
-@contextmanager
-def dropped_after() -> Iterator[None]:
-    """What operators keep within this block goes at its end: their results have to be written by then."""
-    own: list[Tables] = []
-    _open.append(own)
-    try:
-        yield
-    finally:
-        _open.remove(own)
-        for tables in own:
-            tables.drop()
-
-
-class Tables:
-    """Named intermediate tables of one operator call, in a folder of their own."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.folder = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
-        for own in _open:
-            own.append(self)
-
-    def keep(self, name: str, df: DataFrame) -> DataFrame:
-        """``df`` computed once and read back."""
-        with shuffles_released(self.spark):
-            df.write.parquet(f"{self.folder}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
-
-    def drop(self, *names: str) -> None:
-        """Remove tables that nothing reads any more; without names all."""
-        for name in names or ("",):
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def materialised(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read back from the shared folder, where it stays."""
-    return Tables(df.sparkSession).keep("table", df)
+__all__ = ["Tables", "dropped_after", "shared_folder"]

@@ -44,13 +44,14 @@ from tidelane.llm.sampling import crc_mod
 DEPTH, SHALLOW, MIN_COUNT, MIN_GAIN, PARENT = 6, 2, 4, 20.0, 4.0
 
 #: Text bytes of a chunk; chunks that are summed at once; chunks that one task of a bucket answers, about.
-CHUNK_BYTES, FAN, ASKED = 12 << 20, 64, 256
+CHUNK_BYTES, FAN, ASKED = 8 << 20, 64, 256
 
 #: Training symbols for each bucket, about, and the number of buckets, at most.
 BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 8192
 
-#: Symbols and rows that are looked up at once.
-STRIP, STRIP_ROWS = 2 << 20, 256
+#: Text bytes of a block, and symbols and rows that are looked up at once.
+BLOCK_BYTES = 512 << 10
+STRIP, STRIP_ROWS = 1 << 20, 64
 
 _BLANK, _END = 32, 10
 
@@ -99,6 +100,21 @@ def _summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code[new], np.add.reduceat(n, new) if len(new) else n
 
 
+def _distinct(code: np.ndarray) -> np.ndarray:
+    """Sorted; much faster than numpy's own way by hashing."""
+    code = np.sort(code)
+    return code[np.concatenate([[True], code[1:] != code[:-1]])] if len(code) else code
+
+
+def _counted(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct codes of the parts, which are used up, and how often each stands there."""
+    code = np.concatenate([np.zeros(0, np.uint64), *parts])
+    parts.clear()
+    code.sort()
+    new = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    return code[new], np.diff(np.append(new, len(code)))
+
+
 def _low(size: int) -> np.uint64:
     """Mask of a symbol and ``size`` bytes before it."""
     return np.uint64((1 << 8 * (size + 1)) - 1)
@@ -224,14 +240,16 @@ def posted_chunks(own: DataFrame, buckets: int, text: str, key: str) -> DataFram
         rows = pa.RecordBatch.from_arrays([pa.concat_arrays(keys), pa.array(learnt)], [key, "held_out"])
         out = [(_TEXT, int(chunk % buckets), chunk, int((~learnt).sum()), _packed(np.concatenate(data)), np.concatenate(sizes).astype(np.int64).tobytes(), _ipc(rows))]
         for kind, bucket_of in ((_GRAMS, gram_buckets), (_WORDS, word_buckets)):
-            code, n = _summed(*(np.concatenate(x) for x in zip(*found[kind], strict=True)))
+            code, n = _counted(found[kind][0])
+            other = _counted(found[kind][1])[0]
+            code, n = _summed(np.concatenate([code, other]), np.concatenate([n, np.zeros(len(other), np.int64)]))
             out.extend((kind, b, chunk, len(at), _packed(code[at]), _packed(n[at]), None) for b, at in dealt(bucket_of(code, buckets), buckets))
         return _table(out, _POSTED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, size = TaskContext.get().partitionId() << 24, 0
-        keys, held, data, sizes, found = [], [], [], [], {_GRAMS: [], _WORDS: []}
-        for batch in blocks(batches, text):
+        keys, held, data, sizes, found = [], [], [], [], {_GRAMS: ([], []), _WORDS: ([], [])}
+        for batch in blocks(batches, text, BLOCK_BYTES):
             raw = utf8_block(batch.column(1))
             lower = LOWER[raw.data]
             words = split_words(Block(lower, raw.bounds), SPACE_SEP)
@@ -240,9 +258,8 @@ def posted_chunks(own: DataFrame, buckets: int, text: str, key: str) -> DataFram
             code, word = gram_codes(symbols), span_hashes(lower, words.start, words.end)
             for kind, of, many in ((_GRAMS, code, np.diff(bounds)), (_WORDS, word, words.counts)):
                 other = np.repeat(out, many)
-                found[kind].append(np.unique(of[~other], return_counts=True))
-                seen = np.unique(of[other])
-                found[kind].append((seen, np.zeros(len(seen), np.int64)))
+                found[kind][0].append(of[~other])
+                found[kind][1].append(of[other])
             keys.append(batch.column(0))
             held.append(out)
             data.append(lower)
@@ -251,7 +268,7 @@ def posted_chunks(own: DataFrame, buckets: int, text: str, key: str) -> DataFram
             if size >= CHUNK_BYTES:
                 yield handed(chunk, keys, held, data, sizes, found)
                 chunk, size = chunk + 1, 0
-                keys, held, data, sizes, found = [], [], [], [], {_GRAMS: [], _WORDS: []}
+                keys, held, data, sizes, found = [], [], [], [], {_GRAMS: ([], []), _WORDS: ([], [])}
         if keys:
             yield handed(chunk, keys, held, data, sizes, found)
 
@@ -340,20 +357,31 @@ def gram_sums(symbols: np.ndarray, bounds: np.ndarray, answer: dict, buckets: in
     cuts = [0]
     while cuts[-1] < rows:
         cuts.append(max(cuts[-1] + 1, min(cuts[-1] + STRIP_ROWS, int(np.searchsorted(bounds, bounds[cuts[-1]] + STRIP, "right")) - 1)))
-    shift, strips = np.uint64(8 * (DEPTH + 1)), []
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        own = gram_codes(symbols[bounds[a] : bounds[b]])
-        own |= np.repeat(np.arange(b - a, dtype=np.uint64) << shift, np.diff(bounds[a : b + 1]))
-        own.sort()
-        new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        strips.append((own[new], np.diff(np.append(new, len(own))).astype(np.int32)))
-    code = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(k & _low(DEPTH)) for k, _ in strips)]))
+    shift = np.uint64(8 * (DEPTH + 1))
+
+    def strips() -> Iterator[np.ndarray]:
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            own = gram_codes(symbols[bounds[a] : bounds[b]])
+            own |= np.repeat(np.arange(b - a, dtype=np.uint64) << shift, np.diff(bounds[a : b + 1]))
+            own.sort()
+            yield own
+
+    code, fresh, size = np.zeros(0, np.uint64), [], 0
+    for own in strips():  # sorted again below: cheaper than to keep them
+        fresh.append(_distinct(own & _low(DEPTH)))
+        size += len(fresh[-1])
+        if size >= STRIP:
+            code, fresh, size = _distinct(np.concatenate([code, *fresh])), [], 0
+    code = _distinct(np.concatenate([code, *fresh]))
     logp = np.zeros(len(code), np.float32)
     for b, at in dealt(gram_buckets(code, buckets), buckets):
         logp[at[np.argsort(code[at].byteswap())]] = _unpacked(answer[b], np.float32)
     out = [np.zeros(0)]
-    for (k, n), a, b in zip(strips, cuts[:-1], cuts[1:], strict=True):
-        out.append(np.bincount((k >> shift).astype(np.int64), n * logp[np.searchsorted(code, k & _low(DEPTH))].astype(np.float64), b - a))
+    for own, a, b in zip(strips(), cuts[:-1], cuts[1:], strict=True):
+        gram = own & _low(DEPTH)
+        few = _distinct(gram)
+        each = logp[np.searchsorted(code, few)][np.searchsorted(few, gram)]
+        out.append(np.bincount((own >> shift).astype(np.int64), each.astype(np.float64), b - a))
     return np.concatenate(out)
 
 
