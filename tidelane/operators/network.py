@@ -54,11 +54,18 @@ def trip_order(stop_times: DataFrame) -> DataFrame:
     return first.withColumn("ord", F.row_number().over(Window.partitionBy("rid").orderBy("first_dep", "tid")))
 
 
-def earliest_trips(calls: DataFrame, stop_times: DataFrame) -> DataFrame:
-    """As-of join: for each call (query_id, sid, at) and route position the first departure from ``at`` on.
+def earliest_trips(calls: DataFrame, stop_times: DataFrame, positions: DataFrame | None = None) -> DataFrame:
+    """As-of join: for each call (query_id, sid, at) and route position the first departure from ``at`` on; ties go to the smaller trip.
 
-    One range-filtered join and one partial aggregation; ties go to the smaller trip.
+    Calls and departures of a position are sorted together, from the latest on, and each call takes the
+    departure it saw last: one shuffle, and work in proportion to calls and departures.  With a column
+    ``day`` on both sides only departures of the call's day count.  ``positions``: the distinct
+    (sid, rid, seq) of ``stop_times``, if they are known.
     """
-    cand = calls.join(stop_times, "sid").where(F.col("dep") >= F.col("at"))
-    best = cand.groupBy("query_id", "sid", "rid", "seq").agg(F.min(F.struct("dep", "tid")).alias("first"))
-    return best.select("query_id", "sid", "rid", "seq", F.col("first.dep").alias("dep"), F.col("first.tid").alias("tid"))
+    by = [*(["day"] if "day" in calls.columns and "day" in stop_times.columns else []), "sid", "rid", "seq"]
+    positions = stop_times.select("sid", "rid", "seq").distinct() if positions is None else positions
+    asked = calls.join(positions, "sid").select(*by, F.col("at").cast("long").alias("t"), F.lit(1).alias("call"), F.lit(None).cast("long").alias("tid"), "query_id")
+    runs = stop_times.select(*by, F.col("dep").cast("long").alias("t"), F.lit(0).alias("call"), F.col("tid").cast("long").alias("tid"), F.lit(None).cast(calls.schema["query_id"].dataType).alias("query_id"))
+    back = Window.partitionBy(*by).orderBy(F.desc("t"), "call", F.desc("tid")).rowsBetween(Window.unboundedPreceding, 0)
+    found = asked.unionByName(runs).withColumn("first", F.last(F.when(F.col("call") == 0, F.struct(F.col("t").alias("dep"), "tid")), ignorenulls=True).over(back))
+    return found.where("call = 1 AND first IS NOT NULL").select("query_id", "sid", "rid", "seq", F.col("first.dep").alias("dep"), F.col("first.tid").alias("tid"))

@@ -1,44 +1,44 @@
-"""Batched earliest-arrival routing in rounds.
+"""Batched earliest-arrival routing in rounds, and whole plans from place to place.
 
 Every request is a row; a round rides vehicles (and flexible services) from the labels that
 the round before improved, then walks on from what this round improved until nothing
-improves.  State is a DataFrame of labels, cut from its lineage once a round.
+improves.  State is a table of labels, written to the shared folder once a round; candidates
+carry their last leg only, and take the legs before it when they have won.
 """
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelane.functions.booking import deadline, feasible
-from tidelane.functions.geo import flex_seconds, haversine_m
-from tidelane.operators.network import earliest_trips
+from tidelane.functions.geo import flex_seconds, haversine_m, walk_seconds
+from tidelane.operators.network import earliest_trips, within_radius
+from tidelane.storage import Tables
+
+_LEG = "struct<mode:string,trip:bigint,from_sid:bigint,to_sid:bigint,dep:bigint,arr:bigint,due:bigint,metres:double>"
+_LEGS = f"array<{_LEG}>"
 
-_LEG = "struct<mode:string,trip:bigint,from_sid:bigint,to_sid:bigint,dep:bigint,arr:bigint,due:bigint>"
-_MODES = {"transit": 0, "flex": 1, "walk": 2}
+#: Metres that a request may walk to its first and from its last stop where it names none, and at most; rides where it names none.
+WALK_M, MOST_WALK_M, RIDES = 800.0, 2000.0, 6
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Lineage cut in the shared checkpoint folder."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+def _leg(mode: str, trip, start, stop, dep, arr, due=None, metres=None) -> Column:
+    parts = {"trip": trip, "from_sid": start, "to_sid": stop, "dep": dep, "arr": arr, "due": due, "metres": metres}
+    return F.struct(F.lit(mode).alias("mode"), *((F.lit(None) if c is None else c).cast("double" if k == "metres" else "bigint").alias(k) for k, c in parts.items())).cast(_LEG)
 
 
-def _leg(mode: str, trip, start, stop, dep, arr, due=None):
-    cast = lambda c: (F.lit(None) if c is None else c).cast("bigint")
-    return F.struct(F.lit(mode).alias("mode"), cast(trip).alias("trip"), cast(start).alias("from_sid"), cast(stop).alias("to_sid"), cast(dep).alias("dep"), cast(arr).alias("arr"), cast(due).alias("due")).cast(_LEG)
+def _rank() -> Column:
+    """Earliest first, then transit, flex, walk, then the smaller trip and stop."""
+    leg = F.col("leg")
+    mode = F.when(leg["mode"] == "transit", 0).when(leg["mode"] == "flex", 1).otherwise(2)
+    return F.struct(F.col("arr"), mode, F.coalesce(leg["trip"], F.lit(-1).cast("bigint")), F.coalesce(leg["from_sid"], F.lit(-1).cast("bigint")), leg["dep"])
 
 
-def _best(cand: DataFrame) -> DataFrame:
-    """The best label per request and stop: earliest, then transit, flex, walk, then the smaller trip and stop."""
-    rank = F.create_map(*(F.lit(x) for kv in _MODES.items() for x in kv))
-    last = F.element_at("legs", -1)
-    order = F.struct(F.col("arr"), rank[last["mode"]], last["trip"], last["from_sid"], last["dep"])
-    return cand.groupBy("query_id", "sid").agg(F.min_by("legs", order).alias("legs"), F.min("arr").alias("arr"))
+def _best(cand: DataFrame, *more: str) -> DataFrame:
+    """The best candidate per request and stop."""
+    each = cand.groupBy("query_id", "sid").agg(F.min_by(F.struct("leg", *more), _rank()).alias("x"), F.min("arr").alias("arr"))
+    return each.select("query_id", "sid", "arr", "x.*")
 
 
 def _better(cand: DataFrame, labels: DataFrame) -> DataFrame:
@@ -46,19 +46,36 @@ def _better(cand: DataFrame, labels: DataFrame) -> DataFrame:
     return _best(cand).join(known, ["query_id", "sid"], "left").where(F.col("known").isNull() | (F.col("arr") < F.col("known"))).drop("known")
 
 
-def ride(delta: DataFrame, stop_times: DataFrame) -> DataFrame:
-    """Labels reached on vehicles: the first trip at each position, then every later stop of it."""
-    board = earliest_trips(delta.select("query_id", "sid", F.col("arr").alias("at")), stop_times)
-    board = board.join(delta.select("query_id", "sid", "legs"), ["query_id", "sid"])
-    on = board.select("query_id", "tid", F.col("sid").alias("from_sid"), F.col("seq").alias("board_seq"), F.col("dep").alias("board_dep"), "legs")
-    off = on.join(stop_times.select("tid", "seq", "sid", "arr"), "tid").where("seq > board_seq")
-    leg = _leg("transit", F.col("tid"), F.col("from_sid"), F.col("sid"), F.col("board_dep"), F.col("arr"))
-    return off.select("query_id", "sid", F.col("arr").cast("bigint").alias("arr"), F.concat("legs", F.array(leg)).alias("legs"))
+def _with_legs(won: DataFrame, parents: DataFrame) -> DataFrame:
+    """``won`` (query_id, sid, arr, leg) with all its ``legs``."""
+    before = parents.select("query_id", F.col("sid").alias("__from"), F.col("legs").alias("__before"))
+    joined = won.withColumn("__from", F.col("leg.from_sid")).join(before, ["query_id", "__from"])
+    return joined.select("query_id", "sid", "arr", "leg", F.concat("__before", F.array("leg")).alias("legs"))
+
+
+def ride(delta: DataFrame, stop_times: DataFrame, running: DataFrame | None = None, positions: DataFrame | None = None) -> DataFrame:
+    """Candidates (query_id, sid, arr, leg) on vehicles: the first trip at each position, boarded as early on its way as can be, then every later stop of it.
+
+    ``running``: the stop times of each ``day`` that ``delta`` asks for, if not all run daily.
+    """
+    departures = stop_times if running is None else running
+    day = [] if running is None else ["day"]
+    board = earliest_trips(delta.select("query_id", "sid", F.col("arr").alias("at"), *day), departures, positions)
+    on = board.groupBy("query_id", "tid").agg(F.min(F.struct("seq", "sid", "dep")).alias("b"))
+    off = on.join(stop_times.select("tid", "seq", "sid", "arr"), "tid").where(F.col("seq") > F.col("b.seq"))
+    leg = _leg("transit", F.col("tid"), F.col("b.sid"), F.col("sid"), F.col("b.dep"), F.col("arr"))
+    return off.select("query_id", "sid", F.col("arr").cast("bigint").alias("arr"), leg.alias("leg"))
 
 
 def flex_ride(delta: DataFrame, network, requests: DataFrame) -> DataFrame:
-    """Labels reached by flexible services: boarding and arrival inside the window, bookable at the time of search, no waiting."""
-    at = delta.join(requests.select("query_id", "same_day", "now"), "query_id").join(network.members, "sid").join(network.flex_trips, "grp").where("arr BETWEEN ws AND we")
+    """Candidates by flexible services: boarding and arrival inside the window, bookable at the time of search, no waiting.
+
+    ``requests``: query_id, same_day, now, and day where services have days.
+    """
+    own = [c for c in ("query_id", "same_day", "now", "day") if c in requests.columns]
+    at = delta.select("query_id", "sid", "arr").join(requests.select(*own), "query_id").join(network.members, "sid").join(network.flex_trips, "grp").where("arr BETWEEN ws AND we")
+    if network.flex_running is not None and "day" in own:
+        at = at.join(network.flex_running, ["ft", "day"], "left_semi")
     due = deadline(F.col("kind"), F.col("minutes"), F.col("last_day"), F.col("last_time"), F.col("arr"))
     at = at.withColumn("due", due).where(feasible(F.col("due"), F.col("same_day"), F.col("now")))
     here = network.stops.select("sid", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
@@ -66,46 +83,64 @@ def flex_ride(delta: DataFrame, network, requests: DataFrame) -> DataFrame:
     pairs = at.join(here, "sid").join(there, "grp").where("sid <> to_sid")
     d = F.round(haversine_m(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon")), 3)
     arr = (F.col("arr") + F.ceil(flex_seconds(d))).cast("bigint")
-    leg = _leg("flex", F.col("ft"), F.col("sid"), F.col("to_sid"), F.col("dep0"), F.col("new_arr"), F.col("due"))
     pairs = pairs.withColumns({"dep0": F.col("arr"), "new_arr": arr}).where("new_arr BETWEEN ws AND we")
-    return pairs.select("query_id", F.col("to_sid").alias("sid"), F.col("new_arr").alias("arr"), F.concat("legs", F.array(leg)).alias("legs"))
+    leg = _leg("flex", F.col("ft"), F.col("sid"), F.col("to_sid"), F.col("dep0"), F.col("new_arr"), F.col("due"))
+    return pairs.select("query_id", F.col("to_sid").alias("sid"), F.col("new_arr").alias("arr"), leg.alias("leg"))
 
 
 def walk(delta: DataFrame, transfers: DataFrame) -> DataFrame:
-    moved = delta.join(transfers, F.col("sid") == F.col("a"))
-    arr = F.col("arr") + F.col("seconds")
-    return moved.select("query_id", F.col("b").alias("sid"), arr.alias("arr"), F.concat("legs", F.array(_leg("walk", None, F.col("a"), F.col("b"), F.col("arr"), arr))).alias("legs"))
+    moved = delta.select("query_id", "sid", "arr").join(transfers, F.col("sid") == F.col("a"))
+    arr = (F.col("arr") + F.col("seconds")).cast("bigint")
+    return moved.select("query_id", F.col("b").alias("sid"), arr.alias("arr"), _leg("walk", None, F.col("a"), F.col("b"), F.col("arr"), arr, metres=F.col("metres")).alias("leg"))
 
 
-def arrivals(network, requests: DataFrame, rounds: int = 3, flex: bool = False, bound: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
+def arrivals(network, requests: DataFrame, rounds: int = 3, flex: bool = False, bound: DataFrame | None = None, targets: DataFrame | None = None, access: DataFrame | None = None) -> DataFrame:
     """(query_id, round, sid, arr, legs): every label that a round improved; round 0 is the origin.
 
-    ``requests``: query_id, sid, dep, and with ``flex`` also same_day and now.  ``bound``
-    (query_id, bound) drops vehicle arrivals that are not earlier; ``targets`` (query_id, sid)
-    tightens the bound after each round to the best arrival at the request's targets.
+    ``requests``: query_id, sid, dep; with ``flex`` also same_day and now; with ``day`` only what
+    runs on that day counts; ``max_rides`` bounds a request's rounds.  ``access`` (query_id, sid,
+    seconds, metres) replaces the stop of origin.  ``bound`` (query_id, bound) drops vehicle
+    arrivals that are not earlier; ``targets`` (query_id, sid, and seconds to walk on) tightens
+    the bound after each round to the best arrival at the request's targets.
     """
-    origin = requests.select("query_id", F.col("sid").cast("bigint").alias("sid"), F.col("dep").cast("bigint").alias("arr"), F.lit(None).cast(f"array<{_LEG}>").alias("legs"))
-    origin = origin.withColumn("legs", F.coalesce("legs", F.array().cast(f"array<{_LEG}>")))
-    labels = _cut(origin.withColumn("round", F.lit(0)))
+    tables = Tables(requests.sparkSession)
+    own = ["day"] if network.running is not None and "day" in requests.columns else []
+    running = None
+    if own:
+        asked = requests.select("day").distinct()
+        running = tables.keep("running", network.stop_times.join(network.running.join(asked, "day", "left_semi"), "tid"))
+    positions = tables.keep("positions", network.stop_times.select("sid", "rid", "seq").distinct())
+    if access is None:
+        access = requests.select("query_id", "sid", F.lit(0).alias("seconds"), F.lit(0.0).alias("metres"))
+    arr = (F.col("dep") + F.col("seconds")).cast("bigint")
+    first = access.join(requests.select("query_id", "dep"), "query_id").select("query_id", F.col("sid").cast("bigint").alias("sid"), arr.alias("arr"), _leg("walk", None, None, F.col("sid"), F.col("dep"), arr, metres=F.col("metres")).alias("leg"), "seconds")
+    first = first.withColumn("legs", F.when(F.col("seconds") > 0, F.array("leg")).otherwise(F.array().cast(_LEGS)))
+    labels = tables.keep("labels0", _best(first, "legs").select("query_id", "sid", "arr", "legs", F.lit(0).alias("round")))
     delta = labels
     for k in range(1, rounds + 1):
-        cand = ride(delta, network.stop_times)
+        if "max_rides" in requests.columns:
+            delta = delta.join(requests.where(F.col("max_rides") >= k).select("query_id"), "query_id", "left_semi")
+        cand = ride(delta.join(requests.select("query_id", *own), "query_id") if own else delta, network.stop_times, running, positions)
         if flex:
             cand = cand.unionByName(flex_ride(delta, network, requests))
         if targets is not None:
-            now = labels.join(targets, ["query_id", "sid"]).groupBy("query_id").agg(F.min("arr").alias("bound"))
+            on = F.col("arr") + F.col("seconds") if "seconds" in targets.columns else F.col("arr")
+            now = labels.join(targets, ["query_id", "sid"]).groupBy("query_id").agg(F.min(on).alias("bound"))
             cand = cand.join(now, "query_id", "left").where(F.col("bound").isNull() | (F.col("arr") < F.col("bound"))).drop("bound")
         if bound is not None:
             cand = cand.join(bound, "query_id").where("arr < bound").drop("bound")
-        fresh = _cut(_better(cand, labels))
-        new, hop = fresh, fresh
+        fresh = tables.keep(f"fresh{k}", _with_legs(_better(cand, labels), delta))
+        new, hop, n = fresh, fresh, 0
         while not hop.isEmpty():  # each hop starts only from what the hop before improved
-            hop = _cut(_better(walk(hop, network.transfers), labels.drop("round").unionByName(new)))
+            n += 1
+            known = labels.select("query_id", "sid", "arr").unionByName(new.select("query_id", "sid", "arr"))
+            hop = tables.keep(f"hop{k}-{n}", _with_legs(_better(walk(hop, network.transfers), known), hop))
             new = new.unionByName(hop)
-        if fresh.isEmpty():
+        if not n:
             break
-        delta = _cut(_best(new).select("query_id", "sid", "arr", "legs").withColumn("round", F.lit(k)))
-        labels = _cut(labels.unionByName(delta))
+        delta = tables.keep(f"delta{k}", _best(new, "legs").select("query_id", "sid", "arr", "legs", F.lit(k).alias("round")))
+        labels = labels.unionByName(delta)
+        tables.drop(f"fresh{k}", *(f"hop{k}-{i}" for i in range(1, n + 1)))
     return labels
 
 
@@ -113,23 +148,58 @@ def pareto(labels: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """Labels that no round with fewer vehicles reaches as early.
 
     A round only reports strict improvements, so with one target stop a request all of them are on the front;
-    with several the earliest per round is taken and later rounds have to beat it.
+    with several the earliest per round is taken and later rounds have to beat it.  ``targets``: query_id, sid, and
+    with them seconds and metres of the walk on, which becomes the last leg.
     """
-    from pyspark.sql import Window
-
     if targets is None:
         return labels
-    best = labels.join(targets, ["query_id", "sid"]).groupBy("query_id", "round").agg(F.min_by(F.struct("sid", "legs"), F.struct("arr", "sid")).alias("x"), F.min("arr").alias("arr"))
+    on = {c: F.col(c) if c in targets.columns else F.lit(0).cast(kind) for c, kind in (("seconds", "bigint"), ("metres", "double"))}
+    ends = targets.select("query_id", "sid", *(c.alias(k) for k, c in on.items()))
+    total = (F.col("arr") + F.col("seconds")).cast("bigint")
+    best = labels.join(ends, ["query_id", "sid"]).withColumn("total", total)
+    best = best.groupBy("query_id", "round").agg(F.min_by(F.struct("sid", "legs", "seconds", "metres", "arr"), F.struct("total", "sid")).alias("x"), F.min("total").alias("arr"))
     before = F.min("arr").over(Window.partitionBy("query_id").orderBy("round").rowsBetween(Window.unboundedPreceding, -1))
-    return best.withColumn("before", before).where("before IS NULL OR arr < before").select("query_id", "round", F.col("x.sid").alias("sid"), "arr", F.col("x.legs").alias("legs"))
+    front = best.withColumn("before", before).where("before IS NULL OR arr < before")
+    last = _leg("walk", None, F.col("x.sid"), None, F.col("x.arr"), F.col("arr"), metres=F.col("x.metres"))
+    legs = F.when(F.col("x.seconds") > 0, F.concat("x.legs", F.array(last))).otherwise(F.col("x.legs"))
+    return front.select("query_id", "round", F.col("x.sid").alias("sid"), "arr", legs.alias("legs"))
 
 
 def summary(front: DataFrame, requests: DataFrame) -> DataFrame:
-    """Per itinerary: departure, arrival, duration, vehicle legs - 1 as transfers, walked seconds, whether a booking is needed."""
+    """Per itinerary: departure, arrival, duration, vehicle legs - 1 as transfers, walked seconds and metres, whether a booking is needed."""
     rides = F.size(F.filter("legs", lambda x: x["mode"] != "walk"))
-    walked = F.aggregate(F.filter("legs", lambda x: x["mode"] == "walk"), F.lit(0).cast("bigint"), lambda s, x: s + x["arr"] - x["dep"])
+    walks = F.filter("legs", lambda x: x["mode"] == "walk")
+    walked = F.aggregate(walks, F.lit(0).cast("bigint"), lambda s, x: s + x["arr"] - x["dep"])
+    metres = F.aggregate(walks, F.lit(0.0), lambda s, x: s + F.coalesce(x["metres"], F.lit(0.0)))
     own = front.where(F.size("legs") > 0).join(requests.select("query_id", F.col("dep").alias("departure")), "query_id")
     return own.select(
-        "query_id", "round", "sid", "departure", "arr", (F.col("arr") - F.col("departure")).alias("duration"), F.greatest(rides - 1, F.lit(0)).alias("transfers"), walked.alias("walk_seconds"),
+        "query_id", "round", "sid", "departure", "arr", (F.col("arr") - F.col("departure")).alias("duration"), F.greatest(rides - 1, F.lit(0)).alias("transfers"), walked.alias("walk_seconds"), F.round(metres, 3).alias("walk_metres"),
         F.exists("legs", lambda x: x["mode"] == "flex").alias("needs_booking"),
     )
+
+
+def endpoints(network, requests: DataFrame, side: str) -> DataFrame:
+    """(query_id, sid, seconds, metres): where a request starts (``side`` "from") or ends ("to").
+
+    A stop is itself; a position means all stops within the request's ``walk_m`` (``WALK_M`` if it has none, ``MOST_WALK_M`` at most).
+    ``requests``: query_id, and {side}_sid or else {side}_lat and {side}_lon.
+    """
+    sid = F.col(f"{side}_sid")
+    own = requests.where(sid.isNotNull()).select("query_id", sid.cast("long").alias("sid")).join(network.stops.select("sid"), "sid", "left_semi")
+    limit = F.coalesce("walk_m", F.lit(WALK_M)) if "walk_m" in requests.columns else F.lit(WALK_M)
+    points = requests.where(sid.isNull()).select("query_id", F.col(f"{side}_lat").alias("lat"), F.col(f"{side}_lon").alias("lon"), limit.alias("walk_m"))
+    near = within_radius(points, network.stops.select(F.col("sid").cast("long").alias("sid"), "lat", "lon"), MOST_WALK_M).where("metres <= walk_m")
+    metres = F.round("metres", 3)
+    return own.select("query_id", "sid", F.lit(0).cast("long").alias("seconds"), F.lit(0.0).alias("metres")).unionByName(near.select("query_id", "sid", F.ceil(walk_seconds(metres)).cast("long").alias("seconds"), metres.alias("metres")))
+
+
+def plan(network, requests: DataFrame, rounds: int = RIDES, flex: bool = True) -> DataFrame:
+    """(query_id, round, sid, arr, legs): the best itineraries of each request by rides and arrival; those without a leg are none.
+
+    ``requests``: query_id, dep; from_sid or from_lat and from_lon; to_sid or to_lat and to_lon; day (YYYYMMDD) of service;
+    same_day (is the search on that day) and now (its time); and as they like walk_m and max_rides.  A request that
+    reaches no stop, or whose day has no service, has no row but what can be walked.
+    """
+    tables = Tables(requests.sparkSession)
+    start, goal = tables.keep("from", endpoints(network, requests, "from")), tables.keep("to", endpoints(network, requests, "to"))
+    return pareto(arrivals(network, requests, rounds, flex, targets=goal, access=start), goal).where(F.size("legs") > 0)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tidelane.functions import booking, clock, links, text
 from tidelane.functions.geo import flex_seconds, haversine_m
 from tidelane.operators import calendar, isochrone, legs, network, normalise, routing, search
-from tidelane.sources.derived import SQL, derive, table
+from tidelane.plans import routing_sql
+from tidelane.sources.derived import DATES_SQL, DAYS_SQL, SQL, derive, derive_dated, service_dates, table
 from tidelane.streaming import rate_limit
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,12 +76,13 @@ ORACLES["access_stops_by_coord"] = f"SELECT query_id, sid, CAST(ceil(metres*1.3:
 
 # Routing
 
-_REQUESTS = "SELECT sid AS query_id, sid, 28800 AS dep FROM stops WHERE sid % 7 = 1"
+_REQUESTS = "SELECT sid AS query_id, sid, 28800 AS dep, true AS same_day, 27000 AS now FROM stops"
+_ASKED = f",, req AS ({_REQUESTS}), acc AS (SELECT query_id, sid, 0 AS seconds, 0.0::DOUBLE AS metres FROM req),\n"
 
 
-def requests(net, every: int = 7) -> DataFrame:
-    """Requests from the stops that the SQL names; ``every=1`` asks from all stops."""
-    return net.stops.where(F.col("sid") % every == 1 % every).select(F.col("sid").alias("query_id"), "sid", F.lit(28800).alias("dep"))
+def requests(net) -> DataFrame:
+    """Requests from every stop."""
+    return net.stops.select(F.col("sid").alias("query_id"), "sid", F.lit(28800).alias("dep"))
 
 
 @query(f",, r AS ({_REQUESTS}) SELECT query_id, r.sid, rid, seq, min(t.dep) AS dep, arg_min(tid, t.dep*1000000000::BIGINT + tid) AS tid FROM r JOIN sttimes t ON t.sid = r.sid AND t.dep >= r.dep GROUP BY ALL", net=True)
@@ -90,25 +92,7 @@ def earliest_trip_asof(spark, d):
 
 
 def _rounds_sql(rounds: int) -> str:
-    """Rounds unrolled: two hops of walking suffice at 500 m; unions keep every improvement by round."""
-    out = [f"s0 AS (SELECT query_id, sid, CAST(dep AS BIGINT) AS arr, 0 AS round FROM ({_REQUESTS}))", "a0 AS (SELECT * FROM s0)"]
-    for k in range(1, rounds + 1):
-        p = k - 1
-        out += [
-            f"b{p} AS (SELECT query_id, sid, min(arr) AS arr FROM a{p} GROUP BY ALL)",
-            f"v{k} AS (SELECT s.query_id, t2.sid, min(t2.arr) AS arr FROM s{p} s JOIN sttimes t1 ON t1.sid = s.sid AND t1.dep >= s.arr JOIN sttimes t2 ON t2.tid = t1.tid AND t2.seq > t1.seq GROUP BY ALL)",
-            f"i{k} AS (SELECT v.* FROM v{k} v LEFT JOIN b{p} b USING (query_id, sid) WHERE b.arr IS NULL OR v.arr < b.arr)",
-        ]
-        known, last, parts = f"b{p}", f"i{k}", [f"i{k}"]
-        for h in (1, 2, 3):
-            out += [
-                f"k{k}{h} AS (SELECT query_id, sid, min(arr) AS arr FROM (SELECT query_id, sid, arr FROM {known} UNION ALL SELECT query_id, sid, arr FROM {last}) GROUP BY ALL)",
-                f"w{k}{h} AS (SELECT m.* FROM (SELECT query_id, b AS sid, min(arr + seconds) AS arr FROM {last} JOIN xfer ON a = sid GROUP BY ALL) m LEFT JOIN k{k}{h} n USING (query_id, sid) WHERE n.arr IS NULL OR m.arr < n.arr)",
-            ]
-            known, last = f"k{k}{h}", f"w{k}{h}"
-            parts.append(last)
-        out += [f"s{k} AS (SELECT query_id, sid, min(arr) AS arr, {k} AS round FROM ({' UNION ALL '.join(f'SELECT query_id, sid, arr FROM {x}' for x in parts)}) GROUP BY query_id, sid)", f"a{k} AS (SELECT * FROM a{p} UNION ALL SELECT * FROM s{k})"]
-    return ",, " + ",\n".join(out)
+    return _ASKED + routing_sql.rounds(rounds)
 
 
 def _round(k: int):
@@ -134,7 +118,7 @@ def _targets(net) -> DataFrame:
     return requests(net).select("query_id", F.explode(F.array(F.lit(2), F.lit(9)).cast("array<bigint>")).alias("sid")).where("query_id <> sid")
 
 
-_TARGETS = "(SELECT query_id, sid FROM (SELECT query_id, unnest([2, 9]) AS sid FROM s0) WHERE query_id <> sid)"
+_TARGETS = "(SELECT query_id, sid FROM (SELECT query_id, unnest([2, 9]) AS sid FROM req) WHERE query_id <> sid)"
 _EGRESS = f" , g AS (SELECT query_id, round, min(arr) AS arr, min_by(sid, arr*1000000 + sid) AS sid FROM a3 JOIN {_TARGETS} USING (query_id, sid) GROUP BY ALL)"
 
 
@@ -152,40 +136,135 @@ def raptor_pruned(spark, d):
     return routing.pareto(routing.arrivals(net, requests(net), rounds=3, targets=goal), goal).select("query_id", "round", "sid", "arr")
 
 
+_GOAL = ",\negr AS (SELECT query_id, 2 AS sid, 0 AS seconds, 0.0::DOUBLE AS metres FROM req),\n"
+_PLAN = _ASKED + routing_sql.rounds(3, flex=True) + _GOAL + routing_sql.front(3)
+
+
 def _plan(spark, d):
     net = derive(spark, d)
-    asked = requests(net, 1).withColumns({"same_day": F.lit(True), "now": F.lit(27000)})
+    asked = requests(net).withColumns({"same_day": F.lit(True), "now": F.lit(27000)})
     goal = asked.select("query_id", F.lit(2).cast("long").alias("sid"))
-    return net, asked, routing.pareto(routing.arrivals(net, asked, rounds=3, flex=True, targets=goal), goal)
+    return net, asked, routing.pareto(routing.arrivals(net, asked, rounds=3, flex=True, targets=goal), goal).where(F.size("legs") > 0)
 
 
-@query()
+@query(_PLAN + routing_sql.legs("front"), net=True)
 def itinerary_legs(spark, d):
     _, _, front = _plan(spark, d)
     return front.select("query_id", "round", F.posexplode("legs").alias("k", "leg")).select("query_id", "round", "k", "leg.*")
 
 
-@query()
+@query(_PLAN + routing_sql.summary("front"), net=True)
 def itinerary_summary(spark, d):
     _, asked, front = _plan(spark, d)
     return routing.summary(front, asked)
 
 
-@query()
+@query(_PLAN + f"SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY duration, transfers) AS INT) AS rank FROM ({routing_sql.summary('front')})", net=True)
 def itinerary_sort_duration(spark, d):
     return itinerary_summary(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("duration", "transfers")))
 
 
-@query()
+@query(_PLAN + f"SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY transfers, duration) AS INT) AS rank FROM ({routing_sql.summary('front')})", net=True)
 def itinerary_sort_transfers(spark, d):
     return itinerary_summary(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("transfers", "duration")))
 
 
-@query()
+@query(_PLAN + "SELECT query_id, round, sid, arr FROM front", net=True)
 def plan_with_flex(spark, d):
     return _plan(spark, d)[2].select("query_id", "round", "sid", "arr")
 
 
+# Whole plans: from places to places, by day of service
+
+_JOURNEYS = """req AS (SELECT sid AS query_id, CASE WHEN sid%5 = 0 THEN 20991231 ELSE 20240709 + sid%3 END AS day, 28800 + (sid%7)*900 AS dep, sid%2 = 0 AS same_day, 27000 AS now, sid%3 = 0 AS from_place, sid%2 = 0 AS to_place, lat + 0.001::DOUBLE AS from_lat, lon + 0.0005::DOUBLE AS from_lon, 1 + (sid*7 + 4)%10 AS goal FROM stops),
+place AS (SELECT query_id, 'from' AS side, from_lat AS lat, from_lon AS lon FROM req WHERE from_place UNION ALL SELECT query_id, 'to', lat - 0.001::DOUBLE, lon + 0.001::DOUBLE FROM req JOIN stops ON sid = goal WHERE to_place),
+near AS (SELECT query_id, side, sid, 2*6371000.0::DOUBLE*asin(sqrt(pow(sin(radians(s.lat-p.lat)/2),2)+cos(radians(p.lat))*cos(radians(s.lat))*pow(sin(radians(s.lon-p.lon)/2),2))) AS m FROM place p, stops s),
+reach AS (SELECT query_id, side, sid, CAST(ceil(round(m, 3)*1.3::DOUBLE/(4800.0::DOUBLE/3600.0::DOUBLE)) AS BIGINT) AS seconds, round(m, 3) AS metres FROM near WHERE m <= 800
+          UNION ALL SELECT query_id, 'from', query_id, 0, 0.0 FROM req WHERE NOT from_place UNION ALL SELECT query_id, 'to', goal, 0, 0.0 FROM req WHERE NOT to_place),
+acc AS MATERIALIZED (SELECT query_id, sid, seconds, metres FROM reach WHERE side = 'from'), egr AS MATERIALIZED (SELECT query_id, sid, seconds, metres FROM reach WHERE side = 'to'),
+"""
+_DATED = f",, {DATES_SQL.strip()}, {DAYS_SQL.strip()}, "
+_JOURNEY = _DATED + _JOURNEYS + routing_sql.rounds(3, flex=True, dated=True) + ",\n" + routing_sql.front(3)
+
+
+def _journeys(spark, d):
+    """Every stop asks: some from a place near by, some to a place; on days with and without service, before and on the day."""
+    net = derive_dated(spark, d)
+    sid = F.col("sid")
+    goal = (1 + (sid * 7 + 4) % 10).alias("goal")
+    at = net.stops.select(sid.alias("goal"), (F.col("lat") - 0.001).alias("to_lat"), (F.col("lon") + 0.001).alias("to_lon"))
+    own = net.stops.select(
+        sid.alias("query_id"), F.when(sid % 5 == 0, 20991231).otherwise(20240709 + sid % 3).cast("int").alias("day"), (28800 + (sid % 7) * 900).alias("dep"), (sid % 2 == 0).alias("same_day"), F.lit(27000).alias("now"), F.lit(3).alias("max_rides"),
+        F.when(sid % 3 != 0, sid).alias("from_sid"), (F.col("lat") + 0.001).alias("from_lat"), (F.col("lon") + 0.0005).alias("from_lon"), goal,
+    )
+    asked = own.join(at, "goal", "left").withColumn("to_sid", F.when(F.col("query_id") % 2 != 0, F.col("goal")))
+    return net, asked
+
+
+@query(_JOURNEY + " " + routing_sql.summary("front"), net=True)
+def journey_summary(spark, d):
+    net, asked = _journeys(spark, d)
+    return routing.summary(routing.plan(net, asked), asked)
+
+
+@query(_JOURNEY + " " + routing_sql.legs("front"), net=True)
+def journey_legs(spark, d):
+    net, asked = _journeys(spark, d)
+    return routing.plan(net, asked).select("query_id", "round", F.posexplode("legs").alias("k", "leg")).select("query_id", "round", "k", "leg.*")
+
+
+@query(_JOURNEY + " SELECT req.query_id, req.day, count(front.round) AS n FROM req LEFT JOIN front USING (query_id) GROUP BY ALL", net=True)
+def journeys_found(spark, d):
+    """How many itineraries each request has; on a day without service only what can be walked."""
+    net, asked = _journeys(spark, d)
+    found = routing.plan(net, asked).groupBy("query_id").agg(F.count("*").alias("n"))
+    return asked.select("query_id", "day").join(found, "query_id", "left").select("query_id", "day", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+_RULES = "rules AS (SELECT n_nationkey AS rule, CASE WHEN n_nationkey%3 <> 0 THEN '0'||n_nationkey END AS phone, CASE WHEN n_nationkey%4 = 0 THEN n_name END AS message, CASE WHEN n_nationkey%2 = 0 THEN 'i/'||n_nationkey END AS info_url FROM nation)"
+
+
+@query(_JOURNEY + f", l AS ({routing_sql.legs('front')}), {_RULES}," + """
+m AS (SELECT query_id, round, k, string_agg(CAST(t.sid AS VARCHAR), ',' ORDER BY t.seq) AS mids FROM l JOIN sttimes a ON a.tid = trip AND a.sid = from_sid AND a.dep = l.dep JOIN sttimes b ON b.tid = trip AND b.sid = to_sid AND b.arr = l.arr JOIN sttimes t ON t.tid = trip AND t.seq > a.seq AND t.seq < b.seq WHERE mode = 'transit' GROUP BY ALL)
+SELECT l.query_id, l.round, l.k, mode, CASE WHEN mode = 'transit' THEN CAST(t.rid AS BIGINT) END AS rid, CASE WHEN mode = 'flex' THEN CAST(x.grp AS BIGINT) END AS grp, coalesce(m.mids, '') AS mids, coalesce(p.phone, o.phone) AS phone, coalesce(p.message, o.message) AS message, p.info_url
+FROM l LEFT JOIN m USING (query_id, round, k) LEFT JOIN trips t ON mode = 'transit' AND t.tid = trip LEFT JOIN flex x ON mode = 'flex' AND x.ft = trip LEFT JOIN rules p ON mode = 'flex' AND p.rule = trip LEFT JOIN rules o ON mode = 'flex' AND o.rule = (trip + 1)%30""", net=True)
+def journey_leg_details(spark, d):
+    net, asked = _journeys(spark, d)
+    k = F.col("n_nationkey")
+    rules = table(spark, d, "nation").select(k.alias("rule"), F.when(k % 3 != 0, F.concat(F.lit("0"), k)).alias("phone"), F.when(k % 4 == 0, F.col("n_name")).alias("message"), F.when(k % 2 == 0, F.concat(F.lit("i/"), k)).alias("info_url"))
+    bookable = net.flex_trips.select("ft", "grp", F.col("ft").alias("pickup_rule"), ((F.col("ft") + 1) % 30).alias("drop_off_rule"))
+    made = legs.detailed(routing.plan(net, asked), net.stop_times, bookable, rules)
+    return made.select("query_id", "round", "k", "mode", "rid", "grp", F.array_join(F.col("mids").cast("array<string>"), ",").alias("mids"), "phone", "message", "info_url")
+
+
+def _searches_sql() -> str:
+    """A strict plan, one that ignores deadlines, and one with the shifted departure."""
+    base = f"r0 AS MATERIALIZED (SELECT sid AS query_id, 28800 AS dep, true AS same_day, 28800 + (sid%40)*120 AS now FROM stops), goal AS (SELECT query_id, 2 AS sid, 0 AS seconds, 0.0::DOUBLE AS metres FROM r0), "
+    part = lambda p, req: f"{p}req AS MATERIALIZED ({req}), {p}acc AS (SELECT query_id, query_id AS sid, 0 AS seconds, 0.0::DOUBLE AS metres FROM {p}req), {p}egr AS (SELECT * FROM goal), " + routing_sql.rounds(2, p, True) + ", " + routing_sql.front(2, p) + f", {p}l AS ({routing_sql.legs(p + 'front')}), {p}t AS (SELECT query_id, round, f.arr - dep AS duration, (SELECT count(*) FILTER (WHERE mode <> 'walk') FROM {p}l l WHERE l.query_id = f.query_id AND l.round = f.round) AS rides, (SELECT count(*) FILTER (WHERE mode = 'flex') > 0 FROM {p}l l WHERE l.query_id = f.query_id AND l.round = f.round) AS flex, f.arr FROM {p}front f JOIN {p}req USING (query_id)), "
+    missed = (
+        "m AS MATERIALIZED (SELECT * FROM (SELECT t.query_id, l.dep AS board, l.due, now, row_number() OVER (PARTITION BY t.query_id ORDER BY t.duration, greatest(t.rides - 1, 0), t.round) AS n FROM ot t JOIN r0 USING (query_id) "
+        "JOIN (SELECT query_id, round, arg_min(dep, k) AS dep, first(due ORDER BY k) AS due FROM ol WHERE mode = 'flex' GROUP BY ALL) l ON l.query_id = t.query_id AND l.round = t.round WHERE l.due < now AND t.query_id NOT IN (SELECT query_id FROM at WHERE flex)) WHERE n = 1), "
+    )
+    missed = missed.replace("FROM at WHERE", "FROM st WHERE")
+    return ",, " + base + part("s", "SELECT * FROM r0") + part("o", "SELECT query_id, dep, false AS same_day, 0 AS now FROM r0 WHERE query_id NOT IN (SELECT query_id FROM st WHERE flex)") + missed + part("z", "SELECT query_id, CAST(ceil((now + (board - due) + 900)/300.0)*300 AS BIGINT) AS dep, true AS same_day, now FROM m")
+
+
+@query(_searches_sql() + """ first AS (SELECT query_id, arg_min(arr, duration*10000 + greatest(rides - 1, 0)*100 + round) AS shifted_arr FROM zt WHERE flex GROUP BY ALL)
+SELECT r0.query_id, (SELECT count(*) FROM st WHERE st.query_id = r0.query_id) AS found, (SELECT min(duration) FROM st WHERE st.query_id = r0.query_id) AS best, m.board, m.due, CASE WHEN shifted_arr IS NOT NULL THEN zreq.dep END AS shifted_dep, shifted_arr FROM r0 LEFT JOIN m USING (query_id) LEFT JOIN zreq USING (query_id) LEFT JOIN first USING (query_id)""", net=True)
+def run_search(spark, d):
+    net = derive(spark, d)
+    sid = F.col("sid")
+    asked = net.stops.select(sid.alias("query_id"), sid.alias("from_sid"), *(F.lit(None).cast("double").alias(c) for c in ("from_lat", "from_lon", "to_lat", "to_lon")), F.lit(2).cast("long").alias("to_sid"), F.lit(28800).cast("long").alias("dep"), F.lit(True).alias("same_day"), (28800 + (sid % 40) * 120).alias("now"))
+    found = search.run_search(net, asked, rounds=2)
+    return found.select("query_id", "found", "best", "board", "due", "shifted_dep", "shifted_arr")
+
+
+@query(_DATED + _JOURNEYS + routing_sql.rounds(2, flex=True, dated=True, bound="q.dep + 2700").replace("coalesce(same_day AND now > due, false)", "false") + " SELECT query_id, c AS cutoff, count(*) AS n FROM (SELECT query_id, sid, min(arr) AS arr FROM a2 GROUP BY ALL) JOIN req USING (query_id), (SELECT unnest([900, 1800, 2700]) AS c) WHERE arr - dep <= c GROUP BY ALL", net=True)
+def isochrone_places(spark, d):
+    net, asked = _journeys(spark, d)
+    return isochrone.reached_within(net, asked.withColumn("max_rides", F.lit(2)), [900, 1800, 2700], rounds=2).groupBy("query_id", "cutoff").agg(F.count("*").alias("n"))
+
+
 _DUE = "CASE kind WHEN 1 THEN 28800 - minutes*60 WHEN 2 THEN last_time - last_day*86400 END"
 
 
@@ -198,11 +277,11 @@ def flex_scan_round1(spark, d):
     return routing.flex_ride(start, net, asked).groupBy("query_id", "sid").agg(F.min("arr").alias("arr"))
 
 
-@query("SELECT m.grp, m.sid AS a, o.sid AS b, round(d*1.4::DOUBLE/(22000.0::DOUBLE/3600.0::DOUBLE) + 300, 3) AS seconds FROM members m JOIN members o USING (grp) JOIN dist ON a = m.sid AND b = o.sid WHERE m.sid < o.sid AND m.sid % 7 = 1", net=True)
+@query("SELECT m.grp, m.sid AS a, o.sid AS b, round(d*1.4::DOUBLE/(22000.0::DOUBLE/3600.0::DOUBLE) + 300, 3) AS seconds FROM members m JOIN members o USING (grp) JOIN dist ON a = m.sid AND b = o.sid WHERE m.sid < o.sid", net=True)
 def flex_duration_matrix(spark, d):
     net = derive(spark, d)
     side = net.members.join(net.stops.select("sid", "lat", "lon"), "sid")
-    a, b = side.where("sid % 7 = 1").toDF("a", "grp", "lat1", "lon1"), side.toDF("b", "grp", "lat2", "lon2")
+    a, b = side.toDF("a", "grp", "lat1", "lon1"), side.toDF("b", "grp", "lat2", "lon2")
     m = haversine_m(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
     return a.join(b, "grp").where("a < b").select("grp", "a", "b", F.round(flex_seconds(m), 3).alias("seconds"))
 
@@ -217,10 +296,14 @@ def isochrone_reach_counts(spark, d):
     return isochrone.reach(routing.arrivals(net, asked, rounds=2), asked, [900, 1800, 3600]).groupBy("query_id", "cutoff").agg(F.count("*").alias("n"))
 
 
-@query()
+_REACH = "(SELECT query_id, c AS cutoff, count(*) AS {n} FROM (SELECT query_id, sid, min(arr) AS arr FROM {p}a2 GROUP BY ALL), (SELECT unnest([1800, 3600]) AS c) WHERE arr - 28800 <= c GROUP BY ALL)"
+_BOTH = ", ".join(f"{p}req AS (SELECT sid AS query_id, sid, 28800 AS dep, false AS same_day, 0 AS now FROM stops), {p}acc AS (SELECT query_id, sid, 0 AS seconds, 0.0::DOUBLE AS metres FROM {p}req),\n{routing_sql.rounds(2, p, flex)}" for p, flex in (("w", False), ("f", True)))
+
+
+@query(",, " + _BOTH + f" SELECT * FROM {_REACH.format(p='w', n='without_flex')} FULL JOIN {_REACH.format(p='f', n='with_flex')} USING (query_id, cutoff)", net=True)
 def isochrone_before_after(spark, d):
     net = derive(spark, d)
-    asked = requests(net, 1).withColumns({"same_day": F.lit(False), "now": F.lit(0)})
+    asked = requests(net).withColumns({"same_day": F.lit(False), "now": F.lit(0)})
     n = lambda flex, name: isochrone.reach(routing.arrivals(net, asked, rounds=2, flex=flex), asked, [1800, 3600]).groupBy("query_id", "cutoff").agg(F.count("*").alias(name))
     return n(False, "without_flex").join(n(True, "with_flex"), ["query_id", "cutoff"], "full_outer")
 
@@ -366,41 +449,28 @@ def gtfs_time_parse(spark, d):
     return table(spark, d, "events").select("event_id", s.alias("seconds"), clock.hhmm(s).alias("hhmm"), clock.clock_text(s).alias("clock"))
 
 
-_CAL = "cal AS (SELECT c_custkey AS service_id, c_custkey%128 AS bits, DATE '2024-07-03' AS start_date, CASE WHEN c_custkey%4 > 0 THEN DATE '2024-07-20' END AS end_date FROM customer WHERE c_custkey <= 100), exc AS (SELECT DISTINCT o_custkey AS service_id, DATE '2024-07-01' + CAST(o_orderkey%40 AS INT) AS date, 1 + (o_orderkey//40)%2 AS exception_type FROM orders WHERE o_custkey <= 105 AND o_orderkey%17 = 0)"
-_DATES = f"""WITH {_CAL}, w AS (SELECT unnest(generate_series(DATE '2024-07-01', DATE '2024-08-04', INTERVAL 1 DAY))::DATE AS date),
-reg AS (SELECT service_id, date FROM cal, w WHERE (bits >> CAST(isodow(date)-1 AS INT)) % 2 = 1 AND date >= start_date AND (end_date IS NULL OR date <= end_date)),
-dates AS (SELECT * FROM (SELECT service_id, date FROM reg EXCEPT SELECT service_id, date FROM exc WHERE exception_type = 2) UNION SELECT service_id, date FROM exc JOIN w USING (date) WHERE exception_type = 1)"""
-
-
-def _service_dates(spark, d):
-    c = F.col("c_custkey")
-    cal = table(spark, d, "customer").where(c <= 100).select(
-        c.alias("service_id"), F.array(*(F.shiftright(c % 128, k) % 2 == 1 for k in range(7))).alias("days"), F.lit("2024-07-03").cast("date").alias("start_date"), F.when(c % 4 > 0, F.lit("2024-07-20").cast("date")).alias("end_date")
-    )
-    o = F.col("o_orderkey")
-    exc = table(spark, d, "orders").where((F.col("o_custkey") <= 105) & (o % 17 == 0)).select(F.col("o_custkey").alias("service_id"), F.date_add(F.lit("2024-07-01").cast("date"), (o % 40).cast("int")).alias("date"), (1 + F.floor(o / 40) % 2).alias("exception_type")).distinct()
-    return calendar.service_dates(cal, exc, "2024-07-01")
+_DATES = f"WITH {DATES_SQL.strip()}"
 
 
 @query(_DATES + " SELECT service_id, date FROM dates")
 def service_dates_expand(spark, d):
-    return _service_dates(spark, d)
+    return service_dates(spark, d)
 
 
 @query(_DATES + " SELECT service_id, CASE WHEN count(DISTINCT isodow(date)) = 7 THEN 'daily' ELSE array_to_string(list_transform(list_sort(list(DISTINCT isodow(date))), lambda k: ['Mon','Tue','Wed','Thu','Fri','Sat','Sun'][k]), ',') END AS days FROM dates GROUP BY service_id")
 def operating_days_summary(spark, d):
-    return calendar.weekday_summary(_service_dates(spark, d))
+    return calendar.weekday_summary(service_dates(spark, d))
 
 
 @query(_DATES + " SELECT o_orderkey AS tid FROM orders WHERE o_orderkey%10 = 0 AND o_custkey IN (SELECT service_id FROM dates WHERE date = DATE '2024-07-09')")
 def trips_active_on_date(spark, d):
-    on = _service_dates(spark, d).where("date = DATE '2024-07-09'").select(F.col("service_id").alias("o_custkey"))
+    on = service_dates(spark, d).where("date = DATE '2024-07-09'").select(F.col("service_id").alias("o_custkey"))
     return table(spark, d, "orders").where("o_orderkey % 10 = 0").join(on, "o_custkey", "left_semi").select(F.col("o_orderkey").alias("tid"))
 
 
 @query(_DATES + " SELECT n_nationkey AS ft FROM nation WHERE n_nationkey IN (SELECT service_id FROM dates WHERE date = DATE '2024-07-10')")
 def flex_active_on_date(spark, d):
-    on = _service_dates(spark, d).where("date = DATE '2024-07-10'").select(F.col("service_id").alias("n_nationkey"))
+    on = service_dates(spark, d).where("date = DATE '2024-07-10'").select(F.col("service_id").alias("n_nationkey"))
     return table(spark, d, "nation").join(on, "n_nationkey", "left_semi").select(F.col("n_nationkey").alias("ft"))
 
 
@@ -454,17 +524,17 @@ def missed_flex(spark, d):
 # Search, catalogue, formats
 
 
-@query("WITH q AS (SELECT c_custkey AS query_id, lower(left(c_mktsegment, 2)) AS q FROM customer WHERE c_custkey <= 40), h AS (SELECT query_id, p_partkey AS id, p_name AS name, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN starts_with(lower(trim(p_name)), q) THEN 0 ELSE 1 END, p_partkey) AS rank FROM q JOIN part ON contains(lower(trim(p_name)), q)) SELECT * FROM h WHERE rank <= 50")
+@query("WITH q AS (SELECT c_custkey AS query_id, lower(left(c_mktsegment, 2)) AS q FROM customer), h AS (SELECT query_id, p_partkey AS id, p_name AS name, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN starts_with(lower(trim(p_name)), q) THEN 0 ELSE 1 END, p_partkey) AS rank FROM q JOIN part ON contains(lower(trim(p_name)), q)) SELECT * FROM h WHERE rank <= 50")
 def stop_search_name(spark, d):
-    asked = table(spark, d, "customer").where("c_custkey <= 40").select(F.col("c_custkey").alias("query_id"), F.left("c_mktsegment", F.lit(2)).alias("q"))
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("query_id"), F.left("c_mktsegment", F.lit(2)).alias("q"))
     return search.by_name(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), asked)
 
 
-@query("WITH q AS (SELECT n_nationkey AS query_id, right(n_name, 1 + n_nationkey%3) AS q FROM nation), h AS (SELECT query_id, count(*) FILTER (WHERE lower(s_name) = lower(q)) AS e, count(*) AS p, min(s_suppkey) AS a, min(CASE WHEN lower(s_name) = lower(q) THEN s_suppkey END) AS x FROM q JOIN supplier ON contains(lower(s_name), lower(q)) GROUP BY query_id) "
-       "SELECT query_id, CASE WHEN e = 1 THEN 'exact' WHEN e > 1 THEN 'ambiguous' WHEN p = 1 THEN 'partial' WHEN p > 1 THEN 'ambiguous' ELSE 'not_found' END AS status, CASE WHEN e = 1 THEN x WHEN coalesce(e, 0) = 0 AND p = 1 THEN a END AS id FROM q LEFT JOIN h USING (query_id)")
+@query("WITH q AS (SELECT n_nationkey AS query_id, right(n_name, 1 + n_nationkey%3) AS q FROM nation), h AS (SELECT query_id, count(*) FILTER (WHERE lower(s_name) = lower(q)) AS e, count(*) AS p, min(s_suppkey) AS a, min(CASE WHEN lower(s_name) = lower(q) THEN s_suppkey END) AS x, array_to_string(list(s_name ORDER BY CASE WHEN starts_with(lower(s_name), lower(q)) THEN 0 ELSE 1 END, s_suppkey)[1:5], ',') AS c FROM q JOIN supplier ON contains(lower(s_name), lower(q)) GROUP BY query_id) "
+       "SELECT query_id, CASE WHEN e = 1 THEN 'exact' WHEN e > 1 THEN 'ambiguous' WHEN p = 1 THEN 'partial' WHEN p > 1 THEN 'ambiguous' ELSE 'not_found' END AS status, CASE WHEN e = 1 THEN x WHEN coalesce(e, 0) = 0 AND p = 1 THEN a END AS id, CASE WHEN e = 0 AND p > 1 THEN c ELSE '' END AS candidates FROM q LEFT JOIN h USING (query_id)")
 def stop_name_resolve(spark, d):
     asked = table(spark, d, "nation").select(F.col("n_nationkey").alias("query_id"), F.expr("right(n_name, 1 + n_nationkey % 3)").alias("q"))
-    return search.resolve_name(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), asked)
+    return search.resolve_name(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), asked).withColumn("candidates", F.array_join("candidates", ","))
 
 
 @query("SELECT sid AS query_id, CASE WHEN lat <= 35.75 AND lon <= 139.35 THEN 0 WHEN lat >= 35.74 AND lon >= 139.34 THEN 1 END AS area FROM stops", net=True)

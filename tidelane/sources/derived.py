@@ -11,12 +11,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidelane.operators import calendar
 from tidelane.operators.network import walk_transfers
 
 
 @dataclass
 class Network:
-    """stops(sid, nk, lat, lon); stop_times(tid, rid, seq, sid, arr, dep); transfers(a, b, metres, seconds); members(grp, sid); flex_trips(ft, grp, ws, we, kind, minutes, last_day, last_time); patterns(rid, seq, sid); trips(tid, rid, st)."""
+    """stops(sid, nk, lat, lon); stop_times(tid, rid, seq, sid, arr, dep); transfers(a, b, metres, seconds); members(grp, sid); flex_trips(ft, grp, ws, we, kind, minutes, last_day, last_time); patterns(rid, seq, sid); trips(tid, rid, st).
+
+    Optional: running(tid, day) and flex_running(ft, day), the days (YYYYMMDD) of each trip and service, without which all run daily.
+    """
 
     stops: DataFrame
     patterns: DataFrame
@@ -25,6 +29,8 @@ class Network:
     transfers: DataFrame
     members: DataFrame
     flex_trips: DataFrame
+    running: DataFrame | None = None
+    flex_running: DataFrame | None = None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +58,26 @@ def derive(spark: SparkSession, sf_dir: str, walk_m: float = 500.0) -> Network:
     return Network(stops, patterns, trips, stop_times, walk_transfers(stops, walk_m), members, flex)
 
 
+def service_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(service_id, date): every customer's calendar, with exceptions from every 17th order."""
+    c, o = F.col("c_custkey"), F.col("o_orderkey")
+    cal = table(spark, sf_dir, "customer").select(
+        c.alias("service_id"), F.array(*(F.shiftright(c % 128, k) % 2 == 1 for k in range(7))).alias("days"), F.lit("2024-07-03").cast("date").alias("start_date"), F.when(c % 4 > 0, F.lit("2024-07-20").cast("date")).alias("end_date")
+    )
+    exc = table(spark, sf_dir, "orders").where(o % 17 == 0).select(F.col("o_custkey").alias("service_id"), F.date_add(F.lit("2024-07-01").cast("date"), (o % 40).cast("int")).alias("date"), (1 + F.floor(o / 40) % 2).alias("exception_type")).distinct()
+    return calendar.service_dates(cal, exc, "2024-07-01")
+
+
+def derive_dated(spark: SparkSession, sf_dir: str) -> Network:
+    """:func:`derive`, where trips run on the dates of their order's customer and flexible services on those of the customer of their number."""
+    net = derive(spark, sf_dir)
+    dates = service_dates(spark, sf_dir).select(F.col("service_id").cast("long").alias("service_id"), F.date_format("date", "yyyyMMdd").cast("int").alias("day"))
+    trips = net.trips.select("tid").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("tid"), F.col("o_custkey").cast("long").alias("service_id")), "tid")
+    net.running = trips.join(dates, "service_id").select("tid", "day")
+    net.flex_running = net.flex_trips.select("ft", F.col("ft").cast("long").alias("service_id")).join(dates, "service_id").select("ft", "day")
+    return net
+
+
 #: The same network as DuckDB common table expressions.
 SQL = """
 stops AS (SELECT s_suppkey AS sid, s_nationkey AS nk, 35.7::DOUBLE + ((s_suppkey*37)%997)*0.0001::DOUBLE AS lat, 139.3::DOUBLE + ((s_suppkey*61)%991)*0.0001::DOUBLE AS lon FROM supplier),
@@ -63,3 +89,17 @@ xfer AS (SELECT a, b, round(d, 3) AS metres, CAST(ceil(round(d, 3)*1.3::DOUBLE/(
 members AS (SELECT n_regionkey AS grp, sid FROM stops JOIN nation ON n_nationkey = nk),
 flex AS (SELECT n_nationkey AS ft, n_regionkey AS grp, 21600+n_nationkey*900 AS ws, 50400+n_nationkey*900 AS we, n_nationkey%3 AS kind, CASE WHEN n_nationkey%3=1 THEN 30 END AS minutes, CASE WHEN n_nationkey%3=2 THEN 1 END AS last_day, CASE WHEN n_nationkey%3=2 THEN 61200 END AS last_time FROM nation)
 """
+
+#: Service dates (``dates``), and with the network above the stop times and services of each day (``daytimes``, ``flexdays``).
+DATES_SQL = """
+cal AS (SELECT c_custkey AS service_id, c_custkey%128 AS bits, DATE '2024-07-03' AS start_date, CASE WHEN c_custkey%4 > 0 THEN DATE '2024-07-20' END AS end_date FROM customer),
+exc AS (SELECT DISTINCT o_custkey AS service_id, DATE '2024-07-01' + CAST(o_orderkey%40 AS INT) AS date, 1 + (o_orderkey//40)%2 AS exception_type FROM orders WHERE o_orderkey%17 = 0),
+w AS (SELECT unnest(generate_series(DATE '2024-07-01', DATE '2024-08-04', INTERVAL 1 DAY))::DATE AS date),
+reg AS (SELECT service_id, date FROM cal, w WHERE (bits >> CAST(isodow(date)-1 AS INT)) % 2 = 1 AND date >= start_date AND (end_date IS NULL OR date <= end_date)),
+dates AS (SELECT * FROM (SELECT service_id, date FROM reg EXCEPT SELECT service_id, date FROM exc WHERE exception_type = 2) UNION SELECT service_id, date FROM exc JOIN w USING (date) WHERE exception_type = 1)
+"""
+DAYS_SQL = """
+days AS (SELECT service_id, CAST(strftime(date, '%Y%m%d') AS INT) AS day FROM dates),
+daytimes AS (SELECT t.*, d.day FROM sttimes t JOIN orders ON o_orderkey = t.tid JOIN days d ON d.service_id = o_custkey),
+flexdays AS (SELECT ft, day FROM flex JOIN days ON service_id = ft)
+"""
