@@ -44,7 +44,7 @@ from tidelane.llm.sampling import crc_mod
 DEPTH, SHALLOW, MIN_COUNT, MIN_GAIN, PARENT = 6, 2, 4, 20.0, 4.0
 
 #: Text bytes of a chunk; chunks that are summed at once; chunks that one task of a bucket answers, about.
-CHUNK_BYTES, FAN, ASKED = 8 << 20, 64, 256
+CHUNK_BYTES, FAN, ASKED = 12 << 20, 64, 256
 
 #: Training symbols for each bucket, about, and the number of buckets, at most.
 BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 8192
@@ -53,6 +53,9 @@ BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 8192
 BLOCK_BYTES = 512 << 10
 STRIP, STRIP_ROWS = 1 << 20, 64
 
+#: Parts of a unit of log10 probability that answers are rounded to.
+STEP = float(1 << 18)
+
 _BLANK, _END = 32, 10
 
 
@@ -83,13 +86,28 @@ def gram_codes(symbols: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     return code
 
 
+_CODEC = pa.Codec("zstd", compression_level=3)
+
+
 def _packed(values: np.ndarray) -> bytes:
-    raw = values.tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+    """The values' first bytes, then their second ones and so on, compressed; the front holds the size."""
+    raw = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+    return len(raw).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
 
 
 def _unpacked(held: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(pa.decompress(held[8:], int.from_bytes(held[:8], "little"), "zstd", asbytes=True), dtype)
+    raw = np.frombuffer(_CODEC.decompress(held[8:], int.from_bytes(held[:8], "little"), asbytes=True), np.uint8)
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(dtype)
+
+
+def _packed_codes(code: np.ndarray) -> bytes:
+    """Ascending codes, as steps."""
+    return _packed(np.diff(code, prepend=np.uint64(0)))
+
+
+def _unpacked_codes(held: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(held, np.uint64), dtype=np.uint64)
 
 
 def _summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -243,7 +261,7 @@ def posted_chunks(own: DataFrame, buckets: int, text: str, key: str) -> DataFram
             code, n = _counted(found[kind][0])
             other = _counted(found[kind][1])[0]
             code, n = _summed(np.concatenate([code, other]), np.concatenate([n, np.zeros(len(other), np.int64)]))
-            out.extend((kind, b, chunk, len(at), _packed(code[at]), _packed(n[at]), None) for b, at in dealt(bucket_of(code, buckets), buckets))
+            out.extend((kind, b, chunk, len(at), _packed_codes(code[at]), _packed(n[at]), None) for b, at in dealt(bucket_of(code, buckets), buckets))
         return _table(out, _POSTED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,10 +297,10 @@ def bucket_sums(posted: DataFrame, chunks: int) -> DataFrame:
     """(kind, bucket, slot, codes, counts): the training counts of each bucket, one row of each, summed in a tree over the chunks."""
 
     def summed(table: pa.Table) -> pa.Table:
-        parts = [(_unpacked(r["codes"], np.uint64), _unpacked(r["counts"], np.int64)) for r in table.select(["codes", "counts"]).to_pylist()]
+        parts = [(_unpacked_codes(r["codes"]), _unpacked(r["counts"], np.int64)) for r in table.select(["codes", "counts"]).to_pylist()]
         code, n = (np.concatenate(x) for x in zip(*parts, strict=True))
         code, n = _summed(code[n > 0], n[n > 0])
-        return pa.Table.from_batches([_table([(table["kind"][0].as_py(), table["bucket"][0].as_py(), table["slot"][0].as_py(), _packed(code), _packed(n))], _KEPT)])
+        return pa.Table.from_batches([_table([(table["kind"][0].as_py(), table["bucket"][0].as_py(), table["slot"][0].as_py(), _packed_codes(code), _packed(n))], _KEPT)])
 
     parts, slot, groups = posted.where(F.col("kind") < _TEXT), F.xxhash64("chunk"), chunks
     while True:
@@ -299,7 +317,7 @@ def shallow_sums(sums: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for codes, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                code, n = _summed(_unpacked(codes, np.uint64) & _low(SHALLOW), _unpacked(counts, np.int64))
+                code, n = _summed(_unpacked_codes(codes) & _low(SHALLOW), _unpacked(counts, np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(n)], ["code", "n"])
 
     return sums.where(F.col("kind") == _GRAMS).select("codes", "counts").mapInArrow(releasing(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
@@ -329,7 +347,7 @@ def answers(posted: DataFrame, sums: DataFrame, shallow, chunks: int) -> DataFra
         levels, known, now = [], (np.zeros(0, np.uint64), np.zeros(0, np.int64)), None
         for batch in batches:
             for r in batch.to_pylist():
-                kind, code = r["kind"], _unpacked(r["codes"], np.uint64)
+                kind, code = r["kind"], _unpacked_codes(r["codes"])
                 if now != (kind, r["bucket"], r["salt"]):
                     now, levels, known = (kind, r["bucket"], r["salt"]), shallow.value, (np.zeros(0, np.uint64), np.zeros(0, np.int64))
                 if r["chunk"] < 0:
@@ -338,7 +356,7 @@ def answers(posted: DataFrame, sums: DataFrame, shallow, chunks: int) -> DataFra
                         levels = shallow.value + deep_levels(*known, shallow.value)
                     continue
                 if kind == _GRAMS:
-                    found = log_probabilities(levels, code).astype(np.float32)[np.argsort(code.byteswap())]
+                    found = np.round(log_probabilities(levels, code) * -STEP).astype(np.uint32)[np.argsort(code.byteswap())]
                 else:
                     at = np.minimum(np.searchsorted(known[0], code), max(len(known[0]) - 1, 0))
                     found = np.where(known[0][at] == code, known[1][at], 0) if len(known[0]) else np.zeros(len(code), np.int64)
@@ -373,15 +391,15 @@ def gram_sums(symbols: np.ndarray, bounds: np.ndarray, answer: dict, buckets: in
         if size >= STRIP:
             code, fresh, size = _distinct(np.concatenate([code, *fresh])), [], 0
     code = _distinct(np.concatenate([code, *fresh]))
-    logp = np.zeros(len(code), np.float32)
+    logp = np.zeros(len(code))
     for b, at in dealt(gram_buckets(code, buckets), buckets):
-        logp[at[np.argsort(code[at].byteswap())]] = _unpacked(answer[b], np.float32)
+        logp[at[np.argsort(code[at].byteswap())]] = _unpacked(answer[b], np.uint32) / -STEP
     out = [np.zeros(0)]
     for own, a, b in zip(strips(), cuts[:-1], cuts[1:], strict=True):
         gram = own & _low(DEPTH)
         few = _distinct(gram)
         each = logp[np.searchsorted(code, few)][np.searchsorted(few, gram)]
-        out.append(np.bincount((own >> shift).astype(np.int64), each.astype(np.float64), b - a))
+        out.append(np.bincount((own >> shift).astype(np.int64), each, b - a))
     return np.concatenate(out)
 
 
