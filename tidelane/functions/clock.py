@@ -40,3 +40,27 @@ def departure_parts(text: Column) -> tuple[Column, Column]:
     stated = text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}(:[0-9]{2})?(Z|[+-][0-9]{2}:?[0-9]{2})$")
     local = F.when(stated, F.from_utc_timestamp(F.to_utc_timestamp(F.try_to_timestamp(F.regexp_replace(text, "(T[0-9]{2}:[0-9]{2})(Z|[+-])", "$1:00$2")), F.current_timezone()), "+09:00"))
     return F.date_format(local, "yyyyMMdd").cast("int"), F.hour(local) * 3600 + F.minute(local) * 60 + F.second(local)
+
+
+def date_input(text: Column) -> Column:
+    """``YYYY-MM-DD`` as YYYYMMDD; anything else is null."""
+    return F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.replace(text, F.lit("-"), F.lit("")).cast("int"))
+
+
+def time_input(text: Column) -> Column:
+    """``HH:MM`` as seconds; anything else is null."""
+    return F.when(text.rlike(r"^[0-9]{2}:[0-9]{2}$"), F.left(text, F.lit(2)).cast("int") * 3600 + F.right(text, F.lit(2)).cast("int") * 60)
+
+
+def to_date_input(day: Column) -> Column:
+    return F.concat_ws("-", F.floor(day / 10000).cast("string"), F.lpad((F.floor(day / 100) % 100).cast("string"), 2, "0"), F.lpad((day % 100).cast("string"), 2, "0"))
+
+
+def to_time_input(seconds: Column) -> Column:
+    """``HH:MM`` of the day."""
+    return hhmm(F.pmod(seconds, F.lit(DAY)))
+
+
+def walk_amount(metres: Column) -> Column:
+    """How much there is to walk: little up to 300 m, some up to 800 m, else much."""
+    return F.when(metres <= 300, "little").when(metres <= 800, "some").otherwise("much")

@@ -53,3 +53,18 @@ def phone_text(phone: Column) -> Column:
     d = F.regexp_replace(phone, "[^0-9]", "")
     cut = lambda *ends: F.concat_ws("-", *(F.substring(d, a, n) for a, n in ends))
     return F.when(F.length(d) == 11, cut((1, 3), (4, 4), (8, 4))).when(F.length(d) == 10, cut((1, 3), (4, 3), (7, 4))).otherwise(phone)
+
+
+def phone_link(phone: Column) -> Column:
+    """``tel:`` and the digits."""
+    return F.concat(F.lit("tel:"), F.regexp_replace(phone, "[^0-9]", ""))
+
+
+def route_name(short: Column, long: Column, id_: Column) -> Column:
+    """The short name, else the long one, else the id; empty names don't count."""
+    return F.coalesce(F.nullif(short, F.lit("")), F.nullif(long, F.lit("")), id_)
+
+
+def service_name(long: Column, short: Column, group: Column) -> Column:
+    """The route's long name, else its short one, else the group's; an empty name counts."""
+    return F.coalesce(long, short, group)

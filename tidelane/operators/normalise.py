@@ -58,23 +58,52 @@ def calendar_dates(raw: DataFrame) -> DataFrame:
     return _done(own, F.col("service_id").isNull() | F.col("date").isNull() | ~F.coalesce(F.col("exception_type").isin(1, 2), F.lit(False)))
 
 
+#: Fields of a booking rule beside its id and type, by what they hold.
+RULE_NUMBERS = {"prior_notice_duration_max": "minutes_max", "prior_notice_last_day": "last_day", "prior_notice_start_day": "start_day"}
+RULE_TIMES = {"prior_notice_last_time": "last_time", "prior_notice_start_time": "start_time"}
+RULE_TEXTS = {"prior_notice_service_id": "notice_service_id", "message": "message", "pickup_message": "pickup_message", "drop_off_message": "drop_off_message", "phone_number": "phone", "info_url": "info_url", "booking_url": "booking_url"}
+
+
 def booking_rules(raw: DataFrame) -> DataFrame:
-    """The last of rows with one id holds; a type 1 rule without minutes is kept with a warning."""
+    """The last of rows with one id holds; a type 1 rule without minutes is kept with a warning.
+
+    Of the other fields of a rule those that ``raw`` has are typed as well.
+    """
     own = raw.withColumns({"booking_rule_id": clean(F.col("booking_rule_id")), "booking_type": number(F.col("booking_type")).cast("int"), "minutes": number(F.col("prior_notice_duration_min")).cast("int")})
+    for names, typed in ((RULE_NUMBERS, lambda c: number(c).cast("int")), (RULE_TIMES, lambda c: gtfs_seconds(clean(c))), (RULE_TEXTS, clean)):
+        for source, name in names.items():
+            if source in raw.columns:
+                own = own.withColumn(f"__{name}", typed(F.col(source))).drop(source).withColumnRenamed(f"__{name}", name)
     drop = F.col("booking_rule_id").isNull() | ~F.coalesce(F.col("booking_type").isin(0, 1, 2), F.lit(False))
     done = _done(own, drop, ((F.col("booking_type") == 1) & F.col("minutes").isNull(), "spec_violation")).drop("prior_notice_duration_min")
     last = F.row_number().over(Window.partitionBy("booking_rule_id", F.col("drop_reason").isNull()).orderBy(F.desc("row_no")))
     return done.withColumn("__k", last).withColumn("drop_reason", F.when(F.col("drop_reason").isNull() & (F.col("__k") > 1), "replaced").otherwise(F.col("drop_reason"))).drop("__k")
 
 
+def routes(raw: DataFrame) -> DataFrame:
+    """Route names, agency, type and colours; a type that is no number is null."""
+    own = raw.withColumns({**{c: clean(F.col(c)) for c in ("route_id", "agency_id", "color", "text_color")}, "short_name": clean(F.col("route_short_name")), "long_name": clean(F.col("route_long_name")), "route_type": number(F.col("route_type")).cast("int")})
+    return _done(own, F.col("route_id").isNull()).drop("route_short_name", "route_long_name")
+
+
+def feed_info(raw: DataFrame, columns: list[str]) -> DataFrame:
+    """Of each feed its first row, cleaned; ``raw``: feed_id, row_no and ``columns``."""
+    first = raw.groupBy("feed_id").agg(F.min_by(F.struct(*columns), "row_no").alias("x"))
+    return first.select("feed_id", *(clean(F.col("x").getField(c)).alias(c) for c in columns))
+
+
 def group_members(raw: DataFrame) -> DataFrame:
     own = kept(projected(raw, ["location_group_id", "stop_id"], ["location_group_id", "stop_id"]))
     return own.select("location_group_id", "stop_id").distinct()
 
 
 def stop_times(raw: DataFrame, rules: DataFrame) -> DataFrame:
-    """Place, times, window, types and rules of each row; ``rules``: booking_rule_id."""
-    text = {c: clean(F.col(c)) for c in ("trip_id", "stop_id", "location_group_id", "location_id", "start_window", "end_window", "arrival_time", "departure_time", "pickup_type", "drop_off_type", "pickup_rule", "stop_sequence")}
+    """Place, times, window, types and rules of each row; ``rules``: booking_rule_id.
+
+    ``raw`` may have drop_off_rule and timepoint (0 or 1, anything else is null).
+    """
+    raw = raw.withColumns({c: F.lit(None).cast("string") for c in ("drop_off_rule", "timepoint") if c not in raw.columns})
+    text = {c: clean(F.col(c)) for c in ("trip_id", "stop_id", "location_group_id", "location_id", "start_window", "end_window", "arrival_time", "departure_time", "pickup_type", "drop_off_type", "pickup_rule", "drop_off_rule", "stop_sequence")}
     own = raw.withColumns(text)
     places = sum((F.col(c).isNotNull().cast("int") for c in ("stop_id", "location_group_id", "location_id")), F.lit(0))
     kind = F.when(F.col("stop_id").isNotNull(), "stop").when(F.col("location_group_id").isNotNull(), "group").when(F.col("location_id").isNotNull(), "location").otherwise("unresolved")
@@ -88,17 +117,22 @@ def stop_times(raw: DataFrame, rules: DataFrame) -> DataFrame:
     wrong = lambda c: F.col(c).isNotNull() & ~F.col(c).rlike("^[0-3]$")
     own = own.withColumn("window_row", window)
     other = F.when(F.col("window_row"), 2).otherwise(0)
-    occurrence = F.row_number().over(Window.partitionBy("trip_id").orderBy("row_no"))
-    own = own.join(rules.select(F.col("booking_rule_id").alias("__rule")).distinct(), F.col("pickup_rule") == F.col("__rule"), "left")
+    # Rows without a trip are dropped in any case: they are counted as they come, not as one trip.
+    trip = F.coalesce("trip_id", F.concat(F.lit("\0"), F.col("row_no").cast("string")))
+    occurrence = F.when(F.col("trip_id").isNotNull(), F.row_number().over(Window.partitionBy(trip).orderBy("row_no")))
+    known = rules.select("booking_rule_id").distinct()
+    own = own.join(known.select(F.col("booking_rule_id").alias("__rule")), F.col("pickup_rule") == F.col("__rule"), "left").join(known.select(F.col("booking_rule_id").alias("__drop")), F.col("drop_off_rule") == F.col("__drop"), "left")
     own = own.withColumns({"pickup": typed("pickup_type"), "drop_off": typed("drop_off_type"), "seq": F.coalesce(number(F.col("stop_sequence")).cast("int"), occurrence)})
     done = _done(
         own, F.col("trip_id").isNull(), (F.col("n_places") > 1, "spec_violation"), (F.col("n_places") == 0, "unresolved_location"), (F.col("half"), "spec_violation"),
         (number(F.col("stop_sequence")).isNull(), "invalid_value"), (wrong("pickup_type") | wrong("drop_off_type"), "invalid_value"),
         (F.col("window_row") & (F.coalesce(F.col("pickup").isin(0, 3), F.lit(False)) | F.coalesce(F.col("drop_off") == 0, F.lit(False))), "spec_violation"),
-        (F.col("pickup_rule").isNotNull() & F.col("__rule").isNull(), "foreign_key_mismatch"),
+        (F.col("pickup_rule").isNotNull() & F.col("__rule").isNull(), "foreign_key_mismatch"), (F.col("drop_off_rule").isNotNull() & F.col("__drop").isNull(), "foreign_key_mismatch"),
     )
+    point = number(F.col("timepoint"))
     return done.select(
-        "row_no", "trip_id", "seq", "place_kind", "place", "arr", "dep", "w0", "w1", F.coalesce("pickup", other).alias("pickup"), F.coalesce("drop_off", other).alias("drop_off"), F.col("__rule").alias("rule"), "drop_reason", "warnings"
+        "row_no", "trip_id", "seq", "place_kind", "place", "arr", "dep", "w0", "w1", F.coalesce("pickup", other).alias("pickup"), F.coalesce("drop_off", other).alias("drop_off"), F.col("__rule").alias("rule"), F.col("__drop").alias("drop_rule"),
+        F.when(point.isin(0, 1), point.cast("int")).alias("timepoint"), "drop_reason", "warnings"
     )
 
 
@@ -111,7 +145,7 @@ def flex_pairs(rows: DataFrame) -> DataFrame:
     """Per trip its first pickup-only and first drop-off-only row: (trip_id, grp, ws, we, pickup_rule, drop_off_rule)."""
     r = role(F.col("pickup"), F.col("drop_off"))
     up = F.min_by(F.struct("place_kind", "place", "w0", "w1", "rule"), F.when(r == "pickup_only", F.col("row_no")))
-    down = F.min_by(F.struct("rule"), F.when(r == "dropoff_only", F.col("row_no")))
+    down = F.min_by(F.struct(F.col("drop_rule").alias("rule")), F.when(r == "dropoff_only", F.col("row_no")))
     pairs = rows.groupBy("trip_id").agg(up.alias("u"), down.alias("d"), F.count(F.when(r == "pickup_only", 1)).alias("nu"), F.count(F.when(r == "dropoff_only", 1)).alias("nd"))
     pairs = pairs.where("nu > 0 AND nd > 0 AND u.place_kind = 'group' AND u.w0 IS NOT NULL")
     return pairs.select("trip_id", F.col("u.place").alias("grp"), F.col("u.w0").alias("ws"), F.col("u.w1").alias("we"), F.col("u.rule").alias("pickup_rule"), F.col("d.rule").alias("drop_off_rule"))

@@ -393,7 +393,7 @@ def raw_normalize_booking_rules(spark, d):
 
 _RAW_TIMES = ("SELECT CAST(e_id AS INT) AS row_no, CASE WHEN e_id%17=0 THEN '' ELSE CAST(e_user AS VARCHAR) END AS trip_id, CASE WHEN e_id%3=0 THEN 'S1' ELSE '' END AS stop_id, CASE WHEN e_id%3=1 OR e_id%21=0 THEN 'G1' ELSE '' END AS location_group_id, '' AS location_id,"
               " CASE WHEN e_id%3=1 THEN '09:00:00' ELSE '' END AS start_window, CASE WHEN e_id%3=1 AND e_id%5<>0 THEN '25:30:00' ELSE '' END AS end_window, CASE WHEN e_id%3=0 THEN '8:05:09' ELSE '' END AS arrival_time, '' AS departure_time,"
-              " CAST(e_id%5 AS VARCHAR) AS pickup_type, CASE WHEN e_id%2=0 THEN '1' ELSE '' END AS drop_off_type, CASE WHEN e_id%4=0 THEN 'R1' WHEN e_id%4=1 THEN 'R9' ELSE '' END AS pickup_rule, CASE WHEN e_id%6=0 THEN '' ELSE CAST(e_id AS VARCHAR) END AS stop_sequence FROM (SELECT event_id AS e_id, user_id AS e_user FROM events)")
+              " CAST(e_id%5 AS VARCHAR) AS pickup_type, CASE WHEN e_id%2=0 THEN '1' ELSE '' END AS drop_off_type, CASE WHEN e_id%4=0 THEN 'R1' WHEN e_id%4=1 THEN 'R9' ELSE '' END AS pickup_rule, CASE WHEN e_id%5=0 THEN 'R2' WHEN e_id%5=1 THEN 'R7' ELSE '' END AS drop_off_rule, CAST(e_id%3 AS VARCHAR) AS timepoint, CASE WHEN e_id%6=0 THEN '' ELSE CAST(e_id AS VARCHAR) END AS stop_sequence FROM (SELECT event_id AS e_id, user_id AS e_user FROM events)")
 
 
 def _times(spark, d):
@@ -404,17 +404,17 @@ def _times(spark, d):
 @query(f"""WITH r AS ({_RAW_TIMES}), b AS (SELECT *, start_window <> '' AND end_window <> '' AS full_window, (start_window = '') <> (end_window = '') AS half FROM r),
 c AS (SELECT *, arrival_time = '' AND NOT full_window AS none FROM b),
 e AS (SELECT *, CASE WHEN none THEN 0 WHEN full_window THEN 32400 END AS w0, CASE WHEN none THEN 86400 WHEN full_window THEN 91800 END AS w1, row_number() OVER (PARTITION BY nullif(trip_id, '') ORDER BY row_no) AS occ FROM c)
-SELECT row_no, nullif(trip_id, '') AS trip_id, CASE WHEN stop_sequence = '' THEN CAST(occ AS INT) ELSE CAST(stop_sequence AS INT) END AS seq, CASE WHEN stop_id <> '' THEN 'stop' WHEN location_group_id <> '' THEN 'group' ELSE 'unresolved' END AS place_kind,
+SELECT row_no, nullif(trip_id, '') AS trip_id, CASE WHEN stop_sequence = '' THEN CASE WHEN trip_id <> '' THEN CAST(occ AS INT) END ELSE CAST(stop_sequence AS INT) END AS seq, CASE WHEN stop_id <> '' THEN 'stop' WHEN location_group_id <> '' THEN 'group' ELSE 'unresolved' END AS place_kind,
 coalesce(nullif(stop_id, ''), nullif(location_group_id, '')) AS place, CASE WHEN arrival_time <> '' THEN 29109 END AS arr, CAST(NULL AS INT) AS dep, w0, w1,
 CASE WHEN pickup_type <> '4' THEN CAST(pickup_type AS INT) WHEN w0 IS NOT NULL AND arrival_time = '' THEN 2 ELSE 0 END AS pickup, CASE WHEN drop_off_type <> '' THEN 1 WHEN w0 IS NOT NULL AND arrival_time = '' THEN 2 ELSE 0 END AS drop_off,
-CASE WHEN pickup_rule = 'R1' THEN 'R1' END AS rule, CASE WHEN trip_id = '' THEN 'row_dropped' END AS drop_reason FROM e""")
+CASE WHEN pickup_rule = 'R1' THEN 'R1' END AS rule, CASE WHEN drop_off_rule = 'R2' THEN 'R2' END AS drop_rule, CASE WHEN timepoint <> '2' THEN CAST(timepoint AS INT) END AS timepoint, CASE WHEN trip_id = '' THEN 'row_dropped' END AS drop_reason FROM e""")
 def raw_normalize_stop_times(spark, d):
     return _times(spark, d).drop("warnings")
 
 
 @query(f"""WITH r AS ({_RAW_TIMES}), w AS (SELECT row_no, unnest(CASE WHEN trip_id = '' THEN ['row_dropped'] ELSE [CASE WHEN stop_id <> '' AND location_group_id <> '' THEN 'spec_violation' END, CASE WHEN stop_id = '' AND location_group_id = '' THEN 'unresolved_location' END,
 CASE WHEN (start_window = '') <> (end_window = '') THEN 'spec_violation' END, CASE WHEN stop_sequence = '' THEN 'invalid_value' END, CASE WHEN pickup_type = '4' THEN 'invalid_value' END,
-CASE WHEN arrival_time = '' AND pickup_type IN ('0', '3') THEN 'spec_violation' END, CASE WHEN pickup_rule = 'R9' THEN 'foreign_key_mismatch' END] END) AS code FROM r)
+CASE WHEN arrival_time = '' AND pickup_type IN ('0', '3') THEN 'spec_violation' END, CASE WHEN pickup_rule = 'R9' THEN 'foreign_key_mismatch' END, CASE WHEN drop_off_rule = 'R7' THEN 'foreign_key_mismatch' END] END) AS code FROM r)
 SELECT code, count(*) AS n FROM w WHERE code IS NOT NULL GROUP BY code""")
 def parse_warnings(spark, d):
     return normalise.warning_log("stop_times", _times(spark, d)).groupBy("code").agg(F.count("*").alias("n"))
@@ -426,9 +426,9 @@ def stop_time_roles(spark, d):
 
 
 @query(f"""WITH r AS ({_RAW_TIMES}), c AS (SELECT *, CASE WHEN stop_id <> '' THEN 'stop' WHEN location_group_id <> '' THEN 'group' ELSE 'unresolved' END AS pk, start_window <> '' AND end_window <> '' AS full_window FROM r WHERE trip_id <> ''),
-t AS (SELECT *, CASE WHEN full_window THEN 32400 WHEN arrival_time = '' THEN 0 END AS w0, CASE WHEN full_window THEN 91800 WHEN arrival_time = '' THEN 86400 END AS w1, pickup_type = '1' AS p1, drop_off_type <> '' AS d1, CASE WHEN pickup_rule = 'R1' THEN 'R1' END AS rule FROM c),
+t AS (SELECT *, CASE WHEN full_window THEN 32400 WHEN arrival_time = '' THEN 0 END AS w0, CASE WHEN full_window THEN 91800 WHEN arrival_time = '' THEN 86400 END AS w1, pickup_type = '1' AS p1, drop_off_type <> '' AS d1, CASE WHEN pickup_rule = 'R1' THEN 'R1' END AS rule, CASE WHEN drop_off_rule = 'R2' THEN 'R2' END AS drop_rule FROM c),
 u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY row_no) AS k FROM t WHERE d1 AND NOT p1) WHERE k = 1), w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY row_no) AS k FROM t WHERE p1 AND NOT d1) WHERE k = 1)
-SELECT u.trip_id, u.location_group_id AS grp, u.w0 AS ws, u.w1 AS we, u.rule AS pickup_rule, w.rule AS drop_off_rule FROM u JOIN w USING (trip_id) WHERE u.pk = 'group' AND u.w0 IS NOT NULL""")
+SELECT u.trip_id, u.location_group_id AS grp, u.w0 AS ws, u.w1 AS we, u.rule AS pickup_rule, w.drop_rule AS drop_off_rule FROM u JOIN w USING (trip_id) WHERE u.pk = 'group' AND u.w0 IS NOT NULL""")
 def flex_trip_pairs(spark, d):
     return normalise.flex_pairs(normalise.kept(_times(spark, d)))
 

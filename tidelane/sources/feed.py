@@ -50,6 +50,29 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(_rows, _ROWS)
 
 
+def read_large(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """(row_no, columns as text) of one UTF-8 file of any size, read in splits; rows are numbered in order, not one by one, and broken ones padded with nulls.
+
+    Cells must not hold line breaks; for small, odd or differently encoded files there is :func:`read_raw`.
+    """
+    own = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", False).csv(path)
+    have = {c.strip().removeprefix("\ufeff"): c for c in own.columns}
+    return own.select(F.monotonically_increasing_id().alias("row_no"), *((F.col(f"`{have[c]}`") if c in have else F.lit(None).cast("string")).alias(c) for c in columns))
+
+
+def read_locations(spark: SparkSession, path: str) -> DataFrame:
+    """(feed, text) of the ``locations.geojson`` under feed folders."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "locations.geojson").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -2).alias("feed"), F.regexp_replace(F.col("content").cast("string"), "^\ufeff", "").alias("text"))
+
+
+def read_credits(spark: SparkSession, path: str) -> DataFrame:
+    """(generated_at, feed_id, provider, credit, license, license_url, source_url) of a JSON manifest of data sources."""
+    entry = "struct<feedId: string, providerName: string, creditText: string, licenseId: string, licenseUrl: string, sourceUrl: string>"
+    own = spark.read.schema(f"generatedAt string, entries array<{entry}>").json(path, multiLine=True)
+    return own.select(F.col("generatedAt").alias("generated_at"), F.explode("entries").alias("e")).select("generated_at", F.col("e.feedId").alias("feed_id"), F.col("e.providerName").alias("provider"), F.col("e.creditText").alias("credit"), F.col("e.licenseId").alias("license"), F.col("e.licenseUrl").alias("license_url"), F.col("e.sourceUrl").alias("source_url"))
+
+
 def missing_files(raw: DataFrame) -> DataFrame:
     """(feed_id, file) of known files that a feed lacks."""
     known = raw.sparkSession.createDataFrame([(f,) for f in FILES], "file string")
