@@ -8,10 +8,12 @@ from collections import Counter
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidelane.llm import bpe, decontaminate, language_id, license_scan, minhash, quality_classifier, quality_rules, suffix_dedup, suffix_tree_lm, url_filter
+from tidelane.llm.bytetext import utf8_block
 from tidelane.llm.suffix_array import suffix_array
 
 rng = random.Random(5)
@@ -174,6 +176,88 @@ def test_decontaminate(spark, docs, nothing):
     assert decontaminate.decontaminate(nothing, bench).count() == 0 and decontaminate.decontaminate(docs, bench.where("false")).where("n_hit > 0").count() == 0
 
 
+def brute_hits(text, items, n=10):
+    words = lambda t: [w for w in re.split("[\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
+    own, hit, found = words(text), set(), set()
+    for name, t in items:
+        w = words(t)
+        for s in range(max(1, len(w) - n + 1)) if w else ():
+            g = w[s : s + n]
+            for p in range(len(own) - len(g) + 1):
+                if own[p : p + len(g)] == g:
+                    hit.update(range(p, p + len(g)))
+                    if name is not None:
+                        found.add(str(name))
+    return len(own), len(hit), sorted(found)
+
+
+@pytest.mark.parametrize("most", [decontaminate.SHARED_BYTES, 1])
+def test_decontaminate_in_passes(spark, docs, most):
+    cut = PASSAGE.split(" ")
+    items = [(1, " ".join(cut[5:40])), (2, "one"), (3, None), (4, " ".join(cut[30:55])), (None, " ".join(cut[50:])), (10, " ".join(cut[38:52])), (2, "one")]
+    bench = spark.createDataFrame(items, "item_id int, text string").repartition(3)
+    found = decontaminate.decontaminate(docs, bench, limit=20, most=most).collect()
+    assert len(found) == len(TEXTS) + 1
+    for r in found:
+        assert (r.n_words, r.n_hit, r["items"]) == brute_hits(TEXTS[r.doc_id], items)
+
+
+def test_counts_of_quality_rules(docs):
+    """The five counts and the base verdict against the definition."""
+    forest = quality_rules.Forest(base=9.0)
+    for r in quality_rules.judge(docs.where("doc_id NOT IN (9, 10)"), forest).collect() + quality_rules.judge(docs.sparkSession.createDataFrame([(-1, "a b\n\na b\n #x| a b c d e f g h a b c d e f g h i\n \na b"), (-2, "é ü\té #*$%&|<>\n" * 3)], "doc_id long, text string"), forest).collect():
+        text = TEXTS[r.doc_id] if r.doc_id >= 0 else {-1: "a b\n\na b\n #x| a b c d e f g h a b c d e f g h i\n \na b", -2: "é ü\té #*$%&|<>\n" * 3}[r.doc_id]
+        text = text or ""
+        split = lambda t: [w for w in re.split("[\x20\x09-\x0d]+", t) if w]
+        words, seen, dup = split(text), set(), 0
+        for line in text.split("\n"):
+            dup += bool(split(line)) and line in seen
+            seen.add(line)
+        windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+        inside = {i + k for i in range(len(words) - 7) if windows[tuple(words[i : i + 8])] > 1 for k in range(8)}
+        failed = len(words) < 20 or 100 * len(inside) > 30 * len(words)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), dup, len(inside))
+        assert r.base_failed == failed and r.kept == (not failed)
+
+
+def test_forest_is_monotonic_where_asked():
+    draw = np.random.default_rng(3)
+    x = draw.uniform(size=(400, 2))
+    y = ((x[:, 0] + 0.3 * draw.normal(size=400) < 0.5) ^ (draw.uniform(size=400) < 0.1)).astype(int)
+    forest = quality_rules.fit(x, y, [-1, 0])
+    grid = np.linspace(0, 1, 50)
+    for other in (0.1, 0.5, 0.9):
+        p = forest.probability(np.column_stack([grid, np.full(50, other)]))
+        assert (np.diff(p) <= 1e-12).all() and p[0] > 0.5 > p[-1]
+
+
+def test_classifier_scores_by_its_definition():
+    """The folded score is the softmax over the mean of the vectors of all features."""
+    draw = np.random.default_rng(5)
+    model = quality_classifier.Classifier(draw.normal(size=quality_classifier.BUCKETS).astype(np.float32), 0.25)
+    block = utf8_block(pa.array(["one two two", None, "x"]))
+    f = quality_classifier.features(block)
+    for i, p in enumerate(model.score(block)):
+        own = [b for w in f.inverse[f.row_bounds[i] : f.row_bounds[i + 1]] for b in f.bucket[f.bounds[w] : f.bounds[w + 1]]] + [b for b in f.pair[f.row_bounds[i] : f.row_bounds[i + 1]] if b >= 0]
+        odds = 0.25 + (np.mean(model.gain[own].astype(np.float64)) if own else 0)
+        assert abs(p - 1 / (1 + np.exp(-odds))) < 1e-6
+
+
+def test_language_posterior_and_text_ids(spark):
+    """A text's posterior is the product of its words' sums over all segmentations; ids may be text or null."""
+    trie = language_id.Trie.of([b"a", b"b", b"ab", b"\0", b"\0a"])
+    w = np.array([[0.1, 0.3], [0.2, 0.1], [0.3, 0.2], [0.25, 0.2], [0.15, 0.2]])
+    word = lambda t, j: sum(np.prod([w[[b"a", b"b", b"ab", b"\0", b"\0a"].index(c), j] for c in cut]) for cut in {"ab": [(b"\0", b"a", b"b"), (b"\0", b"ab"), (b"\0a", b"b")], "a": [(b"\0", b"a"), (b"\0a",)]}[t])
+    got = language_id.Model(["x", "y"], w, trie).posterior(utf8_block(pa.array(["ab a", "a"])))
+    for row, own in zip(got, (["ab", "a"], ["a"]), strict=True):
+        p = np.array([np.prod([word(t, j) for t in own]) for j in (0, 1)])
+        assert np.allclose(row, p / p.sum())
+    rows = spark.createDataFrame([("k1", "the and", "en", 1), ("k2", "les eau", "fr", 0), (None, "the", "en", None)], "doc_id string, text string, lang string, quality int")
+    assert language_id.identify(rows, language_id.train(rows)).count() == 3
+    assert quality_classifier.score(rows, quality_classifier.train(rows, rows.select("doc_id", "quality"))).count() == 3
+    assert quality_rules.judge(rows, quality_rules.train(rows, rows.select("doc_id", "quality"))).count() == 3
+
+
 def test_language_id(spark, docs, nothing):
     train = spark.createDataFrame([(i, " ".join(rng.choice(w) for _ in range(30)), k) for i in range(60) for k, w in (("en", ["the", "and", "with"]), ("fr", ["les", "eau", "dans"]))], "doc_id long, text string, lang string")
     model = language_id.train(train)

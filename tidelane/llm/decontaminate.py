@@ -8,9 +8,10 @@ searching it needs no shuffle and a hot document, source or term stays where it
 segment lacks are dropped at once; for the others the posting lists are intersected,
 offset-adjusted, from the segment's rarest term on, until all terms have been matched.
 
-Test phrases reach the tasks in broadcast blocks of at most ``PHRASE_WORDS`` words each;
-a larger benchmark makes more blocks, never a longer one.  Terms are compared by 64-bit
-hashes of whole words.
+Test phrases are cut into blocks by tasks and written; blocks of at most ``SHARED_BYTES``
+together are broadcast at once.  A larger benchmark takes several passes over a stored index,
+each with blocks of that size, and the hits of each document are put together at the end.
+Terms are compared by 64-bit hashes of whole words.
 
 Defined cases: null and empty texts have no words and no hits.  An item with fewer words
 than a window is one phrase; one without words never occurs.  An item with a null id marks
@@ -24,17 +25,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelane.llm.bytetext import ALNUM_SEP, LOWER, Block, blocks, releasing, row_of, small_batches, span_hashes, split_words, utf8_block
+from tidelane.llm.checkpoints import Tables
 
 #: Words of an item that must stand consecutively.
 WINDOW = 10
 
-#: Words of test items in one broadcast block, about.
-PHRASE_WORDS = 400_000
+#: Words of test items in one block, about; bytes of blocks that are broadcast at once.
+PHRASE_WORDS, SHARED_BYTES = 400_000, 64 << 20
 
 
 def _word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -63,29 +66,44 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return docs.select(key, text).mapInArrow(releasing(run), schema)
 
 
-def phrase_blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text", window: int = WINDOW, limit: int = PHRASE_WORDS) -> Iterator[dict]:
-    """The items' windows as blocks of arrays: ``words`` of all phrases side by side, ``start`` and ``length`` of each phrase, its ``item``; ``names`` of the items."""
-    rows, size = [], 0
+_BLOCK = T.StructType([T.StructField("block", T.LongType()), T.StructField("size", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ("words", "start", "length", "item")), T.StructField("names", T.ArrayType(T.StringType()))])
 
-    def packed() -> dict:
-        hashes, bounds = _word_hashes(pa.array([r[1] for r in rows], pa.string()))
+
+def phrase_blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text", window: int = WINDOW, limit: int = PHRASE_WORDS) -> DataFrame:
+    """The items' windows as blocks of packed arrays: ``words`` of all phrases side by side, ``start`` and ``length`` of each phrase, its ``item``; ``names`` of the items; ``size`` in bytes."""
+
+    def packed(block: int, names: list, hashes: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
         start, length, item = [], [], []
         for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
             n = max(1, b - a - window + 1) if b > a else 0
             start.append(np.arange(a, a + n))
             length.append(np.full(n, min(window, b - a)))
             item.append(np.full(n, i))
-        join = lambda x: np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64)
-        return {"words": hashes, "start": join(start), "length": join(length), "item": join(item), "names": [None if r[0] is None else str(r[0]) for r in rows]}
+        parts = [hashes.tobytes(), *(np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64).tobytes() for x in (start, length, item))]
+        size = sum(map(len, parts)) + sum(len(n or "") + 64 for n in names)
+        return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([size]), *(pa.array([x], pa.binary()) for x in parts), pa.array([names], pa.list_(pa.string()))], _BLOCK.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, names, held, bounds = TaskContext.get().partitionId() << 32, [], [], [0]
+        for batch in blocks(batches, text):
+            hashes, ends = _word_hashes(batch.column(1))
+            names += batch.column(0).to_pylist()
+            held.append(hashes)
+            bounds += (ends[1:] + bounds[-1]).tolist()
+            if bounds[-1] >= limit:
+                yield packed(block, names, np.concatenate(held), np.array(bounds))
+                block, names, held, bounds = block + 1, [], [], [0]
+        if names:
+            yield packed(block, names, np.concatenate(held), np.array(bounds))
+
+    return benchmark.select(F.col(key).cast("string").alias(key), text).mapInArrow(releasing(run), _BLOCK)
 
-    for row in benchmark.select(key, text).toLocalIterator():
-        rows.append(row)
-        size += len(row[1] or "") // 4 + 1
-        if size >= limit:
-            yield packed()
-            rows, size = [], 0
-    if rows:
-        yield packed()
+
+def shared_blocks(phrases: DataFrame, low: int, high: int):
+    """A broadcast of the blocks from ``low`` to ``high``."""
+    rows = phrases.where(F.col("block").between(low, high)).orderBy("block").collect()
+    own = [{"words": np.frombuffer(r["words"], np.uint64), **{c: np.frombuffer(r[c], np.int64) for c in ("start", "length", "item")}, "names": r["names"]} for r in rows]
+    return phrases.sparkSession.sparkContext.broadcast(own)
 
 
 class Segment:
@@ -152,11 +170,11 @@ def search(segment: Segment, block: dict, slop: int | None = None) -> list[tuple
     return out
 
 
-def find_phrases(index: DataFrame, blocks_of_phrases: list, slop: int | None = None, key: str = "doc_id") -> DataFrame:
+def find_phrases(index: DataFrame, shared, slop: int | None = None, key: str = "doc_id") -> DataFrame:
     """One row per indexed document: its key, ``n_words``, ``n_hit``, ``hits`` (item, start, n_words, exact) and ``items``.
 
-    ``blocks_of_phrases``: broadcast variables of :func:`phrase_blocks`.  ``n_hit`` counts
-    the document's words inside exact matches, once each.
+    ``shared``: of :func:`shared_blocks`.  ``n_hit`` counts the document's words inside exact
+    matches, once each.
     """
     hit = T.StructType([T.StructField("item", T.StringType()), T.StructField("start", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("exact", T.BooleanType())])
     schema = T.StructType([
@@ -172,8 +190,7 @@ def find_phrases(index: DataFrame, blocks_of_phrases: list, slop: int | None = N
                 n = len(segment.doc_bounds) - 1
                 hits: list[list] = [[] for _ in range(n)]
                 cover = np.zeros(len(segment.doc) + 1, np.int64)
-                for shared in blocks_of_phrases:
-                    block = shared.value
+                for block in shared.value:
                     for item, start, length, exact in search(segment, block, slop):
                         doc = segment.doc[start]
                         hits[doc].append((block["names"][item], int(start - segment.doc_bounds[doc]), int(length), exact))
@@ -191,11 +208,48 @@ def find_phrases(index: DataFrame, blocks_of_phrases: list, slop: int | None = N
     return index.mapInArrow(releasing(run), schema)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def passes(sizes: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
+    """First and last block of each pass, from (block, bytes) in order; a pass has ``most`` bytes at most, or one block."""
+    out, held = [], 0
+    for block, size in sizes:
+        if out and held + size <= most:
+            out[-1], held = (out[-1][0], block), held + size
+        else:
+            out.append((block, block))
+            held = size
+    return out
+
+
+def _together(found: list[DataFrame], key: str) -> DataFrame:
+    """The hits of several passes, by ``place``, a row's number."""
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    own = every.groupBy("place").agg(F.first(key).alias(key), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"))
+    exact = F.array_sort(F.transform(F.filter("hits", lambda h: h["exact"]), lambda h: F.struct(h["start"].alias("a"), (h["start"] + h["n_words"]).alias("b"))))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("reach"))
+    n_hit = F.aggregate(exact, start, lambda s, x: F.struct((s["n"] + F.greatest(x["b"] - F.greatest(x["a"], s["reach"]), F.lit(0))).alias("n"), F.greatest(s["reach"], x["b"]).alias("reach")))["n"]
+    items = F.array_sort(F.array_distinct(F.transform(F.filter("hits", lambda h: h["exact"] & h["item"].isNotNull()), lambda h: h["item"])))
+    return own.select(key, "n_words", n_hit.alias("n_hit"), "hits", items.alias("items"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int | None = None, key: str = "doc_id", text: str = "text", limit: int = PHRASE_WORDS, most: int = SHARED_BYTES) -> DataFrame:
     """:func:`find_phrases` of all benchmark windows over all documents."""
     small_batches(docs.sparkSession)
-    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in phrase_blocks(benchmark, text=text, window=window)]
-    return find_phrases(build_index(docs, key, text), shared, slop, key)
+    tables = Tables(docs.sparkSession)
+    phrases = tables.keep("phrases", phrase_blocks(benchmark, text=text, window=window, limit=limit))
+    own = passes(sorted((r["block"], r["size"]) for r in phrases.select("block", "size").collect()), most) or [(0, 0)]
+    if len(own) == 1:
+        return find_phrases(build_index(docs, key, text), shared_blocks(phrases, *own[0]), slop, key)
+    named = tables.keep("docs", docs.select(F.monotonically_increasing_id().alias("place"), key, text))
+    index = tables.keep("index", build_index(named, "place", text))
+    found = []
+    for k, (low, high) in enumerate(own):
+        shared = shared_blocks(phrases, low, high)
+        found.append(tables.keep(f"found{k}", find_phrases(index, shared, slop, "place")))
+        shared.destroy()
+    tables.drop("index")
+    return _together([f.join(named.select("place", key), "place") for f in found], key)
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelane.llm.bytetext import LOWER, SPACE_SEP, Block, blocks, releasing, row_of, span_hashes, split_words, utf8_block
+from tidelane.llm.bytetext import LOWER, SPACE_SEP, Block, blocks, releasing, row_of, small_batches, span_hashes, split_words, utf8_block
 from tidelane.llm.sampling import crc_mod
 
 #: Texts of each language that are learned from, about; longest piece in bytes; longest run scored at once.
@@ -161,6 +161,7 @@ def train(docs: DataFrame, bound: int = TRAIN_ROWS, vocabulary: str | None = Non
 
     Only piece counts per language reach the driver: languages x vocabulary numbers.
     """
+    small_batches(docs.sparkSession)
     path = vocabulary or default_vocabulary()
     known = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if usable is not None:
@@ -170,7 +171,7 @@ def train(docs: DataFrame, bound: int = TRAIN_ROWS, vocabulary: str | None = Non
     trie = Trie.of(pieces)
     if not sizes:
         return Model([], np.zeros((len(pieces), 0)), trie)
-    draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(1 << 30))
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     rate = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, bound / n))) for k, n in sizes.items()))
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("piece", T.IntegerType()), T.StructField("n", T.LongType())])
 
@@ -199,6 +200,7 @@ def train(docs: DataFrame, bound: int = TRAIN_ROWS, vocabulary: str | None = Non
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``lang_score``; one pass, no shuffle."""
+    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
     at = keep.index(text)
     fields = [docs.schema[c] for c in keep]
