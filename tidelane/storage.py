@@ -63,7 +63,7 @@ class Tables:
     def keep(self, name: str, df: DataFrame) -> DataFrame:
         """``df`` computed once and read back."""
         with shuffles_released(self.spark):
-            df.write.parquet(f"{self.folder}/{name}")
+            df.write.option("compression", "zstd").parquet(f"{self.folder}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
     def drop(self, *names: str) -> None:
