@@ -330,6 +330,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", li
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(first, F.first("minima").alias("minima"), F.first("n_shingles").alias("n_shingles"))
     nodes = tables.keep("nodes", nodes.select(F.monotonically_increasing_id().alias("id"), "node", F.col("first.key").alias(key), F.col("first.print").alias("print"), "minima", "n_shingles"))
     survivors = tables.keep("survivors", prefixes(nodes, matches).join(nodes, "id"))
+    rows, nodes = tables.keep("all", rows.select(key, "n_shingles", "node")), tables.keep("named", nodes.select("id", "node", key))
+    tables.drop("rows", "nodes")
     members = tables.keep("members", inverted_lists(survivors))
     pairs = tables.keep("pairs", counted(members.where("id <> pivot").select("id", "pivot").distinct(), survivors, limit, matches))
     sets = tables.keep("sets", full_sets(docs, survivors.join(members.select("id").distinct(), "id", "left_semi"), key, text, k))
@@ -347,13 +349,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", li
     rest = pairs.join(best, ["id", "pivot"], "left_anti").join(of("id"), "id", "left").join(of("pivot"), "pivot", "left")
     rest = rest.where(F.coalesce("c_id", "id") != F.coalesce("c_pivot", "pivot"))
     more = tables.keep("more", confirmed(rest, sets, limit))
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        part = tables.keep("part2", connected_components(links, "id", "pivot"))
     wanted = tables.keep("wanted", open_nodes(*apart(), survivors, limit, matches, tile, block))
-    last = tables.keep("last", block_links(wanted, sets, limit))
-    if not last.isEmpty():
-        part = tables.keep("part3", connected_components(links.unionByName(last), "id", "pivot"))
+    more = more.unionByName(tables.keep("last", block_links(wanted, sets, limit)))
+    if not more.isEmpty():
+        part = tables.keep("part2", connected_components(links.unionByName(more), "id", "pivot"))
     tables.drop("survivors", "members", "pairs", "sets", "links", "more", "wanted", "last")
     whole = nodes.select("id", "node", key).join(part.withColumnRenamed("node", "id"), "id", "left").select("node", key, F.coalesce("component", "id").alias("component"))
     least = whole.groupBy("component").agg(F.min(key).alias("component_id"))

@@ -291,12 +291,13 @@ def removed_spans(texts: DataFrame, tables: Tables, length: int = LENGTH, gram:
     wanted = first.join(several, "anchor").select("doc", F.struct("low", (F.col("high") + length).alias("high"), "pos", "anchor", (F.col("n") > hot).alias("hot")).alias("segment"))
     wanted = wanted.groupBy("doc").agg(F.collect_list("segment").alias("wanted"))  # a document's own
     segments = tables.keep("segments", _fetched(texts.join(wanted, F.col("place") == F.col("doc")).select("doc", "text", "wanted")))
+    known = tables.keep("known", judged.where("pos < 0").select("doc", F.col("low").cast("long").alias("start"), F.col("high").cast("long").alias("stop")))
+    tables.drop("judged")
     found = _ordered_spans(segments, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), length, gram)
     if not segments.where("hot").isEmpty():
         found = found.unionByName(_hot_spans(segments, length))
-    spans = judged.where("pos < 0").select("doc", F.col("low").cast("long").alias("start"), F.col("high").cast("long").alias("stop")).unionByName(found)
-    spans = tables.keep("spans", spans.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
-    tables.drop("judged", "segments")
+    spans = tables.keep("spans", known.unionByName(found).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
+    tables.drop("known", "segments")
     return spans
 
 
