@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 from tidelane.llm.bytetext import LOWER, SPACE_SEP, Block, blocks, releasing, row_of, small_batches, span_hashes, split_words, utf8_block
 from tidelane.llm.sampling import crc_mod
 
-#: Texts of each language that are learned from, about; longest piece in bytes; longest run scored at once.
-TRAIN_ROWS, LONGEST, CHUNK = 2000, 12, 32
+#: Texts of each language that are learned from, about; longest run of bytes scored at once.
+TRAIN_ROWS, CHUNK = 2000, 64
 
 #: Added to every piece's count.
 SMOOTH = 0.05
@@ -59,17 +59,17 @@ def piece_bytes(path: str) -> list[bytes]:
             out.append(b"")
         else:
             own = piece.replace("▁", "\0").encode()
-            own = bytes(LOWER[np.frombuffer(own, np.uint8)])
-            out.append(own if len(own) <= LONGEST else b"")
+            out.append(bytes(LOWER[np.frombuffer(own, np.uint8)]))
     return out
 
 
 @dataclass
 class Trie:
-    """``child[node, byte]`` is the next node or -1; ``piece[node]`` the piece that ends there or -1."""
+    """``child[node, byte]`` is the next node or -1; ``piece[node]`` the piece that ends there or -1; ``longest`` piece in bytes."""
 
     child: np.ndarray
     piece: np.ndarray
+    longest: int
 
     @staticmethod
     def of(pieces: list[bytes]) -> Trie:
@@ -88,7 +88,7 @@ class Trie:
         child = np.full((len(nodes), 256), -1, np.int32)
         for i, own in enumerate(nodes):
             child[i, list(own)] = list(own.values())
-        return Trie(child, np.array(ends, np.int32))
+        return Trie(child, np.array(ends, np.int32), max(map(len, pieces), default=0))
 
 
 @dataclass
@@ -114,7 +114,7 @@ class Model:
         rel = np.arange(bounds[-1]) - np.repeat(bounds[:-1], size)
         at, node = np.arange(bounds[-1]), np.zeros(bounds[-1], np.int32)
         found = []
-        for n in range(LONGEST):
+        for n in range(self.trie.longest):
             node = self.trie.child[node, text[at + n]]
             ok = node >= 0
             at, node = at[ok], node[ok]
@@ -126,9 +126,10 @@ class Model:
             if not len(at):
                 break
         begin, size_of, piece = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(rel[begin].astype(np.int16) * (LONGEST + 1) + size_of, kind="stable")
+        small = np.int16 if CHUNK * (self.trie.longest + 1) < 1 << 15 else np.int64
+        order = np.argsort((rel[begin] * (self.trie.longest + 1) + size_of).astype(small), kind="stable")
         begin, size_of, piece = begin[order], size_of[order], piece[order]
-        group = rel[begin] * (LONGEST + 1) + size_of
+        group = rel[begin] * (self.trie.longest + 1) + size_of
         cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else group
         # One slot per boundary: chunk c has slots bounds[c] + c ... bounds[c + 1] + c.
         shift = row_of(bounds)
