@@ -120,15 +120,24 @@ def arrivals(network, requests: DataFrame, rounds: int = 3, flex: bool = False,
     for k in range(1, rounds + 1):
         if "max_rides" in requests.columns:
             delta = delta.join(requests.where(F.col("max_rides") >= k).select("query_id"), "query_id", "left_semi")
-        cand = ride(delta.join(requests.select("query_id", *own), "query_id") if own else delta, network.stop_times, running, positions)
-        if flex:
-            cand = cand.unionByName(flex_ride(delta, network, requests))
+        limits = []
         if targets is not None:
             on = F.col("arr") + F.col("seconds") if "seconds" in targets.columns else F.col("arr")
-            now = labels.join(targets, ["query_id", "sid"]).groupBy("query_id").agg(F.min(on).alias("bound"))
-            cand = cand.join(now, "query_id", "left").where(F.col("bound").isNull() | (F.col("arr") < F.col("bound"))).drop("bound")
+            limits.append((labels.join(targets, ["query_id", "sid"]).groupBy("query_id").agg(F.min(on).alias("bound")), "left"))
         if bound is not None:
-            cand = cand.join(bound, "query_id").where("arr < bound").drop("bound")
+            limits.append((bound, "inner"))
+
+        def within(df: DataFrame) -> DataFrame:
+            """What is early enough; a label that is not can't lead to one that is."""
+            for limit, how in limits:
+                df = df.join(limit, "query_id", how).where(F.col("bound").isNull() | (F.col("arr") < F.col("bound"))).drop("bound")
+            return df
+
+        start = within(delta)
+        cand = ride(start.join(requests.select("query_id", *own), "query_id") if own else start, network.stop_times, running, positions)
+        if flex:
+            cand = cand.unionByName(flex_ride(start, network, requests))
+        cand = within(cand)
         fresh = tables.keep(f"fresh{k}", _with_legs(_better(cand, labels), delta))
         new, hop, n = fresh, fresh, 0
         while not hop.isEmpty():  # each hop starts only from what the hop before improved
