@@ -27,3 +27,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
     ids = ids.withColumn("rank", F.row_number().over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")).cast("long"))  # bounded rows
     found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     return found.groupBy("doc_id", "label", "rank").agg(F.min("text").alias("text")).select("doc_id", "text", "label", "rank")
+
+
+#: crc32 written out in SQL, for the queries' SQL: a CTE with the table of bytes, and the fold over the bytes of a text.
+CRC_STEP = "step AS (SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY b) AS own FROM range(256) t(b))"
+
+
+def crc_sql(text: str) -> str:
+    """crc32 of a text's UTF-8 bytes, where ``step`` is joined."""
+    byte = f"('0x' || hex(encode({text}))[2 * i + 1 : 2 * i + 2])::BIGINT"
+    seen = f"list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode({text}))), lambda i: {byte}))"
+    return f"xor(4294967295, list_reduce({seen}, lambda c, b: xor(step.own[(xor(c, b) & 255) + 1], c >> 8)))"
