@@ -23,7 +23,7 @@ from __future__ import annotations
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from operator import methodcaller
+from operator import methodcaller, sub
 
 import numpy as np
 import pyarrow as pa
@@ -32,55 +32,97 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelane.llm.bpe import PATTERN, _Cache, codec, default_tokenizer
+from tidelane.llm.bpe import PATTERN, codec, default_tokenizer
 from tidelane.llm.bytetext import BLOCK_BYTES, blocks, releasing, small_batches
 
 #: The pieces that the pre-tokenisation pattern names letter by letter.
 CONTRACTIONS = frozenset({"'s", "'t", "'re", "'ve", "'m", "'ll", "'d"})
 
-#: Neighbours remembered by a task.
-CACHE_PAIRS = 1 << 19
+#: Pieces (of up to so many code points) and neighbours that a worker remembers.
+CACHE_PIECES, CACHE_CHARS, CACHE_PAIRS = 500_000, 48, 1 << 19
 
 #: Tokens of a context window.
 LIMIT = 1024
 
 
+class _Steps(dict):
+    """Steps of the pieces seen; emptied when it is full."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, piece: str) -> bytes:
+        made = self.make(piece)
+        if len(piece) <= CACHE_CHARS:
+            if len(self) >= CACHE_PIECES:
+                self.clear()
+            self[piece] = made
+        return made
+
+
 class PrefixCounter:
-    """Counts of one tokenizer file."""
+    """Counts of one tokenizer file.  What pieces and neighbours have been seen is remembered from task to task, up to a bound."""
 
     def __init__(self, path: str):
         self.codec = codec(path)
-        own = {i: s for i, s in enumerate(self.codec.strings) if s and i not in self.codec.specials.values()}
-        self.token = {s: i for i, s in own.items() if self.codec.merge(s) == [i]}
-        self.open = {s[:k] for s in self.token for k in range(1, len(s))}
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.steps = _Cache(self.piece_steps)
+        strings, specials = self.codec.strings, set(self.codec.specials.values())
+        self.rank, self.halves = [-1] * len(strings), [(-1, -1)] * len(strings)
+        for pair, (rank, made) in self.codec.merges.items():
+            self.rank[made], self.halves[made] = rank, pair
+        #: Merges only use what was made before them, so a text's merges happen in the order of their ranks.
+        self.in_order = all(max(self.rank[a], self.rank[b]) < rank for (a, b), (rank, _) in self.codec.merges.items())
+        token = {s: i for i, s in enumerate(strings) if s and i not in specials and self.codec.merge(s) == [i]}
+        self.token = token
+        self.longest = max(map(len, token))
+        self.fits: dict[int, bool] = {}
+        self.steps = _Steps(self.piece_steps)
         self.runs = regex.compile(r"\s{2,}(?=\S)").finditer
         self.each = regex.compile(PATTERN).finditer
 
     def neighbours(self, a: int, b: int) -> bool:
-        """Whether token ``b`` can follow ``a`` within a piece."""
-        known = self.fits.get((a, b))
-        if known is None:
-            if len(self.fits) >= CACHE_PAIRS:
-                self.fits.clear()
-            strings = self.codec.strings
-            known = self.fits[a, b] = self.codec.merge(strings[a] + strings[b]) == [a, b]
-        return known
+        """Whether both tokens stay as they are when their bytes are merged together.
+
+        Of all merges across their border that are at hand while the two are being made none may be
+        due: before the left part grows (equal merges go from left to right) and before the right does.
+        """
+        if not self.in_order:
+            return self.codec.merge(self.codec.strings[a] + self.codec.strings[b]) == [a, b]
+        rank, halves, merges = self.rank, self.halves, self.codec.merges
+        left_grows = right_grows = len(merges)
+        while True:
+            across = merges.get((a, b))
+            if across is not None and across[0] < left_grows and across[0] <= right_grows:
+                return False
+            if rank[a] > rank[b]:
+                left_grows, a = rank[a], halves[a][1]
+            elif rank[b] >= 0:
+                right_grows, b = rank[b], halves[b][0]
+            else:
+                return True
 
     def byte_counts(self, piece: bytes) -> list[int]:
         """Tokens of every prefix of a piece, by its length in bytes."""
         n = len(piece)
-        count, last = [0] * (n + 1), [-1] * (n + 1)
-        token, more, neighbours = self.token, self.open, self.neighbours
-        for i in range(n):
-            for j in range(i + 1, n + 1):
-                part = piece[i:j]
-                t = token.get(part)
-                if t is not None and (not i or neighbours(last[i], t)):
-                    last[j], count[j] = t, count[i] + 1
-                if part not in more:
-                    break
+        count, last, start = [0] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
+        token, fits, longest = self.token.get, self.fits, self.longest
+        for j in range(1, n + 1):
+            grown = start[j - 1]
+            # One of these tokens fits.  Mostly it is the last one with a byte more, or that byte, so these come first.
+            for i in (grown, *range(j - 1, max(j - longest, 0) - 1, -1)) if grown < j - 1 else range(j - 1, max(j - longest, 0) - 1, -1):
+                t = token(piece[i:j])
+                if t is None:
+                    continue
+                if i:
+                    pair = last[i] << 20 | t
+                    fit = fits.get(pair)
+                    if fit is None:
+                        if len(fits) >= CACHE_PAIRS:
+                            fits.clear()
+                        fit = fits[pair] = self.neighbours(last[i], t)
+                    if not fit:
+                        continue
+                last[j], count[j], start[j] = t, count[i] + 1, i
+                break
         return count
 
     def piece_steps(self, piece: str) -> bytes:
@@ -90,9 +132,10 @@ class PrefixCounter:
             ends = [0, *(sum(self.byte_counts(p.encode())[-1] for p in own) for own in parts), self.byte_counts(piece.encode())[-1]]
         else:
             raw = piece.encode()
-            count = self.byte_counts(raw)
-            ends = [c for k, c in enumerate(count) if k == len(raw) or raw[k] & 0xC0 != 0x80]
-        return array("h", [b - a for a, b in zip(ends, ends[1:])]).tobytes()
+            ends = self.byte_counts(raw)
+            if len(raw) > len(piece):
+                ends = [c for k, c in enumerate(ends) if k == len(raw) or raw[k] & 0xC0 != 0x80]
+        return array("h", map(sub, ends[1:], ends)).tobytes()
 
     def ordinary(self, text: str) -> np.ndarray:
         """Counts at 0, 1, ... code points of a text in which special strings are ordinary."""
@@ -159,7 +202,6 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, text: str = "tex
                 ends = np.cumsum([0, *map(len, kept)]).astype(np.int32)
                 more.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept))))
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], schema.names)
-        own.steps.clear()
 
     return plain.mapInArrow(releasing(run), schema).toDF(*keep, *added)
 
