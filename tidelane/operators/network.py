@@ -69,3 +69,37 @@ def earliest_trips(calls: DataFrame, stop_times: DataFrame, positions: DataFrame
     back = Window.partitionBy(*by).orderBy(F.desc("t"), "call", F.desc("tid")).rowsBetween(Window.unboundedPreceding, 0)
     found = asked.unionByName(runs).withColumn("first", F.last(F.when(F.col("call") == 0, F.struct(F.col("t").alias("dep"), "tid")), ignorenulls=True).over(back))
     return found.where("call = 1 AND first IS NOT NULL").select("query_id", "sid", "rid", "seq", F.col("first.dep").alias("dep"), F.col("first.tid").alias("tid"))
+
+
+def unovertaken(stop_times: DataFrame) -> DataFrame:
+    """(rid, tid, ord): the order of trips (:func:`trip_order`), null for routes where it is not the order of arrivals and departures at every position."""
+    ranks = trip_order(stop_times)
+    ahead = Window.partitionBy("rid", "seq").orderBy("ord")
+    each = stop_times.join(ranks, ["rid", "tid"]).withColumns({c: F.col(c) < F.lag(c).over(ahead) for c in ("arr", "dep")})
+    late = each.groupBy("rid").agg(F.max(F.coalesce(F.col("arr") | F.col("dep"), F.lit(False))).alias("late"))
+    return ranks.join(late, "rid").select("rid", "tid", F.when(~F.col("late"), F.col("ord")).alias("ord"))
+
+
+def departures_by_hour(stop_times: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(sid, hour, [day,] rid, seq, deps, next): for each route position and hour its departures (dep, tid, ord) in order, and the first one after the hour.
+
+    ``ord`` is the trip's place in its route (:func:`trip_order`), or null where trips of the route overtake each other.
+
+    There is a row for every hour up to the last departure, so whoever is at a stop at some time
+    finds the next departure of all its positions by equality of stop and hour.
+    """
+    by = [*(["day"] if "day" in stop_times.columns else []), "sid", "rid", "seq"]
+    placed = stop_times.join(ranks, ["rid", "tid"])
+    each = placed.select(*by, F.struct(F.col("dep").cast("long").alias("dep"), F.col("tid").cast("long").alias("tid"), "ord").alias("d"), F.floor(F.col("dep") / 3600).cast("int").alias("hour"))
+    hours = each.groupBy(*by, "hour").agg(F.array_sort(F.collect_list("d")).alias("deps"))  # one position, one hour
+    earlier = F.lag("hour", 1, -1).over(Window.partitionBy(*by).orderBy("hour"))
+    # Every hour since the departures before shows these as the next ones, but their own hour shows them as its own.
+    hours = hours.withColumns({"since": earlier + 1, "after": F.lead(F.element_at("deps", 1)).over(Window.partitionBy(*by).orderBy("hour"))})
+    filled = hours.withColumn("h", F.explode(F.sequence("since", "hour")))
+    here = F.col("h") == F.col("hour")
+    return filled.select(*by, F.col("h").alias("hour"), F.when(here, F.col("deps")).otherwise(F.slice("deps", 1, 0)).alias("deps"), F.when(here, F.col("after")).otherwise(F.element_at("deps", 1)).alias("next"))
+
+
+def trip_calls(stop_times: DataFrame) -> DataFrame:
+    """(tid, calls array<struct<seq, sid, arr>>), the calls of each trip in order."""
+    return stop_times.groupBy(F.col("tid").cast("long").alias("tid")).agg(F.array_sort(F.collect_list(F.struct(F.col("seq"), F.col("sid").cast("long").alias("sid"), F.col("arr").cast("long").alias("arr")))).alias("calls"))

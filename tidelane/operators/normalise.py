@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidelane.functions.clock import DAY, gtfs_seconds
 from tidelane.functions.text import clean, flag, number
+from tidelane.scan import dense_numbers
 
 DAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
 
@@ -32,6 +33,40 @@ def warning_log(file: str, df: DataFrame) -> DataFrame:
     return df.select(F.lit(file).alias("file"), "row_no", F.explode("warnings").alias("code"))
 
 
+#: The order in which a feed's files are read, and so that of their warnings.
+READ_ORDER = ["booking_rules", "locations", "agency", "stops", "routes", "trips", "calendar", "calendar_dates", "location_groups", "location_group_stops", "stop_times", "translations", "feed_info"]
+
+
+def ordered_warnings(read: DataFrame, logged: dict[str, DataFrame]) -> DataFrame:
+    """(no from 1, file, row_no, code): what reading the files noted (``read``: file, row_no, code) and what their rows (``logged``) carry, file by file, then row by row."""
+    at = F.array_position(F.array(*(F.lit(f) for f in READ_ORDER)), F.col("file"))
+    every = read.select("file", "row_no", "code", F.lit(0).alias("stage"), F.lit(0).alias("k"))
+    for file, df in logged.items():
+        every = every.unionByName(df.select(F.lit(file).alias("file"), "row_no", F.posexplode("warnings").alias("k", "code"), F.lit(1).alias("stage")))
+    order = [F.when(at > 0, at).otherwise(len(READ_ORDER) + 1), F.col("file"), F.col("stage"), F.col("row_no"), F.col("k"), F.col("code")]
+    return dense_numbers(every, order, "no", start=1).select("no", "file", "row_no", "code")
+
+
+def agencies(raw: DataFrame) -> DataFrame:
+    """Agencies, cleaned; none is dropped."""
+    names = {"agency_name": "name", "agency_url": "url", "agency_timezone": "timezone", "agency_lang": "lang", "agency_phone": "phone"}
+    return projected(raw.withColumnsRenamed(names), ["agency_id", *names.values()], [])
+
+
+#: Columns of the translations file, and of the feed file by the names they get.
+TRANSLATION = ["table_name", "field_name", "language", "translation", "record_id", "record_sub_id", "field_value"]
+FEED_INFO = {"feed_publisher_name": "publisher_name", "feed_publisher_url": "publisher_url", "feed_lang": "lang", "feed_start_date": "start_date", "feed_end_date": "end_date", "feed_version": "version", "feed_contact_email": "contact_email"}
+
+
+def translations(raw: DataFrame) -> DataFrame:
+    """Translations, cleaned; none is dropped."""
+    return projected(raw, TRANSLATION, [])
+
+
+def location_groups(raw: DataFrame) -> DataFrame:
+    return projected(raw.withColumnRenamed("location_group_name", "name"), ["location_group_id", "name"], ["location_group_id"])
+
+
 def projected(raw: DataFrame, columns: list[str], required: list[str]) -> DataFrame:
     """Cleaned text columns; rows without the required ones are dropped (agencies, routes, trips, groups, translations)."""
     own = raw.withColumns({c: clean(F.col(c)) for c in columns})
@@ -92,8 +127,12 @@ def feed_info(raw: DataFrame, columns: list[str]) -> DataFrame:
     return first.select("feed_id", *(clean(F.col("x").getField(c)).alias(c) for c in columns))
 
 
+def logged_members(raw: DataFrame) -> DataFrame:
+    return projected(raw, ["location_group_id", "stop_id"], ["location_group_id", "stop_id"])
+
+
 def group_members(raw: DataFrame) -> DataFrame:
-    own = kept(projected(raw, ["location_group_id", "stop_id"], ["location_group_id", "stop_id"]))
+    own = kept(logged_members(raw))
     return own.select("location_group_id", "stop_id").distinct()
 
 
@@ -180,9 +219,15 @@ def unreadable_locations(files: DataFrame) -> DataFrame:
 
 
 def surrogate_keys(rows: DataFrame, feed: str, key: str) -> DataFrame:
-    """``rows`` with ``position`` within their feed: numeric ids by value, then all others by text."""
-    order = [F.col(key).try_cast("double").asc_nulls_last(), F.col(key)]
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy(feed).orderBy(*order)) - 1)
+    """``rows`` with ``position`` within their feed: numeric ids by value, then all others by text.
+
+    Numbers over the ranges of a sort by feed and id, less each feed's first one.
+    """
+    order = [F.col(feed), F.col(key).try_cast("double").asc_nulls_last(), F.col(key)]
+    numbered = dense_numbers(rows, order, "position")
+    first = numbered.groupBy(F.col(feed).alias("__of")).agg(F.min("position").alias("__first"))
+    joined = numbered.join(first, F.col(feed).eqNullSafe(F.col("__of")))
+    return joined.select(*rows.columns, (F.col("position") - F.col("__first")).alias("position"))
 
 
 def feed_status(feeds: DataFrame, warnings: DataFrame) -> DataFrame:

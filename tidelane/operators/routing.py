@@ -2,18 +2,23 @@
 
 Every request is a row; a round rides vehicles (and flexible services) from the labels that
 the round before improved, then walks on from what this round improved until nothing
-improves.  State is a table of labels, written to the shared folder once a round; candidates
-carry their last leg only, and take the legs before it when they have won.
+improves.  A label keeps the vehicle that brought it and what was walked since; what came
+before is found by following the stops of boarding back through the rounds, and only for
+itineraries that are on the front.  Rounds read the timetable from two tables that are
+bucketed by what they are joined on, so only labels move.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelane.functions.booking import deadline, feasible
 from tidelane.functions.geo import flex_seconds, haversine_m, walk_seconds
-from tidelane.operators.network import earliest_trips, within_radius
+from tidelane.operators import footpaths
+from tidelane.operators.network import departures_by_hour, trip_calls, unovertaken, within_radius
 from tidelane.storage import Tables
 
 _LEG = "struct<mode:string,trip:bigint,from_sid:bigint,to_sid:bigint,dep:bigint,arr:bigint,due:bigint,metres:double>"
@@ -28,43 +33,70 @@ def _leg(mode: str, trip, start, stop, dep, arr, due=None, metres=None) -> Colum
     return F.struct(F.lit(mode).alias("mode"), *((F.lit(None) if c is None else c).cast("double" if k == "metres" else "bigint").alias(k) for k, c in parts.items())).cast(_LEG)
 
 
-def _rank() -> Column:
-    """Earliest first, then transit, flex, walk, then the smaller trip and stop."""
-    leg = F.col("leg")
-    mode = F.when(leg["mode"] == "transit", 0).when(leg["mode"] == "flex", 1).otherwise(2)
-    return F.struct(F.col("arr"), mode, F.coalesce(leg["trip"], F.lit(-1).cast("bigint")), F.coalesce(leg["from_sid"], F.lit(-1).cast("bigint")), leg["dep"])
+#: What was walked since the ride: the stops from where it ended, the times there, and the metres between them.
+_PATH = "struct<stops:array<bigint>,times:array<bigint>,metres:array<double>>"
 
+_MODES = ["transit", "flex"]
 
-def _best(cand: DataFrame, *more: str) -> DataFrame:
-    """The best candidate per request and stop."""
-    each = cand.groupBy("query_id", "sid").agg(F.min_by(F.struct("leg", *more), _rank()).alias("x"), F.min("arr").alias("arr"))
-    return each.select("query_id", "sid", "arr", "x.*")
 
+def _improved(cand: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """The best ride per request and stop, where it is earlier than all labels of ``known``.
 
-def _better(cand: DataFrame, labels: DataFrame) -> DataFrame:
-    known = labels.groupBy("query_id", "sid").agg(F.min("arr").alias("known"))
-    return _best(cand).join(known, ["query_id", "sid"], "left").where(F.col("known").isNull() | (F.col("arr") < F.col("known"))).drop("known")
+    Earliest first, then transit before flex, then the smaller trip and stop of boarding.  Labels and
+    candidates meet in one aggregation, so both are combined before they move.
+    """
+    x = F.struct("arr", F.array_position(F.array(*map(F.lit, _MODES)), F.col("mode")).alias("m"), "trip", "from_sid", "dep", "due")
+    each = cand.select("query_id", "sid", x.alias("x"), F.lit(None).cast("bigint").alias("known"))
+    if known is not None:
+        each = each.unionByName(known.select("query_id", "sid", F.col("arr").alias("known")), allowMissingColumns=True)
+    best = each.groupBy("query_id", "sid").agg(F.min("x").alias("x"), F.min("known").alias("known")).where("x IS NOT NULL AND (known IS NULL OR x.arr < known)")
+    mode = F.element_at(F.array(*map(F.lit, _MODES)), F.col("x.m").cast("int"))
+    ride = F.struct(mode.alias("mode"), F.col("x.trip").alias("trip"), F.col("x.from_sid").alias("from_sid"), F.col("sid").alias("to_sid"), F.col("x.dep").alias("dep"), F.col("x.arr").alias("arr"), F.col("x.due").alias("due"), F.lit(None).cast("double").alias("metres"))
+    return best.select("query_id", "sid", "x.arr", ride.cast(_LEG).alias("ride"), F.lit(None).cast(_PATH).alias("path"))
 
 
-def _with_legs(won: DataFrame, parents: DataFrame) -> DataFrame:
-    """``won`` (query_id, sid, arr, leg) with all its ``legs``."""
-    before = parents.select("query_id", F.col("sid").alias("__from"), F.col("legs").alias("__before"))
-    joined = won.withColumn("__from", F.col("leg.from_sid")).join(before, ["query_id", "__from"])
-    return joined.select("query_id", "sid", "arr", "leg", F.concat("__before", F.array("leg")).alias("legs"))
+def _candidate(mode: str, query, sid, arr, trip, start, dep, due=None) -> list[Column]:
+    parts = {"query_id": query, "sid": sid, "arr": arr, "trip": trip, "from_sid": start, "dep": dep, "due": F.lit(None) if due is None else due}
+    return [F.lit(mode).alias("mode"), *(c.alias(k) if k == "query_id" else c.cast("bigint").alias(k) for k, c in parts.items())]
 
 
-def ride(delta: DataFrame, stop_times: DataFrame, running: DataFrame | None = None, positions: DataFrame | None = None) -> DataFrame:
-    """Candidates (query_id, sid, arr, leg) on vehicles: the first trip at each position, boarded as early on its way as can be, then every later stop of it.
+def prepared(network, requests: DataFrame, tables: Tables | None = None, flex: bool = True):
+    """``network`` written for rounds: departures by stop and hour, the calls of each trip, and footpaths, bucketed by what they are joined on; with ``flex`` also the flexible services.
 
-    ``running``: the stop times of each ``day`` that ``delta`` asks for, if not all run daily.
+    Where trips have days and requests ask for some, departures and services are those of the asked days.
     """
-    departures = stop_times if running is None else running
-    day = [] if running is None else ["day"]
-    board = earliest_trips(delta.select("query_id", "sid", F.col("arr").alias("at"), *day), departures, positions)
-    on = board.groupBy("query_id", "tid").agg(F.min(F.struct("seq", "sid", "dep")).alias("b"))
-    off = on.join(stop_times.select("tid", "seq", "sid", "arr"), "tid").where(F.col("seq") > F.col("b.seq"))
-    leg = _leg("transit", F.col("tid"), F.col("b.sid"), F.col("sid"), F.col("b.dep"), F.col("arr"))
-    return off.select("query_id", "sid", F.col("arr").cast("bigint").alias("arr"), leg.alias("leg"))
+    tables = tables or Tables(requests.sparkSession)
+    dated = network.running is not None and "day" in requests.columns
+    asked = requests.select("day").distinct() if dated else None
+    runs = network.stop_times
+    if dated:
+        runs = runs.join(network.running.join(asked, "day", "left_semi"), "tid")
+    departures = departures_by_hour(runs, tables.keep("ranks", unovertaken(network.stop_times)))
+    met = ("sid", "hour", *(["day"] if dated else []))
+    made = {"departures": tables.keep("departures", departures, buckets=met), "calls": tables.keep("calls", trip_calls(network.stop_times), buckets=("tid",)), "transfers": tables.keep("transfers", network.transfers, buckets=("a",))}
+    if flex:
+        made |= {name: tables.keep(name, getattr(network, name)) for name in ("stops", "members", "flex_trips")}
+        if network.flex_running is not None:
+            made["flex_running"] = tables.keep("flex_running", network.flex_running.join(asked, "day", "left_semi") if dated else network.flex_running)
+    return replace(network, **made)
+
+
+def ride(start: DataFrame, departures: DataFrame, calls: DataFrame) -> DataFrame:
+    """Candidates on vehicles: the first trip at each position from the label on, boarded as early on its way as can be, then every later stop of it.
+
+    ``start``: query_id, sid, arr, bound (what comes later is no candidate; null: none), and day if ``departures`` have days.
+    """
+    on = ["sid", "hour", *(["day"] if "day" in departures.columns else [])]
+    at = start.withColumn("hour", F.floor(F.col("arr") / 3600).cast("int")).join(departures, on)
+    first = F.coalesce(F.try_element_at(F.filter("deps", lambda x: x["dep"] >= F.col("arr")), F.lit(1)), F.col("next"))
+    board = at.withColumn("first", first).where("first IS NOT NULL")
+    # Where no trip of a pattern overtakes another, who can board a trip further up has no use for a later one.
+    sooner = F.min("first.ord").over(Window.partitionBy("query_id", "rid").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    board = board.withColumn("sooner", sooner).where("sooner IS NULL OR first.ord IS NULL OR first.ord < sooner")
+    trip = board.groupBy("query_id", F.col("first.tid").alias("tid")).agg(F.min(F.struct("seq", "sid", "first.dep")).alias("b"), F.max("bound").alias("bound"))
+    off = trip.join(calls, "tid").select("query_id", "tid", "b", "bound", F.inline(F.filter("calls", lambda c: c["seq"] > F.col("b.seq"))))
+    off = off.where("bound IS NULL OR arr < bound")
+    return off.select(*_candidate("transit", F.col("query_id"), F.col("sid"), F.col("arr"), F.col("tid"), F.col("b.sid"), F.col("b.dep")))
 
 
 def flex_ride(delta: DataFrame, network, requests: DataFrame) -> DataFrame:
@@ -73,7 +105,8 @@ def flex_ride(delta: DataFrame, network, requests: DataFrame) -> DataFrame:
     ``requests``: query_id, same_day, now, and day where services have days.
     """
     own = [c for c in ("query_id", "same_day", "now", "day") if c in requests.columns]
-    at = delta.select("query_id", "sid", "arr").join(requests.select(*own), "query_id").join(network.members, "sid").join(network.flex_trips, "grp").where("arr BETWEEN ws AND we")
+    bound = F.col("bound") if "bound" in delta.columns else F.lit(None).cast("bigint")
+    at = delta.select("query_id", "sid", "arr", bound.alias("bound")).join(requests.select(*own), "query_id").join(network.members, "sid").join(network.flex_trips, "grp").where("arr BETWEEN ws AND we")
     if network.flex_running is not None and "day" in own:
         at = at.join(network.flex_running, ["ft", "day"], "left_semi")
     due = deadline(F.col("kind"), F.col("minutes"), F.col("last_day"), F.col("last_time"), F.col("arr"))
@@ -83,78 +116,137 @@ def flex_ride(delta: DataFrame, network, requests: DataFrame) -> DataFrame:
     pairs = at.join(here, "sid").join(there, "grp").where("sid <> to_sid")
     d = F.round(haversine_m(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon")), 3)
     arr = (F.col("arr") + F.ceil(flex_seconds(d))).cast("bigint")
-    pairs = pairs.withColumns({"dep0": F.col("arr"), "new_arr": arr}).where("new_arr BETWEEN ws AND we")
-    leg = _leg("flex", F.col("ft"), F.col("sid"), F.col("to_sid"), F.col("dep0"), F.col("new_arr"), F.col("due"))
-    return pairs.select("query_id", F.col("to_sid").alias("sid"), F.col("new_arr").alias("arr"), leg.alias("leg"))
+    pairs = pairs.withColumns({"dep0": F.col("arr"), "new_arr": arr}).where("new_arr BETWEEN ws AND we AND (bound IS NULL OR new_arr < bound)")
+    return pairs.select(*_candidate("flex", F.col("query_id"), F.col("to_sid"), F.col("new_arr"), F.col("ft"), F.col("sid"), F.col("dep0"), F.col("due")))
 
 
-def walk(delta: DataFrame, transfers: DataFrame) -> DataFrame:
-    moved = delta.select("query_id", "sid", "arr").join(transfers, F.col("sid") == F.col("a"))
+def walk(labels: DataFrame, transfers: DataFrame) -> DataFrame:
+    """Labels (query_id, sid, arr, path) one footpath on; a path that is null begins at the label's stop."""
+    start = F.struct(F.array("sid").alias("stops"), F.array("arr").alias("times"), F.array().cast("array<double>").alias("metres"))
+    moved = labels.select("query_id", "sid", "arr", F.coalesce("path", start.cast(_PATH)).alias("path")).join(transfers, F.col("sid") == F.col("a"))
     arr = (F.col("arr") + F.col("seconds")).cast("bigint")
-    return moved.select("query_id", F.col("b").alias("sid"), arr.alias("arr"), _leg("walk", None, F.col("a"), F.col("b"), F.col("arr"), arr, metres=F.col("metres")).alias("leg"))
+    path = F.struct(F.concat("path.stops", F.array(F.col("b").cast("bigint"))).alias("stops"), F.concat("path.times", F.array(arr)).alias("times"), F.concat("path.metres", F.array(F.col("metres").cast("double"))).alias("metres"))
+    return moved.select("query_id", F.col("b").cast("bigint").alias("sid"), arr.alias("arr"), path.cast(_PATH).alias("path"), F.col("a").alias("before"))
+
+
+def _nearer(moved: DataFrame, *known: DataFrame) -> DataFrame:
+    """The earliest of what :func:`walk` reaches, from the smaller stop if several are, where it is earlier than ``known``."""
+    each = moved.select("query_id", "sid", F.struct("arr", "before", "path").alias("x"), F.lit(None).cast("bigint").alias("known"))
+    for df in known:
+        each = each.unionByName(df.select("query_id", "sid", F.col("arr").alias("known")), allowMissingColumns=True)
+    best = each.groupBy("query_id", "sid").agg(F.min("x").alias("x"), F.min("known").alias("known")).where("x IS NOT NULL AND (known IS NULL OR x.arr < known)")
+    return best.select("query_id", "sid", "x.arr", "x.path")
+
+
+def _walked_on(tables: Tables, k: int, fresh: DataFrame, labels: DataFrame, transfers: DataFrame, shared, goals: DataFrame | None) -> DataFrame | None:
+    """The labels of round ``k``: what vehicles improved and what walking on from there improves; None if that is nothing.
+
+    With ``shared`` footpaths a request's labels are relaxed in one place.  Else in hops, each a job that
+    starts from what the hop before improved.
+    """
+    if fresh.isEmpty():
+        return None
+    if shared is not None:
+        bounds = None
+        if goals is not None:  # whoever arrives no earlier than the goal is reached can't reach it earlier
+            both = labels.select("query_id", "sid", "arr").unionByName(fresh.select("query_id", "sid", "arr"))
+            bounds = both.join(goals, ["query_id", "sid"]).groupBy("query_id").agg(F.min(F.col("arr") + F.col("on")).alias("bound"))
+        on = footpaths.walked(shared, fresh, labels, bounds, goals).select("query_id", "sid", "arr", F.struct("stops", "times", "metres").cast(_PATH).alias("path"))
+    else:
+        on = hop = tables.keep(f"hop{k}-1", _nearer(walk(fresh, transfers), labels, fresh))
+        n = 1
+        while not hop.isEmpty():
+            n += 1
+            hop = tables.keep(f"hop{k}-{n}", _nearer(walk(hop, transfers), labels, fresh, on))
+            on = on.unionByName(hop)
+        on = on.groupBy("query_id", "sid").agg(F.min("arr").alias("arr"), F.min_by("path", "arr").alias("path"))
+    on = tables.keep(f"walked{k}", on.withColumn("ride", F.lit(None).cast(_LEG)))
+    rest = fresh.join(on.select("query_id", "sid"), ["query_id", "sid"], "left_anti")
+    return tables.keep(f"labels{k}", rest.unionByName(on))
 
 
 def arrivals(network, requests: DataFrame, rounds: int = 3, flex: bool = False, bound: DataFrame | None = None, targets: DataFrame | None = None, access: DataFrame | None = None) -> DataFrame:
-    """(query_id, round, sid, arr, legs): every label that a round improved; round 0 is the origin.
+    """(query_id, round, sid, arr, ride, path): every label that a round improved; round 0 is the origin, with the way to it for a ride.
+
+    A label that was walked to has the ``path`` from where a ride of this round ended, and no ride of its own.
 
     ``requests``: query_id, sid, dep; with ``flex`` also same_day and now; with ``day`` only what
-    runs on that day counts; ``max_rides`` bounds a request's rounds.  ``access`` (query_id, sid,
-    seconds, metres) replaces the stop of origin.  ``bound`` (query_id, bound) drops vehicle
-    arrivals that are not earlier; ``targets`` (query_id, sid, and seconds to walk on) tightens
-    the bound after each round to the best arrival at the request's targets.
+    runs on that day counts; ``max_rides`` (null: no limit of its own) bounds a request's rounds.  ``access``
+    (query_id, sid, seconds, metres) replaces the stop of origin.  ``bound`` (query_id, bound) drops vehicle
+    arrivals that are not earlier, and requests without one; ``targets`` (query_id, sid, and seconds to walk on)
+    tightens the bound after each round to the best arrival at the request's targets.
+
+    A round is two jobs, vehicles and walking (where footpaths are too many to be sent to every task, one more for each hop after ``HOPS``).
     """
     tables = Tables(requests.sparkSession)
-    own = ["day"] if network.running is not None and "day" in requests.columns else []
-    running = None
-    if own:
-        asked = requests.select("day").distinct()
-        running = tables.keep("running", network.stop_times.join(network.running.join(asked, "day", "left_semi"), "tid"))
-    positions = tables.keep("positions", network.stop_times.select("sid", "rid", "seq").distinct())
+    if network.departures is None:
+        network = prepared(network, requests, tables, flex)
+    own = ["day"] if "day" in network.departures.columns else []
     if access is None:
         access = requests.select("query_id", "sid", F.lit(0).alias("seconds"), F.lit(0.0).alias("metres"))
     arr = (F.col("dep") + F.col("seconds")).cast("bigint")
-    first = access.join(requests.select("query_id", "dep"), "query_id").select("query_id", F.col("sid").cast("bigint").alias("sid"), arr.alias("arr"), _leg("walk", None, None, F.col("sid"), F.col("dep"), arr, metres=F.col("metres")).alias("leg"), "seconds")
-    first = first.withColumn("legs", F.when(F.col("seconds") > 0, F.array("leg")).otherwise(F.array().cast(_LEGS)))
-    labels = tables.keep("labels0", _best(first, "legs").select("query_id", "sid", "arr", "legs", F.lit(0).alias("round")))
-    delta = labels
+    reached = _leg("walk", None, None, F.col("sid"), F.col("dep"), arr, metres=F.col("metres"))
+    first = access.join(requests.select("query_id", "dep"), "query_id").withColumn("arr", arr).groupBy("query_id", F.col("sid").cast("bigint").alias("sid")).agg(F.min("arr").alias("arr"), F.min(F.when(F.col("seconds") > 0, reached)).alias("ride"))
+    delta = tables.keep("labels0", first.withColumn("path", F.lit(None).cast(_PATH)))
+    found = [delta]
+    asked = requests.select("query_id", *own, *(c for c in ("max_rides",) if c in requests.columns))
+    if bound is not None:
+        asked = asked.join(bound.select("query_id", F.col("bound").alias("most")), "query_id")
+    goals = None if targets is None else targets.select("query_id", "sid", (F.col("seconds") if "seconds" in targets.columns else F.lit(0)).alias("on"))
+    paths = footpaths.gathered(network.transfers)
+    shared = None if paths is None else requests.sparkSession.sparkContext.broadcast(paths)
     for k in range(1, rounds + 1):
-        if "max_rides" in requests.columns:
-            delta = delta.join(requests.where(F.col("max_rides") >= k).select("query_id"), "query_id", "left_semi")
-        limits = []
-        if targets is not None:
-            on = F.col("arr") + F.col("seconds") if "seconds" in targets.columns else F.col("arr")
-            limits.append((labels.join(targets, ["query_id", "sid"]).groupBy("query_id").agg(F.min(on).alias("bound")), "left"))
-        if bound is not None:
-            limits.append((bound, "inner"))
-
-        def within(df: DataFrame) -> DataFrame:
-            """What is early enough; a label that is not can't lead to one that is."""
-            for limit, how in limits:
-                df = df.join(limit, "query_id", how).where(F.col("bound").isNull() | (F.col("arr") < F.col("bound"))).drop("bound")
-            return df
-
-        start = within(delta)
-        cand = ride(start.join(requests.select("query_id", *own), "query_id") if own else start, network.stop_times, running, positions)
+        labels = found[0]
+        for df in found[1:]:
+            labels = labels.unionByName(df)
+        now = asked.where(F.coalesce("max_rides", F.lit(rounds)) >= k) if "max_rides" in asked.columns else asked
+        limits = [F.col("most")] if bound is not None else []
+        if goals is not None:
+            best = labels.join(goals, ["query_id", "sid"]).groupBy("query_id").agg(F.min(F.col("arr") + F.col("on")).alias("best"))
+            now, limits = now.join(best, "query_id", "left"), [*limits, F.col("best")]
+        limit = (F.least(*limits) if len(limits) > 1 else limits[0] if limits else F.lit(None)).cast("bigint")
+        start = delta.select("query_id", "sid", "arr").join(now.select("query_id", *own, limit.alias("bound")), "query_id").where("bound IS NULL OR arr < bound")
+        cand = ride(start, network.departures, network.calls)
         if flex:
             cand = cand.unionByName(flex_ride(start, network, requests))
-        cand = within(cand)
-        fresh = tables.keep(f"fresh{k}", _with_legs(_better(cand, labels), delta))
-        new, hop, n = fresh, fresh, 0
-        while not hop.isEmpty():  # each hop starts only from what the hop before improved
-            n += 1
-            known = labels.select("query_id", "sid", "arr").unionByName(new.select("query_id", "sid", "arr"))
-            hop = tables.keep(f"hop{k}-{n}", _with_legs(_better(walk(hop, network.transfers), known), hop))
-            new = new.unionByName(hop)
-        if not n:
+        fresh = tables.keep(f"fresh{k}", _improved(cand, labels))
+        delta = _walked_on(tables, k, fresh, labels, network.transfers, shared, goals)
+        tables.drop(f"fresh{k}")
+        if delta is None:
             break
-        delta = tables.keep(f"delta{k}", _best(new, "legs").select("query_id", "sid", "arr", "legs", F.lit(k).alias("round")))
-        labels = labels.unionByName(delta)
-        tables.drop(f"fresh{k}", *(f"hop{k}-{i}" for i in range(1, n + 1)))
-    return labels
+        found.append(delta)
+    out = None
+    for k, df in enumerate(found):
+        own_round = df.withColumn("round", F.lit(k))
+        out = own_round if out is None else out.unionByName(own_round)
+    return out
+
 
+def _traced(front: DataFrame, labels: DataFrame, rounds: int) -> DataFrame:
+    """``front`` (query_id, round, ride, path, ...) with ``legs``.
 
-def pareto(labels: DataFrame, targets: DataFrame | None = None) -> DataFrame:
-    """Labels that no round with fewer vehicles reaches as early.
+    From a path the ride of the label where it began, from a ride the label where it was boarded, one
+    round before, and so on to the origin: two joins a round, of the itineraries on the front alone.
+    """
+    def of(k: int, name: str) -> DataFrame:
+        # rounds are constants of the union's parts: other parts are pruned
+        return labels.where(F.col("round") == k).select("query_id", F.col("sid").alias("__at"), F.col("ride").alias(f"__{name}_ride"), F.col("path").alias(f"__{name}_path"))
+
+    hop = lambda i: _leg("walk", None, F.get("path.stops", i), F.get("path.stops", i + 1), F.get("path.times", i), F.get("path.times", i + 1), metres=F.get("path.metres", i))
+    walked = F.when(F.col("path").isNotNull(), F.transform(F.sequence(F.lit(0), F.size("path.metres") - 1), hop)).otherwise(F.array().cast(_LEGS))
+    own = front.withColumns({"legs": F.array().cast(_LEGS), "__k": F.col("round")})
+    for k in range(rounds, 0, -1):
+        here = F.col("__k") == k
+        own = own.withColumn("__at", F.when(here, F.get("path.stops", F.lit(0)))).join(of(k, "a"), ["query_id", "__at"], "left")
+        ride = F.coalesce("ride", "__a_ride")
+        own = own.withColumns({"legs": F.when(here, F.concat(F.array(ride), walked, "legs")).otherwise(F.col("legs")), "__at": F.when(here, ride["from_sid"])}).drop("__a_ride", "__a_path")
+        own = own.join(of(k - 1, "b"), ["query_id", "__at"], "left")
+        own = own.withColumns({"ride": F.when(here, F.col("__b_ride")).otherwise(F.col("ride")), "path": F.when(here, F.col("__b_path")).otherwise(F.col("path")), "__k": F.when(here, k - 1).otherwise(F.col("__k"))}).drop("__at", "__b_ride", "__b_path")
+    return own.withColumn("legs", F.concat(F.when(F.col("ride").isNotNull(), F.array("ride")).otherwise(F.array().cast(_LEGS)), "legs")).drop("ride", "path", "__k")
+
+
+def pareto(labels: DataFrame, targets: DataFrame | None = None, rounds: int = RIDES) -> DataFrame:
+    """Labels that no round (of ``rounds`` at most) with fewer vehicles reaches as early; with ``targets`` (query_id, round, sid, arr, legs).
 
     A round only reports strict improvements, so with one target stop a request all of them are on the front;
     with several the earliest per round is taken and later rounds have to beat it.  ``targets``: query_id, sid, and
@@ -166,11 +258,12 @@ def pareto(labels: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     ends = targets.select("query_id", "sid", *(c.alias(k) for k, c in on.items()))
     total = (F.col("arr") + F.col("seconds")).cast("bigint")
     best = labels.join(ends, ["query_id", "sid"]).withColumn("total", total)
-    best = best.groupBy("query_id", "round").agg(F.min_by(F.struct("sid", "legs", "seconds", "metres", "arr"), F.struct("total", "sid")).alias("x"), F.min("total").alias("arr"))
+    best = best.groupBy("query_id", "round").agg(F.min_by(F.struct("sid", "ride", "path", "seconds", "metres", "arr"), F.struct("total", "sid")).alias("x"), F.min("total").alias("arr"))
     before = F.min("arr").over(Window.partitionBy("query_id").orderBy("round").rowsBetween(Window.unboundedPreceding, -1))
     front = best.withColumn("before", before).where("before IS NULL OR arr < before")
+    front = _traced(front.select("query_id", "round", "arr", "x", "x.ride", "x.path"), labels, rounds)
     last = _leg("walk", None, F.col("x.sid"), None, F.col("x.arr"), F.col("arr"), metres=F.col("x.metres"))
-    legs = F.when(F.col("x.seconds") > 0, F.concat("x.legs", F.array(last))).otherwise(F.col("x.legs"))
+    legs = F.when(F.col("x.seconds") > 0, F.concat("legs", F.array(last))).otherwise(F.col("legs"))
     return front.select("query_id", "round", F.col("x.sid").alias("sid"), "arr", legs.alias("legs"))
 
 
@@ -210,5 +303,6 @@ def plan(network, requests: DataFrame, rounds: int = RIDES, flex: bool = True) -
     reaches no stop, or whose day has no service, has no row but what can be walked.
     """
     tables = Tables(requests.sparkSession)
+    requests = tables.keep("asked", requests)
     start, goal = tables.keep("from", endpoints(network, requests, "from")), tables.keep("to", endpoints(network, requests, "to"))
-    return pareto(arrivals(network, requests, rounds, flex, targets=goal, access=start), goal).where(F.size("legs") > 0)
+    return pareto(arrivals(network, requests, rounds, flex, targets=goal, access=start), goal, rounds).where(F.size("legs") > 0)

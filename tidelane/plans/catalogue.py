@@ -543,13 +543,6 @@ def shard_by_coord(spark, d):
     return search.covering_area(derive(spark, d).stops.select(F.col("sid").alias("query_id"), "lat", "lon"), F.broadcast(areas))
 
 
-@query(",, x AS (SELECT nk%2 AS shard, sid, row_number() OVER (PARTITION BY nk%2 ORDER BY lat, sid) AS k FROM stops) SELECT sid FROM (SELECT sid, row_number() OVER (ORDER BY k, sid) AS r FROM x WHERE k <= 10) WHERE r <= 12", net=True)
-def multi_shard_merge(spark, d):
-    per = Window.partitionBy(F.col("nk") % 2).orderBy("lat", "sid")
-    top = derive(spark, d).stops.withColumn("k", F.row_number().over(per)).where("k <= 10")
-    return top.orderBy("k", "sid").limit(12).select("sid")
-
-
 @query("SELECT round(min(lat), 6) AS south, round(max(lat), 6) AS north, round(min(lon), 6) AS west, round(max(lon), 6) AS east FROM stops", net=True)
 def map_bounds(spark, d):
     return derive(spark, d).stops.agg(F.round(F.min("lat"), 6).alias("south"), F.round(F.max("lat"), 6).alias("north"), F.round(F.min("lon"), 6).alias("west"), F.round(F.max("lon"), 6).alias("east"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tidelane.operators import calendar, encode, normalise
 from tidelane.operators.network import walk_transfers
+from tidelane.scan import dense_numbers
 from tidelane.sources.derived import Network
-from tidelane.sources.feed import table_of
+from tidelane.sources.feed import locations_of, missing_files, table_of
 
 #: Version of the written tables; others are not loaded.
 SCHEMA_VERSION = 1
@@ -21,7 +24,7 @@ DAYS = 35
 
 @dataclass
 class FeedTables:
-    """The tables of one feed: meta is one row (schema_version, feed_id, first_day, last_day, status)."""
+    """The tables of one feed: meta is one row (schema_version, feed_id, first_day, last_day, status), warnings are in order, missing names the files that are not there."""
 
     meta: DataFrame
     stops: DataFrame
@@ -33,17 +36,23 @@ class FeedTables:
     members: DataFrame
     flex_trips: DataFrame
     rules: DataFrame
+    agencies: DataFrame
+    translations: DataFrame
+    feed_info: DataFrame
+    locations: DataFrame
+    missing: DataFrame
     warnings: DataFrame
 
 
 def _numbered(rows: DataFrame, id_: str) -> DataFrame:
-    return normalise.surrogate_keys(rows.withColumn("__feed", F.lit(0)), "__feed", id_).drop("__feed")
+    return dense_numbers(rows, [F.col(id_).try_cast("double").asc_nulls_last(), F.col(id_)], "position")
 
 
 def feed_tables(raw: DataFrame, feed_id: str, first_day: str, days: int = DAYS) -> FeedTables:
     """All tables of a feed, from the raw rows of :func:`tidelane.sources.feed.read_raw`; ``first_day``: YYYY-MM-DD.
 
-    A file that is missing is an empty table.  Booking rules come first, as stop times refer to them.
+    A file that is missing is an empty table.  Every table reads its own files' part of ``raw``, which is parsed
+    and stored already.  Booking rules come first, as stop times refer to them.
     """
     spark = raw.sparkSession
     own = raw.where(F.col("feed_id") == feed_id)
@@ -55,15 +64,21 @@ def feed_tables(raw: DataFrame, feed_id: str, first_day: str, days: int = DAYS)
     trips = normalise.projected(of("trips", "trip_id", "route_id", "service_id", "trip_headsign").withColumnRenamed("trip_headsign", "headsign"), ["trip_id", "route_id", "service_id", "headsign"], ["trip_id"])
     calendars = normalise.calendars(of("calendar", "service_id", *normalise.DAYS, "start_date", "end_date"))
     exceptions = normalise.calendar_dates(of("calendar_dates", "service_id", "date", "exception_type"))
-    groups = normalise.projected(of("location_groups", "location_group_id", "location_group_name").withColumnRenamed("location_group_name", "name"), ["location_group_id", "name"], ["location_group_id"])
-    members = normalise.group_members(of("location_group_stops", "location_group_id", "stop_id"))
+    groups = normalise.location_groups(of("location_groups", "location_group_id", "location_group_name"))
+    paired = normalise.logged_members(of("location_group_stops", "location_group_id", "stop_id"))
+    members = normalise.kept(paired).select("location_group_id", "stop_id").distinct()
+    agencies = normalise.agencies(of("agency", "agency_id", "agency_name", "agency_url", "agency_timezone", "agency_lang", "agency_phone"))
+    translations = normalise.translations(of("translations", *normalise.TRANSLATION))
+    info = normalise.feed_info(table_of(own, "feed_info", list(normalise.FEED_INFO)), list(normalise.FEED_INFO)).withColumnsRenamed(normalise.FEED_INFO)
+    texts = locations_of(own)
+    locations = normalise.flex_locations(texts)
     names = {"start_pickup_drop_off_window": "start_window", "end_pickup_drop_off_window": "end_window", "pickup_booking_rule_id": "pickup_rule", "drop_off_booking_rule_id": "drop_off_rule"}
     raw_times = of("stop_times", "trip_id", "stop_sequence", "stop_id", "location_group_id", "location_id", "arrival_time", "departure_time", *names, "pickup_type", "drop_off_type", "timepoint").withColumnsRenamed(names)
     times = normalise.stop_times(raw_times, normalise.kept(rules))
-    logged = {"booking_rules": rules, "stops": stops, "routes": routes, "trips": trips, "calendar": calendars, "calendar_dates": exceptions, "location_groups": groups, "stop_times": times}
-    warnings = own.where("warning IS NOT NULL").select("file", "row_no", F.col("warning").alias("code"))
-    for file, rows in logged.items():
-        warnings = warnings.unionByName(normalise.warning_log(file, rows))
+    logged = {"booking_rules": rules, "locations": locations, "stops": stops, "routes": routes, "trips": trips, "calendar": calendars, "calendar_dates": exceptions, "location_groups": groups, "location_group_stops": paired, "stop_times": times}
+    read = own.where("warning IS NOT NULL").select("file", "row_no", F.col("warning").alias("code"))
+    read = read.unionByName(normalise.unreadable_locations(texts).select(F.lit("locations").alias("file"), F.lit(0).cast("long").alias("row_no"), "code"))
+    warnings = normalise.ordered_warnings(read, logged)
 
     s, r, g = encode.stops(_numbered(normalise.kept(stops), "stop_id")), encode.routes(_numbered(normalise.kept(routes), "route_id")), _numbered(normalise.kept(groups), "location_group_id").select(F.col("position").cast("long").alias("grp"), "location_group_id", "name")
     t = encode.trips(_numbered(normalise.kept(trips), "trip_id"), r)
@@ -74,24 +89,83 @@ def feed_tables(raw: DataFrame, feed_id: str, first_day: str, days: int = DAYS)
     cal = normalise.kept(calendars).select("service_id", date("start_date"), date("end_date"), F.array(*normalise.DAYS).alias("days"))
     exc = normalise.kept(exceptions).select("service_id", date("date"), "exception_type")
     dates = calendar.service_dates(cal, exc, first_day, days).select("service_id", F.date_format("date", "yyyyMMdd").cast("int").alias("day"))
-    noted = warnings.limit(1).count() > 0
     last_day = F.date_add(F.lit(first_day).cast("date"), days - 1)
-    meta = spark.range(1).select(F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(feed_id).alias("feed_id"), F.date_format(F.lit(first_day).cast("date"), "yyyyMMdd").cast("int").alias("first_day"), F.date_format(last_day, "yyyyMMdd").cast("int").alias("last_day"), F.lit("ok_with_warnings" if noted else "ok").alias("status"))
-    return FeedTables(meta, s, r, t, t.join(dates, "service_id").select("tid", "day"), encode.stop_times(kept_times, t, s), g, encode.members(members, g, s), flex, b, warnings)
+    status = F.when(F.count(F.lit(1)) > 0, "ok_with_warnings").otherwise("ok")
+    day = lambda d: F.date_format(d, "yyyyMMdd").cast("int")
+    meta = warnings.agg(status.alias("status")).select(F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(feed_id).alias("feed_id"), day(F.lit(first_day).cast("date")).alias("first_day"), day(last_day).alias("last_day"), "status")
+    plain = lambda df, *columns: normalise.kept(df).select("row_no", *columns)
+    return FeedTables(
+        meta, s, r, t, t.join(dates, "service_id").select("tid", "day"), encode.stop_times(kept_times, t, s), g, encode.members(members, g, s), flex, b,
+        plain(agencies, "agency_id", "name", "url", "timezone", "lang", "phone"), plain(translations, *normalise.TRANSLATION), info.select(*normalise.FEED_INFO.values()),
+        plain(locations, "location_id", "name", "geometry_type", "coordinates"), missing_files(own).select("file"), warnings,
+    )
 
 
-def write(tables: FeedTables, path: str) -> None:
-    """Each table as Parquet in a folder of its name."""
-    for f in fields(tables):
-        getattr(tables, f.name).write.mode("overwrite").parquet(f"{path}/{f.name}")
+def _manifests(spark: SparkSession, path: str, feed_id: str):
+    """The file system, the folder of a feed's manifests, and the numbers of those that are published."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{feed_id}/published")
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in system.listStatus(folder)] if system.exists(folder) else []
+    return system, folder, sorted(int(n) for n in names if n.isdigit())
+
 
+def write(tables: FeedTables, path: str, feed_id: str | None = None) -> int:
+    """A new version of one feed under ``path``; its number.
 
-def load(spark: SparkSession, path: str) -> FeedTables:
-    """The written tables; raises ValueError if they have another version."""
-    version = spark.read.parquet(f"{path}/meta").first()["schema_version"]
-    if version != SCHEMA_VERSION:
-        raise ValueError(f"tables of version {version} under {path}; this is version {SCHEMA_VERSION}")
-    return FeedTables(*(spark.read.parquet(f"{path}/{f.name}") for f in fields(FeedTables)))
+    The tables go to a folder that no reader knows; when all are there a manifest with their place is
+    published by a rename, which nobody sees half done.  A writer that fails leaves the version before
+    as it was, readers stay on the version they opened, and other feeds are not touched.
+    """
+    spark = tables.meta.sparkSession
+    feed_id = feed_id or tables.meta.first()["feed_id"]
+    place = f"{path}/{feed_id}/data-{uuid.uuid4().hex}"
+    for f in fields(tables):
+        getattr(tables, f.name).write.parquet(f"{place}/{f.name}")
+    system, folder, known = _manifests(spark, path, feed_id)
+    version = (known[-1] if known else 0) + 1
+    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{feed_id}/draft-{uuid.uuid4().hex}")
+    out = system.create(draft)
+    out.write(bytearray(json.dumps({"place": place.rsplit("/", 1)[1], "schema_version": SCHEMA_VERSION}).encode()))
+    out.close()
+    system.mkdirs(folder)
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder, str(version))
+    if system.exists(target) or not system.rename(draft, target):
+        raise RuntimeError(f"version {version} of {feed_id} has been published meanwhile")
+    return version
+
+
+def feeds(spark: SparkSession, path: str) -> list[str]:
+    """The feeds that have a version under ``path``."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in system.listStatus(folder)] if system.exists(folder) else []
+    return sorted(n for n in names if _manifests(spark, path, n)[2])
+
+
+def load(spark: SparkSession, path: str, feed_id: str | None = None, version: int | None = None) -> FeedTables:
+    """The newest, or the given, version of a feed (by default of the only one); ValueError where there is none or its tables are of another schema version."""
+    if feed_id is None:
+        there = feeds(spark, path)
+        if len(there) != 1:
+            raise ValueError(f"which of the feeds {there} under {path}?")
+        feed_id = there[0]
+    _, folder, known = _manifests(spark, path, feed_id)
+    version = version or (known[-1] if known else 0)
+    if version not in known:
+        raise ValueError(f"no version {version} of {feed_id} under {path}")
+    manifest = json.loads(spark.read.text(f"{folder}/{version}", wholetext=True).first()[0])
+    if manifest["schema_version"] != SCHEMA_VERSION:
+        raise ValueError(f"tables of version {manifest['schema_version']} under {path}; this is version {SCHEMA_VERSION}")
+    return FeedTables(*(spark.read.parquet(f"{path}/{feed_id}/{manifest['place']}/{f.name}") for f in fields(FeedTables)))
+
+
+def forget(spark: SparkSession, path: str, feed_id: str, keep: int = 2) -> None:
+    """Remove all but the last ``keep`` versions of a feed, manifests first; nobody should read them any more."""
+    system, folder, known = _manifests(spark, path, feed_id)
+    for version in known[:-keep]:
+        manifest = json.loads(spark.read.text(f"{folder}/{version}", wholetext=True).first()[0])
+        system.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, str(version)), False)
+        system.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{feed_id}/{manifest['place']}"), True)
 
 
 def network(tables: FeedTables, walk_m: float = 0.0) -> Network:

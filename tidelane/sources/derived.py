@@ -19,7 +19,8 @@ from tidelane.operators.network import walk_transfers
 class Network:
     """stops(sid, nk, lat, lon); stop_times(tid, rid, seq, sid, arr, dep); transfers(a, b, metres, seconds); members(grp, sid); flex_trips(ft, grp, ws, we, kind, minutes, last_day, last_time); patterns(rid, seq, sid); trips(tid, rid, st).
 
-    Optional: running(tid, day) and flex_running(ft, day), the days (YYYYMMDD) of each trip and service, without which all run daily.
+    Optional: running(tid, day) and flex_running(ft, day), the days (YYYYMMDD) of each trip and service, without which all run daily;
+    departures and calls, the timetable as routing reads it (:func:`tidelane.operators.routing.prepared`).
     """
 
     stops: DataFrame
@@ -31,6 +32,8 @@ class Network:
     flex_trips: DataFrame
     running: DataFrame | None = None
     flex_running: DataFrame | None = None
+    departures: DataFrame | None = None
+    calls: DataFrame | None = None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,69 +1,60 @@
-"""Tolerant reading of timetable feeds (folders of CSV text files) into raw rows.
+"""Tolerant reading of timetable feeds (folders of CSV text files, and an area file) into raw rows.
 
-Files are decoded and cut into rows inside tasks, one file at a time; every value stays text.
+A feed is parsed once: rows are written by feed and file, and every table reads the files it is made of.
+Every value stays text.
 """
 
 from __future__ import annotations
 
-import csv
-import io
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The files of a feed.
-FILES = ["agency", "stops", "routes", "trips", "calendar", "calendar_dates", "location_groups", "location_group_stops", "stop_times", "booking_rules", "translations", "feed_info"]
+from tidelane.sources.records import decode, read_records
+from tidelane.storage import Tables
 
-_ROWS = "feed_id string, file string, row_no int, cells map<string,string>, warning string"
+#: The files of a feed; ``locations`` is a GeoJSON file, all others CSV.
+FILES = ["agency", "stops", "routes", "trips", "calendar", "calendar_dates", "location_groups", "location_group_stops", "stop_times", "booking_rules", "translations", "feed_info", "locations"]
 
 
-def decode(content: bytes) -> tuple[str, bool]:
-    """UTF-8, or Shift_JIS where that fails; whether it fell back.  A byte-order mark goes."""
-    try:
-        return content.decode("utf-8").removeprefix("﻿"), False
-    except UnicodeDecodeError:
-        return content.decode("shift_jis", "replace"), True
+def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for own in batches:
+        found = [decode(bytes(c)) for c in own["content"]]
+        yield pd.DataFrame({"path": own["path"], "text": [t for t, _ in found], "fell_back": [f for _, f in found]})
 
 
-def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"], strict=True):
-            feed, name = path.rsplit("/", 2)[-2:]
-            text, fell_back = decode(bytes(content))
-            out = [(feed, name.removesuffix(".txt"), 0, {}, "encoding_fallback")] if fell_back else []
-            reader = csv.reader(io.StringIO(text))
-            header = [h.strip().removeprefix("﻿") for h in next(reader, [])]
-            n = 0
-            for cells in reader:
-                if not any(c.strip() for c in cells):
-                    continue
-                n += 1
-                out.append((feed, name.removesuffix(".txt"), n, dict(zip(header, cells, strict=False)), "invalid_value" if len(cells) > len(header) else None))
-            yield pd.DataFrame(out, columns=["feed_id", "file", "row_no", "cells", "warning"])
+def _named(path: str = "path") -> list:
+    parts = F.split(path, "/")
+    return [F.url_decode(F.replace(F.element_at(parts, -2), F.lit("+"), F.lit("%2B"))).alias("feed_id"), F.regexp_replace(F.element_at(parts, -1), r"\.(txt|geojson)$", "").alias("file")]
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """(feed_id, file, row_no, cells, warning) of all ``*.txt`` under feed folders; row 0 carries a file's own warning."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInPandas(_rows, _ROWS)
+    """(feed_id, file, row_no, cells, warning) of all ``*.txt`` and ``locations.geojson`` under feed folders, parsed once and kept by feed and file.
 
-
-def read_large(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """(row_no, columns as text) of one UTF-8 file of any size, read in splits; rows are numbered in order, not one by one, and broken ones padded with nulls.
-
-    Cells must not hold line breaks; for small, odd or differently encoded files there is :func:`read_raw`.
+    Row 0 stands for the file itself: it is there if the file is, even an empty one, and carries
+    ``encoding_fallback``.  Rows with too many or too few cells, or with quotes out of place, are kept
+    and carry ``invalid_value``.  The GeoJSON text is the one cell ``geojson`` of its row 1.
     """
-    own = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", False).csv(path)
-    have = {c.strip().removeprefix("\ufeff"): c for c in own.columns}
-    return own.select(F.monotonically_increasing_id().alias("row_no"), *((F.col(f"`{have[c]}`") if c in have else F.lit(None).cast("string")).alias(c) for c in columns))
-
-
-def read_locations(spark: SparkSession, path: str) -> DataFrame:
-    """(feed, text) of the ``locations.geojson`` under feed folders."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "locations.geojson").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -2).alias("feed"), F.regexp_replace(F.col("content").cast("string"), "^\ufeff", "").alias("text"))
+    rows, files, used = read_records(spark, path)
+    none = F.lit(None).cast("string")
+    nothing = F.create_map().cast("map<string,string>")
+    folder = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    there = folder.option("pathGlobFilter", "{*.txt,locations.geojson}").load(path).select(F.col("_metadata.file_path").alias("path"))
+    fell = files.where("NOT valid").select(*_named(), F.lit("encoding_fallback").alias("warning"))
+    areas = folder.option("pathGlobFilter", "locations.geojson").load(path).select(F.col("_metadata.file_path").alias("path"), "content").mapInPandas(_texts, "path string, text string, fell_back boolean")
+    areas = areas.select(*_named(), F.explode(F.array(F.struct(F.lit(1).cast("long").alias("row_no"), F.create_map(F.lit("geojson"), F.col("text")).alias("cells"), none.alias("warning")), F.struct(F.lit(0).cast("long").alias("row_no"), nothing.alias("cells"), F.when(F.col("fell_back"), "encoding_fallback").alias("warning")))).alias("x")).select("feed_id", "file", "x.*")
+    marks = there.select(*_named()).where("file <> 'locations'").join(fell, ["feed_id", "file"], "left").select("feed_id", "file", F.lit(0).cast("long").alias("row_no"), nothing.alias("cells"), "warning")
+    every = rows.select(*_named(), "row_no", "cells", F.when(F.col("flawed"), "invalid_value").alias("warning")).unionByName(marks).unionByName(areas)
+    kept = Tables(spark).keep("raw", every.select("row_no", "cells", "warning", "feed_id", "file"), by=("feed_id", "file"))
+    used.drop()
+    return kept.select("feed_id", "file", "row_no", "cells", "warning")
+
+
+def locations_of(raw: DataFrame) -> DataFrame:
+    """(feed, text) of the ``locations.geojson`` among raw rows."""
+    return raw.where("file = 'locations' AND row_no > 0").select(F.col("feed_id").alias("feed"), F.col("cells")["geojson"].alias("text"))
 
 
 def read_credits(spark: SparkSession, path: str) -> DataFrame:
@@ -75,8 +66,9 @@ def read_credits(spark: SparkSession, path: str) -> DataFrame:
 
 def missing_files(raw: DataFrame) -> DataFrame:
     """(feed_id, file) of known files that a feed lacks."""
-    known = raw.sparkSession.createDataFrame([(f,) for f in FILES], "file string")
-    return raw.select("feed_id").distinct().crossJoin(F.broadcast(known)).join(raw.select("feed_id", "file").distinct(), ["feed_id", "file"], "left_anti")
+    feeds = raw.where("row_no = 0").groupBy("feed_id").agg(F.collect_set("file").alias("there"))  # a row for each file of a feed
+    lacking = F.array_except(F.array(*(F.lit(f) for f in FILES)), "there")
+    return feeds.select("feed_id", F.explode(lacking).alias("file"))
 
 
 def table_of(raw: DataFrame, file: str, columns: list[str]) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +38,15 @@ def shuffles_released(spark: SparkSession) -> Iterator[None]:
 
 
 _open: list[list[Tables]] = []
+_left: set[Tables] = set()
+
+
+@atexit.register
+def _drop_left() -> None:
+    """When the driver ends, what is left of intermediate tables goes."""
+    for tables in list(_left):
+        with suppress(Exception):  # the session may be gone, and its folder with it
+            tables.drop()
 
 
 @contextmanager
@@ -57,17 +67,36 @@ class Tables:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.folder = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+        self.named: dict[str, str] = {}
+        _left.add(self)
         for own in _open:
             own.append(self)
 
-    def keep(self, name: str, df: DataFrame) -> DataFrame:
-        """``df`` computed once and read back."""
+    def keep(self, name: str, df: DataFrame, by: Sequence[str] = (), buckets: Sequence[str] = ()) -> DataFrame:
+        """``df`` computed once and read back.
+
+        With ``by`` (text columns, the last of ``df``) it is in a folder for each of their values.  With
+        ``buckets`` rows are dealt to buckets by these columns, one file each, and later joins on them
+        don't move it.
+        """
         with shuffles_released(self.spark):
-            df.write.option("compression", "zstd").parquet(f"{self.folder}/{name}")
+            writer = df.write.option("compression", "zstd")
+            if buckets:
+                n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+                table = f"kept_{uuid.uuid4().hex}"
+                dealt = df.repartition(n, *buckets).write.option("compression", "zstd").option("path", f"{self.folder}/{name}")
+                dealt.bucketBy(n, *buckets).sortBy(*buckets).saveAsTable(table)
+                self.named[name] = table
+                return self.spark.table(table)
+            (writer.partitionBy(*by) if by else writer).parquet(f"{self.folder}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
     def drop(self, *names: str) -> None:
         """Remove tables that nothing reads any more; without names all."""
+        if not names:
+            _left.discard(self)
+        for name in list(self.named) if not names else [n for n in names if n in self.named]:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.named.pop(name)}")
         for name in names or ("",):
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
