@@ -43,8 +43,9 @@ class _Counter(StatefulProcessor):
         self.handle = handle
         self.open = handle.getMapState("open", "window long", "n long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        own = pd.concat(list(rows), ignore_index=True).sort_values([self.at, *self.ties], ignore_index=True)
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        own = pd.concat(list(rows), ignore_index=True)
+        own = own.sort_values([self.at, *self.ties], ignore_index=True)
         window = own[self.at] // self.micros
         nth = own.groupby(window).cumcount() + 1
         for w, n in window.value_counts().items():
@@ -57,8 +58,8 @@ class _Counter(StatefulProcessor):
         allowed = nth <= self.limit
         yield own.assign(allowed=allowed, retry_after=left.clip(lower=1).where(~allowed).astype("Int64"))[self.columns]
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
-        self.open.removeKey((expired.getExpiryTimeInMs() * 1000 // self.micros - 1,))
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.open.removeKey((expiredTimerInfo.getExpiryTimeInMs() * 1000 // self.micros - 1,))
         return iter(())
 
     def close(self) -> None:
@@ -75,14 +76,14 @@ def verdict_stream(requests: DataFrame, limit: int, seconds: int = 60, late: str
     """
     plain = requests.withColumn(ts, F.col(ts).cast("timestamp"))
     names = plain.columns
-    sent = plain.withColumn("__at", F.unix_micros(ts)).withWatermark(ts, late)
+    sent = plain.withColumn("at_micros", F.unix_micros(ts)).withWatermark(ts, late)
     # times go as whole microseconds: pandas would change their type
     moved = [F.unix_micros(c).alias(c) if f.dataType == T.TimestampType() and c != ts else F.col(c) for c, f in zip(names, plain.schema)]
-    sent = sent.select(*moved, "__at").where(F.col("__at").isNotNull())
+    sent = sent.select(*moved, "at_micros").where(F.col("at_micros").isNotNull())
     fields = [T.StructField(f.name, T.LongType() if f.dataType == T.TimestampType() and f.name != ts else f.dataType) for f in plain.schema if f.name != ts]
-    out = T.StructType([*fields, T.StructField("__at", T.LongType()), T.StructField("allowed", T.BooleanType()), T.StructField("retry_after", T.LongType())])
+    out = T.StructType([*fields, T.StructField("at_micros", T.LongType()), T.StructField("allowed", T.BooleanType()), T.StructField("retry_after", T.LongType())])
     ties = [tie] if tie in names else []
-    processor = _Counter(limit, seconds * 1_000_000, "__at", ties, out.names)
+    processor = _Counter(limit, seconds * 1_000_000, "at_micros", ties, out.names)
     found = sent.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=out, outputMode="Append", timeMode="EventTime")
-    back = [F.timestamp_micros("__at").alias(c) if c == ts else F.timestamp_micros(c).alias(c) if f.dataType == T.TimestampType() else F.col(c) for c, f in zip(names, plain.schema)]
+    back = [F.timestamp_micros("at_micros").alias(c) if c == ts else F.timestamp_micros(c).alias(c) if f.dataType == T.TimestampType() else F.col(c) for c, f in zip(names, plain.schema)]
     return found.select(*back, "allowed", "retry_after")
