@@ -273,7 +273,7 @@ _DUE = "CASE kind WHEN 1 THEN 28800 - minutes*60 WHEN 2 THEN last_time - last_da
 def flex_scan_round1(spark, d):
     net = derive(spark, d)
     asked = requests(net).withColumns({"same_day": F.lit(True), "now": F.lit(27000)})
-    start = asked.select("query_id", "sid", F.col("dep").cast("bigint").alias("arr"), F.array().cast(f"array<{routing._LEG}>").alias("legs"))
+    start = asked.select("query_id", "sid", F.col("dep").cast("bigint").alias("arr"))
     return routing.flex_ride(start, net, asked).groupBy("query_id", "sid").agg(F.min("arr").alias("arr"))
 
 
