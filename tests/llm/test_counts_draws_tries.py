@@ -132,3 +132,18 @@ def test_prefix_trie(spark):
     got = [r for r in trie_of(spark, rows) if r[0] == 400 and r[1] > 20]
     assert len(got) == 9000 - 20 and {r[6] for r in got} == {0} and {r[4] for r in got if r[1] < 9000} == {1}
     assert trie_of(spark, []) == []
+
+
+def test_columns_of_any_name_pass_through(spark):
+    from tidelane.llm import bpe, language_id, quality_classifier, quality_rules
+
+    rows = [(1, "one two three", "x", 7, 1.0), (2, None, "y", 8, 2.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, __letters long, score double")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    made = {
+        "score": quality_classifier.score(docs, quality_classifier.train(docs, none)), "kept": quality_rules.judge(docs, quality_rules.train(docs, none)), "decoded": bpe.encode_documents(docs),
+        "lang_pred": language_id.identify(docs, language_id.train(docs.withColumn("lang", F.lit("en")))),
+    }
+    for name, found in made.items():
+        assert name in found.columns and {"a.b", "__letters"} < set(found.columns)
+        assert sorted((r["doc_id"], r["a.b"], r["__letters"]) for r in found.collect()) == [(1, "x", 7), (2, "y", 8)]

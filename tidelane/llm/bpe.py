@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelane.llm.bytetext import blocks, releasing, small_batches
+from tidelane.llm.bytetext import any_names, blocks, releasing, small_batches
 
 #: The byte-level pre-tokenisation pattern of the public vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -129,6 +129,7 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+@any_names("token_ids", "decoded")
 def encode_documents(docs: DataFrame, tokenizer: str | None = None, text: str = "text") -> DataFrame:
     """``docs`` with ``token_ids`` array<int> and ``decoded`` string (the ids decoded again).
 

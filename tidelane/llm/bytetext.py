@@ -10,11 +10,13 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows are handed on in blocks of about this many text bytes (a longer text is a block alone).
 BLOCK_BYTES = 2 << 20
@@ -124,6 +126,21 @@ def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Itera
     return inner
 
 
+def any_names(*added: str) -> Callable:
+    """For an operator that appends ``added`` to the columns of its table: these columns may have any names, dots and all, and those in ``added`` are replaced."""
+
+    def around(run: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(run)
+        def call(docs: DataFrame, *args, text: str = "text", **more) -> DataFrame:
+            keep = [c for c in docs.columns if c not in added]
+            plain = [F.col("`" + c.replace("`", "``") + "`").alias(text if c == text else f"c{i}") for i, c in enumerate(keep)]
+            return run(docs.select(*plain), *args, text=text, **more).toDF(*keep, *added)
+
+        return call
+
+    return around
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that no block has many more text bytes than ``limit``."""
     for batch in batches:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelane.llm.bytetext import LOWER, SPACE_SEP, Block, blocks, releasing, row_of, small_batches, span_hashes, split_words, utf8_block
+from tidelane.llm.bytetext import LOWER, SPACE_SEP, Block, any_names, blocks, releasing, row_of, small_batches, span_hashes, split_words, utf8_block
 from tidelane.llm.sampling import crc_mod
 
 #: Texts of each language that are learned from, about; longest run of bytes scored at once.
@@ -199,6 +199,7 @@ def train(docs: DataFrame, bound: int = TRAIN_ROWS, vocabulary: str | None = Non
     return Model(languages, weight / weight.sum(axis=0), trie)
 
 
+@any_names("lang_pred", "lang_score")
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``lang_score``; one pass, no shuffle."""
     small_batches(docs.sparkSession)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelane.llm.bytetext import SPACE_SEP, Block, blocks, mix, releasing, row_of, small_batches, span_hashes, split_words, utf8_block
+from tidelane.llm.bytetext import SPACE_SEP, Block, any_names, blocks, mix, releasing, row_of, small_batches, span_hashes, split_words, utf8_block
 from tidelane.llm.sampling import crc_mod, labelled_sample
 
 #: Feature vectors, their width, and the sizes of byte n-grams.
@@ -181,6 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, usable=No
     return Classifier(np.frombuffer(model["gain"], np.float32), model["bias"]) if model else fit([])
 
 
+@any_names("score", "predicted")
 def score(docs: DataFrame, model: Classifier, text: str = "text", good_at: float = GOOD_AT) -> DataFrame:
     """``docs`` with ``score`` and ``predicted``; one pass, no shuffle."""
     small_batches(docs.sparkSession)

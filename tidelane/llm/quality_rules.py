@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelane.llm.bytetext import SPACE_SEP, Block, blocks, gram_hashes, mix, releasing, row_of, small_batches, span_hashes, split_words, utf8_block
+from tidelane.llm.bytetext import SPACE_SEP, Block, any_names, blocks, gram_hashes, mix, releasing, row_of, small_batches, span_hashes, split_words, utf8_block
 from tidelane.llm.sampling import labelled_sample
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -223,6 +223,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> Forest
     return fit(x, rows["label"].to_numpy()[order], list(FEATURES.values()))
 
 
+@any_names(*COUNTS, "base_failed", "quality_score", "kept")
 def judge(docs: DataFrame, forest: Forest, text: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
     """``docs`` with the counts, ``base_failed``, ``quality_score`` and ``kept``; one pass, no shuffle."""
     small_batches(docs.sparkSession)
