@@ -113,6 +113,12 @@ def test_default_day_and_search(spark, net, tables):
     assert rows[2].found == 1 and rows[2].board is None
 
 
+def test_smoke_check(tables):
+    made = tables[0]
+    assert build.smoke_check(made)
+    assert not build.smoke_check(build.FeedTables(**{**vars(made), "flex_trips": made.flex_trips.limit(0)}))
+
+
 def test_isochrone_from_a_place(spark, net, tables):
     near = spark.createDataFrame([(1, None, 35.7005, 139.3005, 28000, 20240710)], "query_id long, from_sid long, from_lat double, from_lon double, dep long, day int")
     got = {r.cutoff: r.n for r in isochrone.reached_within(net, near, [60, 900, 1800, 2000], 2).groupBy("cutoff").agg(F.count("*").alias("n")).collect()}

@@ -50,3 +50,16 @@ def recent_stops(records: DataFrame, limit: int = OFFERED) -> DataFrame:
     once = ends.groupBy("user_id", F.col("p.stopId").alias("stop_id")).agg(F.min(F.struct("rank", "end", F.col("p.name").alias("name"))).alias("x"))
     at = F.row_number().over(Window.partitionBy("user_id").orderBy("x.rank", "x.end"))
     return once.withColumn("place", at).where(F.col("place") <= limit).select("user_id", "stop_id", F.col("x.name").alias("name"), F.col("place").alias("rank"))
+
+
+#: Sizes of text that a display offers, the first by default.
+SIZES = ["standard", "large", "xlarge"]
+
+
+def settings(texts: DataFrame) -> DataFrame:
+    """(user_id, font_scale, high_contrast) of stored JSON texts (user_id, text): the defaults where a text is missing, can't be read or has a part that is none."""
+    value = F.try_parse_json("text")
+    scale, contrast = (F.try_variant_get(value, f"$.{c}", "variant") for c in ("fontScale", "highContrast"))
+    whole = (F.schema_of_variant(scale) == "STRING") & F.try_variant_get(value, "$.fontScale", "string").isin(SIZES) & (F.schema_of_variant(contrast) == "BOOLEAN")
+    good = F.coalesce(whole, F.lit(False))
+    return texts.select("user_id", F.when(good, F.try_variant_get(value, "$.fontScale", "string")).otherwise(SIZES[0]).alias("font_scale"), F.when(good, F.try_variant_get(value, "$.highContrast", "boolean")).otherwise(False).alias("high_contrast"))

@@ -9,7 +9,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelane.operators import calendar, encode, normalise
+from tidelane.operators import calendar, encode, normalise, routing
 from tidelane.operators.network import walk_transfers
 from tidelane.scan import dense_numbers
 from tidelane.sources.derived import Network
@@ -184,3 +184,16 @@ def default_day(tables: FeedTables, requests: DataFrame) -> DataFrame:
     """``requests`` with ``day``: the feed's first day where a request names none."""
     first = tables.meta.select(F.col("first_day").alias("__first"))
     return requests.crossJoin(F.broadcast(first)).withColumn("day", F.coalesce("day", "__first")).drop("__first")
+
+
+def smoke_check(tables: FeedTables) -> bool:
+    """Whether the built network takes somebody somewhere by a flexible service on its first day with one.
+
+    Asked is the way between the first two stops of a service's group at the start of its window, searched for the day before.
+    """
+    net, window = network(tables), F.struct("day", "tid")
+    first = tables.trip_days.join(tables.flex_trips.select("tid", "grp", F.col("ws").alias("dep")), "tid").groupBy().agg(F.min_by(F.struct("day", "grp", "dep"), window).alias("x")).where("x IS NOT NULL").select("x.*")
+    ends = tables.members.groupBy("grp").agg(F.slice(F.sort_array(F.collect_set("sid")), 1, 2).alias("s")).where("size(s) = 2")  # the stops of a group
+    asked = first.join(ends, "grp").select(F.lit(0).cast("long").alias("query_id"), F.col("s")[0].alias("from_sid"), F.col("s")[1].alias("to_sid"), F.col("dep").cast("long").alias("dep"), "day", F.lit(False).alias("same_day"), F.lit(0).cast("long").alias("now"))
+    asked = asked.withColumns({c: F.lit(None).cast("double") for c in ("from_lat", "from_lon", "to_lat", "to_lon")})
+    return not routing.plan(net, asked, 1).where(F.exists("legs", lambda leg: leg["mode"] == "flex")).isEmpty()
