@@ -65,8 +65,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     levels = nodes.agg(F.max(F.size(F.split("key", r"\.")) - 1)).first()[0] or 0
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     parts = F.struct(*(F.col(f"`{c}`") for c in own))
+    named = [F.col(f"`{c}`") for c in own if not any(t in pages.schema[c].dataType.simpleString() for t in ("map<", "variant"))]  # what can be hashed
     points = pages.select(
-        F.pmod(F.xxhash64(F.coalesce(F.col(url), F.lit("")), F.monotonically_increasing_id()), F.lit(slices)).alias("slice"),
+        F.pmod(F.xxhash64(*named), F.lit(slices)).alias("slice"),
         host_key(url_host(F.col(url))).alias("key"), F.lit(0).alias("step"), parts.alias("page"),
     )
     ends = nodes.select(
