@@ -276,6 +276,33 @@ def test_forward_sums_all_segmentations():
     assert abs(got - (0.25 * 0.1 * 0.2 + 0.25 * 0.3 + 0.15 * 0.2)) < 1e-12
 
 
+def test_words_of_any_length_are_summed_over_all_segmentations(monkeypatch):
+    """Words of up to 3000 bytes, some with a byte that no piece has, against a plain forward pass; stretches change nothing."""
+    pieces = [b"\0", b"a", b"b", b"c", b"ab", b"abc", b"\0a", b"bcab", b"aaaaaa"]
+    model = language_id.Model(["x", "y"], np.random.default_rng(5).dirichlet(np.ones(len(pieces)), 2).T * 1e-3, language_id.Trie.of(pieces))
+    words = [bytes(rng.choice(b"abc") for _ in range(n)) for n in (1, 2, 30, 63, 64, 65, 97, 128, 129, 500, 501, 3000)]
+    words += [b"ab" * 40, b"abcab" * 100]
+
+    def plain(word: bytes) -> np.ndarray:
+        sums = np.full((len(word) + 1, 2), -np.inf)
+        sums[0] = 0
+        for end in range(1, len(word) + 1):
+            for i, piece in enumerate(pieces):
+                if word[:end].endswith(piece):
+                    sums[end] = np.logaddexp(sums[end], sums[end - len(piece)] + np.log(model.weight[i]))
+        return sums[-1]
+
+    data = np.frombuffer(b"".join(b" " + w for w in words), np.uint8)
+    size = np.array([len(w) for w in words])
+    start = np.cumsum(size + 1) - size
+    asked = [plain(b"\0" + w) for w in words]
+    for stretch in (language_id.STRETCH, 100, 7):
+        monkeypatch.setattr(language_id, "STRETCH", stretch)
+        assert np.allclose(model.words(data, start, start + size), asked)
+    broken = np.frombuffer(b" " + b"ab" * 60 + b"z" + b"ab" * 60, np.uint8)
+    assert np.allclose(model.words(broken, np.array([1]), np.array([len(broken)])), np.log(1e-300))
+
+
 def test_license_scan(docs, nothing):
     found = {r.doc_id: r for r in license_scan.scan_licenses(docs).collect()}
     assert (found[13].n_base, found[13].first_word, found[13].base_labels, found[13].labels, found[13].score) == (1, 3, "mit", "mit", 1.0)

@@ -8,8 +8,8 @@ languages' scores become a posterior.  All distinct words of a block are scored
 a byte trie finds the pieces that start at each place, and places advance in lockstep.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, and so is every
-text if no language was learned.  Words longer than ``CHUNK`` bytes are scored in chunks of
-that length, none is skipped.  Repeated rows are scored once each; extra columns pass through.
+text if no language was learned.  Words of any length are summed over all
+their segmentations; those too long for products of probabilities are summed as logs.  Repeated rows are scored once each; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -26,8 +26,11 @@ from pyspark.sql import types as T
 from tidelane.llm.bytetext import LOWER, SPACE_SEP, Block, any_names, blocks, releasing, row_of, small_batches, span_hashes, split_words, utf8_block
 from tidelane.llm.sampling import crc_mod
 
-#: Texts of each language that are learned from, about; longest run of bytes scored at once.
-TRAIN_ROWS, CHUNK = 2000, 64
+#: Texts of each language that are learned from, about.
+TRAIN_ROWS = 2000
+
+#: Longest word, in bytes, whose probabilities are multiplied as such; bytes of a longer word looked up at once. Neither changes a result.
+DIRECT, STRETCH = 64, 1 << 16
 
 #: Added to every piece's count.
 SMOOTH = 0.05
@@ -99,19 +102,33 @@ class Model:
     weight: np.ndarray
     trie: Trie
 
+    @property
+    def direct(self) -> int:
+        """Bytes, mark included, up to which no product of probabilities leaves the range of a double."""
+        least = self.weight[self.weight > 0].min(initial=0.1)
+        return max(1, min(DIRECT, int(290 / -np.log10(min(least, 0.1)))))
+
     def words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """(spans x languages) log probabilities of byte spans, each summed over its segmentations."""
+        """(spans x languages) log probabilities of byte spans, each summed over all its segmentations."""
         length = end - start + 1
-        pieces = -(-length // CHUNK)
-        owner = np.repeat(np.arange(len(start)), pieces)
-        k = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        size = np.minimum(length[owner] - k * CHUNK, CHUNK)
-        bounds = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-        flat = np.repeat(start[owner] - 1 + k * CHUNK - bounds[:-1], size) + np.arange(bounds[-1])
+        out = np.zeros((len(start), len(self.languages)))
+        short = length <= self.direct
+        for own, scored in ((np.flatnonzero(short), self._short), (np.flatnonzero(~short), self._long)):
+            if len(own):
+                out[own] = scored(data, start[own], length[own])
+        return out
+
+    def _bytes(self, data: np.ndarray, start: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes ``first`` to ``stop`` of every marked word one after the other, and their bounds."""
+        bounds = np.concatenate([[0], np.cumsum(stop - first)]).astype(np.int64)
+        flat = np.repeat(start - 1 + first - bounds[:-1], stop - first) + np.arange(bounds[-1])
         text = data[np.maximum(flat, 0)]
-        text[bounds[:-1][k == 0]] = _MARK
-        last = np.repeat(bounds[1:], size)
-        rel = np.arange(bounds[-1]) - np.repeat(bounds[:-1], size)
+        text[bounds[:-1][first == 0]] = _MARK
+        return text, bounds
+
+    def _found(self, text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pieces that stand within the spans: where they begin, their bytes and their numbers."""
+        last = np.repeat(bounds[1:], np.diff(bounds))
         at, node = np.arange(bounds[-1]), np.zeros(bounds[-1], np.int32)
         found = []
         for n in range(self.trie.longest):
@@ -125,21 +142,68 @@ class Model:
             at, node = at[more], node[more]
             if not len(at):
                 break
-        begin, size_of, piece = (np.concatenate(x) for x in zip(*found, strict=True))
-        small = np.int16 if CHUNK * (self.trie.longest + 1) < 1 << 15 else np.int64
-        order = np.argsort((rel[begin] * (self.trie.longest + 1) + size_of).astype(small), kind="stable")
-        begin, size_of, piece = begin[order], size_of[order], piece[order]
-        group = rel[begin] * (self.trie.longest + 1) + size_of
-        cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else group
-        # One slot per boundary: chunk c has slots bounds[c] + c ... bounds[c + 1] + c.
-        shift = row_of(bounds)
-        total = np.zeros((bounds[-1] + len(size), len(self.languages)))
-        total[bounds[:-1] + np.arange(len(size))] = 1
-        for a, b in zip(cuts, [*cuts[1:], len(group)], strict=True):  # within a group all ends differ
-            slot = begin[a:b] + shift[begin[a:b]]
-            total[slot + size_of[a]] += total[slot] * self.weight[piece[a:b]]
-        ends = np.log(np.maximum(total[bounds[1:] + np.arange(len(size))], 1e-300))
-        return np.add.reduceat(ends, np.cumsum(pieces) - pieces) if len(start) else ends
+        begin, size, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        return begin, size, piece
+
+    def _in_turn(self, rel: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order of pieces by place and size, and where each place and size starts and ends in it."""
+        key = rel * (self.trie.longest + 1) + size
+        if len(key) and key.max() < 1 << 15:
+            key = key.astype(np.int16)  # sorted by counting
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        return order, np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, np.int64)
+
+    def _short(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Words of up to ``direct`` bytes: sums of probabilities."""
+        text, bounds = self._bytes(data, start, np.zeros_like(length), length)
+        begin, size, piece = self._found(text, bounds)
+        word = row_of(bounds)
+        order, cuts = self._in_turn(begin - bounds[word[begin]], size)
+        begin, size, piece = begin[order], size[order], piece[order]
+        # One slot per boundary: word w has slots bounds[w] + w ... bounds[w + 1] + w.
+        total = np.zeros((bounds[-1] + len(start), len(self.languages)))
+        total[bounds[:-1] + np.arange(len(start))] = 1
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # within a place and size all ends differ
+            slot = begin[a:b] + word[begin[a:b]]
+            total[slot + size[a]] += total[slot] * self.weight[piece[a:b]]
+        return np.log(np.maximum(total[bounds[1:] + np.arange(len(start))], 1e-300))
+
+    def _long(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Longer words, of any length: sums of logs, with the boundaries that a piece can still reach in a ring.
+
+        Stretches bound what is looked up at once; the ring is carried from each to the next.
+        """
+        ring, last = self.trie.longest + 1, np.argsort(-length, kind="stable")
+        start, length = start[last], length[last]  # the longest first, so words that go on are the first ones
+        total = np.full((len(start), ring, len(self.languages)), -np.inf)
+        total[:, 0] = 0
+        with np.errstate(divide="ignore"):
+            log_weight = np.log(self.weight)
+        for low in range(0, int(length[0]), STRETCH):
+            running = np.searchsorted(-length, -low)
+            stop = np.minimum(length[:running], low + STRETCH + self.trie.longest)
+            text, bounds = self._bytes(data, start[:running], np.full_like(stop, low), stop)
+            begin, size, piece = self._found(text, bounds)
+            word = row_of(bounds)[begin]
+            place = begin - bounds[word]
+            own = place < STRETCH  # later ones were looked at for their bytes only
+            place, size, piece, word = place[own], size[own], piece[own], word[own]
+            order, cuts = self._in_turn(place, size)
+            place, size, piece, word = place[order], size[order], piece[order], word[order]
+            many = min(STRETCH, int(length[0]) - low)
+            of_place = np.searchsorted(place[cuts[:-1]], np.arange(many + 1))
+            going = np.searchsorted(-length, -(low + np.arange(many)))
+            for k in range(many):
+                here = (low + k) % ring
+                for j in range(of_place[k], of_place[k + 1]):
+                    a, b = cuts[j], cuts[j + 1]
+                    who, there = word[a:b], (low + k + size[a]) % ring
+                    total[who, there] = np.logaddexp(total[who, there], total[who, here] + log_weight[piece[a:b]])
+                total[: going[k], here] = -np.inf
+        out = np.empty((len(start), len(self.languages)))
+        out[last] = total[np.arange(len(start)), length % ring]
+        return np.where(np.isneginf(out), np.log(1e-300), out)  # a word with a byte that no piece has says nothing of its language
 
     def posterior(self, block: Block) -> np.ndarray:
         """(rows x languages); rows without words get equal shares."""
