@@ -42,6 +42,7 @@ from pyspark.sql import types as T
 from tidelane.llm.bytetext import LOWER, SPACE_SEP, Block, blocks, gram_hashes, releasing, small_batches, span_hashes, split_words, utf8_block
 from tidelane.llm.checkpoints import Tables
 from tidelane.llm.components import connected_components
+from tidelane.storage import measured_broadcasts
 
 #: Words of a shingle; percent of the union that linked sets share at least.
 SHINGLE, LIMIT = 5, 85
@@ -321,9 +322,8 @@ def block_links(wanted: DataFrame, sets: DataFrame, limit: int = LIMIT) -> DataF
     return _grouped(wanted.join(sets, "id").select(*keys, "side", "id", "component", "shingles"), *keys).mapInArrow(releasing(run), "id long, pivot long").distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT, k: int = SHINGLE, tile: int = TILE, block: int = BLOCK) -> DataFrame:
-    """Per row of ``docs``: key, n_shingles, component_id and kept."""
-    small_batches(docs.sparkSession)
+def _parted(docs: DataFrame, key: str, text: str, limit: int, k: int, tile: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (key, n_shingles, node), nodes (id, node, key), and the component of every linked node (node, component)."""
     tables, matches = Tables(docs.sparkSession), matches_for(limit)
     rows = tables.keep("rows", signatures(docs, key, text, k))
     first = F.min(F.struct(F.col(key).isNull().alias("unnamed"), F.col(key).alias("key"), "print")).alias("first")
@@ -354,10 +354,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", li
     if not more.isEmpty():
         part = tables.keep("part2", connected_components(links.unionByName(more), "id", "pivot"))
     tables.drop("survivors", "members", "pairs", "sets", "links", "more", "wanted", "last")
-    whole = nodes.select("id", "node", key).join(part.withColumnRenamed("node", "id"), "id", "left").select("node", key, F.coalesce("component", "id").alias("component"))
+    return rows, nodes, part
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT, k: int = SHINGLE, tile: int = TILE, block: int = BLOCK) -> DataFrame:
+    """Per row of ``docs``: key, n_shingles, component_id and kept."""
+    small_batches(docs.sparkSession)
+    with measured_broadcasts(docs.sparkSession):
+        rows, nodes, part = _parted(docs, key, text, limit, k, tile, block)
+    # Every row and node meets here: no side is small, whatever its stored size.
+    whole = nodes.select("id", "node", key).join(part.withColumnRenamed("node", "id").hint("merge"), "id", "left").select("node", key, F.coalesce("component", "id").alias("component"))
     least = whole.groupBy("component").agg(F.min(key).alias("component_id"))
-    named = whole.join(least, "component").select("node", "component_id")
-    found = rows.select(key, "n_shingles", "node").join(named, "node", "left")
+    named = whole.join(least.hint("merge"), "component").select("node", "component_id")
+    found = rows.select(key, "n_shingles", "node").join(named.hint("merge"), "node", "left")
     component_id = F.when(F.col("node").isNull(), F.col(key)).otherwise(F.col("component_id"))
     return found.select(key, "n_shingles", component_id.alias("component_id"), component_id.eqNullSafe(F.col(key)).alias("kept"))
 
