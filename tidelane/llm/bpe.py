@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,6 +31,9 @@ from tidelane.llm.bytetext import any_names, blocks, releasing, small_batches
 #: The byte-level pre-tokenisation pattern of the public vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: The same pieces of a text that is ASCII alone, found by ``re`` in less time.
+ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"
+
 #: Pieces remembered by a task, and the longest piece that is remembered.
 CACHE_PIECES, CACHE_CHARS = 200_000, 48
 
@@ -80,7 +84,8 @@ class Codec:
             self.merges[vocab[left], vocab[right]] = (rank, vocab[left + right])
         self.specials = specials
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(specials, key=len, reverse=True)) + ")") if specials else None
-        self.pieces = regex.compile(PATTERN).findall
+        wide, narrow = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN).findall
+        self.pieces = lambda text: narrow(text) if text.isascii() else wide(text)
         self.cache = _Cache(lambda piece: array("i", self.merge(piece.encode())).tobytes())
 
     def merge(self, piece: bytes) -> list[int]:
