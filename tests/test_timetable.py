@@ -65,3 +65,17 @@ def test_more_than_can_be_sent_to_every_task_is_joined(spark, monkeypatch):
     monkeypatch.setattr(timetable, "MOST_ROWS", 30)
     assert timetable.gathered(net, asked, False) is None
     assert routing.arrivals(net, asked, 1).count() > 20
+
+
+def test_who_is_left_out_could_not_be_sooner():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        n = 60
+        group = timetable.Group(np.arange(n), 35 + rng.random(n) * 0.05, 139 + rng.random(n) * 0.05)
+        arr, limit = rng.integers(28000, 30500, n), rng.integers(28300, 31000, n)
+        some = np.flatnonzero(rng.random(n) < 0.7)
+        limit[some] = np.minimum(limit[some], arr[some])  # a label is no later than the member's own
+        cand = arr[some][:, None] + group.times(some, np.arange(n))
+        want = {t: (int(cand[:, t].min()), int(some[cand[:, t].argmin()])) for t in range(n) if cand[:, t].min() < limit[t]}
+        got = dict(zip((x := group.reached(some, arr, limit))[0].tolist(), zip(x[1].tolist(), x[2].tolist(), strict=True), strict=True))
+        assert got == want
