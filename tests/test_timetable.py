@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidelane.operators import routing, timetable
+from tidelane.operators import footpaths, routing, timetable
+from tidelane.operators.network import times_of
 from tidelane.sources.derived import Network
 
 
@@ -79,3 +80,59 @@ def test_who_is_left_out_could_not_be_sooner():
         want = {t: (int(cand[:, t].min()), int(some[cand[:, t].argmin()])) for t in range(n) if cand[:, t].min() < limit[t]}
         got = dict(zip((x := group.reached(some, arr, limit))[0].tolist(), zip(x[1].tolist(), x[2].tolist(), strict=True), strict=True))
         assert got == want
+
+
+@pytest.mark.parametrize("dated", [False, True])
+def test_a_goal_of_several_leaves_out_what_leads_nowhere(spark, dated):
+    net = network(spark)
+    asked = net.stops.select(F.col("sid").alias("query_id"), "sid", (28000 + F.col("sid") * 13).alias("dep"), (F.col("sid") % 2 == 0).alias("same_day"), (27600 + F.col("sid") * 20).alias("now")).coalesce(1)
+    if dated:
+        asked = asked.withColumn("day", (F.col("sid") % 3).cast("int"))
+        net.running = net.runs.select("tid", F.explode(F.array(F.lit(0), F.lit(1))).alias("day")).where("(tid + day) % 3 > 0")
+        net.flex_running = net.flex_trips.select("ft", F.explode(F.array(F.lit(0), F.lit(2))).alias("day")).where("(ft + day) % 4 > 0")
+    goals = asked.select("query_id", F.explode(F.array(F.struct(F.lit(4).alias("sid"), F.lit(90).alias("seconds"), F.lit(80.0).alias("metres")), F.struct(F.lit(17).alias("sid"), F.lit(0).alias("seconds"), F.lit(0.0).alias("metres")))).alias("x")).select("query_id", "x.*")
+    joined, lined = replace(net, lines=None, runs=None), replace(net, stop_times=None)
+    for flex in (False, True):
+        labels = [routing.arrivals(n, asked, 3, flex, targets=goals) for n in (joined, lined)]
+        front = [sorted(map(tuple, routing.pareto(x, goals, 3).collect()), key=str) for x in labels]
+        assert front[0] == front[1] and len(front[0]) > 10
+        assert labels[1].count() < labels[0].count()
+
+
+def test_seconds_ahead_are_never_more_than_a_journey_takes(spark):
+    net = network(spark)
+    asked = net.stops.select(F.col("sid").alias("query_id"), "sid", F.lit(28000).alias("dep"), F.lit(False).alias("same_day"), F.lit(0).alias("now"))
+    paths = footpaths.gathered(net.transfers)
+    table = timetable.gathered(net, asked, True, paths)
+    goals, on = np.array([4]), np.array([0])
+    assert table.ahead(paths, goals, on, 2, True) is None  # nobody else has asked for it yet
+    ahead = table.ahead(paths, goals, on, 2, True)
+    took = {(r.query_id, r.round): r.arr - 28000 for r in routing.arrivals(net, asked, 2, True, ways=False).where("sid = 4").collect()}
+    assert all(ahead[k][q] <= t for (q, k), t in took.items()) and (ahead[1] <= ahead[0]).all() and (ahead[2] <= ahead[1]).all()
+    assert ahead[0].tolist() == [0 if s == 4 else x for s, x in enumerate(ahead[0].tolist())] and len(took) > 20
+
+
+def test_labels_without_ways_move_in_lists(spark, monkeypatch):
+    monkeypatch.setattr(timetable, "PACKED", 3)
+    net = network(spark)
+    asked = net.stops.select(F.col("sid").alias("query_id"), "sid", F.lit(28000).alias("dep"))
+    found = routing.arrivals(replace(net, stop_times=None), asked, 2, ways=False)
+    best = found.groupBy("query_id", "sid").agg(F.min("arr").alias("arr"))
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id#" in plan and "sid#" not in "".join(x.split("hashpartitioning(")[1] for x in plan.splitlines() if "hashpartitioning(" in x)
+    times = lambda df: sorted(map(tuple, df.select("query_id", "round", "sid", "arr").collect()))
+    assert times(found) == times(routing.arrivals(replace(net, lines=None, runs=None), asked, 2, ways=False))
+
+
+def test_no_round_after_the_last_ride_that_anyone_asks_for(spark, monkeypatch):
+    net, calls, ridden = network(spark), [], timetable.ridden
+    monkeypatch.setattr(timetable, "ridden", lambda *own: calls.append(own[-1]) or ridden(*own))
+    asked = net.stops.select(F.col("sid").alias("query_id"), "sid", F.lit(28000).alias("dep"), (F.col("sid") % 2 + 1).alias("max_rides"))
+    assert routing.arrivals(net, asked, 6).agg(F.max("round")).first()[0] == 2 and calls == [1, 0]
+
+
+def test_times_of_few_trips_are_made_of_their_lines(spark):
+    net = network(spark)
+    few = net.runs.where("tid % 9 = 4").select("tid")
+    times = lambda n: sorted(map(tuple, times_of(n, few).select("tid", "rid", "seq", "sid", "arr", "dep").collect()))
+    assert times(replace(net, stop_times=None)) == times(replace(net, lines=None, runs=None)) and len(times(net)) > 20
