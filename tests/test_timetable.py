@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidelane.operators import footpaths, routing, timetable
+from tidelane.operators import footpaths, isochrone, routing, timetable
 from tidelane.operators.network import times_of
 from tidelane.sources.derived import Network
 
@@ -136,3 +136,17 @@ def test_times_of_few_trips_are_made_of_their_lines(spark):
     few = net.runs.where("tid % 9 = 4").select("tid")
     times = lambda n: sorted(map(tuple, times_of(n, few).select("tid", "rid", "seq", "sid", "arr", "dep").collect()))
     assert times(replace(net, stop_times=None)) == times(replace(net, lines=None, runs=None)) and len(times(net)) > 20
+
+
+def test_hulls_meet_few_points_from_inside(spark):
+    rng = np.random.default_rng(5)
+    spots = [(int(s), float(x), float(y)) for s, (x, y) in enumerate(np.round(rng.random((3000, 2)), 3))] + [(3000 + k, 0.5, 0.001 * k) for k in range(4)] + [(3010, 7.0, 7.0)]
+    stops = spark.createDataFrame(spots, "sid long, lat double, lon double")
+    groups = spark.createDataFrame([(q, 60, s) for q in (1, 2) for s in range(q - 1, 3000, q)] + [(3, 60, 3000 + k) for k in range(4)] + [(4, 60, 3010)], "query_id long, cutoff int, sid long")
+    place = {s: (y, x) for s, x, y in spots}
+    corners = {q: isochrone.hull([place[r.sid] for r in groups.collect() if r.query_id == q], True) for q in (1, 2, 3, 4)}
+    got = {r.query_id: [tuple(p) for p in r.ring][:-1] for r in isochrone.hulls(groups, stops, keep_flat=True).collect()}
+    assert {q: sorted(p) for q, p in got.items()} == {q: sorted(p) for q, p in corners.items()}
+    points = groups.join(stops, "sid").select("query_id", "cutoff", "lon", "lat")
+    left = {r.query_id: r["count"] for r in isochrone._outer(points).groupBy("query_id").count().collect()}
+    assert left[1] < 600 and left[3] == 4 and left[4] == 1
