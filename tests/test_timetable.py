@@ -99,6 +99,22 @@ def test_a_goal_of_several_leaves_out_what_leads_nowhere(spark, dated):
         assert labels[1].count() < labels[0].count()
 
 
+def test_nobody_walks_on_from_an_origin_to_a_goal(spark):
+    stops = spark.createDataFrame([(s, 0, 35.0 + s * 0.01, 139.0) for s in range(4)], "sid long, nk int, lat double, lon double")
+    lines = spark.createDataFrame([(1, 1, 0, 0, 0), (1, 2, 1, 60, 60), (2, 1, 1, 0, 0), (2, 2, 2, 900, 900)], "pid long, seq int, sid long, arr long, dep long")
+    runs = spark.createDataFrame([(1, 1, 28000), (2, 2, 28100)], "tid long, pid long, start long")
+    at = F.col("start") + F.col("arr"), F.col("start") + F.col("dep")
+    times = runs.join(lines, "pid").select("tid", F.col("pid").alias("rid"), "seq", "sid", at[0].alias("arr"), at[1].alias("dep"))
+    paths = spark.createDataFrame([(1, 2, 100.0, 100), (3, 1, 10.0, 10)], "a long, b long, metres double, seconds long")
+    net = Network(stops, None, None, times, paths, None, None, lines=lines, runs=runs)
+    # A ride from one origin to the other is no label there, so its footpath to the goal is not walked.
+    asked = spark.range(30).select(F.col("id").alias("query_id"), F.lit(28000).alias("dep"))
+    access = asked.select("query_id", F.explode(F.array(F.lit(0), F.lit(1)).cast("array<long>")).alias("sid"), F.lit(0).alias("seconds"), F.lit(0.0).alias("metres"))
+    goals = asked.select("query_id", F.lit(2).cast("long").alias("sid"))
+    front = lambda n: sorted((r.query_id, r.round, r.arr) for r in routing.pareto(routing.arrivals(n, asked, 2, targets=goals, access=access), goals, 2).collect())
+    assert front(replace(net, stop_times=None)) == front(replace(net, lines=None, runs=None)) == [(q, 1, 29000) for q in range(30)]
+
+
 def test_seconds_ahead_are_never_more_than_a_journey_takes(spark):
     net = network(spark)
     asked = net.stops.select(F.col("sid").alias("query_id"), "sid", F.lit(28000).alias("dep"), F.lit(False).alias("same_day"), F.lit(0).alias("now"))
