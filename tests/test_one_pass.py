@@ -78,3 +78,18 @@ def test_least_rides_in_large_groups_are_no_more_than_they_take(monkeypatch):
     monkeypatch.setattr(timetable, "NEAREST", 8)
     least = group.least(own)
     assert (least <= exact).all() and least.min() >= FLEX_BOARD_S and np.median(exact - least) < 200
+
+
+def test_flexible_arrivals_are_those_of_the_joins_and_are_not_moved(spark, monkeypatch):
+    net = network(spark)
+    asked = net.stops.select(F.col("sid").alias("query_id"), F.lit(True).alias("same_day"), (27600 + F.col("sid") * 20).alias("now"))
+    start = net.stops.select(F.col("sid").alias("query_id"), F.explode(F.array(F.col("sid"), (F.col("sid") + 5) % 20)).alias("sid"), F.lit(28450).cast("long").alias("arr"))
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "sid", "arr").collect()))
+    made = routing.flex_arrivals(start, net, asked)
+    want = routing.flex_ride(start, net, asked).groupBy("query_id", "sid").agg(F.min("arr").alias("arr"))
+    assert rows(made) == rows(want) and len(rows(want)) > 100
+    # What is reached leaves the task that found it: only what is asked is dealt, by request.
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange") > plan.index("MapInArrow") and "sid#" not in "".join(x.split("hashpartitioning(")[1] for x in plan.splitlines() if "hashpartitioning(" in x)
+    monkeypatch.setattr(timetable, "MOST_ROWS", 5)
+    assert rows(routing.flex_arrivals(start, net, asked)) == rows(want)
