@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tests.test_timetable import network
 from tidelane.functions.geo import FLEX_BOARD_S
 from tidelane.operators import footpaths, routing, timetable
-from tidelane.operators.network import walk_transfers
+from tidelane.operators.network import earliest_trips, earliest_trips_on_lines, walk_transfers
 from tidelane.sources.derived import Network
 
 
@@ -93,3 +93,11 @@ def test_flexible_arrivals_are_those_of_the_joins_and_are_not_moved(spark, monke
     assert plan.index("Exchange") > plan.index("MapInArrow") and "sid#" not in "".join(x.split("hashpartitioning(")[1] for x in plan.splitlines() if "hashpartitioning(" in x)
     monkeypatch.setattr(timetable, "MOST_ROWS", 5)
     assert rows(routing.flex_arrivals(start, net, asked)) == rows(want)
+
+
+def test_earliest_trips_on_lines_need_no_stop_times(spark):
+    net = network(spark)
+    calls = net.stops.select(F.explode(F.array(*(F.lit(k).cast("long") for k in range(12)))).alias("k"), "sid").select((F.col("k") * 100 + F.col("sid")).alias("query_id"), "sid", (27000 + F.col("k") * 411).alias("at"))
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "sid", "rid", "seq", "dep", "tid").collect()))
+    got = rows(earliest_trips_on_lines(calls, net.lines, net.runs))
+    assert got == rows(earliest_trips(calls, net.stop_times)) and 150 < len(got) < 12 * 21
