@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.test_timetable import network
 from tidelane.functions.geo import FLEX_BOARD_S
-from tidelane.operators import footpaths, routing, timetable
+from tidelane.operators import footpaths, legs, routing, timetable
 from tidelane.operators.network import earliest_trips, earliest_trips_on_lines, walk_transfers
 from tidelane.sources.derived import Network
 
@@ -101,3 +101,11 @@ def test_earliest_trips_on_lines_need_no_stop_times(spark):
     rows = lambda df: sorted(map(tuple, df.select("query_id", "sid", "rid", "seq", "dep", "tid").collect()))
     got = rows(earliest_trips_on_lines(calls, net.lines, net.runs))
     assert got == rows(earliest_trips(calls, net.stop_times)) and 150 < len(got) < 12 * 21
+
+
+def test_ids_of_many_trips_of_few_routes_hash_no_lists_of_trips(spark):
+    rides = legs.named(spark.createDataFrame([(1, 5, 9, [6, 7], None), (2, 7, 5, [], None)], "rid long, from_sid long, to_sid long, mids array<long>, grp int"))
+    trips = spark.range(200).select(F.col("id").alias("query_id"), (F.col("id") % 2 + 1).alias("rid"))
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "kind", "id").collect()))
+    got = legs.ids(trips.join(rides.select("rid", "shape"), "rid"), rides)
+    assert rows(got) == rows(legs.ids(trips.join(rides.drop("shape"), "rid"))) and len(rows(got)) == 100 * 5 + 100 * 3
